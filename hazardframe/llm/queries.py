@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, sharding, simhash, token_output
+from . import bpe, exact_dedup, packing, passages, sharding, simhash, token_output
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
     "op2_deficit_packing": packing.op2_deficit_packing,
+    "op3_passages": passages.op3_passages,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op8_token_files": token_output.op8_token_files,
