@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, passages, sharding, simhash, token_output
+from . import bpe, embedding_dedup, exact_dedup, packing, passages, quality, sharding, simhash, token_output, urls
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_passages": passages.op3_passages,
     "op4_simhash": simhash.op4_simhash,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op6_fourier_quality": quality.op6_fourier_quality,
+    "op7_url_trees": urls.op7_url_trees,
     "op8_token_files": token_output.op8_token_files,
+    "op9_embedding_links": embedding_dedup.op9_embedding_links,
     "op10_grace_dedup": exact_dedup.op10_grace_dedup,
 }
 ORACLE_SQL = {"op10_grace_dedup": exact_dedup.OP10_SQL}
