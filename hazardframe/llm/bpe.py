@@ -37,10 +37,17 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S
 _ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
 
+def _is_text(data: bytes) -> bool:
+    try:
+        return bool(data.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary file; `limit` bounds the remembered pieces."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
@@ -76,21 +83,24 @@ class ByteBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.limit, self.alone, self.spaced = limit, {}, {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.id_bytes = [int(i).to_bytes(4, "little") for i in self.id_of]
         table = dict(raw) | {i: s.encode() for s, i in self.special.items()}
         top = max(table) + 1
         self.sizes = np.array([len(table.get(i, b"")) for i in range(top)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.blob = np.frombuffer(b"".join(table.get(i, b"") for i in range(top)), np.uint8)
+        # a piece that is a token merges to that token
+        self.whole = {c.decode(): self.id_bytes[k] for k, c in content.items() if _is_text(c)}
         self.line_feed = self.piece("\n")
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank can leave `left` and `right` side by side."""
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 32 | right)
         if known is None:
             if len(self.fits) > 1_000_000:
                 self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
+            known = self.fits[left << 32 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -113,17 +123,19 @@ class ByteBPE:
         """The ids of one pre-token, as little-endian 32-bit bytes."""
         data = text.encode().decode("latin-1")
         n, longest = len(data), [-1] * len(data)
-        length, prefix = self.length, self.prefix
+        length, prefix, fits = self.length, self.prefix, self.fits
         for end, k in self.matcher.iter(data):
             longest[end - length[k] + 1] = k  # ends come in order, so the last is the longest
+        if length[longest[0]] == n if n else True:
+            return self.id_bytes[longest[0]] if n else b""
         out: list[int] = []
-        open_ = bytearray(b"\1") * (n + 1)
+        open_ = [True] * (n + 1)
         at, token = 0, longest[0]
         while at < n:
             last = out[-1] if out else -1
             while token >= 0:
                 end = at + length[token]
-                if open_[end] and (last < 0 or self.compatible(last, token)):
+                if open_[end] and (last < 0 or (fits.get(last << 32 | token) or self.compatible(last, token))):
                     break
                 token = prefix[token]
             if token >= 0:
@@ -131,13 +143,15 @@ class ByteBPE:
                 at = end
                 token = longest[at] if at < n else -1
             else:
-                open_[at] = 0
+                open_[at] = False
                 at -= length[out.pop()]
                 token = last
-        return self.id_of[out].tobytes()
+        return b"".join(map(self.id_bytes.__getitem__, out))
 
     def _pieces(self, text: str) -> bytes:
-        return b"".join(self.piece(p) for p in _PIECES.findall(text))
+        """The ids of a text that the pattern cuts."""
+        whole = self.whole
+        return b"".join([whole.get(p) or self.piece(p) for p in _PIECES.findall(text)])
 
     def _learn(self, seen: dict[str, bytes], words: list[str], lead: str) -> None:
         if len(seen) > self.limit:
