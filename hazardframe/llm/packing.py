@@ -36,6 +36,8 @@ from .tokens import encoder, tokenizer_path
 WINDOW = 2048
 #: Windows of a segment, the unit of parallel work: about a million ids.
 SEGMENT = 512
+#: Rows (source, input partition, position) up to which they are broadcast; beyond it their join shuffles.
+BROADCAST_ROWS = 50_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, id_col: str, text_col: str, source_col: str | None) -> DataFrame:
@@ -167,8 +169,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW
 
     A sequence is as long as its window but for the corpus's last one.
     """
-    spark = docs.sparkSession
-    tokens = tokenized(docs, vocabulary, end_id, Scratch(spark, "packing"), id_col, text_col, source_col if source_col in docs.columns else None)
+    scratch = Scratch(docs.sparkSession, "packing")
+    tokens = tokenized(docs, vocabulary, end_id, scratch, id_col, text_col, source_col if source_col in docs.columns else None)
     # One row for each source and input partition; running sums give each its place in the stream.
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -177,6 +179,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = WINDOW
     number = {s: k for k, (s, _) in enumerate(queues)}
     whole, unit = int(totals.sum()), window * segment
     bases = parts.select("source", "part", before.alias("base"))
+    bases = scratch.table(bases, "bases")
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     placed = tokens.join(bases, ["source", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("base", "part")
     # Where each queue's stream is cut into segments, one small array for each queue.
     segments = -(-whole // unit) if whole else 0

@@ -28,6 +28,9 @@ def tokenizer_path(name: str) -> str:
 #: Characters whose NFC form is themselves and whose lower case is one such character.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-įĴ-ňŊ-ſЀ-џ]*")
 _LATIN1 = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įĴ-ňŊ-ſЀ-џ]*")
+#: Letters and lone marks: here white space and the marks alone separate words.
+_PROSE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĴ-ňŊ-ſ \n.,;:!?|]*")
+_TWO_MARKS = re.compile(r"[.,;:!?|]{2}")
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _WORDS_EXACT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _END = "</w>"
@@ -77,6 +80,15 @@ class TextEncoder:
         self.core = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def ids(self, text: str) -> np.ndarray:
+        if _PROSE.fullmatch(text) and not _TWO_MARKS.search(text):
+            text = text.lower()
+            for mark in ".,;:!?|":
+                if mark in text:
+                    text = text.replace(mark, f" {mark} ")
+            found = text.split()
+            if not found:
+                return np.zeros(0, "<u4")
+            return self.ids_of[np.array(self.core.encode_ordinary("\0".join(found) + "\0"))]
         words = _WORDS if _PLAIN.fullmatch(text) else _WORDS_EXACT if _LATIN1.fullmatch(text) else None
         if words is None or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
