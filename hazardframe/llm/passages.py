@@ -44,9 +44,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices, text_or_empty, utf8, without
 
-LENGTH, GRAM = 50, 26
+LENGTH, GRAM = 50, 34
 #: Bytes of text in a part, in a block, and of a signature beyond which its strings are split by content.
-PART_BYTES, BLOCK_BYTES, HOT_BYTES = 8 << 20, 2 << 20, 64 << 20
+PART_BYTES, BLOCK_BYTES, HOT_BYTES = 8 << 20, 1 << 20, 4 << 20
+#: Bytes of an anchor's hash kept beside its bucket's number; a clash only brings texts together in vain.
+KEPT = 5
 LAST = (1 << 63) - 1
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -161,6 +163,21 @@ def _blobs(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
     return pa.table({n: pa.array(columns[n], t) for n, t in types.items()})
 
 
+def _bucketed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and what is kept of each hash."""
+    return ((h >> np.uint64(8 * KEPT)) % np.uint64(buckets)).astype(np.int64), h & np.uint64((1 << 8 * KEPT) - 1)
+
+
+def _to_blob(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
+
+
+def _from_blob(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // KEPT, 8), np.uint8)
+    out[:, :KEPT] = np.frombuffer(blob, np.uint8).reshape(-1, KEPT)
+    return out.reshape(-1).view("<u8")
+
+
 def _report(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """Each anchor of a part once, by bucket: hashes, and whether two of its texts have it."""
     part = table.column("part")[0].as_py()
@@ -170,19 +187,17 @@ def _report(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     out: dict[str, list] = {n: [] for n in types}
     if found:
         h, owner = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        order = np.argsort(h, kind="stable")  # owners ascend within a hash
-        h, owner = h[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        bucket, h = _bucketed(h, buckets)
+        order = np.lexsort((h, bucket))  # stable: owners ascend within a hash
+        h, owner, bucket = h[order], owner[order], bucket[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
         several = owner[first] != owner[np.append(first[1:], len(h)) - 1]
-        h = h[first]
-        bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        h, several, bucket = h[order], several[order], bucket[order]
+        h, bucket = h[first], bucket[first]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
-        for a, b in zip(cuts, [c for c in cuts[1:]], strict=False):
+        for a, b in zip(cuts, cuts[1:], strict=False):
             out["bucket"].append(int(bucket[a]))
             out["part"].append(part)
-            out["hashes"].append(h[a:b].tobytes())
+            out["hashes"].append(_to_blob(h[a:b]))
             out["several"].append(np.packbits(several[a:b]).tobytes())
     return _blobs(out, types)
 
@@ -190,7 +205,8 @@ def _report(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
 def _shared(table: pa.Table) -> pa.Table:
     """Of one bucket, the anchors of two texts or more, for each part that holds them, with the holders' signature."""
     parts = np.array(table.column("part").to_pylist(), np.int64)
-    hashes = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+    bucket = table.column("bucket")[0].as_py()
+    hashes = [_from_blob(x) for x in table.column("hashes").to_pylist()]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("several").to_pylist(), hashes, strict=True)]
     h, several = np.concatenate(hashes), np.concatenate(several)
     holder = np.repeat(np.arange(len(parts)), [len(x) for x in hashes])
@@ -204,12 +220,13 @@ def _shared(table: pa.Table) -> pa.Table:
     h, signature, holder = h[keep], signature[keep], holder[keep]
     order = np.argsort(holder, kind="stable")
     h, signature, holder = h[order], signature[order], holder[order]
-    types = {"part": pa.int64(), "hashes": pa.binary(), "signatures": pa.binary()}
+    types = {"part": pa.int64(), "bucket": pa.int64(), "hashes": pa.binary(), "signatures": pa.binary()}
     out: dict[str, list] = {n: [] for n in types}
     cuts = np.flatnonzero(np.concatenate([[True], holder[1:] != holder[:-1], [True]])).tolist() if len(h) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
         out["part"].append(int(parts[holder[a]]))
-        out["hashes"].append(h[a:b].tobytes())
+        out["bucket"].append(bucket)
+        out["hashes"].append(_to_blob(h[a:b]))
         out["signatures"].append(signature[a:b].tobytes())
     return _blobs(out, types)
 
@@ -218,16 +235,21 @@ _RUN = {"signature": pa.int64(), "ord": pa.int64(), "h": pa.int64(), "start": pa
 _RUN_DDL = "signature long, ord long, h long, start long, text binary"
 
 
-def _runs(table: pa.Table, shared: pa.Table, length: int, gram: int) -> pa.Table:
+def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """The runs of a part, and whole texts that have any (start -1)."""
     out: dict[str, list] = {n: [] for n in _RUN}
     if table.num_rows and shared.num_rows:
-        known, sign = (np.concatenate([np.frombuffer(x, "<u8") for x in shared.column(c).to_pylist()]) for c in ("hashes", "signatures"))
+        # one number for bucket and kept hash: the bucket's low bits stand above the hash
+        full = lambda b, h: h | (b.astype(np.uint64) << np.uint64(8 * KEPT))
+        blobs = [_from_blob(x) for x in shared.column("hashes").to_pylist()]
+        known = full(np.repeat(np.array(shared.column("bucket").to_pylist(), np.int64), [len(x) for x in blobs]), np.concatenate(blobs))
+        sign = np.concatenate([np.frombuffer(x, "<u8") for x in shared.column("signatures").to_pylist()])
         order = np.argsort(known)
         known, sign = known[order], sign[order].view(np.int64)
         texts, ords, hs = _units(table)
         sizes = np.array([len(t) for t in texts], np.int64)
         for owner, at, h in _anchored(texts, length, gram):
+            h = full(*_bucketed(h, buckets))
             k = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[k] == h
             owner, at, sig = owner[hit], at[hit], sign[k[hit]]
@@ -423,8 +445,8 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = whole.where(F.octet_length("text") >= length).mapInArrow(_fold, "h long, ord long, text binary").withColumn("part", F.pmod(F.shiftright("h", 7), F.lit(parts)))
     by_part = dealt.groupBy("part")
     reported = by_part.applyInArrow(lambda t: _report(t, parts, length, gram), "bucket long, part long, hashes binary, several binary")
-    shared = reported.groupBy("bucket").applyInArrow(_shared, "part long, hashes binary, signatures binary")
-    runs = by_part.cogroup(shared.groupBy("part")).applyInArrow(lambda a, b: _runs(a, b, length, gram), _RUN_DDL)
+    shared = reported.groupBy("bucket").applyInArrow(_shared, "part long, bucket long, hashes binary, signatures binary")
+    runs = by_part.cogroup(shared.groupBy("part")).applyInArrow(lambda a, b: _runs(a, b, parts, length, gram), _RUN_DDL)
     runs = scratch.table(runs, "runs")
     strings = runs.where("start >= 0")
     hot = strings.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > HOT_BYTES).select("signature")
