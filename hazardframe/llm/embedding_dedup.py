@@ -161,12 +161,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(usable, v).alias("v"), F.when(usable, digest).alias("digest"))
     # One node for each distinct vector of a label, named by its least id.
     copies = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
-    hidden = F.lit(1 << 62) + F.pmod(F.xxhash64("digest"), F.lit(1 << 61))
-    nodes = scratch.table(copies.select("digest", "label", F.size("v").alias("dim"), F.coalesce("least", hidden).alias("node"), "weight", "v"), "nodes")
-    # a node per (id, digest): ids that repeat with other vectors must not merge here
-    twice = nodes.groupBy("node").count().where("count > 1").isEmpty()
-    if not twice:
-        nodes = scratch.table(nodes.withColumn("node", hidden), "nodes-hashed")
+    # numbered once, when written: ids may repeat or be null, so they cannot name vectors
+    nodes = scratch.table(copies.select("digest", "label", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node"), "least", "weight", "v"), "nodes")
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).head()[0] or 0
     tables, bits = plan(largest, threshold)
     keyed = nodes.select("label", "dim", "node", "weight", "v").mapInArrow(lambda it: _keyed(it, tables, bits), _KEYED)
@@ -181,14 +177,13 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("found"))
     parts = connected_components(found.where("kind = 1").select("node", "value"), scratch)
     per_node = (
-        nodes.select("digest", "node", "weight")
+        nodes.select("digest", "node", "least", "weight")
         .join(links, "node", "left")
         .join(parts, "node", "left")
-        .select("digest", "node", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
+        .select("digest", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
     )
-    # A component's name is the least id of its rows, whatever its nodes are called.
-    real = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
-    named = per_node.join(real, "digest").groupBy("component").agg(F.min("least").alias("component_id"))
+    # A component's name is the least id of its rows, whatever its nodes' numbers.
+    named = per_node.groupBy("component").agg(F.min("least").alias("component_id"))
     answers = per_node.join(named, "component").select("digest", "n_links", "component_id")
     alone = rows.where("digest is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     joined = rows.where("digest is not null").select("id", "digest").join(answers, "digest").select(F.col("id").alias(id_col), "n_links", "component_id")

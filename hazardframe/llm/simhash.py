@@ -1,9 +1,12 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by bit-sliced comparison.
 
-Fingerprints are cut into m parts; two that differ in at most r bits agree in
-at least m - r parts, so each is looked up once under every choice of m - r
-parts and no link is missed. m follows from the number of distinct fingerprints
-and keeps groups small. A group that is still large (a text family a third of
+A fingerprint has one or more words of 64 bits. For a small radius r they are
+cut into m parts; two that differ in at most r bits agree in at least m - r
+parts, so each is looked up once under every choice of m - r parts and no link
+is missed. m follows from the number of distinct fingerprints and keeps groups
+small. For a wide radius (texts of a given similarity, not a given distance) the
+look-ups are seeded samples of bits, as many as keep the chance to miss a pair
+at that similarity under `MISS`. A group that is still large (a text family a third of
 the corpus wide) is cut into chunks and every two chunks meet in a task.
 
 Inside a task the fingerprints are stored as vertical bit planes, one bit of a
@@ -31,42 +34,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, utf8, without
+from .common import Scratch, slices, text_or_empty, utf8, without
 from .components import connected_components
 
 RADIUS = 3
+#: Fingerprints a group should hold when bits are sampled, and the chance to miss a pair at the similarity asked for.
+GROUP_FILL, MISS = 64, 0.01
 #: Fingerprints that one group may hold before it is cut into chunks, and lanes of a block.
 GROUP, BLOCK = 4096, 1 << 14
 BITS = 64
 
 
-def simhash(data: bytes, width: int, seed: int) -> int:
-    """The fingerprint of a text in UTF-8: words between ASCII white space, A-Z in lower case."""
+def _words_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` 64-bit hashes of each shingle from its first."""
+    out = [hashes]
+    for k in range(1, words):
+        x = (hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(32)))
+    return np.stack(out, axis=1)
+
+
+def bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of words have each bit: full adders on whole words while there are many rows, then one by one."""
+    total, weight = np.zeros(BITS * rows.shape[1], np.int64), 1
+    while len(rows):
+        carries = []
+        while len(rows) >= 96:
+            k = len(rows) // 3
+            a, b, c = rows[:k], rows[k : 2 * k], rows[2 * k : 3 * k]
+            half = a ^ b
+            carries.append((a & b) | (half & c))
+            rows = np.concatenate([half ^ c, rows[3 * k :]])
+        bits = np.unpackbits(np.ascontiguousarray(rows, "<u8").view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+        total += weight * bits.sum(axis=0, dtype=np.uint8).astype(np.int64)
+        rows, weight = np.concatenate(carries) if carries else rows[:0], 2 * weight
+    return total
+
+
+def simhash(data: bytes, width: int, seed: int, size: int = 1) -> np.ndarray:
+    """The fingerprint of a text in UTF-8, `size` words: words between ASCII white space, A-Z in lower case."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(size, "<u8")
     if len(words) <= width:
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], "<u8")
     else:
         digest = xxhash.xxh64_intdigest
         columns = [words[k : len(words) - width + 1 + k] for k in range(width)]
         hashes = np.fromiter((digest(b" ".join(s), seed) for s in zip(*columns, strict=True)), "<u8", len(columns[0]))
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros(BITS * size, np.int64)
     for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        ones += bit_counts(_words_of(hashes[at : at + 8192], size))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, size: int = 1) -> DataFrame:
+    """(id, h, f0, f1, ..): a hash of the text, and the words of each fingerprint as signed longs."""
+    names = [f"f{k}" for k in range(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fp = np.array([simhash(t, width, seed) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            fp = np.array([simhash(t, width, seed, size) for t in utf8(batch.column(1))], np.uint64).reshape(-1, size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(size))], ["id", "h", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    whole = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(run, ", ".join(["id long, h long", *(f"{n} long" for n in names)]))
 
 
 class Forest:
@@ -101,10 +134,11 @@ class Forest:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """BITS rows of packed bits, the lanes little-endian in 64-bit words, with a word of padding."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """For each bit of the fingerprints (rows of words) a row of packed bits, the lanes little-endian in 64-bit words, with a word of padding."""
+    fps = np.ascontiguousarray(fps.astype("<u8").reshape(len(fps), -1))
+    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").T
     packed = np.packbits(bits, axis=1, bitorder="little")
-    out = np.zeros((BITS, (len(fps) + 63) // 64 + 1), "<u8")
+    out = np.zeros((len(bits), (len(fps) + 63) // 64 + 1), "<u8")
     out.view(np.uint8)[:, : packed.shape[1]] = packed
     return out
 
@@ -129,7 +163,7 @@ def within_radius(planes: np.ndarray, by: int, wanted: np.ndarray, radius: int =
     size = max(1, radius.bit_length())
     counters = np.zeros((size, words), "<u8")
     over = ~wanted
-    for p in range(BITS):
+    for p in range(len(planes)):
         carry = planes[p, :words] ^ _shifted(planes[p], by, words)
         for k in range(size):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
@@ -157,35 +191,33 @@ def _exceeds(counters: np.ndarray, radius: int) -> np.ndarray:
 
 
 def forest_links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning links among rows of equal `group` (sorted) within the radius."""
+    """Spanning links among rows of equal `group` (sorted) within the radius.
+
+    Rows that the forest connects already are not compared again, so a family of
+    near copies costs few comparisons however large it is.
+    """
     forest, out = Forest(len(fps)), []
     _, first, size = np.unique(group, return_index=True, return_counts=True)
     left = np.repeat(first + size, size) - np.arange(len(group)) - 1  # rows of the group after this one
-    rows = np.arange(len(group))
-    by = 0
-    while True:
-        by += 1
-        # groups too small for this shift leave the lanes
-        if by == 1 or by & (by - 1) == 0:
-            biggest = np.repeat(size, size)[rows] > by
-            rows = rows[biggest]
-            if not len(rows):
-                return out
+    sizes, rows = np.repeat(size, size), np.arange(len(group))
+    for by in range(1, int(size.max())):
+        if by & (by - 1) == 0:  # groups too small for this shift leave the lanes
+            rows = rows[sizes[rows] > by]
             planes, ahead = bit_planes(fps[rows]), left[rows]
-        if by >= size.max():
-            return out
-        for at in range(0, len(rows), BLOCK):
-            lanes = ahead[at : at + BLOCK] >= by
-            if not lanes.any():
-                continue
-            wanted = np.zeros((len(lanes) + 63) // 64 * 8, np.uint8)
-            bits = np.packbits(lanes, bitorder="little")
+        roots = forest.roots()[rows]
+        lanes = (ahead >= by) & (roots != np.append(roots[by:], np.full(min(by, len(roots)), -1))[: len(roots)])
+        for at in np.unique(np.flatnonzero(lanes) // BLOCK).tolist():
+            at *= BLOCK
+            part = lanes[at : at + BLOCK]
+            wanted = np.zeros((len(part) + 63) // 64 * 8, np.uint8)
+            bits = np.packbits(part, bitorder="little")
             wanted[: len(bits)] = bits
             window = planes[:, at // 64 : (at + BLOCK + by) // 64 + 2]
             hit = within_radius(window, by, wanted.view("<u8"), radius)
             if hit.any():
                 i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")) + at
                 out += forest.join(rows[i], rows[i + by])
+    return out
 
 
 def part_masks(parts: int, radius: int = RADIUS) -> list[int]:
@@ -204,16 +236,33 @@ def parts_for(n: int, radius: int = RADIUS, fill: int = 64) -> int:
     return 4 * radius
 
 
+def bit_samples(n: int, size: int, agree: float, seed: int = 1) -> list[np.ndarray]:
+    """Sets of bit positions to look up n fingerprints by, when bits of a wanted pair agree with probability `agree`."""
+    k = min(48, max(8, int(np.ceil(np.log2(max(n, 2) / GROUP_FILL)))))
+    tables = int(np.ceil(np.log(MISS) / np.log(1 - agree**k)))
+    rng = np.random.default_rng(seed)
+    return [np.sort(rng.choice(BITS * size, k, replace=False)) for _ in range(tables)]
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], samples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 4096):
+        words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], axis=1).astype(np.int64)
+        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+        for t, positions in enumerate(samples):
+            key = bits[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *batch.columns], ["choice", "bits", *batch.schema.names])
+
+
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by group; a group that a batch leaves open waits for the next."""
+    """Rows (choice, bits, pair, words.., node) come sorted by group; a group that a batch leaves open waits for the next."""
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        group = np.concatenate([[0], np.cumsum((np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0) | (np.diff(rows[:, 2]) != 0))])
+        group = np.concatenate([[0], np.cumsum((np.diff(rows[:, :3], axis=0) != 0).any(axis=1))])
         alone = np.bincount(group)[group] == 1
         rows, group = rows[~alone], group[~alone]
-        links = forest_links(group, rows[:, 3].view(np.uint64), radius) if len(rows) else []
-        a, b = (np.array([rows[x[k], 4] for x in links], np.int64) for k in (0, 1))
+        links = forest_links(group, rows[:, 3:-1].astype(np.uint64), radius) if len(rows) else []
+        a, b = (np.array([rows[x[k], -1] for x in links], np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     waiting = 0
@@ -221,7 +270,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
         held.append(rows)
         waiting += len(rows)
-        if waiting < 1 << 17:
+        if waiting < 1 << 16:
             continue
         rows = np.concatenate(held)
         same = (rows[:, :3] == rows[-1, :3]).all(axis=1)
@@ -233,38 +282,68 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield solve(np.concatenate(held))
 
 
-def near_links(known: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that span every group of near fingerprints. known: written (fp, node), fp distinct."""
+def near_links(known: DataFrame, scratch: Scratch, radius: int = RADIUS, agree: float | None = None) -> DataFrame:
+    """Links (a, b) that span every group of near fingerprints. known: written (f0, .., node), fingerprints distinct.
+
+    With `agree`, bits are sampled for pairs whose bits agree so often; else the look-ups are exhaustive.
+    """
     n = known.count()
-    masks = part_masks(parts_for(n, radius), radius)
-    # key 0..: the choice of parts; bits: the fingerprint under its mask
-    choices = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])).alias("k")
-    keyed = known.select("fp", "node", choices).select("k.*", "fp", "node")
+    words = [c for c in known.columns if c != "node"]
+    if agree is None:
+        masks = part_masks(parts_for(n, radius), radius)
+        choices = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("f0").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])).alias("k")
+        keyed = known.select(*words, "node", choices).select("k.*", *words, "node")
+    else:
+        samples = bit_samples(n, len(words), agree)
+        keyed = known.select(*words, "node").mapInArrow(lambda it: _sampled(it, samples), ", ".join(["choice int, bits long", *(f"{w} long" for w in words), "node long"]))
     large = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
     large = scratch.table(large.select("choice", "bits", F.ceil(F.col("n") * 2 / GROUP).alias("chunks")), "large")
-    met = keyed.join(large, ["choice", "bits"], "left").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))))
+    met = keyed.join(large, ["choice", "bits"], "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     # a chunk meets itself and every other once: task numbers of all unordered pairs that hold it
     pair = F.expr("explode(transform(sequence(0L, coalesce(chunks, 1L) - 1), x -> least(x, chunk) * coalesce(chunks, 1L) + greatest(x, chunk)))")
-    dealt = met.select("choice", "bits", pair.alias("pair"), "fp", "node")
-    sorted_ = dealt.repartition("choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair", "fp")
+    dealt = met.select("choice", "bits", pair.alias("pair"), *words, "node")
+    sorted_ = dealt.repartition("choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair", *words)
     return sorted_.mapInArrow(lambda it: _links(it, radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) of every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, size: int = 1, radius: int = RADIUS, agree: float | None = None) -> DataFrame:
+    """(id, h, f0, .., component_id) of every row; h is the text's xxhash64."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.table(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    # A fingerprint's node is the least id that has it; one whose ids are all null stands outside.
-    named = scratch.table(rows.groupBy("fp").agg(F.min("id").alias("node")), "distinct")
-    # groups of null ids still link others: give them nodes of their own, above every id
-    nodes = named.select("fp", F.coalesce("node", F.lit((1 << 62)) + F.pmod(F.col("fp"), F.lit(1 << 61))).alias("node"))
-    found = connected_components(near_links(nodes, scratch, radius), scratch)
-    classes = nodes.join(found.select(F.col("node").alias("n"), "component"), F.col("node") == F.col("n"), "left").select("fp", F.coalesce("component", "node").alias("component"))
-    least = F.when(F.col("component") < F.lit(1 << 62), F.col("component")).alias("component_id")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", least)
+    rows = scratch.table(fingerprints(docs, id_col, text_col, width, seed, size), "fingerprints")
+    words = rows.columns[2:]
+    # numbered once, when written: ids may repeat or be null, so they cannot name fingerprints
+    named = rows.groupBy(*words).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    named = scratch.table(named, "distinct")
+    found = connected_components(near_links(named.drop("least"), scratch, radius, agree), scratch)
+    classes = named.join(found, "node", "left").select(*words, "least", F.coalesce("component", "node").alias("component"))
+    names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(classes.join(names, "component").select(*words, "component_id"), words).select(F.col("id").alias(id_col), "h", *words, "component_id")
+
+
+def similar_agreement(similarity: float) -> float:
+    """How often bits agree for two shingle sets of equal size and such a Jaccard similarity: by the angle of their vectors."""
+    return 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8) -> DataFrame:
+    """The rows of `docs` less all but one of each group of texts whose shingles are similar.
+
+    `size` words of fingerprint measure the similarity; the radius lies two
+    standard deviations beyond the mean distance of a pair at `similarity`.
+    The row with the least id stays; a group whose ids are all null stays whole.
+    Rows that repeat the kept id and fingerprint all stay.
+    """
+    agree = similar_agreement(similarity)
+    bits = BITS * size
+    radius = int(bits * (1 - agree) + 2 * np.sqrt(bits * agree * (1 - agree)))
+    classes = near_duplicates(docs, id_col, text_col, width, size=size, radius=radius, agree=agree)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    kept = classes.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id"))).select(key(id_col).alias("__key"), F.col("h").alias("__h"))
+    rows = docs.withColumn("__key", key(id_col)).withColumn("__h", F.xxhash64(text_or_empty(text_col)))
+    return rows.join(kept, ["__key", "__h"], "left_semi").select(*docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = without(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["fingerprint", "component_id"])
     found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -45,8 +45,8 @@ def test_near_duplicates_of_awkward_rows(spark):
         if r[0] is not None:
             least[c] = min(least.get(c, r[0]), r[0])
     want = sorted((str(r[0]), f, str(least.get(c))) for r, f, c in zip(rows, fps, roots, strict=True))
-    got = simhash.near_duplicates(frame(spark, rows, "fp")).collect()
-    assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in got) == want
+    got = simhash.near_duplicates(frame(spark, rows, "f0")).collect()
+    assert sorted((str(r.doc_id), r.f0 % (1 << 64), str(r.component_id)) for r in got) == want
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -62,7 +62,7 @@ def test_links_against_all_pairs(spark, monkeypatch, radius, group):
                 f ^= 1 << int(b)
             fps.add(f)
     fps = sorted(fps)
-    named = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "fp long, node long")
+    named = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(fps)], "f0 long, node long")
     scratch = Scratch(spark, "test")
     got = dict(map(tuple, connected_components(simhash.near_links(named, scratch, radius), scratch).collect()))
     want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= radius)
@@ -81,6 +81,37 @@ def test_large_group_within_one_task():
     assert len(set(forest.roots().tolist())) == len(set(want)) == 700 - len(links)
 
 
+def test_bit_counts():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 95, 96, 1000, 8192):
+        rows = rng.integers(0, 2**63, (n, 2), dtype=np.uint64)
+        want = [int(((rows[:, w] >> np.uint64(b)) & np.uint64(1)).sum()) for w in range(2) for b in range(64)]
+        assert simhash.bit_counts(rows).tolist() == want
+
+
+def test_similar_texts_meet_and_others_stay(spark):
+    import random
+
+    random.seed(11)
+    vocabulary = ["".join(random.choices("abcdefghij", k=random.randint(3, 8))) for _ in range(800)]
+    shingles = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    rows, pairs, far = [], [], []
+    for k in range(150):
+        words = random.choices(vocabulary, k=random.randint(60, 300))
+        rows.append((2 * k, " ".join(words), "en", "s", 1))
+        for _ in range(random.choice([0, 1, 1, 2, 30])):
+            words[random.randrange(len(words))] = random.choice(vocabulary)
+        rows.append((2 * k + 1, " ".join(words), "en", "s", 1))
+        a, b = shingles(rows[-1][1]), shingles(rows[-2][1])
+        j = len(a & b) / len(a | b)
+        (pairs if j >= 0.8 else far if j < 0.45 else []).append(2 * k + 1)
+    kept = simhash.drop_near_duplicates(frame(spark, rows + [(None, None, None, None, None), (1000, rows[6][1], "en", "s", 1)]))
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and len(pairs) > 60 and len(far) > 10
+    assert all(2 * k in ids for k in range(150)) and all(f in ids for f in far) and None in ids
+    assert sum(p in ids for p in pairs) <= 0.02 * len(pairs)
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(3, 3), (None, 4)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()))
