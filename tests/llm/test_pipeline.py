@@ -39,7 +39,7 @@ def test_stages(spark, tmp_path):
         assert name == "packing" or docs.columns == COLUMNS
     ids = {name: {r.doc_id for r in df.select("doc_id").collect()} for name, df in kept.items()}
     assert not ids["quality"] & set(range(200, 260)) and len(ids["quality"] & set(range(120))) >= 119
-    assert ids["exact_dedup"] == ids["quality"] - set(range(10))  # the copies 300.. have larger ids
+    assert ids["exact_dedup"] == ids["quality"] - set(range(10)) - {600}  # the copies 300.. and the empty 601 have larger ids
     near = ids["exact_dedup"] - ids["near_dedup"]
     assert near <= set(range(410, 420)) and len(near) >= 9
     left = {r.doc_id: r.text for r in kept["passage_dedup"].collect()}
