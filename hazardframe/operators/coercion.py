@@ -50,7 +50,7 @@ def status(raw: Column) -> Column:
 
 def parse(texts: DataFrame, column: str = "payload") -> DataFrame:
     """`column` as a variant named v; what is not JSON, once a byte order mark is off, is null."""
-    return texts.withColumn("v", F.try_parse_json(F.regexp_replace(column, "^﻿", "")))
+    return texts.withColumn("v", F.try_parse_json(F.regexp_replace(column, r"^\x{FEFF}", "")))
 
 
 def coerced_controls(parsed: DataFrame) -> DataFrame:
