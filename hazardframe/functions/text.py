@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Thresholds of the extraction gate.
@@ -65,20 +65,30 @@ def term_count(text: Column, term: str) -> Column:
     return F.regexp_count(F.lower(text), F.lit(rf"(?<!{word})\Q{term.lower()}\E(?!{word})"))
 
 
-def keyword_scores(text: Column, primary=PRIMARY_TERMS, secondary=SECONDARY_TERMS, context=CONTEXT_TERMS) -> dict[str, Column]:
-    """Counts of each kind of term, score 2p + s + h, the flag, and the terms that occur."""
-    text = F.coalesce(text, F.lit(""))
-    total = lambda terms: sum((term_count(text, t) for t in terms), F.lit(0))
-    p, s, h = total(primary), total(secondary), total(context)
+def keyword_scores(df: DataFrame, column: str, primary=PRIMARY_TERMS, secondary=SECONDARY_TERMS, context=CONTEXT_TERMS) -> DataFrame:
+    """Adds counts of each kind of term, score 2p + s + h, the flag, and the terms that occur.
+
+    All single words are found in one pass over the text, which leaves a short
+    list to count in; phrases take a pass each.
+    """
     terms = list(dict.fromkeys([*primary, *secondary, *context]))
-    return {
-        "primary_hits": p,
-        "secondary_hits": s,
-        "context_hits": h,
-        "loc_score": 2 * p + s + h,
-        "loc_flag": ((p >= 1) & (h >= 1)) | ((s >= 1) & (h >= 2)),
-        "matched_terms": F.array_join(F.array_compact(F.array(*[F.when(term_count(text, t) > 0, t) for t in terms])), "|"),
-    }
+    words, phrases = [t for t in terms if re.fullmatch(r"\w+", t)], [t for t in terms if not re.fullmatch(r"\w+", t)]
+    edge = r"[\p{L}\p{N}_]"
+    lower = F.lower(F.coalesce(F.col(column), F.lit("")))
+    found = F.regexp_extract_all(lower, F.lit(rf"(?<!{edge})({'|'.join(t.lower() for t in sorted(words, key=len, reverse=True))})(?!{edge})"), F.lit(1)) if words else F.array().cast("array<string>")
+    hits = df.withColumns({"__found": found, **{f"__p{k}": term_count(F.col(column), t) for k, t in enumerate(phrases)}})
+
+    def count(kind: list[str]) -> Column:
+        wanted = [t.lower() for t in kind if t in words]
+        n = F.size(F.filter("__found", lambda x: x.isin(wanted))) if wanted else F.lit(0)
+        return sum((F.coalesce(f"__p{k}", F.lit(0)) for k, t in enumerate(phrases) if t in kind), n)
+
+    counted = hits.withColumns({"primary_hits": count(primary), "secondary_hits": count(secondary), "context_hits": count(context)})
+    there = lambda t: F.col(f"__p{phrases.index(t)}") > 0 if t in phrases else F.array_contains("__found", t.lower())
+    matched = F.array_join(F.array_compact(F.array(*[F.when(there(t), t) for t in terms])), "|")
+    p, s, h = F.col("primary_hits"), F.col("secondary_hits"), F.col("context_hits")
+    scored = counted.withColumns({"loc_score": 2 * p + s + h, "loc_flag": ((p >= 1) & (h >= 1)) | ((s >= 1) & (h >= 2)), "matched_terms": matched})
+    return scored.drop("__found", *[f"__p{k}" for k in range(len(phrases))])
 
 
 def sanitize_prompt(text: Column) -> Column:

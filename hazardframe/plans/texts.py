@@ -72,8 +72,8 @@ _SCORED = f"""counted AS (SELECT doc_id, {_hits(PRIMARY)} AS p, {_hits(SECONDARY
 
 
 def _scored(spark, sf):
-    scores = text.keyword_scores(F.col("text"), PRIMARY, SECONDARY, CONTEXT)
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in scores.items()])
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return text.keyword_scores(docs, "text", PRIMARY, SECONDARY, CONTEXT).drop("text")
 
 
 @query("loc_scores", "SELECT * FROM scored", _WORDS, _SCORED)

@@ -198,6 +198,12 @@ def test_text_functions(spark):
     assert v(text.text_path_of(F.col("t")), t="data/pdfs/a.PDF") == "data/text/a.txt"
 
 
+def test_keyword_scores(spark):
+    df = spark.createDataFrame([(1, "Gas leak: LOSS of containment, fire! biogas"), (2, None), (3, "explosion gas oil")], "k int, t string")
+    got = rows(text.keyword_scores(df, "t"), "k", "primary_hits", "secondary_hits", "context_hits", "loc_score", "loc_flag", "matched_terms")
+    assert got == [(1, 2, 1, 2, 7, True, "leak|loss of containment|fire|gas"), (2, 0, 0, 0, 0, False, ""), (3, 0, 1, 3, 4, True, "explosion|gas|oil")]
+
+
 def test_narrative_of_pages():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav>menu</nav><header>h</header><p>one <b>two</b></p><script>x='</p>'</script><footer>f</footer></body></html>"
     assert html.narrative_of(page) == "one\ntwo"
