@@ -78,3 +78,33 @@ def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] =
     rows = pages.select("page_id", F.explode(cards).alias("card"))
     rows = rows.select("page_id", F.regexp_extract("card", r'(?i)href="([^"]+)"', 1).alias("href"), F.trim(strip_tags(F.regexp_extract("card", r"(?is)<h3[^>]*>(.*?)</h3>", 1))).alias("heading"))
     return rows.where(~F.col("href").rlike("|".join(denied))).distinct()
+
+
+def pdf_anchors(pages: DataFrame) -> DataFrame:
+    """(url, doc_id, title, date) of links to documents, each address once, in page order; a year in the title is its first day."""
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'(?is)(<a[^>]+href="[^"]+\.pdf[^"]*"[^>]*>.*?</a>)'), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(found).alias("pos", "a"))
+    url, text = F.regexp_extract("a", r'(?i)href="([^"]+)"', 1), F.trim(strip_tags(F.col("a")))
+    year = F.regexp_extract(text, r"\b((?:19|20)\d{2})\b", 1)
+    slug = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
+    named = F.when(slug != "", F.substring(slug, 1, 80)).otherwise(F.substring(F.sha2(url, 256), 1, 12))
+    rows = rows.select("page_id", "pos", url.alias("url"), named.alias("doc_id"), text.alias("title"), F.when(year != "", F.concat(year, F.lit("-01-01"))).alias("date"))
+    return first_seen(rows, "url", "page_id", "pos").select("url", "doc_id", "title", "date")
+
+
+def data_links(pages: DataFrame, extensions: tuple[str, ...] = ("zip", "csv", "xlsx", "txt")) -> DataFrame:
+    """(page_id, href) of links to data files."""
+    return links(pages).where(F.lower("href").rlike(rf"\.({'|'.join(extensions)})([?#].*)?$")).select("page_id", "href").distinct()
+
+
+def listing_links(pages: DataFrame) -> DataFrame:
+    """(report_id, href, date): links to numbered reports, with the date in the cell that follows."""
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'(?is)(<a[^>]+href="[^"]*/p\d{2}[a-z]\d{4}/[^"]*"[^>]*>.*?</a>(?:\s*</?(?:td|span|time)[^>]*>)*\s*(?:\d{4}-\d{2}-\d{2})?)'), F.lit(1))
+    rows = pages.select(F.explode(found).alias("a"))
+    report = F.upper(F.regexp_extract("a", r"(?i)/(p\d{2}[a-z]\d{4})/", 1))
+    return rows.select(report.alias("report_id"), F.regexp_extract("a", r'(?i)href="([^"]+)"', 1).alias("href"), F.nullif(F.regexp_extract("a", r"(\d{4}-\d{2}-\d{2})\s*\z", 1), F.lit("")).alias("date")).distinct()
+
+
+def best_report(candidates: DataFrame, key: str, score: Column) -> DataFrame:
+    """The link with the highest score of each key; ties go to the first address."""
+    return candidates.groupBy(key).agg(F.max_by(F.struct(*candidates.columns), F.struct(score, F.col("href"))).alias("r")).select("r.*")

@@ -169,3 +169,11 @@ def split_barrier_text(text: Column) -> tuple[Column, Column, Column]:
     lines = F.split(text, "\n")
     part = lambda k, lead: F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(k)), F.lit("")), "^" + re.escape(lead), "")
     return part(1, "Barrier: "), part(2, "Role: "), part(3, "LOD Basis: ")
+
+
+def parse_bool(text: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(text.cast("string"), F.lit("")))).isin("true", "1", "yes")
+
+
+def safe_filename(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\w.-]+", "-"), r"\A[-.]+|[-.]+\z", "")

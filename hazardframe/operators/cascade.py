@@ -144,3 +144,27 @@ def with_rank_fallback(predictions: DataFrame, ranks: DataFrame) -> DataFrame:
     """Predictions with their rank score, or their own probability where it is missing."""
     met = predictions.join(ranks.select("control_id", F.col("composite").alias("__c")), "control_id", "left")
     return met.withColumn("composite", F.coalesce("__c", "p")).drop("__c")
+
+
+def factor_count(factors: list[str]) -> Column:
+    """How many factors a row has."""
+    return sum((F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in factors), F.lit(0))
+
+
+def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """By a column, text without case, nulls last either way."""
+    key = F.lower(column) if dict(rows.dtypes)[column] == "string" else F.col(column)
+    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
+
+
+def filter_rows(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows that equal every value that is not None."""
+    for name, x in wanted.items():
+        if x is not None:
+            rows = rows.where(F.col(name) == x)
+    return rows
+
+
+def merge_scores(a: DataFrame, b: DataFrame, key: str = "control_id") -> DataFrame:
+    """Scores of two models side by side: p_a, p_b."""
+    return a.select(key, F.col("p").alias("p_a")).join(b.select(key, F.col("p").alias("p_b")), key, "left")

@@ -59,3 +59,9 @@ def json_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 def json_lists(df: DataFrame, columns: list[str]) -> DataFrame:
     """JSON text as lists again; what cannot be read is an empty list."""
     return df.withColumns({c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")) for c in columns})
+
+
+def mentioned(category: str) -> Column:
+    """The factors of a category that are set, as a map from name to true."""
+    pairs = [x for f in FACTORS[category] for x in (F.lit(f), F.coalesce(F.col(f"pif_{f}"), F.lit(False)))]
+    return F.map_filter(F.create_map(*pairs), lambda k, v: v)

@@ -149,3 +149,27 @@ def base_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = [x for c in columns for x in (F.count_distinct(c).alias(f"d_{c}"), F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("double").alias(f"l_{c}"), F.max(c).cast("double").alias(f"h_{c}"), F.avg(c).alias(f"m_{c}"))]
     fields = lambda c: F.struct(F.lit(c).alias("column_name"), *[F.col(f"{k}_{c}").alias(n) for k, n in (("d", "distinct_values"), ("n", "nulls"), ("l", "low"), ("h", "high"), ("m", "mean"))])
     return df.agg(*aggs).select(F.explode(F.array(*map(fields, columns))).alias("r")).select("r.*")
+
+
+def reject(df: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose value is allowed, and the others with a reason; nothing is dropped silently."""
+    ok = F.coalesce(F.col(column).isin(allowed), F.lit(False))
+    return df.where(ok), df.where(~ok).withColumn("reason", F.concat(F.lit(f"{column}: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+
+
+def strict(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """The rows as they are; one whose value is not allowed stops the query and names it."""
+    message = F.concat(F.lit(f"{column}: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    return df.withColumn(column, F.when(F.coalesce(F.col(column).isin(allowed), F.lit(False)), F.col(column)).otherwise(F.raise_error(message)))
+
+
+def left_join_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join that neither adds rows nor leaves any without a match: else the query stops."""
+    counted = right.withColumn("__n", F.count("*").over(Window.partitionBy(key)))
+    joined = left.join(counted, key, "left")
+    n = F.when(F.col("__n").isNull(), F.raise_error(F.lit(f"{key} without a match"))).when(F.col("__n") > 1, F.raise_error(F.lit(f"{key} matches twice"))).otherwise(F.col("__n"))
+    return joined.withColumn("__n", n.cast("long")).where("__n = 1").drop("__n")
+
+
+def in_scope(df: DataFrame, scope: DataFrame, key: str = "incident_id") -> DataFrame:
+    return df.join(scope.select(key).distinct(), key, "left_semi")

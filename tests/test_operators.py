@@ -281,3 +281,35 @@ def test_manifest_merge_priorities(spark):
     got = rows(manifests.merge(existing, new), "source", "incident_id", "title", "date_occurred", "file_size_bytes")
     assert sorted(map(str, got)) == sorted(map(str, [("s", "1", "lent", "2019", None), ("s", "2", "keep", "1999", 7), ("s", "3", "old", None, None), ("t", "1", "other", None, None)]))
     assert rows(manifests.pending(new, existing, "incident_id"), "incident_id") == [("9",)] and manifests.pending(new, existing, "incident_id", force=True).count() == 4
+
+
+def test_page_links(spark):
+    page = '<a href="/x/Report-2019.pdf">Fire in 2019</a> <a href="/x/Report-2019.pdf">again</a><a href="/d/all.ZIP?x">z</a> <a class="c" href="/r/p20h0001/p20h0001.html">r</a></td><td>2020-05-06</td>'
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id int, html string")
+    assert rows(html.pdf_anchors(df)) == [("/x/Report-2019.pdf", "fire-in-2019", "Fire in 2019", "2019-01-01")]
+    assert rows(html.data_links(df)) == [(1, "/d/all.ZIP?x")]
+    assert rows(html.listing_links(df)) == [("P20H0001", "/r/p20h0001/p20h0001.html", "2020-05-06")]
+    best = html.best_report(html.links(df), "page_id", text.href_score(F.col("href")))
+    assert best.head().href == "/x/Report-2019.pdf"
+
+
+def test_checks_that_stop(spark, controls):
+    good, bad = profiling.reject(controls, "side", ["prevention"])
+    assert good.count() == 2 and {r.reason for r in bad.collect()} == {"side: mitigation"}
+    with pytest.raises(Exception, match="side: mitigation"):
+        profiling.strict(controls, "side", ["prevention"]).collect()
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    assert profiling.left_join_checked(left, left.withColumn("x", F.lit(1)), "k").count() == 2
+    for other in (left.where("k = 1"), left.union(left)):
+        with pytest.raises(Exception, match="match"):
+            profiling.left_join_checked(left, other.withColumn("x", F.lit(1)), "k").collect()
+    assert profiling.in_scope(controls, controls.where("side = 'prevention'")).count() == 2
+
+
+def test_small_helpers(spark, controls):
+    assert [value(spark, text.parse_bool(F.col("t")), t=t) for t in ("Yes", " 1", "no", "")] == [True, True, False, False]
+    assert value(spark, text.safe_filename(F.col("t")), t=" A b/c?.json ") == "a-b-c-.json"
+    assert [r.name for r in cascade.sort_rows(controls, "name", True).collect()][0] in ("x",) and cascade.filter_rows(controls, side="mitigation", name=None).count() == 3
+    f = spark.createDataFrame([(True, None, True)], "pif_competence boolean, pif_fatigue boolean, pif_communication boolean").withColumn("pif_situational_awareness", F.lit(False))
+    r = f.select(context.mentioned("people").alias("m"), cascade.factor_count(f.columns).alias("n")).head()
+    assert r.m == {"competence": True, "communication": True} and r.n == 2
