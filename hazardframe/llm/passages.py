@@ -188,10 +188,10 @@ def _report(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     if found:
         h, owner = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         bucket, h = _bucketed(h, buckets)
-        order = np.lexsort((h, bucket))  # stable: owners ascend within a hash
+        order = np.argsort(h | (bucket.astype(np.uint64) << np.uint64(8 * KEPT)))
         h, owner, bucket = h[order], owner[order], bucket[order]
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
-        several = owner[first] != owner[np.append(first[1:], len(h)) - 1]
+        several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(h) else np.zeros(0, bool)
         h, bucket = h[first], bucket[first]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -210,7 +210,7 @@ def _shared(table: pa.Table) -> pa.Table:
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("several").to_pylist(), hashes, strict=True)]
     h, several = np.concatenate(hashes), np.concatenate(several)
     holder = np.repeat(np.arange(len(parts)), [len(x) for x in hashes])
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, several, holder = h[order], several[order], holder[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(first, len(h)))
@@ -272,7 +272,7 @@ def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: in
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first `depth` bytes (a shorter one before what it begins), ties by position; and each position's rank.
+    """Suffixes in the order of their first `depth` bytes (a shorter one before what it begins), ties in any order; and each position's rank.
 
     Prefix doubling: ranks of 2k bytes come from ranks of k bytes at two places;
     the last step lets the two overlap to reach `depth` exactly.
@@ -284,14 +284,14 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         after[: max(0, n - size)] = rank[size:]
         rank = (rank << (9 * size)) + after
         size *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     while size < depth:
         step = min(size, depth - size)
         rank = _dense(rank, order) + 1
         after = np.zeros(n, np.int64)
         after[: max(0, n - step)] = rank[step:]
         rank, size = (rank << 32) + after, size + step
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
     return order, _dense(rank, order)
 
 
