@@ -71,6 +71,21 @@ class Scratch:
             self.drop()
 
 
+def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int) -> DataFrame:
+    """The `size` rows with the least seeded hashes of `keys`, or all if there are fewer.
+
+    A count sets a cutoff that leaves a little more than `size` rows, so the
+    final order and limit move a bounded number of rows however many partitions
+    there are. The result does not depend on partitioning.
+    """
+    n = df.count()
+    hashed = df.withColumn("__o", F.xxhash64(F.lit(seed), *keys))
+    share = (size + 8 * size**0.5 + 100) / max(n, 1)
+    if share < 0.5:
+        hashed = hashed.where(F.col("__o") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return hashed.orderBy("__o", *keys).limit(size).drop("__o")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut so that what is made from one stays small."""
     for batch in batches:

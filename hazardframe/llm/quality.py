@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, utf8, without
+from .common import Scratch, hash_sample, slices, utf8, without
 
 #: Labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -157,7 +157,7 @@ def fit(sample: DataFrame, dim: int) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents that are not held out."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null and id is not null").where(~held_out("id"))
-    known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample)
+    known = hash_sample(known.groupBy("id").agg(F.min("y").alias("y")), ["id"], sample, SEED)
     # at most `sample` rows of two numbers: a proven bound for the broadcast
     met = docs.withColumn("__id", F.col(id_col).cast("long")).join(F.broadcast(known.withColumnRenamed("id", "__known")), F.col("__id") == F.col("__known"))
     x = with_statistics(met.select(F.col("__id").alias("id"), F.col(text_col).alias("text")), "id", "text")

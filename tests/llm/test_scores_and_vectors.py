@@ -114,6 +114,15 @@ def test_trees_learn_held_out_urls():
     assert ((p >= 0.5) == np.array([m[3] for m in test])).mean() > 0.97
 
 
+def test_hash_sample_is_bounded_and_stable(spark):
+    from hazardframe.llm.common import hash_sample
+
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    first = sorted(r.k for r in hash_sample(df.repartition(7), ["k"], 100, 3).collect())
+    assert len(first) == 100 and first == sorted(r.k for r in hash_sample(df, ["k"], 100, 3).collect())
+    assert hash_sample(df, ["k"], 9000, 3).count() == 5000
+
+
 def test_isotonic_is_monotone_and_keeps_means():
     rng = np.random.default_rng(1)
     x = rng.standard_normal(500)
