@@ -10,6 +10,7 @@ None and the tests compare each with a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hazardframe.llm import exact_dedup, packing, passages, quality, simhash
 from hazardframe.llm.common import Scratch
@@ -33,7 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte passages of documents with smaller ids; documents left empty go (operator 3)."""
-    return passages.remove_passages(docs).where("text is not null and text != ''")
+    left = passages.remove_passages(docs).where("text is not null and text != ''")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
