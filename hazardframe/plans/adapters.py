@@ -49,10 +49,13 @@ INCIDENTS = f"""incidents AS (SELECT o_orderkey AS incident_id, o_custkey AS cus
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def controls(spark: SparkSession, sf: str) -> DataFrame:
+def controls(spark: SparkSession, sf: str, named: bool = True) -> DataFrame:
+    """Barriers; without `named` they lack name and barrier_role, and the join that brings them."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_KEYS)).cast("long")
-    wide = line.withColumn("control_seq", seq).join(part.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    wide = line.withColumn("control_seq", seq)
+    if named:
+        wide = wide.join(part.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
     flags = F.concat("l_returnflag", "l_linestatus")
     status = F.when(F.col("l_suppkey") % 17 == 0, F.lit(None).cast("string"))
     for pair, name in (("NO", "active"), ("NF", "degraded"), ("RF", "failed"), ("RO", "bypassed"), ("AO", "not_installed"), ("AF", "unknown")):
@@ -64,8 +67,7 @@ def controls(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("incident_id"),
         "control_seq",
         F.concat(F.lit("C-"), F.lpad(F.col("control_seq").cast("string"), 3, "0")).alias("control_id"),
-        F.col("p_name").alias("name"),
-        F.col("p_type").alias("barrier_role"),
+        *([F.col("p_name").alias("name"), F.col("p_type").alias("barrier_role")] if named else []),
         F.when(F.col("l_linenumber") % 2 == 1, "prevention").otherwise("mitigation").alias("side"),
         pick(F.col("l_partkey") % 4, ["engineering", "administrative", "ppe", "unknown"]).alias("barrier_type"),
         pick(lod, ["1st", "2nd", "3rd", "recovery", "unknown"]).alias("line_of_defense"),

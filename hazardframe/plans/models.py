@@ -26,7 +26,7 @@ def _payloads(spark, sf):
         F.lit('{"control_id":'), quoted(F.col("control_id")), F.lit(',"side":'), quoted(side), F.lit(',"line_of_defense":'), lod, F.lit(',"performance":{"barrier_status":'), quoted(status), F.lit('},"human":{"human_contribution_value":'), human, F.lit("}}")
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("control_seq", control.alias("j")))), lambda x: x["j"]), ",")
-    docs = controls(spark, sf).groupBy("incident_id").agg(joined.alias("c"))
+    docs = controls(spark, sf, named=False).groupBy("incident_id").agg(joined.alias("c"))
     key = F.col("incident_id")
     kind = F.when(key % 3 == 0, F.lit('["fire","spill"]')).when(key % 3 == 1, F.lit('""')).otherwise(F.lit("7"))
     body = F.concat(F.lit('{"incident_id":"'), key.cast("string"), F.lit('","event":{"incident_type":'), kind, F.lit('},"bowtie":{"controls":['), F.col("c"), F.lit("]}"))
@@ -40,7 +40,7 @@ _COERCED = f"""coerced AS (SELECT incident_id, control_seq - 1 AS pos, control_i
 
 
 @query("coerced_controls", "SELECT incident_id, pos, control_id, side, line_of_defense, barrier_status, human_contribution_value FROM coerced", CONTROLS, _COERCED)
-def coerced_controls(spark, sf):
+def coerced_controls(spark, sf, named=False):
     return coercion.coerced_controls(_payloads(spark, sf)).drop("raw_side", "raw_lod", "raw_status")
 
 
@@ -84,7 +84,7 @@ _PER = """per AS (SELECT o_orderkey AS incident_id, count(control_id) AS n_contr
     _PER,
 )
 def quality_gate(spark, sf):
-    counts = controls(spark, sf).groupBy("incident_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("human_contribution_value") != ""), F.lit(False)).alias("human"))
+    counts = controls(spark, sf, named=False).groupBy("incident_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("human_contribution_value") != ""), F.lit(False)).alias("human"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), (F.col("o_custkey") % 4 > 0).alias("has_threats"))
     met = orders.join(counts, "incident_id", "left")
     n = F.coalesce("n", F.lit(0)).cast("long")
@@ -200,5 +200,5 @@ def gbt_predictions(spark, sf):
 
 @query("linear_contributions", "SELECT incident_id, control_id, 'quantity' AS feature, round(0.5::DOUBLE * (quantity - (SELECT avg(quantity) FROM controls)), 6) AS value FROM controls", CONTROLS)
 def linear_contributions(spark, sf):
-    found = ml.linear_contributions(controls(spark, sf), ["quantity"], {"quantity": 0.5}, ["incident_id", "control_id"])
+    found = ml.linear_contributions(controls(spark, sf, named=False), ["quantity"], {"quantity": 0.5}, ["incident_id", "control_id"])
     return found.withColumn("value", F.round("value", 6))

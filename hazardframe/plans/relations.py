@@ -76,7 +76,7 @@ _COVERAGE = f"""SELECT o_orderkey AS incident_id, count(control_id) AS controls_
 )
 def control_coverage(spark, sf):
     universe = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"))
-    return coverage.coverage(controls(spark, sf), universe)
+    return coverage.coverage(controls(spark, sf, named=False), universe)
 
 
 _GAPS = f"""gaps AS (SELECT incident_id, control_id, name, side, barrier_role, barrier_type, line_of_defense, barrier_status, supporting_text_count, confidence FROM controls
@@ -100,12 +100,12 @@ def gap_rollups(spark, sf):
 
 @query("status_distribution", "SELECT barrier_status, count(*) AS n, count(*) / (SELECT count(*) FROM controls)::DOUBLE AS share FROM controls GROUP BY 1", CONTROLS)
 def status_distribution(spark, sf):
-    return baseline.status_distribution(controls(spark, sf))
+    return baseline.status_distribution(controls(spark, sf, named=False))
 
 
 def _rates(name: str, dimension: str):
     sql = f"SELECT {dimension} AS value, count(*) FILTER (barrier_failed) AS failed, count(*) AS total, count(*) FILTER (barrier_failed) / count(*)::DOUBLE AS rate FROM controls WHERE {dimension} IS NOT NULL GROUP BY 1"
-    query(name, sql, CONTROLS)(lambda spark, sf: baseline.failure_rates(controls(spark, sf), dimension))
+    query(name, sql, CONTROLS)(lambda spark, sf: baseline.failure_rates(controls(spark, sf, named=False), dimension))
 
 
 for _name, _dimension in (("failure_rate_by_type", "barrier_type"), ("failure_rate_by_side", "side"), ("failure_rate_by_lod", "line_of_defense")):
@@ -129,7 +129,7 @@ def cofailure_pairs(spark, sf):
     CONTROLS,
 )
 def human_contribution(spark, sf):
-    return baseline.human_contribution(controls(spark, sf))
+    return baseline.human_contribution(controls(spark, sf, named=False))
 
 
 def _fleet(spark, sf):
@@ -199,7 +199,7 @@ def feature_matrix(spark, sf):
 
 @query("ordinal_encoding", "SELECT value, dense_rank() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT coalesce(barrier_status, 'unknown') AS value FROM controls)", CONTROLS)
 def ordinal_encoding(spark, sf):
-    codes = profiling.ordinal_encoding(controls(spark, sf), "barrier_status")
+    codes = profiling.ordinal_encoding(controls(spark, sf, named=False), "barrier_status")
     return codes.withColumn("code", F.col("code").cast("long"))
 
 
@@ -251,7 +251,7 @@ def distinct_values(spark, sf):
 
 
 def _two_sides(spark, sf):
-    shifted = controls(spark, sf).select((F.col("incident_id") + F.when(F.col("incident_id") % 11 == 0, 10_000_000).otherwise(0)).alias("incident_id"))
+    shifted = controls(spark, sf, named=False).select((F.col("incident_id") + F.when(F.col("incident_id") % 11 == 0, 10_000_000).otherwise(0)).alias("incident_id"))
     return shifted, table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"))
 
 
@@ -303,7 +303,7 @@ def pif_correlation(spark, sf):
 
 
 def _cascade_rows(spark, sf):
-    rows = controls(spark, sf).withColumn("lod_name", F.when(F.col("line_of_defense") == "recovery", "Other").otherwise(F.col("line_of_defense")))
+    rows = controls(spark, sf, named=False).withColumn("lod_name", F.when(F.col("line_of_defense") == "recovery", "Other").otherwise(F.col("line_of_defense")))
     return rows.withColumn("lod_numeric", F.when(F.col("quantity") == 50, 99).otherwise(F.col("lod_numeric")))
 
 
@@ -335,4 +335,4 @@ def cascade_base(spark, sf):
     CONTROLS,
 )
 def base_profile(spark, sf):
-    return profiling.base_profile(controls(spark, sf), ["quantity", "lod_numeric", "supporting_text_count"]).withColumn("mean", F.round("mean", 6))
+    return profiling.base_profile(controls(spark, sf, named=False), ["quantity", "lod_numeric", "supporting_text_count"]).withColumn("mean", F.round("mean", 6))

@@ -84,7 +84,7 @@ def noise_docs(spark, sf):
     CONTROLS,
 )
 def barrier_pairs(spark, sf):
-    rows = controls(spark, sf).select("incident_id", "control_seq", "control_id", "lod_numeric", F.col("barrier_failed").cast("int").alias("y_fail"))
+    rows = controls(spark, sf, named=False).select("incident_id", "control_seq", "control_id", "lod_numeric", F.col("barrier_failed").cast("int").alias("y_fail"))
     pairs = cascade.barrier_pairs(rows, ["control_seq"], keep=["control_id", "lod_numeric", "y_fail"])
     return pairs.select("incident_id", "control_id_cond", "control_id_target", "lod_numeric_cond", "lod_numeric_target", "y_fail_target")
 
@@ -96,7 +96,7 @@ _STATS = """line_threats AS (SELECT incident_id, lod_numeric, CAST(count(DISTINC
 
 @query("scenario_stats", "SELECT incident_id, control_id, pathway_sequence, total_prev, total_mit, num_threats_in_lod_numeric FROM stats", CONTROLS, _STATS)
 def scenario_stats(spark, sf):
-    return cascade.scenario_stats(controls(spark, sf)).select("incident_id", "control_id", "pathway_sequence", "total_prev", "total_mit", "num_threats_in_lod_numeric")
+    return cascade.scenario_stats(controls(spark, sf, named=False)).select("incident_id", "control_id", "pathway_sequence", "total_prev", "total_mit", "num_threats_in_lod_numeric")
 
 
 _FLAG_NAMES = [
@@ -117,7 +117,7 @@ _SCENARIO = f"""per_incident AS (SELECT incident_id, count(*) AS num_threats_in_
 def scenario_features(spark, sf):
     named = threats(spark, sf).withColumn("threat_name", F.when(F.col("threat_id") == "T-001", "Pump leak").when(F.col("threat_id") == "T-002", "Operator error").otherwise("Loss of power"))
     factors = incidents(spark, sf).select("incident_id", "pif_procedures", "pif_tools_equipment")
-    wide = cascade.scenario_features(controls(spark, sf), named, factors)
+    wide = cascade.scenario_features(controls(spark, sf, named=False), named, factors)
     return wide.select(
         "incident_id", "control_id_cond", "control_id_target", "pathway_sequence_cond", "pathway_sequence_target", "num_threats_in_lod_numeric_cond", "num_threats_in_lod_numeric_target",
         "total_prev", "total_mit", "num_threats_in_sequence", "barrier_condition_cond", *cascade.FLAGS,
@@ -129,14 +129,14 @@ _SCORES = "scores AS (SELECT incident_id, control_id, side, CASE WHEN quantity %
 
 
 def _pair_scores(spark, sf):
-    rows = controls(spark, sf).select("incident_id", "control_seq", "control_id", "quantity", F.lit(1).alias("y_fail"))
+    rows = controls(spark, sf, named=False).select("incident_id", "control_seq", "control_id", "quantity", F.lit(1).alias("y_fail"))
     pairs = cascade.barrier_pairs(rows, ["control_seq"], keep=["control_id", "quantity"])
     return pairs.withColumn("p", ((F.col("quantity_cond") * 31 + F.col("quantity_target") * 17) % 100) / F.lit(100.0))
 
 
 def _scores(spark, sf):
     p = ((F.col("quantity") * 37 + F.col("control_seq") * 11) % 100) / F.lit(100.0)
-    return controls(spark, sf).select("incident_id", "control_id", "side", F.when(F.col("quantity") % 10 != 0, p).alias("p"))
+    return controls(spark, sf, named=False).select("incident_id", "control_id", "side", F.when(F.col("quantity") % 10 != 0, p).alias("p"))
 
 
 @query("cascade_average", "SELECT incident_id, control_id_target, round(avg(p), 6) AS average, arg_max(control_id_cond, (p, control_id_cond)) AS worst_cond, max(p) AS worst FROM pair_scores GROUP BY 1, 2", CONTROLS, _PAIR_SCORES)
@@ -172,7 +172,7 @@ _FEATURES = ["pif_competence", "pif_procedures", "pif_training", "lod", "side",
 def _contributions(spark, sf):
     value = lambda k: (F.col("quantity") * (2 * k + 1) + F.col("control_seq") * (k + 3)) % 23 - 11
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(int(f.startswith("pif"))).alias("is_context"), value(k).alias("value")) for k, f in enumerate(_FEATURES)])).alias("c")
-    return controls(spark, sf).select("incident_id", "control_id", "quantity", "control_seq", rows).select("incident_id", "control_id", "c.*")
+    return controls(spark, sf, named=False).select("incident_id", "control_id", "quantity", "control_seq", rows).select("incident_id", "control_id", "c.*")
 
 
 _CONTRIBUTIONS = "contributions AS (" + " UNION ALL ".join(f"SELECT incident_id, control_id, '{f}' AS feature, {int(f.startswith('pif'))} AS is_context, (quantity * {2 * k + 1} + control_seq * {k + 3}) % 23 - 11 AS value FROM controls" for k, f in enumerate(_FEATURES)) + ")"
@@ -220,7 +220,7 @@ _THREAT_PAIRS = """explicit AS (SELECT DISTINCT c.incident_id, c.control_seq, t.
 
 def _threat_pairs(spark, sf):
     events = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_orderpriority").alias("top_event"))
-    return threat_ops.threat_barrier_pairs(controls(spark, sf), threats(spark, sf), events)
+    return threat_ops.threat_barrier_pairs(controls(spark, sf, named=False), threats(spark, sf), events)
 
 
 @query("threat_barrier_pairs", "SELECT * FROM threat_pairs", CONTROLS, THREATS, _THREAT_PAIRS)
@@ -235,7 +235,7 @@ def threat_pair_stats(spark, sf):
 
 @query("threat_coverage_check", "SELECT count(*) AS uncovered FROM controls ANTI JOIN threat_pairs USING (incident_id, control_seq)", CONTROLS, THREATS, _THREAT_PAIRS)
 def threat_coverage_check(spark, sf):
-    return threat_ops.uncovered(controls(spark, sf), _threat_pairs(spark, sf)).agg(F.count("*").alias("uncovered"))
+    return threat_ops.uncovered(controls(spark, sf, named=False), _threat_pairs(spark, sf)).agg(F.count("*").alias("uncovered"))
 
 
 _ELIGIBLE = """lod_rows AS (SELECT *, CASE WHEN line_of_defense = 'recovery' THEN 'Other' ELSE line_of_defense END AS lod_name FROM controls),
@@ -245,7 +245,7 @@ _ELIGIBLE = """lod_rows AS (SELECT *, CASE WHEN line_of_defense = 'recovery' THE
 
 
 def _eligible(spark, sf):
-    return cascade.eligibility(controls(spark, sf).withColumn("lod_name", F.when(F.col("line_of_defense") == "recovery", "Other").otherwise(F.col("line_of_defense"))))
+    return cascade.eligibility(controls(spark, sf, named=False).withColumn("lod_name", F.when(F.col("line_of_defense") == "recovery", "Other").otherwise(F.col("line_of_defense"))))
 
 
 @query("scenario_eligibility", "SELECT * FROM eligible", CONTROLS, _ELIGIBLE)
@@ -291,10 +291,10 @@ def ordered_recommendations(spark, sf):
 
 @query("display_names", "SELECT incident_id, control_id, CASE barrier_status WHEN 'active' THEN 'effective' WHEN 'degraded' THEN 'degraded' WHEN 'unknown' THEN 'status_unknown' ELSE coalesce(CASE WHEN barrier_status IS NOT NULL THEN 'ineffective' END, 'status_unknown') END AS condition FROM controls", CONTROLS)
 def display_names(spark, sf):
-    return controls(spark, sf).select("incident_id", "control_id", context.condition(F.col("barrier_status")).alias("condition"))
+    return controls(spark, sf, named=False).select("incident_id", "control_id", context.condition(F.col("barrier_status")).alias("condition"))
 
 
 @query("side_map", "SELECT incident_id, control_id, side AS mapped FROM controls", CONTROLS)
 def side_map(spark, sf):
     drifted = F.when(F.col("side") == "prevention", "left").otherwise("right")
-    return controls(spark, sf).select("incident_id", "control_id", taxonomy.side_of(drifted).alias("mapped"))
+    return controls(spark, sf, named=False).select("incident_id", "control_id", taxonomy.side_of(drifted).alias("mapped"))
