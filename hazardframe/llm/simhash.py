@@ -41,7 +41,7 @@ RADIUS = 3
 #: Fingerprints a group should hold when bits are sampled, and the chance to miss a pair at the similarity asked for.
 GROUP_FILL, MISS = 64, 0.01
 #: Fingerprints that one group may hold before it is cut into chunks, and lanes of a block.
-GROUP, BLOCK = 4096, 1 << 14
+GROUP, BLOCK = 4096, 1 << 16
 BITS = 64
 
 
@@ -135,11 +135,13 @@ class Forest:
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
     """For each bit of the fingerprints (rows of words) a row of packed bits, the lanes little-endian in 64-bit words, with a word of padding."""
-    fps = np.ascontiguousarray(fps.astype("<u8").reshape(len(fps), -1))
-    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").T
-    packed = np.packbits(bits, axis=1, bitorder="little")
-    out = np.zeros((len(bits), (len(fps) + 63) // 64 + 1), "<u8")
-    out.view(np.uint8)[:, : packed.shape[1]] = packed
+    columns = np.ascontiguousarray(np.ascontiguousarray(fps.astype("<u8").reshape(len(fps), -1)).view(np.uint8).T)
+    out = np.zeros((8 * len(columns), (len(fps) + 63) // 64 + 1), "<u8")
+    packed = out.view(np.uint8)
+    for j, column in enumerate(columns):
+        for b in range(8):
+            bits = np.packbits(column & np.uint8(1 << b), bitorder="little")
+            packed[8 * j + b, : len(bits)] = bits
     return out
 
 
@@ -153,32 +155,47 @@ def _shifted(plane: np.ndarray, by: int, words: int) -> np.ndarray:
     return out
 
 
-def within_radius(planes: np.ndarray, by: int, wanted: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Lanes i of `wanted` (packed) whose row differs from row i + by in at most `radius` bits, packed.
+def within_radius(planes: np.ndarray, by: int, wanted: np.ndarray, radius: int, fps: np.ndarray) -> np.ndarray:
+    """Lanes i of `wanted` (packed) whose row of `fps` differs from row i + by in at most `radius` bits.
 
-    Carry-save counters: counters[k] is bit k of every lane's distance, and
-    `over` marks lanes past the largest count they hold or past the radius.
+    Eight planes at a time pass through carry-save adders into counters, where
+    counters[k] is bit k of every lane's distance; `over` marks lanes past the radius. A block is abandoned once all its lanes
+    are over; when few are left, their distances are taken from the words.
     """
     words = len(wanted)
-    size = max(1, radius.bit_length())
-    counters = np.zeros((size, words), "<u8")
+    counters = [np.zeros(words, "<u8") for _ in range(max(4, radius.bit_length()))]
     over = ~wanted
-    for p in range(len(planes)):
-        carry = planes[p, :words] ^ _shifted(planes[p], by, words)
-        for k in range(size):
+    for p in range(0, len(planes), 8):
+        x = [planes[q, :words] ^ _shifted(planes[q], by, words) for q in range(p, p + 8)]
+        ones, a = _add(counters[0], x[0], x[1])
+        ones, b = _add(ones, x[2], x[3])
+        twos, c = _add(counters[1], a, b)
+        ones, a = _add(ones, x[4], x[5])
+        counters[0], b = _add(ones, x[6], x[7])
+        counters[1], d = _add(twos, a, b)
+        counters[2], carry = _add(counters[2], c, d)
+        for k in range(3, len(counters)):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if p % 8 == 7:
-            if radius + 1 < 1 << size:
-                over |= _exceeds(counters, radius)
-            if not np.any(~over):
+        if p % 16 == 8:
+            over |= _exceeds(counters, radius)
+            if (left := int(np.bitwise_count(~over).sum())) <= words:
+                if not left:
+                    return np.zeros(0, np.int64)
                 break
-    if radius + 1 < 1 << size:
+    else:
         over |= _exceeds(counters, radius)
-    return ~over
+    i = np.flatnonzero(np.unpackbits((~over).view(np.uint8), bitorder="little"))
+    return i[np.bitwise_count(fps[i] ^ fps[i + by]).sum(axis=1, dtype=np.int64) <= radius]
+
 
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Full adder on 64 lanes a word: sum and carry."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
 
-def _exceeds(counters: np.ndarray, radius: int) -> np.ndarray:
+
+def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter is larger than `radius`, from the high bit down."""
     larger, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
     for k in reversed(range(len(counters))):
@@ -196,6 +213,7 @@ def forest_links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> li
     Rows that the forest connects already are not compared again, so a family of
     near copies costs few comparisons however large it is.
     """
+    fps = np.ascontiguousarray(fps.astype("<u8").reshape(len(fps), -1))
     forest, out = Forest(len(fps)), []
     _, first, size = np.unique(group, return_index=True, return_counts=True)
     left = np.repeat(first + size, size) - np.arange(len(group)) - 1  # rows of the group after this one
@@ -203,7 +221,8 @@ def forest_links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> li
     for by in range(1, int(size.max())):
         if by & (by - 1) == 0:  # groups too small for this shift leave the lanes
             rows = rows[sizes[rows] > by]
-            planes, ahead = bit_planes(fps[rows]), left[rows]
+            here, ahead = fps[rows], left[rows]
+            planes = bit_planes(here)
         roots = forest.roots()[rows]
         lanes = (ahead >= by) & (roots != np.append(roots[by:], np.full(min(by, len(roots)), -1))[: len(roots)])
         for at in np.unique(np.flatnonzero(lanes) // BLOCK).tolist():
@@ -213,9 +232,8 @@ def forest_links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> li
             bits = np.packbits(part, bitorder="little")
             wanted[: len(bits)] = bits
             window = planes[:, at // 64 : (at + BLOCK + by) // 64 + 2]
-            hit = within_radius(window, by, wanted.view("<u8"), radius)
-            if hit.any():
-                i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")) + at
+            i = within_radius(window, by, wanted.view("<u8"), radius, here[at:]) + at
+            if len(i):
                 out += forest.join(rows[i], rows[i + by])
     return out
 
