@@ -32,15 +32,16 @@ other; rows that share an id do not take from each other. Texts shorter than
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, slices, text_or_empty, utf8, without
 
@@ -126,24 +127,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _fold(batches: Iterator[pa.RecordBatch], limit: int = 64 << 20) -> Iterator[pa.RecordBatch]:
-    """Distinct texts of the partition with their least ord, flushed when they hold `limit` bytes."""
-    table: dict[bytes, int] = {}
+    """Distinct texts of the partition with their hash and least ord, flushed when they hold `limit` bytes."""
+    table: dict[bytes, list[int]] = {}
     held = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         rows = list(table.items())
         for at in range(0, len(rows), 2048):
             part = rows[at : at + 2048]
-            h = np.array([xxhash.xxh3_64_intdigest(t) for t, _ in part], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([o for _, o in part], pa.int64()), pa.array([t for t, _ in part], pa.binary())], ["h", "ord", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for _, x in part], pa.int64()) for k in (0, 1)] + [pa.array([t for t, _ in part], pa.binary())], ["h", "ord", "text"])
 
     for batch in batches:
-        for o, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+        for h, o, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
             known = table.get(t)
             if known is None:
-                held += len(t) + 100
-            if known is None or o < known:
-                table[t] = o
+                table[t] = [h, o]
+                held += len(t) + 200
+            elif o < known[1]:
+                known[1] = o
         if held > limit:
             yield from out()
             table, held = {}, 0
@@ -236,7 +237,7 @@ _RUN_DDL = "signature long, ord long, h long, start long, text binary"
 
 
 def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
-    """The runs of a part, and whole texts that have any (start -1)."""
+    """The runs of a part: text with shared anchors, and all strings around them."""
     out: dict[str, list] = {n: [] for n in _RUN}
     if table.num_rows and shared.num_rows:
         # one number for bucket and kept hash: the bucket's low bits stand above the hash
@@ -265,9 +266,6 @@ def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: in
                 if b - a >= length:
                     for name, x in zip(_RUN, (s, int(ords[u]), int(hs[u]), a, texts[u][a:b]), strict=True):
                         out[name].append(x)
-            for u in np.unique(owner).tolist():
-                for name, x in zip(_RUN, (0, int(ords[u]), int(hs[u]), -1, texts[u]), strict=True):
-                    out[name].append(x)
     return _blobs(out, _RUN)
 
 
@@ -414,32 +412,10 @@ def _solve_by_content(hot: DataFrame, length: int) -> DataFrame:
     return gone.select("ord", "h", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sha, ord, n_removed, n_spans, kept_sha256, kept) of texts with their spans."""
-    for batch in slices(batches, 128):
-        out = []
-        for o, text, begins, ends in zip(*(batch.column(c).to_pylist() for c in ("ord", "text", "begins", "ends")), strict=True):
-            spans: list[list[int]] = []
-            for a, b in sorted(zip(begins, ends, strict=True)):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(b, spans[-1][1])
-                else:
-                    spans.append([a, b])
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(text[at:a])
-                at = b
-            kept = b"".join(kept) + text[at:]
-            out.append((hashlib.sha256(text).hexdigest(), o, len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["sha", "least", "removed", "spans", "kept_sha", "kept"])
-
-
-def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Distinct texts that lose bytes: sha, least (least id), removed, spans, kept_sha, kept (the bytes left)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "passages")
-    whole = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
+def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(ord, h, begins, ends): what goes from the text of hash h whose least id is ord, as spans that may overlap."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    whole = _keyed(docs, id_col, text_col)
     total = whole.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     parts = max(1, math.ceil(total / PART_BYTES))
     dealt = whole.where(F.octet_length("text") >= length).mapInArrow(_fold, "h long, ord long, text binary").withColumn("part", F.pmod(F.shiftright("h", 7), F.lit(parts)))
@@ -448,16 +424,59 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = reported.groupBy("bucket").applyInArrow(_shared, "part long, bucket long, hashes binary, signatures binary")
     runs = by_part.cogroup(shared.groupBy("part")).applyInArrow(lambda a, b: _runs(a, b, parts, length, gram), _RUN_DDL)
     runs = scratch.table(runs, "runs")
-    strings = runs.where("start >= 0")
-    hot = strings.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > HOT_BYTES).select("signature")
+    hot = runs.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > HOT_BYTES).select("signature")
     hot = scratch.table(hot, "hot")
-    usual = strings.join(hot, "signature", "left_anti").repartition("signature").sortWithinPartitions("signature")
+    usual = runs.join(hot, "signature", "left_anti").repartition("signature").sortWithinPartitions("signature")
     spans = usual.mapInArrow(lambda it: _solve_blocks(it, length), _SPAN_DDL)
     if not hot.isEmpty():
-        spans = spans.union(_solve_by_content(strings.join(hot, "signature"), length))
-    spans = spans.groupBy("ord", "h").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
-    texts = runs.where("start < 0").select("ord", "h", "text").dropDuplicates(["ord", "h"])
-    return texts.join(spans, ["ord", "h"]).select("ord", "text", "begins", "ends").mapInArrow(_cut, "sha string, least long, removed long, spans long, kept_sha string, kept binary")
+        spans = spans.union(_solve_by_content(runs.join(hot, "signature"), length))
+    return spans.groupBy("ord", "h").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, ord, text): Spark's hash of the text, the id with null above all others, the text with null empty."""
+    text = text_or_empty(text_col)
+    return docs.select(F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), text.alias("text"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("kept", T.BinaryType())]))
+def _cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """Bytes and runs removed, and what is left, of texts that are not null."""
+    out = []
+    for t, first, last in zip(text, begins, ends, strict=True):
+        if t is None or first is None:
+            out.append((None, None, None))
+            continue
+        data, spans = t.encode(), []
+        for a, b in sorted(zip(first.tolist(), last.tolist(), strict=True)):
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        kept, at = [], 0
+        for a, b in spans:
+            kept.append(data[at:a])
+            at = b
+        left = b"".join(kept) + data[at:]
+        out.append((len(data) - len(left), len(spans), left))
+    return pd.DataFrame(out, columns=["removed", "spans", "kept"]).astype({"removed": "Int64", "spans": "Int64"})
+
+
+def marked(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int = GRAM) -> DataFrame:
+    """`docs` with __copy (all of it goes) and __cut (removed, spans, kept; null where nothing goes).
+
+    What a text loses is joined to rows by the digest of the whole text, a skewed
+    key that AQE can split; only texts with spans reach Python again.
+    """
+    text = text_or_empty(text_col)
+    rows = docs.withColumns({"__sha": F.sha2(text, 256), "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__h": F.xxhash64(text)})
+    per_text = rows.groupBy("__sha").agg(F.min("__ord").alias("__first"), F.min("__h").alias("__hash"))
+    spans = passage_spans(docs, id_col, text_col, length, gram)
+    per_text = per_text.join(spans, (F.col("__first") == F.col("ord")) & (F.col("__hash") == F.col("h")), "left").select("__sha", "__first", "begins", "ends")
+    met = rows.join(per_text.withColumnsRenamed({"begins": "__begins", "ends": "__ends"}), "__sha")
+    first = F.col("__ord") == F.col("__first")
+    met = met.withColumn("__copy", ~first & (F.octet_length(text) >= length))
+    return met.withColumn("__cut", _cut(F.when(first & F.col("__begins").isNotNull(), text), "__begins", "__ends"))
 
 
 REPORT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -465,34 +484,22 @@ REPORT = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Every row's id with n_bytes, n_removed, n_spans and kept_sha256."""
-    rows = docs.select(
+    rows = marked(docs.select(id_col, text_col), id_col, text_col, length)
+    n = F.octet_length(text_or_empty(text_col)).cast("long")
+    return rows.select(
         F.col(id_col).cast("long").alias(id_col),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"),
-        F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"),
-        F.sha2(text_or_empty(text_col), 256).alias("sha"),
-    )
-    cut = removed_passages(docs, id_col, text_col, length).select("sha", "removed", "spans", "kept_sha")
-    per_text = rows.groupBy("sha").agg(F.min("ord").alias("first")).join(cut, "sha", "left")
-    copy = (F.col("ord") > F.col("first")) & (F.col("n_bytes") >= length)
-    return rows.join(per_text, "sha").select(
-        id_col,
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        n.alias("n_bytes"),
+        F.when(F.col("__copy"), n).otherwise(F.coalesce("__cut.removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("__copy"), F.lit(1)).otherwise(F.coalesce("__cut.spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("__copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.sha2("__cut.kept", 256), "__sha")).alias("kept_sha256"),
     )
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the text that is left; bytes of characters that were cut through are dropped."""
-    names = docs.columns
-    rows = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256)).withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    least = rows.groupBy("__sha").agg(F.min("__ord").alias("__first"))
-    cut = removed_passages(docs, id_col, text_col, length).select(F.col("sha").alias("__sha"), F.col("kept").alias("__kept"))
-    whole = rows.join(least.join(cut, "__sha", "left"), "__sha")
-    copy = (F.col("__ord") > F.col("__first")) & (F.octet_length(text_or_empty(text_col)) >= length)
-    left = F.when(copy, F.lit("")).when(F.col("__kept").isNotNull(), valid_utf8("__kept")).otherwise(F.col(text_col))
-    return whole.withColumn(text_col, left).select(*names)
+    rows = marked(docs, id_col, text_col, length)
+    left = F.when(F.col("__copy"), F.lit("")).when(F.col("__cut.kept").isNotNull(), valid_utf8("__cut.kept")).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, left).select(*docs.columns)
 
 
 def valid_utf8(column: str):
