@@ -24,7 +24,7 @@ def library(path):
 
 def test_exact_dedup_report(spark):
     rows = documents()
-    got = exact_dedup.dedup_report(frame(spark, rows, "extra")).collect()
+    got = exact_dedup.dedup_report(frame(spark, rows, "kept")).collect()
     groups = defaultdict(list)
     for r in rows:
         groups[r[1] or ""].append(r[0])
@@ -72,7 +72,7 @@ def test_shards_are_equal_and_gapless(spark, tmp_path):
 @pytest.mark.parametrize("window,segment", [(64, 40), (2048, 2)])
 def test_packing_places_each_id_once(spark, window, segment):
     rows = documents()
-    out = packing.pack(frame(spark, rows), WORD, window=window, segment=segment, keep_ids=True).collect()
+    out = packing.pack(frame(spark, rows, "offset"), WORD, window=window, segment=segment, keep_ids=True).collect()
     lib = library(WORD)
     ids = defaultdict(list)
     for r in out:
@@ -98,6 +98,15 @@ def test_packing_places_each_id_once(spark, window, segment):
     assert all(n == window for n in lengths[:-1]) and lengths[-1] <= window and sorted(sequences) == list(range(len(sequences)))
 
 
+def test_packing_of_nothing_and_without_sources(spark):
+    rows = documents()
+    assert packing.pack(frame(spark, rows).limit(0), WORD).count() == 0
+    alone = packing.pack(frame(spark, rows).drop("source"), WORD).agg({"length": "sum"}).head()[0]
+    assert alone == sum(len(library(WORD).encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
+    assert bpe.round_trip(frame(spark, rows).limit(0), BYTE).count() == 0
+    assert exact_dedup.dedup_report(frame(spark, rows).limit(0)).count() == 0
+
+
 @given(st.lists(st.integers(1, 5000), min_size=1, max_size=7), st.integers(0, 20_000))
 @settings(max_examples=60, deadline=None)
 def test_queues_stay_within_a_token_of_their_shares(totals, position):
