@@ -29,8 +29,10 @@ from .common import Scratch, slices, texts
 from .tokens import encoder, tokenizer_path
 
 #: Bytes of ids in a shard, and bits of a level for each key it is offered.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 GAMMA = 2
+#: Shards up to which their starts are broadcast to the readers; beyond it the join shuffles.
+BROADCAST_SHARDS = 50_000
 SHARD_DDL = (
     "shard_id long, first_key long, n_docs long, n_ids long, n_null_keys long, id_bytes int, "
     "keys binary, doc_starts binary, index_levels array<binary>, fingerprints binary, first_docs binary, ids binary"
@@ -180,6 +182,8 @@ def read_shards(spark, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     starts = sizes.withColumn("before", before).join(base, "part").select(F.col("shard_id").alias("sid"), (F.col("before") + F.col("base")).alias("start"))
+    if shards.count() <= BROADCAST_SHARDS:  # two numbers a shard: the payloads then stay where they are read
+        starts = F.broadcast(starts)
     return shards.withColumn("sid", F.col("shard_id")).join(starts, "sid").drop("sid")
 
 
