@@ -42,6 +42,10 @@ RADIUS = 3
 GROUP_FILL, MISS = 64, 0.01
 #: Fingerprints that one group may hold before it is cut into chunks, and lanes of a block.
 GROUP, BLOCK = 4096, 1 << 16
+#: Shingles that a component of candidates may hold before it is cut into chunks.
+SHINGLES = 1 << 20
+#: A chunk meets itself and every other once: task numbers of all unordered pairs that hold it.
+MEETING = "explode(transform(sequence(0L, coalesce(chunks, 1L) - 1), x -> least(x, chunk) * coalesce(chunks, 1L) + greatest(x, chunk)))"
 BITS = 64
 
 
@@ -72,23 +76,29 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def simhash(data: bytes, width: int, seed: int, size: int = 1) -> np.ndarray:
-    """The fingerprint of a text in UTF-8, `size` words: words between ASCII white space, A-Z in lower case."""
+def shingle_hashes(data: bytes, width: int, seed: int) -> np.ndarray:
+    """A hash of each run of `width` words of a text in UTF-8: words between ASCII white space, A-Z in lower case."""
     words = data.lower().split()
-    if not words:
-        return np.zeros(size, "<u8")
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], "<u8")
-    else:
-        digest = xxhash.xxh64_intdigest
-        columns = [words[k : len(words) - width + 1 + k] for k in range(width)]
-        hashes = np.fromiter((digest(b" ".join(s), seed) for s in zip(*columns, strict=True)), "<u8", len(columns[0]))
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], "<u8")
+    digest = xxhash.xxh64_intdigest
+    columns = [words[k : len(words) - width + 1 + k] for k in range(width)]
+    return np.fromiter((digest(b" ".join(s), seed) for s in zip(*columns, strict=True)), "<u8", len(columns[0]))
+
+
+def fingerprint(hashes: np.ndarray, size: int = 1) -> np.ndarray:
+    """`size` words: the bits that more than half of the hashes have."""
     ones = np.zeros(BITS * size, np.int64)
     for at in range(0, len(hashes), 8192):
         ones += bit_counts(_words_of(hashes[at : at + 8192], size))
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
+def simhash(data: bytes, width: int, seed: int, size: int = 1) -> np.ndarray:
+    """The fingerprint of a text in UTF-8, `size` words; zero for a text without words."""
+    return fingerprint(shingle_hashes(data, width, seed), size)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, size: int = 1) -> DataFrame:
     """(id, h, f0, f1, ..): a hash of the text, and the words of each fingerprint as signed longs."""
     names = [f"f{k}" for k in range(size)]
@@ -317,14 +327,12 @@ def near_links(known: DataFrame, scratch: Scratch, radius: int = RADIUS, agree:
     large = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
     large = scratch.table(large.select("choice", "bits", F.ceil(F.col("n") * 2 / GROUP).alias("chunks")), "large")
     met = keyed.join(large, ["choice", "bits"], "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
-    # a chunk meets itself and every other once: task numbers of all unordered pairs that hold it
-    pair = F.expr("explode(transform(sequence(0L, coalesce(chunks, 1L) - 1), x -> least(x, chunk) * coalesce(chunks, 1L) + greatest(x, chunk)))")
-    dealt = met.select("choice", "bits", pair.alias("pair"), *words, "node")
+    dealt = met.select("choice", "bits", F.expr(MEETING).alias("pair"), *words, "node")
     sorted_ = dealt.repartition("choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair", *words)
     return sorted_.mapInArrow(lambda it: _links(it, radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, size: int = 1, radius: int = RADIUS, agree: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, size: int = 1, radius: int = RADIUS) -> DataFrame:
     """(id, h, f0, .., component_id) of every row; h is the text's xxhash64."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, id_col, text_col, width, seed, size), "fingerprints")
@@ -332,10 +340,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # numbered once, when written: ids may repeat or be null, so they cannot name fingerprints
     named = rows.groupBy(*words).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     named = scratch.table(named, "distinct")
-    found = connected_components(near_links(named.drop("least"), scratch, radius, agree), scratch)
-    classes = named.join(found, "node", "left").select(*words, "least", F.coalesce("component", "node").alias("component"))
+    found = connected_components(near_links(named.drop("least"), scratch, radius), scratch)
+    return _least_ids(rows, named, words, found).select(F.col("id").alias(id_col), "h", *words, "component_id")
+
+
+def _least_ids(rows: DataFrame, named: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """`rows` with component_id, the least id of all whose `keys` name a node of the same component."""
+    classes = named.join(found, "node", "left").select(*keys, "least", F.coalesce("component", "node").alias("component"))
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(classes.join(names, "component").select(*words, "component_id"), words).select(F.col("id").alias(id_col), "h", *words, "component_id")
+    return rows.join(classes.join(names, "component").select(*keys, "component_id"), keys)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, size: int) -> DataFrame:
+    """(id, h, d0, d1, n, f0, ..): a hash of the text, the digest and the size of its set of shingles, and the words of that set's fingerprint."""
+    names = ["id", "h", "d0", "d1", "n", *(f"f{k}" for k in range(size))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t, width, seed)) for t in utf8(batch.column(1))]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8") for x in sets], np.int64).reshape(-1, 2)
+            fp = np.array([fingerprint(x, size) for x in sets], np.uint64).reshape(-1, size).view(np.int64)
+            values = np.column_stack([digests, np.array([len(x) for x in sets], np.int64), fp])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], names)
+
+    whole = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning links among sets (distinct hashes) whose Jaccard similarity is `similarity` or more, counted exactly.
+
+    Only links that hold enter the forest, and only rows that such links connect
+    already are not compared again.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order])
+    forest, out, everyone = Forest(len(sets)), [], np.arange(len(sets))
+    ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    having = np.repeat(everyone, sizes)[np.argsort(ids, kind="stable")]  # rows that have hash 0, then 1, ..
+    count = np.bincount(ids)
+    first = np.cumsum(count) - count
+    ends = np.searchsorted(sizes * similarity - 1e-6, sizes, side="right")  # larger sets cannot be similar
+    for i in range(len(sets)):
+        others = everyone[i + 1 : ends[i]]
+        if not len(others):
+            continue
+        roots = forest.roots()
+        others = others[roots[others] != roots[i]]
+        if not len(others):
+            continue
+        mine = ids[starts[i] : starts[i + 1]]
+        n = count[mine]
+        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        both = np.bincount(having[at], minlength=len(sets))[others]
+        near = others[both / (sizes[i] + sizes[others] - both) >= similarity]
+        out += forest.join(np.full(len(near), i), near)
+    return [(int(order[a]), int(order[b])) for a, b in out]
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (component, pair, node, shingles) come sorted; a node that comes again with an equal text counts once."""
+    held, nodes, sets = None, [], []
+
+    def solve() -> pa.RecordBatch:
+        links = similar_links(sets, similarity) if len(sets) > 1 else []
+        a, b = (np.array([nodes[x[k]] for x in links], np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in slices(batches):
+        for component, pair, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held != (component, pair):
+                if len(sets) > 1:
+                    yield solve()
+                held, nodes, sets = (component, pair), [], []
+            if not nodes or nodes[-1] != node:
+                nodes.append(node)
+                sets.append(np.frombuffer(data, "<u8"))
+    yield solve()
+
+
+def confirmed_links(docs: DataFrame, text_col: str, named: DataFrame, found: DataFrame, scratch: Scratch, similarity: float, width: int, seed: int) -> DataFrame:
+    """Links (a, b) that span all pairs at `similarity` or more within each component of `found`, the candidates.
+
+    named: written (h, n, node): the hash of one text with the node's shingles, and their number. A component
+    that is large is cut into chunks, and every two chunks meet in a task.
+    """
+    blocks = scratch.table(found.join(named.select("node", "h", "n"), "node"), "blocks")
+    chunks = F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / GROUP))
+    large = scratch.table(blocks.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1"), "large-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t, width, seed)).tobytes() for t in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "node", "shingles"])
+
+    whole = text_or_empty(text_col)
+    met = docs.select(F.xxhash64(whole).alias("h"), whole.alias("text")).join(blocks, "h").select("component", "node", "text")
+    sets = met.mapInArrow(run, "component long, node long, shingles binary")
+    cut = sets.join(large, "component", "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
+    dealt = cut.select("component", F.expr(MEETING).alias("pair"), "node", "shingles")
+    sorted_ = dealt.repartition("component", "pair").sortWithinPartitions("component", "pair", "node")
+    return sorted_.mapInArrow(lambda it: _confirmed(it, similarity), "a long, b long")
 
 
 def similar_agreement(similarity: float) -> float:
@@ -343,20 +449,30 @@ def similar_agreement(similarity: float) -> float:
     return 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8) -> DataFrame:
-    """The rows of `docs` less all but one of each group of texts whose shingles are similar.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8, seed: int = 42) -> DataFrame:
+    """The rows of `docs` less all but one of each group of texts whose sets of shingles have Jaccard `similarity` or more.
 
-    `size` words of fingerprint measure the similarity; the radius lies two
-    standard deviations beyond the mean distance of a pair at `similarity`.
-    The row with the least id stays; a group whose ids are all null stays whole.
-    Rows that repeat the kept id and fingerprint all stay.
+    Pairs of near fingerprints (`size` words) are candidates only: within each of
+    their components the links are those that the shingles themselves confirm.
+    The radius lies two standard deviations beyond the mean distance of a pair at
+    `similarity`. The row with the least id stays; a group whose ids are all null
+    stays whole. Rows that repeat the kept id and text all stay.
     """
     agree = similar_agreement(similarity)
     bits = BITS * size
     radius = int(bits * (1 - agree) + 2 * np.sqrt(bits * agree * (1 - agree)))
-    classes = near_duplicates(docs, id_col, text_col, width, size=size, radius=radius, agree=agree)
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.table(shingle_sets(docs, id_col, text_col, width, seed, size), "sets")
+    words = rows.columns[5:]
+    # a node is a set of shingles; equal sets may have unequal texts, of which one is read again
+    same = [F.first(c).alias(c) for c in ("n", *words)]
+    named = rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.min("h").alias("h"), *same).withColumn("node", F.monotonically_increasing_id())
+    named = scratch.table(named, "distinct")
+    candidates = connected_components(near_links(named.select(*words, "node"), scratch, radius, agree), scratch)
+    links = confirmed_links(docs, text_col, named, candidates, scratch, similarity, width, seed)
+    classes = _least_ids(rows, named, ["d0", "d1"], connected_components(links, Scratch(docs.sparkSession, "confirmed")))
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = classes.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id"))).select(key(id_col).alias("__key"), F.col("h").alias("__h"))
+    kept = classes.where("component_id is null or id = component_id").select(key("id").alias("__key"), F.col("h").alias("__h"))
     rows = docs.withColumn("__key", key(id_col)).withColumn("__h", F.xxhash64(text_or_empty(text_col)))
     return rows.join(kept, ["__key", "__h"], "left_semi").select(*docs.columns)
 

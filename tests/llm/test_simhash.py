@@ -112,6 +112,52 @@ def test_similar_texts_meet_and_others_stay(spark):
     assert sum(p in ids for p in pairs) <= 0.02 * len(pairs)
 
 
+def five_words(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(five_words(a) & five_words(b)) / len(five_words(a) | five_words(b))
+
+
+def test_texts_below_the_similarity_stay(spark):
+    rng = np.random.default_rng(21)
+    rows, near = [], 0
+    for k in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        rows.append((2 * k, " ".join(words), "en", "s", 1))
+        for j in rng.choice(40, 4 + k % 4, replace=False) * 5:  # five shingles each: Jaccard 0.70 to 0.82
+            words[j] = f"x{k}"
+        rows.append((2 * k + 1, " ".join(words), "en", "s", 1))
+        near += jaccard(rows[-1][1], rows[-2][1]) >= 0.8
+    rows += [(500, "a b c d e " * 99 + " ".join(f"y{k}" for k in range(60)), "en", "s", 1), (501, "a b c d e", "en", "s", 1)]
+    want = {r[0] for r in rows if r[0] % 2 == 0 or r[0] == 501 or jaccard(r[1], rows[r[0] - 1][1]) < 0.8}
+    assert 20 < near < 60
+    got = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert not want - got and len(got - want) <= 0.1 * near
+
+
+@pytest.mark.parametrize("group", [4096, 20])
+def test_confirmed_links_within_candidates(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(4)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**6, 60)]]
+    for _ in range(79):  # each of 80 is drawn from an earlier one, so chains run through all similarities
+        words = list(texts[rng.integers(0, len(texts))])
+        for j in rng.choice(60, rng.integers(1, 3), replace=False):  # one leaves Jaccard near 0.84, two near 0.7
+            words[j] = f"x{rng.integers(0, 10**6)}"
+        texts.append(words)
+    texts = [" ".join(t) for t in texts]
+    want = brute_components(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    docs = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    named = docs.selectExpr("xxhash64(text) h", "60L n", "doc_id node")
+    scratch = Scratch(spark, "test")
+    links = simhash.confirmed_links(docs, "text", named, named.selectExpr("node", "0L component"), scratch, 0.8, 5, 42)
+    got = dict(map(tuple, connected_components(links, scratch).collect()))
+    assert [got.get(k, k) for k in range(80)] == want and 1 < len(set(want)) < 80
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(3, 3), (None, 4)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()))
