@@ -4,9 +4,9 @@ A fingerprint has one or more words of 64 bits. For a small radius r they are
 cut into m parts; two that differ in at most r bits agree in at least m - r
 parts, so each is looked up once under every choice of m - r parts and no link
 is missed. m follows from the number of distinct fingerprints and keeps groups
-small. For a wide radius (texts of a given similarity, not a given distance) the
-look-ups are seeded samples of bits, as many as keep the chance to miss a pair
-at that similarity under `MISS`. A group that is still large (a text family a third of
+small. For texts of a given similarity, not a given distance, the look-ups are
+least hashes of the shingles, the radius is wide, and what it lets through is
+confirmed by the shingles themselves. A group that is still large (a text family a third of
 the corpus wide) is cut into chunks and every two chunks meet in a task.
 
 Inside a task the fingerprints are stored as vertical bit planes, one bit of a
@@ -38,8 +38,10 @@ from .common import Scratch, slices, text_or_empty, utf8, without
 from .components import connected_components
 
 RADIUS = 3
-#: Fingerprints a group should hold when bits are sampled, and the chance to miss a pair at the similarity asked for.
-GROUP_FILL, MISS = 64, 0.01
+#: Look-up keys of a set of shingles and least hashes in each: a pair at Jaccard 0.8 shares none with a chance of 5e-6.
+TABLES, ROWS = 40, 6
+#: Standard deviations that the radius lies beyond the mean distance of a pair at the similarity asked for.
+DEVIATIONS = 8
 #: Fingerprints that one group may hold before it is cut into chunks, and lanes of a block.
 GROUP, BLOCK = 4096, 1 << 16
 #: Shingles that a component of candidates may hold before it is cut into chunks.
@@ -264,21 +266,18 @@ def parts_for(n: int, radius: int = RADIUS, fill: int = 64) -> int:
     return 4 * radius
 
 
-def bit_samples(n: int, size: int, agree: float, seed: int = 1) -> list[np.ndarray]:
-    """Sets of bit positions to look up n fingerprints by, when bits of a wanted pair agree with probability `agree`."""
-    k = min(48, max(8, int(np.ceil(np.log2(max(n, 2) / GROUP_FILL)))))
-    tables = int(np.ceil(np.log(MISS) / np.log(1 - agree**k)))
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(BITS * size, k, replace=False)) for _ in range(tables)]
-
+def min_keys(hashes: np.ndarray, seed: int = 1) -> np.ndarray:
+    """`TABLES` look-up keys of a set of hashes, each from the least of the set under `ROWS` orders; no keys for an empty set.
 
-def _sampled(batches: Iterator[pa.RecordBatch], samples: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 4096):
-        words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], axis=1).astype(np.int64)
-        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-        for t, positions in enumerate(samples):
-            key = bits[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *batch.columns], ["choice", "bits", *batch.schema.names])
+    Two sets share a key with the chance similarity ** ROWS, whatever their sizes and however many sets there are.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(seed)
+    draws = rng.integers(0, 1 << 64, (3, TABLES * ROWS), np.uint64) | np.uint64(1)
+    least = np.array([((hashes ^ x) * m).min() for x, m in zip(draws[0], draws[1], strict=True)], np.uint64)
+    keys = (least * draws[2]).reshape(TABLES, ROWS).sum(axis=1, dtype=np.uint64)
+    return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -310,20 +309,25 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield solve(np.concatenate(held))
 
 
-def near_links(known: DataFrame, scratch: Scratch, radius: int = RADIUS, agree: float | None = None) -> DataFrame:
-    """Links (a, b) that span every group of near fingerprints. known: written (f0, .., node), fingerprints distinct.
-
-    With `agree`, bits are sampled for pairs whose bits agree so often; else the look-ups are exhaustive.
-    """
-    n = known.count()
+def near_links(known: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that span every group of near fingerprints. known: written (f0, .., node), fingerprints distinct."""
+    masks = part_masks(parts_for(known.count(), radius), radius)
+    choices = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("f0").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])).alias("k")
     words = [c for c in known.columns if c != "node"]
-    if agree is None:
-        masks = part_masks(parts_for(n, radius), radius)
-        choices = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("f0").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])).alias("k")
-        keyed = known.select(*words, "node", choices).select("k.*", *words, "node")
-    else:
-        samples = bit_samples(n, len(words), agree)
-        keyed = known.select(*words, "node").mapInArrow(lambda it: _sampled(it, samples), ", ".join(["choice int, bits long", *(f"{w} long" for w in words), "node long"]))
+    return _met_links(known.select(*words, "node", choices).select("k.*", *words, "node"), words, scratch, radius)
+
+
+def candidate_links(known: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """Links (a, b) that span all pairs which share a key and lie within the radius. known: written (f0, .., node, keys)."""
+    words = [c for c in known.columns if c not in ("node", "keys")]
+    keyed = known.select("node", F.posexplode("keys").alias("choice", "bits"))
+    # most keys belong to one node: only the others need their fingerprints
+    shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits")
+    keyed = scratch.table(keyed.join(shared, ["choice", "bits"], "left_semi"), "keyed")
+    return _met_links(keyed.join(known.drop("keys"), "node").select("choice", "bits", *words, "node"), words, scratch, radius)
+
+
+def _met_links(keyed: DataFrame, words: list[str], scratch: Scratch, radius: int) -> DataFrame:
     large = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
     large = scratch.table(large.select("choice", "bits", F.ceil(F.col("n") * 2 / GROUP).alias("chunks")), "large")
     met = keyed.join(large, ["choice", "bits"], "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
@@ -352,7 +356,7 @@ def _least_ids(rows: DataFrame, named: DataFrame, keys: list[str], found: DataFr
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, size: int) -> DataFrame:
-    """(id, h, d0, d1, n, f0, ..): a hash of the text, the digest and the size of its set of shingles, and the words of that set's fingerprint."""
+    """(id, h, d0, d1, n, f0, .., keys): a hash of the text, the digest and the size of its set of shingles, the words of that set's fingerprint and its look-up keys."""
     names = ["id", "h", "d0", "d1", "n", *(f"f{k}" for k in range(size))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +365,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), "<i8") for x in sets], np.int64).reshape(-1, 2)
             fp = np.array([fingerprint(x, size) for x in sets], np.uint64).reshape(-1, size).view(np.int64)
             values = np.column_stack([digests, np.array([len(x) for x in sets], np.int64), fp])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(v)) for v in values.T), pa.array([min_keys(x) for x in sets], pa.list_(pa.int64()))], [*names, "keys"])
 
     whole = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(run, ", ".join([*(f"{n} long" for n in names), "keys array<long>"]))
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -452,23 +456,23 @@ def similar_agreement(similarity: float) -> float:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8, seed: int = 42) -> DataFrame:
     """The rows of `docs` less all but one of each group of texts whose sets of shingles have Jaccard `similarity` or more.
 
-    Pairs of near fingerprints (`size` words) are candidates only: within each of
-    their components the links are those that the shingles themselves confirm.
-    The radius lies two standard deviations beyond the mean distance of a pair at
-    `similarity`. The row with the least id stays; a group whose ids are all null
+    Pairs that share a look-up key and have near fingerprints (`size` words) are
+    candidates only: within each of their components the links are those that the
+    shingles themselves confirm. The radius lies `DEVIATIONS` beyond the mean
+    distance of a pair at `similarity`. The row with the least id stays; a group whose ids are all null
     stays whole. Rows that repeat the kept id and text all stay.
     """
     agree = similar_agreement(similarity)
     bits = BITS * size
-    radius = int(bits * (1 - agree) + 2 * np.sqrt(bits * agree * (1 - agree)))
+    radius = int(bits * (1 - agree) + DEVIATIONS * np.sqrt(bits * agree * (1 - agree)))
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.table(shingle_sets(docs, id_col, text_col, width, seed, size), "sets")
-    words = rows.columns[5:]
+    words = rows.columns[5:-1]
     # a node is a set of shingles; equal sets may have unequal texts, of which one is read again
-    same = [F.first(c).alias(c) for c in ("n", *words)]
+    same = [F.first(c).alias(c) for c in ("n", *words, "keys")]
     named = rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.min("h").alias("h"), *same).withColumn("node", F.monotonically_increasing_id())
     named = scratch.table(named, "distinct")
-    candidates = connected_components(near_links(named.select(*words, "node"), scratch, radius, agree), scratch)
+    candidates = connected_components(candidate_links(named.select(*words, "node", "keys"), scratch, radius), scratch)
     links = confirmed_links(docs, text_col, named, candidates, scratch, similarity, width, seed)
     classes = _least_ids(rows, named, ["d0", "d1"], connected_components(links, Scratch(docs.sparkSession, "confirmed")))
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

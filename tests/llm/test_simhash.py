@@ -138,6 +138,27 @@ def test_texts_below_the_similarity_stay(spark):
     assert not want - got and len(got - want) <= 0.1 * near
 
 
+def test_pairs_at_the_similarity_are_found(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(500):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 8 if k < 250 else 104)]
+        near = [*words, "more"] if k < 250 else [*words, *(f"v{x}" for x in rng.integers(0, 10**9, 25))]  # 4 of 5, 100 of 125 shingles
+        rows += [(2 * k, " ".join(words), "en", "s", 1), (2 * k + 1, " ".join(near), "en", "s", 1)]
+        assert jaccard(rows[-1][1], rows[-2][1]) == 0.8
+    assert {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, rows)).collect()} == set(range(0, 1000, 2))
+
+
+def test_shared_keys():
+    rng = np.random.default_rng(9)
+    shared = []
+    for _ in range(200):
+        x = rng.integers(0, 1 << 64, 125, np.uint64)
+        shared.append((simhash.min_keys(x) == simhash.min_keys(x[:100])).sum())
+    assert min(shared) > 0 and abs(np.mean(shared) / simhash.TABLES - 0.8**simhash.ROWS) < 0.03
+    assert len(simhash.min_keys(x[:0])) == 0
+
+
 @pytest.mark.parametrize("group", [4096, 20])
 def test_confirmed_links_within_candidates(spark, monkeypatch, group):
     monkeypatch.setattr(simhash, "GROUP", group)
