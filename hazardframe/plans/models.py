@@ -195,7 +195,7 @@ def logreg_predictions(spark, sf):
 @query("gbt_predictions")
 def gbt_predictions(spark, sf):
     rows = ml.weighted(_matrix(spark, sf), "y")
-    return ml.predictions(ml.boosted(_COLUMNS, "y", rounds=10).fit(rows), rows, "doc_id", "y")
+    return ml.predictions(ml.boosted(_COLUMNS, "y").fit(rows), rows, "doc_id", "y")
 
 
 @query("linear_contributions", "SELECT incident_id, control_id, 'quantity' AS feature, round(0.5::DOUBLE * (quantity - (SELECT avg(quantity) FROM controls)), 6) AS value FROM controls", CONTROLS)

@@ -313,3 +313,10 @@ def test_small_helpers(spark, controls):
     f = spark.createDataFrame([(True, None, True)], "pif_competence boolean, pif_fatigue boolean, pif_communication boolean").withColumn("pif_situational_awareness", F.lit(False))
     r = f.select(context.mentioned("people").alias("m"), cascade.factor_count(f.columns).alias("n")).head()
     assert r.m == {"competence": True, "communication": True} and r.n == 2
+
+
+def test_boosted_trees_are_the_stated_ones(spark):
+    trees = ml.boosted(["a"], "y").getStages()[-1]
+    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getSubsamplingRate(), trees.getFeatureSubsetStrategy()) == (400, 4, 0.05, 0.8, "0.8")
+    df = spark.createDataFrame([(k, float(k % 17), int(k % 17 > 8)) for k in range(60)], "id long, a double, y int")
+    assert ml.boosted(["a"], "y", rounds=3).fit(ml.weighted(df, "y")).stages[-1].getNumTrees == 3
