@@ -439,13 +439,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), text.alias("text"))
 
 
-@F.pandas_udf(T.StructType([T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("kept", T.BinaryType())]))
+@F.pandas_udf(T.StructType([T.StructField("removed", T.LongType()), T.StructField("spans", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("text", T.StringType())]))
 def _cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
-    """Bytes and runs removed, and what is left, of texts that are not null."""
+    """Bytes and runs removed, and what is left, of texts that are not null; as text too where U+FFFD stood before."""
     out = []
     for t, first, last in zip(text, begins, ends, strict=True):
         if t is None or first is None:
-            out.append((None, None, None))
+            out.append((None, None, None, None))
             continue
         data, spans = t.encode(), []
         for a, b in sorted(zip(first.tolist(), last.tolist(), strict=True)):
@@ -458,12 +458,12 @@ def _cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
             kept.append(data[at:a])
             at = b
         left = b"".join(kept) + data[at:]
-        out.append((len(data) - len(left), len(spans), left))
-    return pd.DataFrame(out, columns=["removed", "spans", "kept"]).astype({"removed": "Int64", "spans": "Int64"})
+        out.append((len(data) - len(left), len(spans), left, left.decode("utf-8", "ignore") if "\ufffd" in t else None))
+    return pd.DataFrame(out, columns=["removed", "spans", "kept", "text"]).astype({"removed": "Int64", "spans": "Int64"})
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int = GRAM) -> DataFrame:
-    """`docs` with __copy (all of it goes) and __cut (removed, spans, kept; null where nothing goes).
+    """`docs` with __copy (all of it goes) and __cut (removed, spans, kept, text; null where nothing goes).
 
     What a text loses is joined to rows by the digest of the whole text, a skewed
     key that AQE can split; only texts with spans reach Python again.
@@ -498,7 +498,7 @@ def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """`docs` with the text that is left; bytes of characters that were cut through are dropped."""
     rows = marked(docs, id_col, text_col, length)
-    left = F.when(F.col("__copy"), F.lit("")).when(F.col("__cut.kept").isNotNull(), valid_utf8("__cut.kept")).otherwise(F.col(text_col))
+    left = F.when(F.col("__copy"), F.lit("")).when(F.col("__cut.kept").isNotNull(), F.coalesce("__cut.text", valid_utf8("__cut.kept"))).otherwise(F.col(text_col))
     return rows.withColumn(text_col, left).select(*docs.columns)
 
 

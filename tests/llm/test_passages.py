@@ -114,3 +114,10 @@ def test_every_string_holds_an_anchor(texts):
             inside = sorted((p - i, x) for p, x in found.get(o, {}).items() if i <= p <= i + 11)
             least = min(inside, key=lambda y: y[1])
             assert seen.setdefault(t[i : i + 20], least[1]) == least[1]
+
+
+def test_replacement_characters_outside_passages_stay(spark):
+    passage = "a passage that both of these documents hold, fifty bytes and more"
+    rows = [(1, passage, "en", "s", 1), (2, "x\ufffdy " + passage + " z\ufffd", "en", "s", 1)]
+    got = {r.doc_id: r.text for r in passages.remove_passages(frame(spark, rows)).collect()}
+    assert got == {1: passage, 2: "x\ufffdy  z\ufffd"}
