@@ -18,8 +18,18 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def quoted(name: str) -> str:
+    """The name as Spark reads it whole, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(df: DataFrame) -> list:
+    """Every column of `df`, whatever its name."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(column)).cast("string"), F.lit(""))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,16 +48,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_OPEN: list[Scratch] = []
+
+
+def release(since: int = 0) -> None:
+    """Closes every scratch opened after the first `since`, once the result that reads them is written."""
+    while len(_OPEN) > since:
+        _OPEN.pop().close()
+
+
+def opened() -> int:
+    return len(_OPEN)
+
+
+atexit.register(release)
+
+
 class Scratch:
     """Tables written under the shared folder; lineage ends at each of them.
 
     A written table survives the loss of any executor, unlike cached blocks.
-    `drop` frees one early, `close` all; what is left goes when the process ends.
+    `drop` frees one early, `close` all; `release` closes what a finished step
+    opened, and what is left goes when the process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/hazardframe/{label}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
+        _OPEN.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, utf8, without
+from .common import all_of, quoted, text_or_empty, utf8, without
 
 REPORT = ["keep_id", "group_size", "kept", "text_sha256"]
 #: Bytes of text that one table holds before it flushes (map side) or spills (reduce side).
@@ -201,10 +201,10 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with the columns of `docs`."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     groups = distinct_texts(docs, id_col, text_col).select(F.col("text_sha256").alias("__sha"), key("keep_id").alias("__key"))
     rows = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256)).withColumn("__key", key(id_col))
-    return rows.join(groups, ["__sha", "__key"]).dropDuplicates(["__sha", "__key"]).select(*docs.columns)
+    return rows.join(groups, ["__sha", "__key"]).dropDuplicates(["__sha", "__key"]).select(*all_of(docs))
 
 
 def op10_grace_dedup(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, slices, text_or_empty, utf8, without
+from .common import Scratch, all_of, slices, text_or_empty, utf8, without
 
 LENGTH, GRAM = 50, 34
 #: Bytes of text in a part, in a block, and of a signature beyond which its strings are split by content.
@@ -499,7 +499,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """`docs` with the text that is left; bytes of characters that were cut through are dropped."""
     rows = marked(docs, id_col, text_col, length)
     left = F.when(F.col("__copy"), F.lit("")).when(F.col("__cut.kept").isNotNull(), F.coalesce("__cut.text", valid_utf8("__cut.kept"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, left).select(*docs.columns)
+    return rows.withColumn(text_col, left).select(*all_of(docs))
 
 
 def valid_utf8(column: str):

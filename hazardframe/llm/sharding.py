@@ -11,9 +11,14 @@ The seed fixes which bucket a record goes to. The permutation of a bucket is
 drawn by the task attempt that writes it, and only committed files are read, so
 a lost executor changes nothing that was read before.
 
+Rows that are equal in every column hash alike. Where they would fill more than
+a part of a bucket they are numbered first, in a written table, and the number
+enters the hash, so a third of all rows may be copies of one.
+
 Defined results: nulls in any column hash like a value; a null text has size 8
-and the checksum of no bytes. Rows equal in every column meet in one bucket.
-An empty table gives an empty result. Columns named like the outputs are replaced.
+and the checksum of no bytes. An empty table gives an empty result. Columns
+named like the outputs are replaced; any other name is allowed, as a record
+travels in one struct.
 """
 
 from __future__ import annotations
@@ -23,52 +28,64 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty, without
+from .common import Scratch, all_of, quoted, text_or_empty, without
 
 #: Bytes of records, as counted by `size`, that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
 SEED = 20240229
+OUTPUTS = ["size", "shard", "slot", "law", "grown_shard", "text_crc32"]
 
 
-def _hash(seed: int, *columns):
+def record_hash(docs: DataFrame, seed: int):
+    """A seeded hash of whole records; maps, which do not hash, are left out."""
+    columns = [F.col(quoted(c)) for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def with_size(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return without(docs, ["size"]).withColumn("size", F.octet_length(text_or_empty(text_col)).cast("long") + F.lit(8))
-
-
-def shuffled_buckets(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int, seed: int) -> tuple[DataFrame, int]:
-    """Rows as (bucket, pos, row): pos counts from 0 in each bucket's permutation; and the number of buckets.
+def scattered(docs: DataFrame, text_col: str, bucket_bytes: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(bucket, row): the records as structs, each in its bucket.
 
-    A bucket is the unit of memory: the mean size is bounded, and hashing whole
-    records keeps copies, sources and keys from gathering in one.
+    One narrow aggregate by record hash gives the number of buckets and the
+    records that repeat for more than a quarter of a bucket; of these there are
+    fewer than four for each bucket.
     """
-    total = docs.agg(F.sum("size")).head()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
-    row = F.struct(*docs.columns)
-    scatter = F.pmod(_hash(seed, F.col(id_col), F.crc32(text_or_empty(text_col)), *[c for c, t in docs.dtypes if c not in (id_col, text_col) and "map" not in t]), F.lit(buckets))
-    gathered = docs.select(scatter.alias("bucket"), row.alias("row")).groupBy("bucket").agg(F.collect_list("row").alias("rows"))
-    return gathered.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row")), buckets
-
-
-def write_shards(docs: DataFrame, path: str, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Writes the shuffled records under `path` and returns them with shard, slot, size and law.
-
-    The files hold (bucket, pos, record); the position of a bucket's first row
-    follows from the counts of the buckets before it, one number for each, which
-    a window over the written files adds up shard by shard.
+    size = F.octet_length(text_or_empty(text_col)).cast("long") + F.lit(8)
+    row = docs.select(F.struct(*all_of(docs)).alias("row"), record_hash(docs, seed).alias("mark"), size.alias("size"))
+    marks = row.groupBy("mark").agg(F.count("*").alias("n"), F.sum("size").alias("m"))
+    marks = marks.agg(F.sum("m").alias("m"), F.count_if((F.col("n") > 1) & (F.col("m") > bucket_bytes / 4)).alias("hot")).head()
+    buckets = max(1, math.ceil((marks["m"] or 0) / bucket_bytes))
+    cold, salted = row, None
+    if marks["hot"]:
+        hot = row.groupBy("mark").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where((F.col("n") > 1) & (F.col("m") > bucket_bytes / 4)).select("mark")
+        hot = scratch.table(hot, "hot")
+        cold = row.join(hot, "mark", "left_anti")
+        # numbered when written: a task that runs again reads the same numbers
+        copies = scratch.table(row.join(hot, "mark", "left_semi").select("row", "mark", F.monotonically_increasing_id().alias("copy")), "copies")
+        salted = copies.select("row", F.xxhash64(F.lit(seed), "mark", "copy").alias("mark"))
+    out = cold.select("row", "mark")
+    out = out.union(salted) if salted is not None else out
+    return out.select(F.pmod("mark", F.lit(buckets)).alias("bucket"), "row")
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 24, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
+    """Writes the shuffled records under `path` and returns them with size, shard and slot.
+
+    The files hold (bucket, pos, record), pos counting from 0 in each bucket's
+    permutation; the position of a bucket's first row follows from the counts of
+    the buckets before it, one number for each, which a window over the written
+    files adds up.
     """
     spark = docs.sparkSession
-    docs = with_size(without(docs, ["shard", "slot", "law", "grown_shard", "text_crc32", "bucket", "pos"]), text_col)
-    rows, _ = shuffled_buckets(docs, id_col, text_col, bucket_bytes, seed)
-    rows.select("bucket", F.col("pos").cast("long").alias("pos"), "row.*").write.option("compression", "zstd").parquet(path)
-    written = spark.read.parquet(path)
-    return assign_shards(written, n_shards)
+    docs = without(docs, OUTPUTS)
+    gathered = scattered(docs, text_col, bucket_bytes, seed, Scratch(spark, "scatter")).groupBy("bucket").agg(F.collect_list("row").alias("rows"))
+    shuffled = gathered.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("pos", "row"))
+    shuffled.select("bucket", F.col("pos").cast("long").alias("pos"), "row").write.option("compression", "zstd").parquet(path)
+    placed = assign_shards(spark.read.parquet(path), n_shards).select("row.*", "shard", "slot")
+    return placed.withColumn("size", F.octet_length(text_or_empty(text_col)).cast("long") + F.lit(8))
 
 
 def assign_shards(written: DataFrame, n_shards: int) -> DataFrame:
-    """Shard and slot of rows that carry bucket and pos: equal ranges of the concatenated buckets.
+    """Shard and slot of written rows (bucket, pos, row): equal ranges of the concatenated buckets.
 
     One row for each memory-sized bucket enters the running sums, in groups of
     4,096 buckets and then over the groups, so no window task sees more.
