@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from hazardframe.llm import bpe, exact_dedup, packing, sharding, token_output
+from pyspark.sql import functions as F
 from hazardframe.llm.tokens import TextEncoder, tokenizer_path
 
 from .rows import documents, frame
@@ -59,13 +60,18 @@ def test_shards_are_equal_and_gapless(spark, tmp_path):
         by[r.shard].append(r.slot)
         assert r.size == len((r.text or "").encode()) + 8
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and all(sorted(s) == list(range(len(s))) for s in by.values())
-    buckets = [spark.read.parquet(str(tmp_path / "a"))]
+    buckets = [spark.read.parquet(str(tmp_path / "a")).select("bucket", "pos", "row.*")]
     sharding.write_shards(frame(spark, rows).repartition(2), str(tmp_path / "b"), 5, bucket_bytes=4000)
-    buckets.append(spark.read.parquet(str(tmp_path / "b")))
+    buckets.append(spark.read.parquet(str(tmp_path / "b")).select("bucket", "pos", "row.*"))
     first, again = (sorted((str(r.doc_id), r.text or "-", r.bucket) for r in b.collect()) for b in buckets)
     assert first == again and len({b for *_, b in first}) > 5
     order = [r.doc_id for r in buckets[0].orderBy("bucket", "pos").collect()]
     assert order != sorted(order, key=str)
+    copies = spark.range(600).selectExpr("if(id % 3 = 0, id, 1) doc_id", "if(id % 3 = 0, concat('t ', id), 'one copy') text", "id % 3 first", "1 `a.dot`").drop("first").withColumn("first", F.lit(7))
+    split = sharding.write_shards(copies, str(tmp_path / "d"), 4, bucket_bytes=600)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "d")).groupBy("bucket").count().collect()]
+    assert split.columns[:4] == ["doc_id", "text", "a.dot", "first"] and sum(sizes) == 600 and max(sizes) < 120, "copies of one row are split"
+    assert sorted(split.groupBy("shard").count().collect()) == [(k, 150) for k in range(4)]
     assert sharding.write_shards(frame(spark, rows).limit(0), str(tmp_path / "c")).count() == 0
 
 
@@ -127,6 +133,35 @@ def test_mixture_of_every_window():
     assert (np.abs(np.cumsum(takes, axis=0) - np.outer(np.arange(1, 101), [90, 7, 3])) <= 1).all()
 
 
+def test_targets_that_differ_from_the_corpus():
+    totals, weights = [1000, 1000, 1000, 500], [700, 200, 100, 0]
+    takes = packing.deficit_rounds(np.array(totals), np.zeros(4), np.array(totals), 100, np.array(weights))
+    given_ = np.cumsum(takes, axis=0)
+    assert (np.abs(given_[:14] - np.outer(np.arange(1, 15), [70, 20, 10, 0])) <= 1).all(), "the targets hold in every window while all queues last"
+    live = given_[15:22, 1] - given_[14, 1], given_[15:22, 2] - given_[14, 2]
+    assert (np.abs(live[0] - 2 * live[1]) <= 3).all(), "then what is left is dealt in its proportions"
+    assert (given_[29] == [1000, 1000, 1000, 0]).all() and (given_[-1] == totals).all() and (takes.sum(axis=1) == 100).all()
+    for position in (0, 1, 99, 1400, 1429, 1500, 2999, 3000, 3001, 3499, 3500):
+        assert sum(packing.handed_over(totals, position, weights)) == position
+
+
+def test_packing_to_targets(spark):
+    rows = [(k, "valve pump release gas " * 20, "en", f"s{k % 3}", 1) for k in range(60)]
+    out = packing.pack(frame(spark, rows), WORD, window=100, segment=3, targets={"s0": 0.7, "s1": 0.2, "s2": 0.1})
+    source = {r[0]: r[3] for r in rows}
+    windows = defaultdict(lambda: defaultdict(int))
+    for r in out.collect():
+        windows[r.sequence_id][source[r.doc_id]] += r.length
+    for w in range(20):  # s0 has 1,620 ids, enough for 23 windows
+        assert all(abs(windows[w][s] - x) <= 1 for s, x in (("s0", 70), ("s1", 20), ("s2", 10)))
+    total = sum(sum(w.values()) for w in windows.values())
+    assert total == 60 * 81 and all(sum(windows[w].values()) == 100 for w in range(len(windows) - 1))
+    few = packing.pack(frame(spark, rows), WORD, window=100, segment=3, queues=1)
+    assert few.agg({"length": "sum"}).head()[0] == total, "sources beyond the queues share one"
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, rows), WORD, targets={"s0": 1.5})
+
+
 TEXTS = st.one_of(st.text(max_size=60), st.text("abthernion .,'\n\t 's12é_²ß|", max_size=80), st.sampled_from(["<|endoftext|>a <|startoftext|>", "x" * 3000, " " * 50, "don't we'll ", "日本語 テスト"]))
 
 
@@ -187,14 +222,24 @@ def test_token_files(spark, tmp_path):
         at += len(ids)
     assert got == want
     shards = [token_output.Shard(r.asDict()) for r in spark.read.parquet(str(tmp_path / "t")).collect()]
-    assert len(shards) > 3
-    for key in (5, 63, 64):
-        assert sum((s.find(np.array([key])) >= 0).any() for s in shards if key in s.keys) == 1
-    assert (shards[0].find(np.arange(10**6, 10**6 + 2000)) < 0).all()
+    assert len(shards) > 3 and (shards[0].find(np.arange(10**6, 10**6 + 2000)) < 0).all()
     token_output.write_token_files(frame(spark, rows).limit(0), str(tmp_path / "e"), WORD)
     assert token_output.read_documents(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_look_up_opens_the_shards_of_its_keys(spark, tmp_path):
+    rows = [(k, f"valve {k} release", "en", "s", 1) for k in range(300)] + [(77, f"again {k}", "en", "s", 1) for k in range(150)] + [(None, f"none {k}", "en", "s", 1) for k in range(150)]
+    path = str(tmp_path / "t")
+    token_output.write_token_files(frame(spark, rows), path, WORD, shard_bytes=300)
+    shards = spark.read.parquet(path)
+    assert shards.agg({"n_docs": "max"}).head()[0] < 60, "a repeated or null key does not fill one shard"
+    got = token_output.lookup(spark, path, [5, 77, 299, 10**9, 5, None]).collect()
+    want = [(k, [*_lib(WORD).encode(t, add_special_tokens=False).ids, 2]) for k, t, *_ in rows if k in (5, 77, 299)]
+    assert sorted((r.key, r.ids) for r in got) == sorted(want) and len({r.shard_id for r in got}) > 3
+    assert len(token_output.shards_of(spark, path, np.array([5]))) <= 2 < shards.count()
+    assert token_output.lookup(spark, path, []).count() == 0
+
+
 @given(st.sets(st.integers(-(2**62), 2**62), max_size=500))
 @settings(max_examples=30, deadline=None)
 def test_perfect_hash_is_minimal(keys):
