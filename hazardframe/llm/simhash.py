@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, text_or_empty, utf8, without
+from .common import Scratch, all_of, quoted, slices, text_or_empty, utf8, without
 from .components import connected_components
 
 RADIUS = 3
@@ -80,12 +80,25 @@ def bit_counts(rows: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(data: bytes, width: int, seed: int) -> np.ndarray:
     """A hash of each run of `width` words of a text in UTF-8: words between ASCII white space, A-Z in lower case."""
-    words = data.lower().split()
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [], "<u8")
-    digest = xxhash.xxh64_intdigest
-    columns = [words[k : len(words) - width + 1 + k] for k in range(width)]
-    return np.fromiter((digest(b" ".join(s), seed) for s in zip(*columns, strict=True)), "<u8", len(columns[0]))
+    digest, out, words = xxhash.xxh64_intdigest, [], []
+    for part in _stretches(data):
+        words += part.lower().split()
+        columns = [words[k : max(0, len(words) - width + 1) + k] for k in range(width)]
+        out.append(np.fromiter((digest(b" ".join(s), seed) for s in zip(*columns)), "<u8", len(columns[0])))  # noqa: B905
+        if len(words) >= width:
+            words = words[len(words) - width + 1 :]
+    hashes = np.concatenate(out) if out else np.zeros(0, "<u8")
+    return hashes if len(hashes) or not words else np.array([digest(b" ".join(words), seed)], "<u8")
+
+
+def _stretches(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in stretches of about `size` bytes that end at white space, so a very long one is never held as words at once."""
+    at = 0
+    while len(data) - at > size:
+        end = min((e for c in b" \n\t\r\v\f" if (e := data.find(c, at + size)) >= 0), default=len(data))
+        yield data[at:end]
+        at = end
+    yield data[at:]
 
 
 def fingerprint(hashes: np.ndarray, size: int = 1) -> np.ndarray:
@@ -475,10 +488,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     candidates = connected_components(candidate_links(named.select(*words, "node", "keys"), scratch, radius), scratch)
     links = confirmed_links(docs, text_col, named, candidates, scratch, similarity, width, seed)
     classes = _least_ids(rows, named, ["d0", "d1"], connected_components(links, Scratch(docs.sparkSession, "confirmed")))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     kept = classes.where("component_id is null or id = component_id").select(key("id").alias("__key"), F.col("h").alias("__h"))
     rows = docs.withColumn("__key", key(id_col)).withColumn("__h", F.xxhash64(text_or_empty(text_col)))
-    return rows.join(kept, ["__key", "__h"], "left_semi").select(*docs.columns)
+    return rows.join(kept, ["__key", "__h"], "left_semi").select(*all_of(docs))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
