@@ -161,7 +161,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most `sample` rows of two numbers: a proven bound for the broadcast
     met = docs.withColumn("__id", F.col(id_col).cast("long")).join(F.broadcast(known.withColumnRenamed("id", "__known")), F.col("__id") == F.col("__known"))
     x = with_statistics(met.select(F.col("__id").alias("id"), F.col(text_col).alias("text")), "id", "text")
-    drawn = Scratch(docs.sparkSession, "quality").table(x.join(F.broadcast(known), "id").select("x", "y").coalesce(8), "sample")
+    # the statistics run where the texts are read; only the sample's rows of numbers move
+    drawn = Scratch(docs.sparkSession, "quality").table(x.join(F.broadcast(known), "id").select("x", "y").repartition(8), "sample")
     return fit(drawn, N_STATISTICS)
 
 
