@@ -1,18 +1,23 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
-Equal vectors are folded first. Each distinct vector is rotated by a seeded
-random orthogonal matrix and stored as signs with a correction factor, the
-inner product of the vector and its signs. From them the inner product of two
-unit vectors has an unbiased estimate with a confidence bound; only pairs whose
-upper bound reaches the threshold are computed again, in double precision, and
-nothing is linked on an estimate alone.
-
-Vectors meet in buckets: `TABLES` sets of signs of random projections, as many
-bits as leave `BUCKET` vectors of the largest label a bucket, and as many sets
-as keep the chance to miss a pair at the threshold under `MISS`. A label that
-fits a bucket is compared whole and misses nothing but by the bound. A pair that
-meets in several sets counts in the first. A bucket that is still larger is cut
-into chunks, and every two chunks meet in a task.
+Equal vectors are folded first. Each distinct vector is coded once and stored
+with its code: the unit vector goes through as many seeded random rotations as
+make `CODE_BITS` coordinates, and of these the signs are packed (the code), with
+a correction factor, the inner product of the vector and its signs. For the
+other side of a comparison, the same coordinates are rounded at random to
+`LEVEL_BITS` bits and packed as bit planes. Popcounts of code and planes,
+divided by the factor, estimate the inner product without bias, with a
+confidence bound; with `exact` the bound is one that always holds, from the
+angles between a vector, its signs and the other vector.
+
+Codes meet in buckets: `plan` says how many bits of the code leave `BUCKET` vectors of
+the largest label a bucket, and how many such sets keep the chance to miss a
+pair at the threshold under `MISS`. A label that fits a bucket is compared whole,
+and with `exact` every label is. A pair that meets in several sets counts in the
+first. A bucket above two `CHUNK`s is cut into chunks, and every two chunks meet in
+a task. Only vectors that some estimate leaves in doubt are fetched to such a
+meeting, where every pair is computed in double precision; nothing is linked on
+an estimate alone.
 
 Defined results: labels must be equal and not null, and dimensions equal.
 Vectors that are null, empty, zero, or hold a null or non-finite component link
@@ -24,155 +29,245 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, quoted, slices
 from .components import connected_components
 from .simhash import Forest
 
 THRESHOLD = 0.93
-#: Width of the confidence interval in units of the bound's scale: larger misses less and computes more.
+#: Width of the confidence interval in standard deviations: larger misses less and computes more.
 CONFIDENCE = 4.0
-BUCKET, MISS, SEED = 4096, 1e-4, 97
+#: Least bits of a code, and bits of a rounded coordinate on the other side.
+CODE_BITS, LEVEL_BITS = 256, 4
+BUCKET, CHUNK, MISS, SEED = 8192, 2048, 1e-4, 97
 REPORT = ["n_links", "component_id", "kept"]
 
 
-def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+@lru_cache(maxsize=16)
+def rotations(dim: int, seed: int = SEED) -> np.ndarray:
+    """Random orthogonal matrices one below the other, scaled so that lengths stay."""
+    rng, count = np.random.default_rng(seed), max(1, -(-CODE_BITS // dim))
+    out = []
+    for _ in range(count):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.concatenate(out) / math.sqrt(count)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words."""
+    padded = np.zeros((len(bits), -(-bits.shape[1] // 64) * 64), np.uint8)
+    padded[:, : bits.shape[1]] = bits
+    return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
 class Codes:
-    """Binary codes of unit vectors: signs of the rotated vectors and their correction factors."""
+    """Codes of some vectors: signs, factors, bit planes of the rounded coordinates with their scale, and what rounding lost."""
+
+    NUMBERS = ("factor", "low", "step", "lost")
+
+    def __init__(self, signs: np.ndarray, planes: np.ndarray, numbers: np.ndarray, size: int):
+        self.signs, self.planes, self.size = signs, planes, size
+        self.factor, self.low, self.step, self.lost = numbers.T
+        self.ones = np.bitwise_count(signs).sum(axis=1, dtype=np.int64)
+        self.total = sum((1 << p) * np.bitwise_count(planes[:, p]).sum(axis=1, dtype=np.int64) for p in range(planes.shape[1]))
+
+    @classmethod
+    def of(cls, unit: np.ndarray, seed: int = SEED) -> Codes:
+        turned = unit @ rotations(unit.shape[1], seed).T
+        n, size = turned.shape
+        low, top = turned.min(axis=1), (1 << LEVEL_BITS) - 1
+        step = np.maximum((turned.max(axis=1) - low) / top, 1e-12)
+        # rounded up with the chance of the fraction, drawn from the vector itself: the same in every task
+        draws = ((np.abs(turned) * 1e6) % 1.0 + np.random.default_rng(seed).random(size)) % 1.0
+        level = np.clip(np.floor((turned - low[:, None]) / step[:, None] + draws), 0, top).astype(np.int64)
+        lost = np.sqrt(((low[:, None] + step[:, None] * level - turned) ** 2).sum(axis=1))
+        planes = np.stack([_packed(level >> p & 1) for p in range(LEVEL_BITS)], axis=1)
+        return cls(_packed(turned >= 0), planes, np.stack([np.abs(turned).sum(axis=1) / math.sqrt(size), low, step, lost], axis=1), size)
+
+    def numbers(self) -> np.ndarray:
+        return np.stack([self.factor, self.low, self.step, self.lost], axis=1)
+
+    def products(self, mine: slice, others: slice) -> np.ndarray:
+        """Inner products of the normalised signs of `mine` with the rounded coordinates of `others`, by popcounts."""
+        sums = np.zeros((self.signs[mine].shape[0], self.signs[others].shape[0]), np.int32)
+        for w in range(self.signs.shape[1]):
+            code = self.signs[mine, w][:, None]
+            for p in range(self.planes.shape[1]):
+                sums += np.bitwise_count(code & self.planes[others, p, w][None, :]).astype(np.int32) << p
+        signed = self.low[others] * (2 * self.ones[mine, None] - self.size) + self.step[others] * (2 * sums - self.total[others])
+        return signed / math.sqrt(self.size)
+
+    def doubtful(self, mine: slice, others: slice, threshold: float, exact: bool) -> np.ndarray:
+        """Pairs whose inner product may reach the threshold."""
+        met, factor = self.products(mine, others), self.factor[mine, None]
+        if exact:  # the angle of two vectors is at least the difference of their angles to the signs
+            beyond = np.arccos(np.clip(met + self.lost[others], -1, 1)) - np.arccos(np.clip(factor, -1, 1))
+            return beyond <= math.acos(threshold) + 1e-9
+        spread = np.sqrt(np.maximum(0, 1 - factor**2)) + self.lost[others] / math.sqrt(self.size) * math.sqrt(max(1, self.size - 1))
+        return met / factor + CONFIDENCE * spread / (factor * math.sqrt(max(1, self.size - 1))) >= threshold
+
+    def bucket(self, number: int, bits: int, seed: int = SEED) -> np.ndarray:
+        """The vectors' buckets in set `number`: some bits of their codes."""
+        chosen = np.random.default_rng([seed, number]).permutation(self.size)[:bits]
+        found = (self.signs[:, chosen // 64] >> (chosen % 64).astype(np.uint64)) & np.uint64(1)
+        return found.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(self.signs), np.int64)
+
+    def take(self, rows: np.ndarray) -> Codes:
+        return Codes(self.signs[rows], self.planes[rows], self.numbers()[rows], self.size)
+
+
+def plan(largest: int, threshold: float = THRESHOLD, bucket: int = BUCKET, exact: bool = False) -> tuple[int, int]:
+    """(sets, bits) for a largest label of so many distinct vectors."""
+    bits = 0 if exact else max(0, math.ceil(math.log2(max(1, largest) / bucket)))
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return (1, 0) if bits == 0 else (math.ceil(math.log(MISS) / math.log(1 - agree)), bits)
 
-    def __init__(self, unit: np.ndarray, turn: np.ndarray):
-        self.rotated = unit @ turn.T
-        self.signs = np.where(self.rotated >= 0, 1, -1).astype(np.int8)
-        dim = unit.shape[1]
-        self.factor = np.abs(self.rotated).sum(axis=1) / math.sqrt(dim)
-        spread = np.sqrt(np.maximum(0, 1 - self.factor**2)) / self.factor
-        self.bound = CONFIDENCE * spread / math.sqrt(max(1, dim - 1))
 
-    def estimates(self, mine: slice, others: np.ndarray) -> np.ndarray:
-        """Estimated inner products of the coded vectors `mine` with the exactly rotated `others`."""
-        dim = self.rotated.shape[1]
-        return (self.signs[mine].astype(np.float32) @ others.astype(np.float32).T) / (math.sqrt(dim) * self.factor[mine, None])
+def _vectors(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.array(rows, np.float64).reshape(len(rows), -1)
 
 
-def projections(dim: int, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed + 1).standard_normal((tables * bits, dim))
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares of huge or tiny components stay finite
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
-def plan(largest: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(tables, bits) for a largest label of so many distinct vectors."""
-    bits = max(0, math.ceil(math.log2(max(1, largest) / BUCKET)))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return (1, 0) if bits == 0 else (math.ceil(math.log(MISS) / math.log(1 - agree)), bits)
+_NODE = "digest string, label string, dim int, node long, least long, weight long, v array<double>"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, np.float64).reshape(len(rows), -1)
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `code` to nodes: signs, planes and numbers of each vector as bytes."""
+    for batch in slices(batches, 1024):
+        dims = np.array(batch.column("dim").to_pylist())
+        for dim in np.unique(dims).tolist():
+            part = batch.filter(pa.array(dims == dim))
+            c = Codes.of(_unit(_vectors(part.column("v"))))
+            code = [a.tobytes() + b.tobytes() + n.tobytes() for a, b, n in zip(c.signs, c.planes, c.numbers(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(code, pa.binary())], [*batch.schema.names, "code"])
 
 
-_KEYED = "label string, dim int, number int, bucket long, keys binary, node long, weight long, vector array<double>"
+def _codes(rows: list[bytes], dim: int) -> Codes:
+    size = max(1, -(-CODE_BITS // dim)) * dim
+    words = -(-size // 64)
+    data = np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), -1)
+    return Codes(data[:, :words], data[:, words : words * (1 + LEVEL_BITS)].reshape(len(rows), LEVEL_BITS, words), data[:, words * (1 + LEVEL_BITS) :].view("<f8"), size)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], sets: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(label, dim, number, bucket, node, code): every set's bucket of each node."""
     for batch in slices(batches, 1024):
-        dims = np.array(batch.column(1).to_pylist())
+        dims = np.array(batch.column("dim").to_pylist())
         for dim in np.unique(dims).tolist():
             part = batch.filter(pa.array(dims == dim))
-            n = part.num_rows
-            signs = (_matrix(part.column(4)) @ projections(dim, tables, bits).T >= 0).reshape(n, tables, bits)
-            keys = signs @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros((n, tables), np.int64)
-            packed = [k.tobytes() for k in keys.astype("<i8")]
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.full(n, t, np.int32)), pa.array(keys[:, t]), pa.array(packed, pa.binary()), part.column(2), part.column(3), part.column(4)],
-                    [f.split()[0] for f in _KEYED.split(", ")],
-                )
-
-
-def _compare(rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
-    """(0, node, links found) and (1, node, node) of one group: rows (number, own chunk, a, b, keys, node, weight, vector)."""
-    number, first, second = rows[0][0], rows[0][2], rows[0][3]
-    chunk = np.array([r[1] for r in rows])
-    keys = np.array([np.frombuffer(r[4], "<i8") for r in rows])[:, : number + 1]
-    node, weight = (np.array([r[k] for r in rows], np.int64) for k in (5, 6))
-    vectors = np.array([r[7] for r in rows], np.float64)
-    norms = np.sqrt((vectors**2).sum(axis=1))
-    codes = Codes(vectors / norms[:, None], rotation(vectors.shape[1]))
-    links, forest, out = np.zeros(len(rows), np.int64), Forest(len(rows)), []
-    step = 256
-    for at in range(0, len(rows), step):
-        mine = slice(at, min(at + step, len(rows)))
-        rough = codes.estimates(mine, codes.rotated[at:]) + codes.bound[mine, None]
-        i, j = np.nonzero(rough >= threshold)
-        i, j = i + at, j + at
-        ok = (i < j) & ((chunk[i] != chunk[j]) if first != second else True)
-        i, j = i[ok], j[ok]
-        if number:  # a pair belongs to the first set in which it meets
-            fresh = (keys[i, :number] != keys[j, :number]).all(axis=1)
-            i, j = i[fresh], j[fresh]
-        for lo in range(0, len(i), 1 << 15):
-            a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
-            near = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norms[a] * norms[b]) >= threshold
-            a, b = a[near], b[near]
-            np.add.at(links, a, weight[b])
-            np.add.at(links, b, weight[a])
-            out += [(1, int(node[x]), int(node[y])) for x, y in forest.join(a, b)]
-    some = np.flatnonzero(links)
-    return out + [(0, int(n), int(k)) for n, k in zip(node[some], links[some], strict=True)]
-
-
-def _groups(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (label, dim, number, bucket, a, b)."""
-    key, held = None, []
-
-    def out() -> pa.RecordBatch:
-        found = _compare(held, threshold) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), *(pa.array([x[k] for x in found], pa.int64()) for k in (1, 2))], ["kind", "node", "value"])
+            codes = _codes(part.column("code").to_pylist(), dim)
+            for t in range(sets):
+                columns = [part.column("label"), part.column("dim"), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(codes.bucket(t, bits)), part.column("node"), part.column("code")]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "number", "bucket", "node", "code"])
+
+
+MEETING = ["label", "dim", "number", "bucket", "a", "b"]
+
 
+def _meetings(batches: Iterator[pa.RecordBatch], rest: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Rows come sorted by MEETING: each meeting's key and its columns `rest`."""
+    key, held = None, [[] for _ in rest]
     for batch in slices(batches, 1024):
-        columns = [batch.column(c).to_pylist() for c in ("label", "dim", "number", "bucket", "a", "b", "own", "keys", "node", "weight", "vector")]
-        for label, dim, number, bucket, a, b, own, keys, node, weight, vector in zip(*columns, strict=True):
-            k = (label, dim, number, bucket, a, b)
-            if k != key and held:
-                yield out()
-                held = []
-            key = k
-            held.append((number, own, a, b, keys, node, weight, vector))
-    if held:
-        yield out()
-
-
-def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row's id with n_links and component_id."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "embeddings")
-    v = F.col(vector_col).cast("array<double>")
-    usable = F.coalesce(F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    digest = F.sha2(F.concat_ws(",", F.col(label_col).cast("string"), F.transform(v, lambda x: x.cast("string"))), 256)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(usable, v).alias("v"), F.when(usable, digest).alias("digest"))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in MEETING), strict=True))
+        columns = [batch.column(c).to_pylist() for c in rest]
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != key:
+                if key is not None:
+                    yield key, held
+                key, held = keys[at], [[] for _ in rest]
+            for h, c in zip(held, columns, strict=True):
+                h += c[at:end]
+            at = end
+    if key is not None:
+        yield key, held
+
+
+def _suspects(batches: Iterator[pa.RecordBatch], threshold: float, exact: bool, step: int = 256) -> Iterator[pa.RecordBatch]:
+    """(meeting, own, node) of the nodes with a pair in doubt in that meeting, judged by their codes."""
+    for key, (own, node, code) in _meetings(batches, ["own", "node", "code"]):
+        codes, own = _codes(code, key[1]), np.array(own)
+        found = np.zeros(len(node), bool)
+        for at in range(0, len(node), step):
+            pairs = codes.doubtful(slice(at, at + step), slice(at, len(node)), threshold, exact)
+            pairs &= np.arange(len(node) - at)[None, :] > np.arange(len(pairs))[:, None]
+            if key[4] != key[5]:
+                pairs &= own[at : at + step, None] != own[None, at:]
+            found[at : at + step] |= pairs.any(axis=1)
+            found[at:] |= pairs.any(axis=0)
+        some = np.flatnonzero(found)
+        columns = [pa.array([k] * len(some), t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(own[some], pa.int64()), pa.array([node[k] for k in some], pa.int64())], [*MEETING, "own", "node"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, step: int = 256) -> Iterator[pa.RecordBatch]:
+    """(0, node, links found) and (1, node, node) of each meeting's suspects, every pair in double precision."""
+    for key, (own, node, weight, code, vector) in _meetings(batches, ["own", "node", "weight", "code", "v"]):
+        own, node, weight, vectors = np.array(own), np.array(node), np.array(weight, np.int64), np.array(vector, np.float64)
+        scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        norms = np.sqrt((scaled**2).sum(axis=1))
+        unit, codes = scaled / norms[:, None], _codes(code, key[1])
+        links, forest, out = np.zeros(len(node), np.int64), Forest(len(node)), []
+        earlier = [codes.bucket(t, bits) for t in range(key[2])]
+        for at in range(0, len(node), step):
+            i, j = np.nonzero(unit[at : at + step] @ unit[at:].T >= threshold - 1e-9)
+            i, j = i + at, j + at
+            ok = (i < j) & ((own[i] != own[j]) if key[4] != key[5] else True)
+            for e in earlier:  # a pair belongs to the first set in which it meets
+                ok &= e[i] != e[j]
+            i, j = i[ok], j[ok]
+            for lo in range(0, len(i), 1 << 15):
+                a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+                near = np.einsum("ij,ij->i", scaled[a], scaled[b]) / (norms[a] * norms[b]) >= threshold
+                a, b = a[near], b[near]
+                np.add.at(links, a, weight[b])
+                np.add.at(links, b, weight[a])
+                out += [(1, int(node[x]), int(node[y])) for x, y in forest.join(a, b)]
+        out += [(0, int(node[k]), int(links[k])) for k in np.flatnonzero(links)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], ["kind", "node", "value"])
+
+
+def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, exact: bool = False, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """Every row's id with n_links and component_id. `exact` compares every label whole, under a bound that misses nothing."""
+    scratch = Scratch(vectors.sparkSession, "embeddings")
+    v = F.col(quoted(vector_col)).cast("array<double>")
+    label, key = F.col(quoted(label_col)), F.col(quoted(id_col)).cast("long")
+    usable = F.coalesce(label.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    digest = F.sha2(F.concat_ws(",", label.cast("string"), F.transform(v, lambda x: x.cast("string"))), 256)
+    rows = vectors.select(key.alias("id"), label.cast("string").alias("label"), F.when(usable, v).alias("v"), F.when(usable, digest).alias("digest"))
     # One node for each distinct vector of a label, named by its least id.
     copies = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     # numbered once, when written: ids may repeat or be null, so they cannot name vectors
-    nodes = scratch.table(copies.select("digest", "label", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node"), "least", "weight", "v"), "nodes")
+    nodes = copies.select("digest", "label", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node"), "least", "weight", "v")
+    nodes = scratch.table(nodes.mapInArrow(_coded, _NODE + ", code binary"), "nodes")
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).head()[0] or 0
-    tables, bits = plan(largest, threshold)
-    keyed = nodes.select("label", "dim", "node", "weight", "v").mapInArrow(lambda it: _keyed(it, tables, bits), _KEYED)
-    on = ["label", "dim", "number", "bucket"]
-    large = keyed.groupBy(*on).count().where(F.col("count") > 2 * BUCKET).select(*on, F.ceil(F.col("count") / BUCKET).alias("chunks"))
+    sets, bits = plan(largest, threshold, bucket, exact)
+    keyed = nodes.select("label", "dim", "node", "code").mapInArrow(lambda it: _keyed(it, sets, bits), "label string, dim int, number int, bucket long, node long, code binary")
+    on = MEETING[:4]
+    large = keyed.groupBy(*on).count().where(F.col("count") > 2 * chunk).select(*on, F.ceil(F.col("count") / chunk).alias("chunks"))
     large = scratch.table(large, "large")
     met = keyed.join(large, on, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     pair = F.expr("explode(transform(sequence(0L, coalesce(chunks, 1L) - 1), x -> named_struct('a', least(x, own), 'b', greatest(x, own))))")
-    dealt = met.select(*on, pair.alias("p"), "own", "keys", "node", "weight", "vector").select(*on, "p.a", "p.b", "own", "keys", "node", "weight", "vector")
-    found = dealt.repartition(*on, "a", "b").sortWithinPartitions(*on, "a", "b").mapInArrow(lambda it: _groups(it, threshold), "kind int, node long, value long")
+    dealt = met.select(*on, pair.alias("p"), "own", "node", "code").select(*on, "p.a", "p.b", "own", "node", "code")
+    suspects = dealt.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(lambda it: _suspects(it, threshold, exact), "label string, dim int, number int, bucket long, a long, b long, own long, node long")
+    suspects = scratch.table(suspects, "suspects")
+    fetched = suspects.join(nodes.select("node", "weight", "code", "v"), "node").select(*MEETING, "own", "node", "weight", "code", "v")
+    found = fetched.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(lambda it: _links(it, threshold, bits), "kind int, node long, value long")
     found = scratch.table(found, "found")
     links = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("found"))
     parts = connected_components(found.where("kind = 1").select("node", "value"), scratch)
