@@ -98,18 +98,21 @@ class Scratch:
             self.drop()
 
 
-def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int) -> DataFrame:
-    """The `size` rows with the least seeded hashes of `keys`, or all if there are fewer.
+def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int, distinct: bool = False) -> DataFrame:
+    """The `size` rows with the least seeded hashes of `keys`, or all if there are fewer; with `distinct`, of distinct rows.
 
     A count sets a cutoff that leaves a little more than `size` rows, so the
     final order and limit move a bounded number of rows however many partitions
-    there are. The result does not depend on partitioning.
+    there are. The result does not depend on partitioning. Equal rows have one
+    hash, so distinct ones are made after the cutoff and a hot row costs nothing.
     """
-    n = df.count()
+    n = df.select(F.approx_count_distinct(F.xxhash64(*keys), 0.02)).head()[0] if distinct else df.count()
     hashed = df.withColumn("__o", F.xxhash64(F.lit(seed), *keys))
-    share = (size + 8 * size**0.5 + 100) / max(n, 1)
+    share = (size * (1.2 if distinct else 1.0) + 8 * size**0.5 + 100) / max(n, 1)
     if share < 0.5:
         hashed = hashed.where(F.col("__o") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    if distinct:
+        hashed = hashed.distinct()
     return hashed.orderBy("__o", *keys).limit(size).drop("__o")
 
 

@@ -36,9 +36,8 @@ def linked(a, b):
     return (x @ y) / (math.sqrt(x @ x) * math.sqrt(y @ y)) >= 0.93 or a[1] == b[1]
 
 
-@pytest.mark.parametrize("bucket", [4096, 60, 12])
-def test_links_equal_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
+@pytest.mark.parametrize("bucket,exact", [(4096, False), (40, False), (12, True)])
+def test_links_equal_brute_force(spark, bucket, exact):
     rows = vectors()
     roots = brute_components(rows, linked)
     least = {}
@@ -47,23 +46,51 @@ def test_links_equal_brute_force(spark, monkeypatch, bucket):
             least[c] = min(least.get(c, r[0]), r[0])
     want = sorted((str(r[0]), sum(linked(r, s) for j, s in enumerate(rows) if j != i), str(least.get(c))) for i, (r, c) in enumerate(zip(rows, roots, strict=True)))
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n_links int").repartition(3)
-    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embedding_dedup.embedding_links(df).collect())
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embedding_dedup.embedding_links(df, bucket=bucket, chunk=20, exact=exact).collect())
     links = sum(w[1] for w in want)
-    if bucket == 4096:
+    if bucket == 4096 or exact:
         assert got == want
     else:  # several sets of projections: a link may be missed, none invented
         assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and sum(g[1] for g in got) >= 0.99 * links
     assert embedding_dedup.embedding_links(df.limit(0)).count() == 0
 
 
-def test_estimates_are_unbiased_within_the_bound():
+@pytest.mark.parametrize("dim", [64, 300])
+def test_estimates_are_unbiased_within_the_bound(dim):
     rng = np.random.default_rng(3)
-    x = rng.standard_normal((300, 64))
-    x[150:] = x[:150] + 0.3 * rng.standard_normal((150, 64))
+    x = rng.standard_normal((300, dim))
+    x[150:] = x[:150] + 0.3 * rng.standard_normal((150, dim))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    codes = embedding_dedup.Codes(x, embedding_dedup.rotation(64))
-    error = codes.estimates(slice(0, 300), codes.rotated) - x @ x.T
-    assert (np.abs(error) <= codes.bound[:, None] + 1e-6).mean() > 0.9999 and abs(error[np.triu_indices(300, 1)].mean()) < 0.005
+    codes = embedding_dedup.Codes.of(x)
+    everyone, real = slice(0, 300), x @ x.T
+    error = codes.products(everyone, everyone) / codes.factor[:, None] - real
+    assert abs(error[np.triu_indices(300, 1)].mean()) < 0.005 and np.abs(error).max() < 0.35
+    for threshold in (0.5, 0.9):
+        assert (codes.doubtful(everyone, everyone, threshold, True) >= (real >= threshold)).all(), "the exact bound misses nothing"
+        assert (codes.doubtful(everyone, everyone, threshold, False) >= (real >= threshold)).mean() > 0.9999
+    assert codes.doubtful(everyone, everyone, 0.93, False).mean() < 0.02, "few pairs are left in doubt"
+    size = len(codes.signs[0].tobytes() + codes.planes[0].tobytes() + codes.numbers()[0].tobytes())
+    assert dim < 300 or size < 8 * dim / 6
+    again = embedding_dedup._codes([a.tobytes() + b.tobytes() + n.tobytes() for a, b, n in zip(codes.signs, codes.planes, codes.numbers(), strict=True)], dim)
+    assert (again.products(everyone, everyone) == codes.products(everyone, everyone)).all()
+
+
+def test_recall_in_a_large_label(spark):
+    """Planted pairs just above the threshold, in a label of 10,000 vectors: many sets of buckets, and the exact way."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((9000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.standard_normal((1000, 64))
+    side -= (side * base[:1000]).sum(axis=1)[:, None] * base[:1000]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = rng.uniform(0.9301, 0.95, (1000, 1))
+    x = np.concatenate([base, cos * base[:1000] + np.sqrt(1 - cos**2) * side])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    for exact, least in ((False, 0.99), (True, 1.0)):
+        found = embedding_dedup.embedding_links(df, bucket=1024, exact=exact).agg({"n_links": "sum"}).head()[0]
+        assert least * 2 * len(i) <= found <= 2 * len(i) and len(i) >= 1000
 
 
 def test_plan_grows_with_the_label():
@@ -100,6 +127,21 @@ def test_urls(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_verdicts_vary_inside_a_domain(spark):
+    rng = random.Random(6)
+    made = [(k, f"https://{rng.choice(['a', 'www', 'm'])}.{rng.choice('klmnop')}.example.{rng.choice(['net', 'com', 'org'])}/{rng.choice(['en', 'de', 'fr'])}/{rng.randint(1, 9999)}") for k in range(3000)]
+    made += [(3000 + k, made[0][1]) for k in range(1500)]
+    df = spark.createDataFrame(made, "page_id long, url string")
+    got = urls.judge_urls(df).where("rule is null").toPandas()
+    for tld in ("com", "org"):
+        mine = got[got["host"].str.endswith("." + tld)]
+        assert {"allow", "block"} == set(mine["verdict"]), f"one verdict for all of .{tld}"
+    met, common = urls.agreement(df)
+    assert met > common + 0.05
+    drawn = urls._drawn(urls._ruled(df, "page_id", "url", urls.RULES), 500)
+    assert all(len(d) == 500 and d["url"].is_unique for d in drawn)
+
+
 def test_trees_learn_held_out_urls():
     rng = random.Random(4)
     made = []
