@@ -16,9 +16,14 @@ arrays over blocks of text that may match:
    block to the depth of `length` bytes by prefix doubling. In suffix order, the
    previous and the next suffix of a smaller document, as long as they agree in
    `length` bytes, say that the factor occurs earlier; those strings go.
-   Signatures with more text than a block (a passage in a third of all
-   documents) are split by the content of their strings instead: the least
-   document of each 128-bit string hash is found by a combined minimum.
+5. A signature with more text than a task should hold (a passage in a third of
+   all documents) is split by the strings themselves: every string belongs to
+   its anchor, so the text around one anchor is a block that sorts alone. Equal
+   pieces of text, which are most of it, are folded to the least document
+   before they meet. If so many different pieces hold one anchor that they are still
+   too much, they are split by prefix to the full depth: suffixes of `length`
+   bytes in Spark's own order of bytes, equal ones side by side, where a factor
+   is earlier if a smaller document is in its run.
 
 A string is judged on the input, so what one document loses never hides it from
 another. Anchors can bring texts together that then match nowhere; they cannot
@@ -38,7 +43,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,10 +50,12 @@ from pyspark.sql import types as T
 from .common import Scratch, all_of, slices, text_or_empty, utf8, without
 
 LENGTH, GRAM = 50, 34
-#: Bytes of text in a part, in a block, and of a signature beyond which its strings are split by content.
-PART_BYTES, BLOCK_BYTES, HOT_BYTES = 8 << 20, 1 << 20, 4 << 20
+#: Bytes of text in a part, in a block that is sorted at once, and in one signature's or anchor's block at most.
+PART_BYTES, BLOCK_BYTES, BLOCK_MOST = 8 << 20, 1 << 20, 4 << 20
 #: Bytes of an anchor's hash kept beside its bucket's number; a clash only brings texts together in vain.
 KEPT = 5
+#: Texts that hold a piece of a large signature from which it is broadcast, and the most such pieces (100 bytes each).
+OFTEN, OFTEN_MOST = 1000, 100_000
 LAST = (1 << 63) - 1
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -394,22 +400,95 @@ def _solve_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         yield _solve(rows, length)
 
 
-def _solve_by_content(hot: DataFrame, length: int) -> DataFrame:
-    """Spans of signatures too large for a block: one row for each string, keyed by its 128-bit hash."""
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Runs cut by anchor: (anchor, piece, ord, h, at), the text with every string that holds the anchor, and where it begins.
+
+    Neighbouring pieces overlap, so that each string is whole in the piece of its anchor.
+    """
+    for batch in slices(batches, 256):
+        o, h, start, text = (batch.column(c).to_pylist() for c in ("ord", "h", "start", "text"))
+        out: list[list] = [[] for _ in range(5)]
+        for owner, at, found in _anchored(text, length, gram):
+            begin = np.maximum(at - (length - gram), 0)
+            for u, a, b, x in zip(owner.tolist(), begin.tolist(), (at + length).tolist(), found.view(np.int64).tolist(), strict=True):
+                piece = text[u][a:b]
+                if len(piece) >= length:
+                    for column, value in zip(out, (x, piece, o[u], h[u], start[u] + a), strict=True):
+                        column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), *(pa.array(c, pa.int64()) for c in out[2:])], ["anchor", "piece", "ord", "h", "at"])
+
+
+def _cut_pieces(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(anchor, piece, begin, end) of what goes from each different piece (least ord, piece, anchor) of a block."""
+    sizes = np.array([len(p) for _, p, _ in rows], np.int64)
+    ends = np.cumsum(sizes)
+    run = np.repeat(np.arange(len(rows)), sizes)
+    owner = np.unique(np.array([o for o, _, _ in rows], np.int64), return_inverse=True)[1]
+    data = np.frombuffer(b"".join(p for _, p, _ in rows), np.uint8)
+    at = earlier_factors(data, ends[run] - np.arange(len(data)), owner[run], length)
+    for k in np.unique(run[at]).tolist():
+        begin = int(ends[k] - sizes[k])
+        lo, hi = np.searchsorted(at, [begin, int(ends[k])])
+        for a, b in zip(*(x.tolist() for x in _spans(at[lo:hi] - begin, length)), strict=True):
+            yield rows[k][2], rows[k][1], a, b
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            out: list[tuple] = []
-            for o, h, start, text in zip(*(batch.column(c).to_pylist() for c in ("ord", "h", "start", "text")), strict=True):
-                for i in range(len(text) - length + 1):
-                    x = xxhash.xxh3_128_intdigest(text[i : i + length])
-                    out.append(((x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63), o, h, start + i))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], ["x", "y", "ord", "h", "at"])
 
-    each = hot.mapInArrow(strings, "x long, y long, ord long, h long, at long")
-    first = each.groupBy("x", "y").agg(F.min("ord").alias("first"))
-    gone = each.join(first, ["x", "y"]).where("first < ord")
-    return gone.select("ord", "h", F.col("at").alias("begin"), (F.col("at") + length).alias("end"))
+def _piece_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, piece, least) come sorted by anchor; a block holds whole anchors."""
+    rows: list[tuple[int, bytes, int]] = []
+    size, last = 0, None
+
+    def out() -> pa.RecordBatch:
+        found = list(_cut_pieces(rows, length))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["anchor", "piece", "begin", "end"])
+
+    for batch in slices(batches, 1024):
+        for anchor, piece, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if anchor != last and size >= BLOCK_BYTES:
+                yield out()
+                rows, size = [], 0
+            last = anchor
+            rows.append((least, piece, anchor))
+            size += len(piece)
+    if rows:
+        yield out()
+
+
+def _piece_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(suffix, least, anchor, piece, at): the suffixes of each piece to the depth of `length` bytes."""
+    for batch in slices(batches, 256):
+        out = [(p[i : i + length], o, a, p, i) for a, p, o in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i in range(len(p) - length + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["suffix", "least", "anchor", "piece", "at"])
+
+
+def _solve_split(hot: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
+    """Spans of signatures that are too large for one block, by the pieces around their anchors."""
+    pieces = scratch.table(hot.mapInArrow(lambda it: _pieces(it, length, gram), "anchor long, piece binary, ord long, h long, at long"), "pieces")
+    # copies are folded inside each input partition, so a piece of a third of all documents is one row for each
+    first = scratch.table(pieces.groupBy("anchor", "piece").agg(F.min("ord").alias("least"), F.count("*").alias("n")), "first")
+    large = first.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("size")).where(F.col("size") > BLOCK_MOST).select("anchor")
+    large = scratch.table(large, "large")
+    usual = first.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "piece", "least")
+    cut = usual.mapInArrow(lambda it: _piece_blocks(it, length), "anchor long, piece binary, begin long, end long")
+    if not large.isEmpty():
+        suffixes = first.join(large, "anchor", "left_semi").select("anchor", "piece", "least").mapInArrow(lambda it: _piece_suffixes(it, length), "suffix binary, least long, anchor long, piece binary, at long")
+        suffixes = scratch.table(suffixes, "suffixes")
+        runs = suffixes.groupBy("suffix").agg(F.min("least").alias("owner"))
+        gone = suffixes.join(runs, "suffix").where("owner < least")
+        cut = cut.union(gone.select("anchor", "piece", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
+    # of the least document of a piece what its block says goes; of all others the whole piece
+    on = ["anchor", "piece"]
+    cut = cut.groupBy(*on).agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
+    known = scratch.table(first.join(cut, on, "left").where("n > 1 or cuts is not null").select(*on, "least", "n", "cuts"), "known")
+    often, seldom = known.where(F.col("n") > OFTEN).drop("n"), known.where(F.col("n") <= OFTEN).drop("n")
+    if 0 < often.count() <= OFTEN_MOST:  # what very many texts hold is looked up where they are, not dealt by the piece
+        names = F.broadcast(often.select(*on))
+        met = pieces.join(F.broadcast(often), on).union(pieces.join(names, on, "left_anti").join(seldom, on).select(*on, "ord", "h", "at", "least", "cuts"))
+    else:
+        met = pieces.join(known.drop("n"), on)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length("piece").cast("long").alias("end")))
+    spans = met.where("ord > least or cuts is not null").select("ord", "h", "at", F.explode(F.when(F.col("ord") > F.col("least"), whole).otherwise(F.col("cuts"))).alias("c"))
+    return spans.select("ord", "h", (F.col("at") + F.col("c.begin")).alias("begin"), (F.col("at") + F.col("c.end")).alias("end"))
 
 
 def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -424,12 +503,12 @@ def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = reported.groupBy("bucket").applyInArrow(_shared, "part long, bucket long, hashes binary, signatures binary")
     runs = by_part.cogroup(shared.groupBy("part")).applyInArrow(lambda a, b: _runs(a, b, parts, length, gram), _RUN_DDL)
     runs = scratch.table(runs, "runs")
-    hot = runs.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > HOT_BYTES).select("signature")
+    hot = runs.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > BLOCK_MOST).select("signature")
     hot = scratch.table(hot, "hot")
     usual = runs.join(hot, "signature", "left_anti").repartition("signature").sortWithinPartitions("signature")
     spans = usual.mapInArrow(lambda it: _solve_blocks(it, length), _SPAN_DDL)
     if not hot.isEmpty():
-        spans = spans.union(_solve_by_content(runs.join(hot, "signature"), length))
+        spans = spans.union(_solve_split(runs.join(hot, "signature"), length, gram, scratch))
     return spans.groupBy("ord", "h").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
 
 

@@ -47,9 +47,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot,part", [(64 << 20, 8 << 20), (64 << 20, 3000), (400, 3000)])
-def test_report_equals_brute_force(spark, monkeypatch, hot, part):
-    monkeypatch.setattr(passages, "HOT_BYTES", hot)
+@pytest.mark.parametrize("most,part,often", [(64 << 20, 8 << 20, 9), (64 << 20, 3000, 9), (3000, 3000, 10**9), (400, 3000, 3), (60, 3000, 3)])
+def test_report_equals_brute_force(spark, monkeypatch, most, part, often):
+    """Blocks of whole signatures, of anchors, and split to the full depth."""
+    monkeypatch.setattr(passages, "BLOCK_MOST", most)
+    monkeypatch.setattr(passages, "OFTEN", often)
     monkeypatch.setattr(passages, "PART_BYTES", part)
     rows = corpus() + documents()
     rows = [r for r in rows if len(r[1] or "") < 50_000] + [(66, "word " * 3000, "en", "src0", 5), (67, "word " * 20, "en", "src0", 5)]
