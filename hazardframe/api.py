@@ -31,12 +31,28 @@ def rank_targets(barriers: DataFrame, threats: DataFrame, conditioning: str, sco
     return cascade.ranked(predict_cascading(barriers, threats, conditioning, score).drop("band"), "p")
 
 
-def explain_cascading(hits: DataFrame, incidents: DataFrame, most: int = 8000) -> DataFrame:
-    """(query_id, context, n_snippets, n_incidents, recommendations) of hybrid hits with title and body."""
-    kept = retrieval.best_per_incident(hits)
-    counts = kept.groupBy("query_id").agg(F.count("*").alias("n_snippets"), F.count_distinct("incident_id").alias("n_incidents"))
-    advice = context.ordered_recommendations(kept.join(incidents.select("incident_id", "recommendations"), "incident_id").select("query_id", F.col("place").alias("pos"), "recommendations"), ["query_id"])
-    return counts.join(retrieval.context_entries(kept, most), "query_id", "left").join(advice, "query_id", "left")
+def explain_cascading(hits: DataFrame, queries: DataFrame, incidents: DataFrame, most: int = retrieval.MOST_CONTEXT) -> DataFrame:
+    """Evidence for barrier pairs: (query_id, context, n_conditioning, n_target, empty, n_snippets, n_incidents, recommendations, pif_tags).
+
+    hits: those of `retrieval.pair_hits`, with entry. incidents: incident_id,
+    recommendations (list) and pif_tags (map of lists). Recommendations are the
+    first five that differ, conditioning hits first; tags are united by category.
+    """
+    texts = retrieval.pair_context(hits, queries, most)
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("n_snippets"), F.count_distinct("incident_id").alias("n_incidents"))
+    place = F.when(F.col("side_of_pair") == "conditioning", 0).otherwise(1_000_000) + F.col("place")
+    met = hits.select("query_id", "incident_id", place.alias("pos")).join(incidents.select("incident_id", "recommendations", "pif_tags"), "incident_id")
+    advice = context.ordered_recommendations(met.select("query_id", "pos", "recommendations"), ["query_id"])
+    each = met.select("query_id", F.explode("pif_tags").alias("category", "tags")).groupBy("query_id", "category").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"))
+    tags = each.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "tags")))).alias("pif_tags"))
+    out = texts.join(counts, "query_id", "left").na.fill(0, ["n_snippets", "n_incidents"])
+    return out.join(advice, "query_id", "left").join(tags, "query_id", "left")
+
+
+def check_route(name: str) -> None:
+    """Routes that were withdrawn answer 410."""
+    if name in GONE:
+        raise LookupError(f"410: {name} was withdrawn; use predict-cascading or explain-cascading")
 
 
 def apriori_rules(items: DataFrame) -> DataFrame:

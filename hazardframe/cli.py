@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import session
 from .functions import text
-from .operators import baseline, coercion, coverage, manifests, mining, profiling, taxonomy
+from .operators import baseline, coercion, coverage, manifests, mining, profiling, taxonomy, validation
 from .schemas import MANIFEST
 from .sources import files, incidents, sinks
 
@@ -33,14 +33,14 @@ def report(spark, args):
 
 
 def schema_check(spark, args):
-    errors = coercion.validation_errors(_documents(spark, args))
+    errors = validation.validation_errors(_documents(spark, args))
     print(json.dumps(sinks.report(errors.groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error"))))
 
 
 def convert_schema(spark, args):
-    controls = coercion.coerced_controls(_documents(spark, args))
-    sinks.write_parquet(controls, f"{args.output}/controls")
-    print(json.dumps(sinks.report(coercion.coercion_counts(controls))))
+    parsed = _documents(spark, args)
+    sinks.write_parquet(coercion.coerced_controls(parsed), f"{args.output}/controls")
+    print(json.dumps(sinks.report(coercion.coercion_counts(parsed))))
 
 
 def extract_qc(spark, args):

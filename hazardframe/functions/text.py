@@ -25,26 +25,26 @@ def strip(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Plain quotes and spaces, no control characters, at most two spaces and three line feeds in a row, trimmed lines."""
-    plain = F.translate(text, " ‘’“”–—", " ''\"\"--")
+    """Plain quotes and spaces, no control characters, at most two spaces and three line feeds in a row, trimmed lines; null is empty."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0‘’“”«»", " ''\"\"\"\"")
     plain = F.regexp_replace(plain, r"[\p{C}&&[^\n\r\t]]", "")
-    plain = F.regexp_replace(plain, r"[^\S\n]{3,}", "  ")
+    plain = F.regexp_replace(plain, r"(?U)[^\S\n]{3,}", "  ")
     plain = F.regexp_replace(plain, r"\n{4,}", "\n\n\n")
     return strip(F.array_join(F.transform(F.split(plain, "\n"), strip), "\n"))
 
 
 def text_metrics(text: Column) -> dict[str, Column]:
-    """Of the stripped text: length, and shares of letters, white space and glyph codes that were not decoded."""
+    """Of the stripped text: length, and shares (four digits) of letters, white space and the characters of glyph codes that were not decoded."""
     text = strip(F.coalesce(text, F.lit("")))
     n = F.length(text)
-    share = lambda kept: F.when(n > 0, F.length(kept) / n).otherwise(F.lit(0.0))
-    cids = F.regexp_count(text, F.lit(r"\(cid:\d+\)"))
+    share = lambda k: F.when(n > 0, F.round(k / n, 4)).otherwise(F.lit(0.0))
+    codes = r"\(cid:\d+\)"
     return {
         "text_len": n,
-        "alpha_ratio": share(F.regexp_replace(text, r"\P{L}", "")),
-        "whitespace_ratio": share(F.regexp_replace(text, r"(?U)\S", "")),
-        "cid_count": cids,
-        "cid_ratio": F.when(n > 0, cids / n).otherwise(F.lit(0.0)),
+        "alpha_ratio": share(F.length(F.regexp_replace(text, r"\P{L}", ""))),
+        "whitespace_ratio": share(F.length(F.regexp_replace(text, r"(?U)\S", ""))),
+        "cid_count": F.regexp_count(text, F.lit(codes)),
+        "cid_ratio": share(n - F.length(F.regexp_replace(text, codes, ""))),
     }
 
 
@@ -52,7 +52,7 @@ def extraction_status(text_len: Column, alpha_ratio: Column, cid_count: Column,
     """The first rule that a text fails, else OK."""
     return (
         F.when(text_len == 0, "EMPTY_TEXT")
-        .when(text_len < MIN_CHARS, "TEXT_TOO_SHORT")
+        .when(text_len < MIN_CHARS, "TOO_SHORT")
         .when((cid_ratio > CID_RATIO) | (cid_count >= CID_COUNT), "CID_ENCODING_GIBBERISH")
         .when(alpha_ratio < ALPHA_RATIO, "LOW_ALPHA_GIBBERISH")
         .otherwise("OK")
@@ -98,12 +98,21 @@ def sanitize_prompt(text: Column) -> Column:
 
 
 def slug(text: Column, most: int = 50) -> Column:
-    return F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\w\s-]", ""), r"[\s_-]+", "-"), 1, most), r"\A-+|-+\z", "")
+    """Lower case, marks left out, blanks and dashes as one dash, cut to `most` characters."""
+    kept = F.regexp_replace(strip(F.lower(text)), r"(?U)[^\p{L}\p{N}_\s-]", "")
+    return F.substring(F.regexp_replace(kept, r"(?U)[-\s]+", "-"), 1, most)
 
 
-def parse_date(text: Column, formats=("yyyy-MM-dd", "MMMM d, yyyy", "MM/dd/yyyy", "M/d/yyyy", "d MMMM yyyy")) -> Column:
-    """ISO date of the first format that fits, else null."""
-    return F.date_format(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]), "yyyy-MM-dd")
+def title_of_slug(text: Column) -> Column:
+    """A slug as a title: blanks for dashes, every run of letters with a capital."""
+    words = F.regexp_extract_all(F.trim(F.replace(text, F.lit("-"), F.lit(" "))), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(words, F.initcap), "")
+
+
+def parse_date(text: Column, formats=("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "yyyy-M-d")) -> Column:
+    """ISO date of the first format that fits the trimmed text, names of months in any case, else null."""
+    clean = F.initcap(F.lower(strip(text)))
+    return F.date_format(F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in formats]), "yyyy-MM-dd")
 
 
 def unquote(text: Column) -> Column:
@@ -161,8 +170,20 @@ def fill_template(template: str, **values: Column) -> Column:
 
 
 def compose_barrier_text(name: Column, role: Column, basis: Column) -> Column:
-    blank = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown"))
-    return F.concat_ws("\n", F.concat(F.lit("Barrier: "), blank(name)), F.concat(F.lit("Role: "), blank(role)), F.concat(F.lit("LOD Basis: "), blank(basis)))
+    """Three lines; a basis that is null or blank is N/A."""
+    told = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit("Barrier: "), told(name), F.lit("\nRole: "), told(role), F.lit("\nLOD Basis: "), F.coalesce(F.nullif(basis, F.lit("")), F.lit("N/A")))
+
+
+def compose_incident_text(top_event: Column, incident_type: Column, phase: Column, materials: Column, summary: Column, recommendations: Column, factor_notes: Column) -> Column:
+    """Seven parts; the last three columns but the summary are lists, N/A if empty."""
+    told = lambda c: F.coalesce(c, F.lit(""))
+    listed = lambda c, mark: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, mark)).otherwise("N/A")
+    parts = [
+        ("Top Event: ", told(top_event)), ("\nIncident Type: ", told(incident_type)), ("\nOperating Phase: ", told(phase)), ("\nMaterials: ", listed(materials, ", ")),
+        ("\nSummary: ", told(summary)), ("\nRecommendations:\n", listed(recommendations, "\n")), ("\nPerformance-Influencing Factor Notes:\n", listed(factor_notes, "\n")),
+    ]
+    return F.concat(*[x for lead, c in parts for x in (F.lit(lead), c)])
 
 
 def split_barrier_text(text: Column) -> tuple[Column, Column, Column]:
@@ -176,4 +197,15 @@ def parse_bool(text: Column) -> Column:
 
 
 def safe_filename(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\w.-]+", "-"), r"\A[-.]+|[-.]+\z", "")
+    """Letters, digits, dots, dashes and underscores stay; every other character is an underscore, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_"), r"\A_+|_+\z", "")
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first `most` characters; null is empty."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
+def parent_name(path: Column) -> Column:
+    """The folder that a path's last segment lies in, blank for none."""
+    return F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit(""))

@@ -67,8 +67,43 @@ def auc_gate(per_fold: DataFrame, mean: float = 0.70, least: float = 0.60) -> Da
     return per_fold.agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.min("auc").alias("least_auc"), ((F.avg("auc") >= mean) & (F.min("auc") >= least)).alias("passed"))
 
 
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], blocks: int = 1024) -> DataFrame:
+    """One row: the percentile of each share, linear between neighbours as usual; null for no rows.
+
+    Values are counted first, then summed within and over blocks of the values'
+    range, so no task holds the distinct values of all rows; only the few
+    blocks' sums meet, and of the values the two that each percentile lies between.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    low, high, total = rows.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.count(column)).head()
+    width = ((high - low) / blocks or 1.0) if total else 1.0
+    placed = counts.withColumn("block", F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(blocks - 1)))
+    sums = placed.groupBy("block").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = sorted({k for s in shares.values() for k in (int((total - 1) * s), min(int((total - 1) * s) + 1, total - 1))}) if total else []
+    # only blocks that hold a wanted place go on
+    hit = F.lit(False)
+    for k in wanted:
+        hit = hit | ((F.col("base") <= k) & (F.lit(k) < F.col("base") + F.col("m")))
+    inside = placed.join(F.broadcast(sums.where(hit).select("block", "base")), "block")
+    upto = F.sum("n").over(Window.partitionBy("block").orderBy("x")) + F.col("base")
+    ranked = inside.withColumn("upto", upto)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
+    places = {name: (total - 1) * s for name, s in shares.items()} if total else {}
+    out = [(at(int(p)) + (p - int(p)) * (at(min(int(p) + 1, total - 1)) - at(int(p)))).alias(n) for n, p in places.items()]
+    return ranked.agg(*out) if total else rows.agg(*[F.max(F.lit(None).cast("double")).alias(n) for n in shares])
+
+
 def thresholds(scored: DataFrame, score: str = "score") -> DataFrame:
-    return scored.agg(F.round(F.percentile(score, F.lit(0.6)), 9).alias("p60"), F.round(F.percentile(score, F.lit(0.8)), 9).alias("p80"))
+    found = percentiles(scored, score, {"p60": 0.6, "p80": 0.8})
+    return found.select(*[F.round(c, 9).alias(c) for c in ("p60", "p80")])
+
+
+def per_class_metrics(scored: DataFrame, classes: list[str]) -> DataFrame:
+    """(class, precision, recall, f1, support) of each class. scored: y and predicted, names of classes."""
+    rows = scored.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), (F.col("y") == c).alias("is"), (F.col("predicted") == c).alias("said")) for c in classes])).alias("r")).select("r.*")
+    n = rows.groupBy("class").agg(F.count_if(F.col("is") & F.col("said")).alias("tp"), F.count_if(~F.col("is") & F.col("said")).alias("fp"), F.count_if(F.col("is") & ~F.col("said")).alias("fn"))
+    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    return n.select("class", _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
 
 
 def inconsistent(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

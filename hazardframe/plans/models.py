@@ -4,91 +4,135 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import coercion, metrics, ml
+from ..operators import coercion, metrics, ml, validation
 from .adapters import CONTROLS, controls
 from .registry import query, table
 
 _STATUS_DRIFT = {"active": "in place", "failed": "Broken", "not_installed": "missing", "degraded": "partial"}
 
 
+def _quoted(c):
+    return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+
+
 def _payloads(spark, sf):
-    """One JSON document an incident, with values that drifted in shape; every seventh one is cut off."""
-    k = F.col("control_seq")
-    side = F.when(k % 3 == 0, F.when(F.col("side") == "prevention", "left").otherwise("Recovery")).otherwise(F.col("side"))
+    """One JSON document an incident, with values that drifted in every way that coercion knows; every seventh one is cut off."""
+    k, lod = F.col("control_seq"), F.col("lod_numeric")
+    side = F.when(k % 7 == 0, "x").when(k % 3 == 0, F.when(F.col("side") == "prevention", "left").otherwise("Recovery")).otherwise(F.col("side"))
     drifted = F.lit(None).cast("string")
     for name, other in _STATUS_DRIFT.items():
         drifted = F.when(F.col("barrier_status") == name, other).otherwise(drifted)
     status = F.when(k % 2 == 0, F.coalesce(drifted, "barrier_status")).otherwise(F.col("barrier_status"))
-    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
-    lod = F.when(F.col("lod_numeric") == 99, quoted(F.lit("Other"))).when(k % 2 == 0, F.col("lod_numeric").cast("string")).otherwise(quoted(F.col("line_of_defense")))
-    human = F.when(k % 4 == 0, F.lit('["a","b"]')).otherwise(quoted(F.col("human_contribution_value")))
+    line = F.when(lod == 99, _quoted(F.lit("Other"))).when(k % 2 == 0, lod.cast("string")).when(k % 5 == 0, _quoted(lod.cast("string"))).otherwise(_quoted(F.col("line_of_defense")))
+    human = F.when(k % 4 == 0, F.lit('["a","b"]')).when(k % 4 == 2, "5").otherwise(_quoted(F.col("human_contribution_value")))
+    performance = F.when(k % 6 == 5, "").otherwise(F.concat(F.lit(',"performance":{"barrier_status":'), _quoted(status), F.lit("}")))
     control = F.concat(
-        F.lit('{"control_id":'), quoted(F.col("control_id")), F.lit(',"side":'), quoted(side), F.lit(',"line_of_defense":'), lod, F.lit(',"performance":{"barrier_status":'), quoted(status), F.lit('},"human":{"human_contribution_value":'), human, F.lit("}}")
+        F.lit('{"control_id":'), _quoted(F.col("control_id")), F.lit(',"side":'), _quoted(side), F.lit(',"line_of_defense":'), line, performance, F.lit(',"human":{"human_contribution_value":'), human, F.lit("}}")
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("control_seq", control.alias("j")))), lambda x: x["j"]), ",")
     docs = controls(spark, sf, named=False).groupBy("incident_id").agg(joined.alias("c"))
     key = F.col("incident_id")
     kind = F.when(key % 3 == 0, F.lit('["fire","spill"]')).when(key % 3 == 1, F.lit('""')).otherwise(F.lit("7"))
-    body = F.concat(F.lit('{"incident_id":"'), key.cast("string"), F.lit('","event":{"incident_type":'), kind, F.lit('},"bowtie":{"controls":['), F.col("c"), F.lit("]}"))
+    summary = F.when(key % 4 != 0, F.lit(',"summary":"s"')).otherwise("")
+    threats = F.when(key % 5 == 0, F.lit('"threats":[{"id":"T1","name":"n"}],')).otherwise("")
+    factors = F.when(key % 2 == 0, F.lit(',"pifs":{"people":{"competence_mentioned":true}}')).otherwise("")
+    body = F.concat(F.lit('{"incident_id":"'), key.cast("string"), F.lit('","event":{"incident_type":'), kind, summary, F.lit('},"bowtie":{'), threats, F.lit('"controls":['), F.col("c"), F.lit("]}"), factors)
     return coercion.parse(docs.select("incident_id", F.when(key % 7 == 0, body).otherwise(F.concat(body, F.lit("}"))).alias("payload")))
 
 
-_COERCED = f"""coerced AS (SELECT incident_id, control_seq - 1 AS pos, control_id, side, CASE WHEN lod_numeric = 99 THEN 'unknown' ELSE line_of_defense END AS line_of_defense, coalesce(barrier_status, 'unknown') AS barrier_status,
-  CASE WHEN control_seq % 4 = 0 THEN 'a; b' ELSE human_contribution_value END AS human_contribution_value,
-  control_seq % 3 = 0 AS side_changed, lod_numeric = 99 OR control_seq % 2 = 0 AS lod_changed,
-  barrier_status IS NULL OR (control_seq % 2 = 0 AND barrier_status IN ({", ".join(f"'{s}'" for s in _STATUS_DRIFT)})) AS status_changed FROM controls WHERE incident_id % 7 <> 0)"""
+_DRIFTED = ", ".join(f"'{s}'" for s in _STATUS_DRIFT)
+_COERCED = f"""coerced AS (SELECT incident_id, control_seq AS k, control_seq - 1 AS pos, control_id, CASE WHEN control_seq % 7 = 0 THEN 'prevention' ELSE side END AS side, CASE WHEN lod_numeric = 99 THEN 'unknown' ELSE line_of_defense END AS line_of_defense,
+  CASE WHEN control_seq % 6 = 5 THEN 'unknown' ELSE coalesce(barrier_status, 'unknown') END AS barrier_status, CASE control_seq % 4 WHEN 0 THEN 'a; b' WHEN 2 THEN '5' ELSE coalesce(human_contribution_value, 'unknown') END AS human_contribution_value,
+  lod_numeric AS lod, barrier_status AS was, human_contribution_value AS told FROM controls WHERE incident_id % 7 <> 0),
+ docs AS (SELECT DISTINCT incident_id FROM controls), good AS (SELECT incident_id FROM docs WHERE incident_id % 7 <> 0)"""
 
 
 @query("coerced_controls", "SELECT incident_id, pos, control_id, side, line_of_defense, barrier_status, human_contribution_value FROM coerced", CONTROLS, _COERCED)
-def coerced_controls(spark, sf, named=False):
-    return coercion.coerced_controls(_payloads(spark, sf)).drop("raw_side", "raw_lod", "raw_status")
+def coerced_controls(spark, sf):
+    return coercion.coerced_controls(_payloads(spark, sf))
+
+
+_RULES = {
+    "side_mapped": "k % 7 <> 0 AND k % 3 = 0", "side_default_prevention": "k % 7 = 0", "lod_unknown": "lod = 99", "lod_int_to_enum": "lod <> 99 AND k % 2 = 0", "lod_strnum_to_enum": "lod <> 99 AND k % 2 <> 0 AND k % 5 = 0",
+    "performance_created": "k % 6 = 5", "barrier_status_missing": "k % 6 = 5 OR was IS NULL", "barrier_status_mapped": f"k % 6 <> 5 AND k % 2 = 0 AND was IN ({_DRIFTED})",
+    "human_value_list_to_str": "k % 4 = 0", "human_value_to_str": "k % 4 = 2", "human_value_none_to_unknown": "k % 4 IN (1, 3) AND told IS NULL",
+}
+_DOC_RULES = {"incident_type_list_to_str": "incident_id % 3 = 0", "incident_type_empty_to_unknown": "incident_id % 3 = 1", "incident_type_to_str": "incident_id % 3 = 2", "threat_id_remapped": "incident_id % 5 = 0"}
 
 
 @query(
     "coercion_counts",
-    """SELECT 'side' AS coercion, count(*) FILTER (side_changed) AS n FROM coerced UNION ALL SELECT 'line_of_defense', count(*) FILTER (lod_changed) FROM coerced UNION ALL SELECT 'barrier_status', count(*) FILTER (status_changed) FROM coerced""",
+    "SELECT * FROM (" + " UNION ALL ".join([*(f"SELECT '{n}' AS coercion, count(*) AS n FROM coerced WHERE {r}" for n, r in _RULES.items()), *(f"SELECT '{n}', count(*) FROM good WHERE {r}" for n, r in _DOC_RULES.items())]) + ") WHERE n > 0",
     CONTROLS,
     _COERCED,
 )
 def coercion_counts(spark, sf):
-    return coercion.coercion_counts(coercion.coerced_controls(_payloads(spark, sf)))
+    return coercion.coercion_counts(_payloads(spark, sf))
 
 
-@query("incident_types", "SELECT DISTINCT incident_id, CASE incident_id % 3 WHEN 0 THEN 'fire; spill' WHEN 1 THEN 'unknown' ELSE '7' END AS incident_type FROM controls WHERE incident_id % 7 <> 0", CONTROLS)
+@query("incident_types", "SELECT incident_id, CASE incident_id % 3 WHEN 0 THEN 'fire; spill' WHEN 1 THEN 'unknown' ELSE '7' END AS incident_type FROM good", CONTROLS, _COERCED)
 def incident_types(spark, sf):
     return _payloads(spark, sf).where("v is not null").select("incident_id", coercion.incident_type(F.col("v")).alias("incident_type"))
 
 
-@query(
-    "validation_errors",
-    """SELECT DISTINCT incident_id, 'document: not JSON' AS error FROM controls WHERE incident_id % 7 = 0
-    UNION ALL SELECT DISTINCT incident_id, 'bowtie.controls.side: not an allowed value' FROM coerced WHERE side_changed
-    UNION ALL SELECT DISTINCT incident_id, 'bowtie.controls.line_of_defense: not an allowed value' FROM coerced WHERE lod_changed
-    UNION ALL SELECT DISTINCT incident_id, 'bowtie.controls.performance.barrier_status: not an allowed value' FROM coerced WHERE status_changed AND barrier_status <> 'unknown'""",
-    CONTROLS,
-    _COERCED,
-)
+_BROKEN = f"""broken AS (SELECT incident_id, 'document: not JSON' AS error FROM docs WHERE incident_id % 7 = 0
+  UNION ALL SELECT incident_id, 'event -> incident_type: Input should be a valid string' FROM good WHERE incident_id % 3 <> 1
+  UNION ALL SELECT incident_id, 'bowtie -> threats -> 0 -> threat_id: Field required' FROM good WHERE incident_id % 5 = 0
+  UNION ALL SELECT incident_id, 'bowtie -> controls -> ' || pos || $$ -> side: Input should be 'prevention' or 'mitigation'$$ FROM coerced WHERE k % 7 = 0 OR k % 3 = 0
+  UNION ALL SELECT incident_id, 'bowtie -> controls -> ' || pos || $$ -> line_of_defense: Input should be '1st', '2nd', '3rd', 'recovery' or 'unknown'$$ FROM coerced WHERE lod = 99 OR k % 2 = 0 OR k % 5 = 0
+  UNION ALL SELECT incident_id, 'bowtie -> controls -> ' || pos || $$ -> performance -> barrier_status: Input should be 'active', 'degraded', 'failed', 'bypassed', 'not_installed' or 'unknown'$$ FROM coerced
+    WHERE k % 6 <> 5 AND (was IS NULL OR (k % 2 = 0 AND was IN ({_DRIFTED})))
+  UNION ALL SELECT incident_id, 'bowtie -> controls -> ' || pos || ' -> human -> human_contribution_value: Input should be a valid string' FROM coerced WHERE k % 2 = 0)"""
+
+
+@query("validation_errors", "SELECT * FROM broken", CONTROLS, _COERCED, _BROKEN)
 def validation_errors(spark, sf):
-    return coercion.validation_errors(_payloads(spark, sf))
+    return validation.validation_errors(_payloads(spark, sf))
+
 
+@query("validity", "SELECT incident_id, incident_id NOT IN (SELECT incident_id FROM broken) AS valid FROM docs", CONTROLS, _COERCED, _BROKEN)
+def validity(spark, sf):
+    return validation.validity(_payloads(spark, sf)).select("incident_id", "valid")
 
-_PER = """per AS (SELECT o_orderkey AS incident_id, count(control_id) AS n_controls, count(control_id) > 0 AS has_controls, coalesce(bool_or(human_contribution_value <> ''), false) AS has_human, o_custkey % 4 > 0 AS has_threats
-  FROM orders LEFT JOIN controls ON incident_id = o_orderkey GROUP BY o_orderkey, o_custkey)"""
+
+_FACTS = """facts AS (SELECT incident_id, CASE WHEN incident_id % 7 <> 0 THEN n END AS n_controls, incident_id % 7 <> 0 AS has_controls, incident_id % 7 <> 0 AND incident_id % 4 <> 0 AS has_summary, incident_id % 7 <> 0 AND incident_id % 2 = 0 AS has_pifs,
+  false AS has_hazards, incident_id % 7 <> 0 AND incident_id % 5 = 0 AS has_threats, false AS has_consequences FROM (SELECT incident_id, count(*) AS n FROM controls GROUP BY 1))"""
 
 
 @query(
     "quality_gate",
-    """SELECT count(*) AS documents, count(*) FILTER (has_controls) / count(*)::DOUBLE AS has_controls, count(*) FILTER (has_human) / count(*)::DOUBLE AS has_human, count(*) FILTER (has_threats) / count(*)::DOUBLE AS has_threats,
-    min(n_controls) AS least, quantile_cont(n_controls, 0.5) AS p50, quantile_cont(n_controls, 0.9) AS p90, max(n_controls) AS most FROM per""",
+    "SELECT count(*) AS documents, "
+    + ", ".join(f"count(*) FILTER (has_{p}) AS has_{p}, round(count(*) FILTER (has_{p}) * 100.0::DOUBLE / count(*), 1) AS has_{p}_pct" for p in coercion.GATE_PARTS)
+    + ", min(n_controls) AS least, round(quantile_cont(n_controls, 0.5), 1) AS p50, round(quantile_cont(n_controls, 0.9), 1) AS p90, max(n_controls) AS most FROM facts",
     CONTROLS,
-    _PER,
+    _FACTS,
 )
 def quality_gate(spark, sf):
-    counts = controls(spark, sf, named=False).groupBy("incident_id").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("human_contribution_value") != ""), F.lit(False)).alias("human"))
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), (F.col("o_custkey") % 4 > 0).alias("has_threats"))
-    met = orders.join(counts, "incident_id", "left")
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    return coercion.quality_gate(met.select(n.alias("n_controls"), (n > 0).alias("has_controls"), F.coalesce("human", F.lit(False)).alias("has_human"), "has_threats"))
+    return coercion.quality_gate(coercion.gate_facts(_payloads(spark, sf)).drop("incident_id"))
+
+
+def _shapes(spark, sf):
+    """Documents whose fields come in every shape that the schema takes, under their own and drifted names."""
+    key = F.col("o_orderkey")
+    pick = lambda n, *texts: F.element_at(F.array(*map(F.lit, texts)), (key % n + 1).cast("int"))
+    body = F.concat(
+        F.lit('{"incident_id":"i","context":{'), pick(5, '"operating_phase":" Drilling "', '"operating_phase":["A","b"]', '"operating_phase":7', '"operating_phase":null', '"region":"r"'),
+        pick(6, "", ',"materials":"oil"', ',"materials":["a",1]', ',"materials":{"t":"crude","u":null}', ',"materials":null', ',"materials":7'),
+        F.lit('},"event":{'), pick(4, '"top_event":"t"', '"type":["x","y"]', '"top_event":null', '"top_event":3'), pick(3, ',"category":"c"', ',"incident_type":"i","category":"c"', ""),
+        pick(2, ',"description":"d"', ',"summary":"s","description":"d"'), pick(4, ',"costs":{}', ',"costs":5', ',"costs":"9"', ""), F.lit("}"),
+        pick(3, ',"controls":[{"control_id":"a"},{"control_id":"b"}]', ',"controls":[1],"bowtie":{"controls":[{"control_id":"a"}]}', ',"controls":[{"control_id":"a"}],"bowtie":{"controls":[]}'), F.lit("}"),
+    )
+    return coercion.parse(table(spark, sf, "orders").select(key.alias("incident_id"), body.alias("payload")))
+
+
+@query(
+    "schema_fields",
+    """SELECT o_orderkey AS incident_id, ['drilling', 'a; b', '7', 'unknown', 'unknown'][o_orderkey % 5 + 1] AS operating_phase, ['', 'oil', 'a|1', 'crude', '', '7'][o_orderkey % 6 + 1] AS materials, ['t', 'x; y', 'unknown', '3'][o_orderkey % 4 + 1] AS top_event,
+    ['c', 'i', 'unknown'][o_orderkey % 3 + 1] AS incident_type, ['d', 's'][o_orderkey % 2 + 1] AS summary, [NULL, '5', '9', NULL][o_orderkey % 4 + 1] AS costs, CAST([2, 1, 1][o_orderkey % 3 + 1] AS BIGINT) AS n_controls FROM orders""",
+)
+def schema_fields(spark, sf):
+    fields = coercion.schema_fields(F.col("v"))
+    return _shapes(spark, sf).select("incident_id", *[(F.array_join(c, "|") if n == "materials" else c).alias(n) for n, c in fields.items()])
 
 
 def _runs(spark, sf):
@@ -97,7 +141,7 @@ def _runs(spark, sf):
     return table(spark, sf, "events").select(errors.alias("errors"))
 
 
-@query("run_report", "SELECT count(*) AS processed, count(*) FILTER (event_type <> 'error') AS valid, count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE AS valid_rate FROM events")
+@query("run_report", "SELECT count(*) AS processed, count(*) FILTER (event_type <> 'error') AS valid, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 3) AS valid_rate FROM events")
 def run_report(spark, sf):
     return coercion.run_report(_runs(spark, sf))
 

@@ -98,13 +98,13 @@ def gap_rollups(spark, sf):
     return coverage.gap_rollups(coverage.gaps(controls(spark, sf)))
 
 
-@query("status_distribution", "SELECT barrier_status, count(*) AS n, count(*) / (SELECT count(*) FROM controls)::DOUBLE AS share FROM controls GROUP BY 1", CONTROLS)
+@query("status_distribution", "SELECT barrier_status, count(*) AS n, round(count(*) / (SELECT count(*) FROM controls)::DOUBLE, 4) AS share FROM controls WHERE barrier_status IS NOT NULL GROUP BY 1", CONTROLS)
 def status_distribution(spark, sf):
     return baseline.status_distribution(controls(spark, sf, named=False))
 
 
 def _rates(name: str, dimension: str):
-    sql = f"SELECT {dimension} AS value, count(*) FILTER (barrier_failed) AS failed, count(*) AS total, count(*) FILTER (barrier_failed) / count(*)::DOUBLE AS rate FROM controls WHERE {dimension} IS NOT NULL GROUP BY 1"
+    sql = f"SELECT {dimension} AS value, count(*) FILTER (barrier_failed) AS failed, count(*) AS total, round(count(*) FILTER (barrier_failed) / count(*)::DOUBLE, 4) AS rate FROM controls WHERE {dimension} IS NOT NULL GROUP BY 1"
     query(name, sql, CONTROLS)(lambda spark, sf: baseline.failure_rates(controls(spark, sf, named=False), dimension))
 
 
@@ -124,7 +124,8 @@ def cofailure_pairs(spark, sf):
 
 @query(
     "human_contribution",
-    """SELECT count(*) AS controls, count(*) FILTER (trim(coalesce(human_contribution_value, '')) <> '') AS mentioned, count(*) FILTER (barrier_failed_human) AS failed_human,
+    """SELECT count(*) AS controls, count(*) FILTER (human_contribution_value <> '') AS mentioned, round(count(*) FILTER (human_contribution_value <> '') / count(*)::DOUBLE, 4) AS mentioned_share,
+    count(*) FILTER (barrier_failed_human) AS failed_human, round(count(*) FILTER (barrier_failed_human) / count(*)::DOUBLE, 4) AS failed_human_share,
     count(*) FILTER (barrier_failed AND barrier_failed_human) AS failed_and_human, count(DISTINCT incident_id) AS incidents FROM controls""",
     CONTROLS,
 )
@@ -132,30 +133,50 @@ def human_contribution(spark, sf):
     return baseline.human_contribution(controls(spark, sf, named=False))
 
 
-def _fleet(spark, sf):
+def _bowtie(spark, sf):
+    """What incidents had (names may repeat), the reference barriers, and all incidents."""
     rows = controls(spark, sf)
-    reference = rows.where("lod_numeric = 1 and quantity >= 45").select("side", F.upper("name").alias("name")).distinct()
-    return baseline.fleet_coverage(rows.where("not barrier_failed"), reference)
+    present = rows.where("not barrier_failed").select("incident_id", "side", F.substring("name", 1, 8).alias("name"))
+    reference = rows.where("lod_numeric = 1 and quantity >= 49").select("side", F.upper(F.substring("name", 1, 8)).alias("name")).distinct()
+    return present, reference, table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"))
+
 
+def _fleet(spark, sf):
+    return baseline.fleet_coverage(*_bowtie(spark, sf))
 
-_FLEET = """wanted AS (SELECT DISTINCT side, lower(name) AS key FROM controls WHERE lod_numeric = 1 AND quantity >= 45),
- totals AS (SELECT side, count(*) AS wanted FROM wanted GROUP BY 1),
- met AS (SELECT incident_id, side, count(DISTINCT lower(name)) AS met FROM controls JOIN wanted USING (side) WHERE NOT barrier_failed AND lower(name) = key GROUP BY 1, 2),
- shares AS (SELECT incident_id, coalesce(max(CASE WHEN side = 'prevention' THEN met / wanted::DOUBLE END), 0) AS prevention,
-   coalesce(max(CASE WHEN side = 'mitigation' THEN met / wanted::DOUBLE END), 0) AS mitigation FROM met JOIN totals USING (side) GROUP BY 1)"""
 
+_FLEET = """wanted AS (SELECT DISTINCT side, upper(substr(name, 1, 8)) AS name FROM controls WHERE lod_numeric = 1 AND quantity >= 49),
+ present AS (SELECT incident_id, side, lower(substr(name, 1, 8)) AS key FROM controls WHERE NOT barrier_failed),
+ shares AS (SELECT o_orderkey AS incident_id,
+   coalesce(least(1.0, count(*) FILTER (p.side = 'prevention' AND key IN (SELECT lower(name) FROM wanted WHERE side = 'prevention')) / (SELECT count(*) FROM wanted WHERE side = 'prevention')::DOUBLE), 0) AS prevention,
+   coalesce(least(1.0, count(*) FILTER (p.side = 'mitigation' AND key IN (SELECT lower(name) FROM wanted WHERE side = 'mitigation')) / (SELECT count(*) FROM wanted WHERE side = 'mitigation')::DOUBLE), 0) AS mitigation,
+   coalesce(least(1.0, count(*) FILTER (key IN (SELECT lower(name) FROM wanted)) / (SELECT count(*) FROM wanted)::DOUBLE), 0) AS overall
+   FROM orders LEFT JOIN present p ON incident_id = o_orderkey GROUP BY 1)"""
 
-@query("fleet_coverage", "SELECT incident_id, prevention, mitigation FROM shares", CONTROLS, _FLEET)
+
+@query("fleet_coverage", "SELECT * FROM shares", CONTROLS, _FLEET)
 def fleet_coverage(spark, sf):
     return _fleet(spark, sf)
 
 
-@query("fleet_means", "SELECT count(*) AS incidents, round(avg(prevention), 6) AS prevention, round(avg(mitigation), 6) AS mitigation, round(avg((prevention + mitigation) / 2), 6) AS overall FROM shares", CONTROLS, _FLEET)
+@query("fleet_means", "SELECT count(*) AS incidents, round(avg(prevention), 6) AS prevention, round(avg(mitigation), 6) AS mitigation, round(avg(overall), 6) AS overall FROM shares", CONTROLS, _FLEET)
 def fleet_means(spark, sf):
     means = baseline.fleet_means(_fleet(spark, sf))
     return means.select("incidents", *[F.round(c, 6).alias(c) for c in means.columns[1:]])
 
 
+@query(
+    "fleet_gaps",
+    """SELECT o_orderkey AS incident_id, (SELECT count(*) FROM wanted) - coalesce(n, 0) AS gaps, (SELECT count(*) FROM wanted WHERE side = 'prevention') - coalesce(p, 0) AS prevention_gaps FROM orders
+    LEFT JOIN (SELECT incident_id, count(*) AS n, count(*) FILTER (side = 'prevention') AS p FROM (SELECT DISTINCT incident_id, key FROM present) JOIN wanted ON key = lower(name) GROUP BY 1) ON incident_id = o_orderkey""",
+    CONTROLS,
+    _FLEET,
+)
+def fleet_gaps(spark, sf):
+    found = baseline.fleet_gaps(*_bowtie(spark, sf))
+    return found.groupBy("incident_id").agg(F.count("*").alias("gaps"), F.count_if(F.col("side") == "prevention").alias("prevention_gaps"))
+
+
 _LABELLED = f"""labelled AS (SELECT *, CAST(coalesce(barrier_status IN ({FAILED}), false) AS INTEGER) AS label_barrier_failed,
   CAST(coalesce(barrier_status IN ({FAILED}), false) AND barrier_failed_human AS INTEGER) AS label_barrier_failed_human FROM controls WHERE barrier_status IS DISTINCT FROM 'unknown')"""
 

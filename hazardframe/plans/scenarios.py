@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vocabulary import MODEL_PIFS
+from ..functions.vocabulary import FACTORS, MODEL_PIFS, PIFS
 from ..operators import cascade, context, manifests, taxonomy, threats as threat_ops
 from .adapters import CONTROLS, INCIDENTS, THREATS, controls, incidents, threats
 from .registry import query, table
@@ -58,12 +58,15 @@ def resume_pending(spark, sf):
 
 
 def _stems(spark, sf):
-    stem = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stem")
-    docs, known = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return docs.where("doc_id % 3 != 0").select(stem), known.select(stem), docs.where("source = 'src3'").select(stem)
+    """All documents, the forms, of which every eleventh has an id without a document, and the documents of one source."""
+    stem = lambda c: F.concat(F.lit("d"), c.cast("string")).alias("stem")
+    docs, known, key = table(spark, sf, "documents"), table(spark, sf, "labels"), F.col("doc_id")
+    shifted = F.when(key % 11 == 0, key + 10_000_000).otherwise(key)
+    return docs.select(stem(key)), known.select(stem(shifted)), docs.where("source = 'src3'").select(stem(key))
 
 
-_STEMS = "pdfs AS (SELECT DISTINCT 'd' || doc_id AS stem FROM documents WHERE doc_id % 3 <> 0), forms AS (SELECT DISTINCT 'd' || doc_id AS stem FROM labels), marked AS (SELECT DISTINCT 'd' || doc_id AS stem FROM documents WHERE source = 'src3')"
+_STEMS = """pdfs AS (SELECT DISTINCT 'd' || doc_id AS stem FROM documents), forms AS (SELECT DISTINCT 'd' || CASE WHEN doc_id % 11 = 0 THEN doc_id + 10000000 ELSE doc_id END AS stem FROM labels),
+ marked AS (SELECT DISTINCT 'd' || doc_id AS stem FROM documents WHERE source = 'src3')"""
 
 
 @query("corpus_manifest", "SELECT stem, CASE WHEN stem IN (SELECT stem FROM forms) THEN 'ready' ELSE 'needs_extraction' END AS status, stem IN (SELECT stem FROM marked) AS flagged FROM pdfs", _STEMS)
@@ -99,12 +102,7 @@ def scenario_stats(spark, sf):
     return cascade.scenario_stats(controls(spark, sf, named=False)).select("incident_id", "control_id", "pathway_sequence", "total_prev", "total_mit", "num_threats_in_lod_numeric")
 
 
-_FLAG_NAMES = [
-    ("flag_environmental_threat", "environmental|spill|flood|structural|corrosion|leak", None),
-    ("flag_electrical_failure", "electrical|ignition|spark|power|fire", None),
-    ("flag_procedural_error", "procedure|operator error|human", "pif_procedures"),
-    ("flag_mechanical_failure", "mechanical|equipment|pump|valve|rupture|pressure", "pif_tools_equipment"),
-]
+_FLAG_NAMES = [(name, "|".join(words), factor) for name, (words, factor) in cascade.FLAGS.items()]
 _NAMED = "named AS (SELECT incident_id, threat_id, CASE threat_id WHEN 'T-001' THEN 'Pump leak' WHEN 'T-002' THEN 'Operator error' ELSE 'Loss of power' END AS threat_name FROM threats)"
 _SCENARIO = f"""per_incident AS (SELECT incident_id, count(*) AS num_threats_in_sequence, string_agg(threat_name, ' ') AS txt FROM named GROUP BY 1),
  features AS (SELECT c.incident_id, c.control_id AS control_id_cond, t.control_id AS control_id_target, c.pathway_sequence AS pathway_sequence_cond, t.pathway_sequence AS pathway_sequence_target,
@@ -212,32 +210,73 @@ def shap_waterfall(spark, sf):
     return cascade.waterfall(_contributions(spark, sf), 3)
 
 
-_THREAT_PAIRS = """explicit AS (SELECT DISTINCT c.incident_id, c.control_seq, t.threat_id FROM (SELECT incident_id, control_seq, unnest(linked_threat_ids) AS threat_id FROM controls) c JOIN threats t USING (incident_id, threat_id)),
- rest AS (SELECT incident_id, control_seq FROM controls ANTI JOIN explicit USING (incident_id, control_seq)),
- threat_pairs AS (SELECT incident_id, control_seq, threat_id, 'explicit' AS mapping_method FROM explicit UNION ALL SELECT r.incident_id, r.control_seq, t.threat_id, 'inferred' FROM rest r JOIN threats t USING (incident_id)
-  UNION ALL SELECT r.incident_id, r.control_seq, 'TE:' || coalesce(o_orderpriority, 'Loss of Containment'), 'top_event' FROM rest r LEFT JOIN orders ON o_orderkey = r.incident_id WHERE r.incident_id NOT IN (SELECT incident_id FROM threats))"""
+def _threat_sources(spark, sf):
+    """Incidents with their threats in order; some documents are absent, some cannot be read, some have no top event."""
+    orders, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    ids = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("o_custkey") % 4).cast("int")), lambda k: F.concat(F.lit("T-00"), k.cast("string")))
+    threats_ = F.when(F.col("o_custkey") % 4 > 0, F.transform(ids, lambda t: F.struct(t.alias("threat_id"), F.concat(F.lit("threat "), t).alias("threat_name"))))
+    blank = lambda p, c: F.when(key % p == 0, "").otherwise(c)
+    return orders.where(key % 23 != 1).select(
+        key.alias("incident_id"), threats_.alias("threats"), blank(2, F.col("o_orderpriority")).alias("top_event"), blank(3, F.lit("described")).alias("description"),
+        blank(5, F.col("o_orderstatus")).alias("incident_type"), F.when(key % 29 == 2, "cut off").alias("error"),
+    )
+
+
+_THREAT_PAIRS = """docs AS (SELECT o_orderkey AS incident_id, o_custkey % 4 AS n, o_orderkey % 29 = 2 AS bad, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderpriority WHEN o_orderkey % 3 <> 0 THEN 'described' WHEN o_orderkey % 5 <> 0 THEN o_orderstatus ELSE 'Loss of Containment' END AS top
+   FROM orders WHERE o_orderkey % 23 <> 1),
+ good AS (SELECT c.incident_id, control_seq, linked_threat_ids, n, top FROM controls c JOIN docs d USING (incident_id) WHERE NOT bad),
+ explicit AS (SELECT incident_id, control_seq, t AS threat_id FROM (SELECT incident_id, control_seq, n, unnest(linked_threat_ids) AS t FROM good) WHERE CAST(substr(t, 5) AS INTEGER) BETWEEN 1 AND n),
+ rest AS (SELECT * FROM good ANTI JOIN explicit USING (incident_id, control_seq)),
+ threat_pairs AS (SELECT incident_id, control_seq, threat_id, 'threat ' || threat_id AS threat_name, 'explicit' AS mapping_method FROM explicit
+  UNION ALL SELECT incident_id, control_seq, 'T-00' || k, 'threat T-00' || k, 'side_inferred' FROM rest, (VALUES (1), (2), (3)) AS v(k) WHERE k <= n
+  UNION ALL SELECT incident_id, control_seq, 'T-TOP', top, 'top_event_only' FROM rest WHERE n = 0
+  UNION ALL SELECT incident_id, control_seq, 'T-ERROR', 'Error loading JSON: cut off', 'json_error' FROM controls JOIN docs USING (incident_id) WHERE bad
+  UNION ALL SELECT incident_id, control_seq, 'T-UNKNOWN', 'Unknown (JSON not found)', 'json_missing' FROM controls ANTI JOIN docs USING (incident_id))"""
 
 
 def _threat_pairs(spark, sf):
-    events = table(spark, sf, "orders").select(F.col("o_orderkey").alias("incident_id"), F.col("o_orderpriority").alias("top_event"))
-    return threat_ops.threat_barrier_pairs(controls(spark, sf, named=False), threats(spark, sf), events)
+    return threat_ops.threat_barrier_pairs(controls(spark, sf, named=False), _threat_sources(spark, sf))
 
 
-@query("threat_barrier_pairs", "SELECT * FROM threat_pairs", CONTROLS, THREATS, _THREAT_PAIRS)
+@query("threat_barrier_pairs", "SELECT * FROM threat_pairs", CONTROLS, _THREAT_PAIRS)
 def threat_barrier_pairs(spark, sf):
     return _threat_pairs(spark, sf)
 
 
-@query("threat_pair_stats", "SELECT mapping_method, count(*) AS pairs, count(DISTINCT incident_id) AS incidents FROM threat_pairs GROUP BY 1", CONTROLS, THREATS, _THREAT_PAIRS)
+@query("threat_pair_stats", "SELECT mapping_method, count(*) AS pairs, count(DISTINCT incident_id) AS incidents FROM threat_pairs GROUP BY 1", CONTROLS, _THREAT_PAIRS)
 def threat_pair_stats(spark, sf):
     return threat_ops.pair_stats(_threat_pairs(spark, sf))
 
 
-@query("threat_coverage_check", "SELECT count(*) AS uncovered FROM controls ANTI JOIN threat_pairs USING (incident_id, control_seq)", CONTROLS, THREATS, _THREAT_PAIRS)
+@query("threat_coverage_check", "SELECT count(*) AS uncovered FROM controls ANTI JOIN threat_pairs USING (incident_id, control_seq)", CONTROLS, _THREAT_PAIRS)
 def threat_coverage_check(spark, sf):
     return threat_ops.uncovered(controls(spark, sf, named=False), _threat_pairs(spark, sf)).agg(F.count("*").alias("uncovered"))
 
 
+@query(
+    "line_lookup",
+    "SELECT incident_id, 'P-' || k AS control_id, arg_max(line_of_defense, control_seq) AS lod_industry_standard, arg_max(lod_numeric, control_seq) AS lod_numeric FROM (SELECT incident_id, control_seq, line_of_defense, lod_numeric, quantity % 3 AS k FROM controls) GROUP BY 1, 2",
+    CONTROLS,
+)
+def line_lookup(spark, sf):
+    """Controls are named by a few values, so that ids repeat in an incident and the last row counts."""
+    named = F.concat(F.lit("P-"), (F.col("quantity") % 3).cast("string"))
+    base = controls(spark, sf, named=False).select("incident_id", "control_seq", named.alias("control_id"), F.col("line_of_defense").alias("lod_industry_standard"), "lod_numeric")
+    return threat_ops.line_lookup(base, "control_seq")
+
+
+@query(
+    "agency_lookup",
+    """SELECT DISTINCT c.incident_id, CASE WHEN f.a IN ('BSEE', 'CSB') THEN f.a ELSE 'UNKNOWN' END AS source_agency FROM controls c
+    LEFT JOIN (SELECT o_custkey AS incident_id, arg_min(CASE o_orderkey % 4 WHEN 0 THEN 'BSEE' WHEN 1 THEN 'CSB' ELSE 'NTSB' END, o_orderkey) AS a FROM orders GROUP BY 1) f USING (incident_id)""",
+    CONTROLS,
+)
+def agency_lookup(spark, sf):
+    k = F.col("o_orderkey") % 4
+    flat = table(spark, sf, "orders").select(F.col("o_custkey").alias("incident_id"), "o_orderkey", F.when(k == 0, "BSEE").when(k == 1, "CSB").otherwise("NTSB").alias("source_agency"))
+    return threat_ops.agency_lookup(controls(spark, sf, named=False), flat, ["BSEE", "CSB"], "o_orderkey")
+
+
 _ELIGIBLE = """lod_rows AS (SELECT *, CASE WHEN line_of_defense = 'recovery' THEN 'Other' ELSE line_of_defense END AS lod_name FROM controls),
  counted AS (SELECT incident_id, count(*) AS n, count(*) FILTER (lod_numeric <> 99 AND lod_name <> 'Other') AS valid, count(*) FILTER (lod_numeric <> 99 AND lod_name <> 'Other' AND side = 'prevention') AS prev,
   count(*) FILTER (lod_numeric <> 99 AND lod_name <> 'Other' AND side = 'mitigation') AS mit FROM lod_rows GROUP BY 1),
@@ -266,15 +305,25 @@ def scenario_pick(spark, sf):
     return cascade.pick_per_agency(_eligible(spark, sf).join(rows, "incident_id")).select("incident_id", "source_agency", "preferred")
 
 
-@query(
-    "negative_pif_tags",
-    """SELECT region, 'people' AS category, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM (SELECT region, unnest([CASE WHEN pif_competence THEN 'competence' END, CASE WHEN pif_fatigue THEN 'fatigue' END, CASE WHEN pif_communication THEN 'communication' END, CASE WHEN pif_situational_awareness THEN 'situational_awareness' END]) AS t FROM incidents) WHERE t IS NOT NULL GROUP BY 1
-    UNION ALL SELECT region, 'work', string_agg(DISTINCT t, ',' ORDER BY t) FROM (SELECT region, unnest([CASE WHEN pif_procedures THEN 'procedures' END, CASE WHEN pif_workload THEN 'workload' END, CASE WHEN pif_time_pressure THEN 'time_pressure' END, CASE WHEN pif_tools_equipment THEN 'tools_equipment' END]) AS t FROM incidents) WHERE t IS NOT NULL GROUP BY 1
-    UNION ALL SELECT region, 'organisation', string_agg(DISTINCT t, ',' ORDER BY t) FROM (SELECT region, unnest([CASE WHEN pif_safety_culture THEN 'safety_culture' END, CASE WHEN pif_management_of_change THEN 'management_of_change' END, CASE WHEN pif_supervision THEN 'supervision' END, CASE WHEN pif_training THEN 'training' END]) AS t FROM incidents) WHERE t IS NOT NULL GROUP BY 1""",
-    INCIDENTS,
-)
+def _valued(spark, sf):
+    """Incidents with a value for each factor: negative, another note, blank or none."""
+    key = F.col("incident_id")
+    value = F.when(key % 3 == 0, "negative").when(key % 3 == 1, F.concat(F.lit(" noted "), (key % 5).cast("string"), F.lit(" "))).otherwise(" ")
+    return incidents(spark, sf).withColumns({f"{p}_value": F.when(F.col(p), value) for p in PIFS})
+
+
+_FACTOR = "CASE WHEN {p} THEN CASE incident_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN ' noted ' || (incident_id % 5) || ' ' ELSE ' ' END END"
+_VALUED = f"valued AS (SELECT *, {', '.join(_FACTOR.format(p=p) + f' AS {p}_value' for p in PIFS)} FROM incidents)"
+
+
+def _tags_sql(category: str) -> str:
+    listed = ", ".join(f"CASE WHEN pif_{f}_value = 'negative' THEN '{f}' END" for f in FACTORS[category])
+    return f"SELECT region, '{category}' AS category, string_agg(DISTINCT t, ',' ORDER BY t) AS tags FROM (SELECT region, unnest([{listed}]) AS t FROM valued) WHERE t IS NOT NULL GROUP BY 1"
+
+
+@query("negative_pif_tags", " UNION ALL ".join(map(_tags_sql, FACTORS)), INCIDENTS, _VALUED)
 def negative_pif_tags(spark, sf):
-    tags = context.factor_tags(incidents(spark, sf), ["region"])
+    tags = context.factor_tags(_valued(spark, sf), ["region"])
     return tags.withColumn("tags", F.array_join("tags", ","))
 
 
@@ -285,15 +334,89 @@ def negative_pif_tags(spark, sf):
     INCIDENTS,
 )
 def ordered_recommendations(spark, sf):
-    rows = incidents(spark, sf).select("region", F.col("incident_id").alias("pos"), F.array("operator").alias("recommendations"))
+    rows = incidents(spark, sf).select("region", F.col("incident_id").alias("pos"), F.array(F.lit(" "), F.concat(F.lit(" "), "operator")).alias("recommendations"))
     return context.ordered_recommendations(rows, ["region"]).withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
-@query("display_names", "SELECT incident_id, control_id, CASE barrier_status WHEN 'active' THEN 'effective' WHEN 'degraded' THEN 'degraded' WHEN 'unknown' THEN 'status_unknown' ELSE coalesce(CASE WHEN barrier_status IS NOT NULL THEN 'ineffective' END, 'status_unknown') END AS condition FROM controls", CONTROLS)
-def display_names(spark, sf):
+@query("barrier_conditions", "SELECT incident_id, control_id, CASE barrier_status WHEN 'active' THEN 'effective' WHEN 'degraded' THEN 'degraded' WHEN 'unknown' THEN 'status_unknown' ELSE coalesce(CASE WHEN barrier_status IS NOT NULL THEN 'ineffective' END, 'status_unknown') END AS condition FROM controls", CONTROLS)
+def barrier_conditions(spark, sf):
     return controls(spark, sf, named=False).select("incident_id", "control_id", context.condition(F.col("barrier_status")).alias("condition"))
 
 
+_DISPLAY = {"engineering": "Engineered", "administrative": "Procedural", "1st": "First line"}
+
+
+@query("display_names", "SELECT incident_id, control_id, CASE barrier_type WHEN 'engineering' THEN 'Engineered' WHEN 'administrative' THEN 'Procedural' ELSE barrier_type END AS barrier_type_display, CASE line_of_defense WHEN '1st' THEN 'First line' ELSE line_of_defense END AS line_of_defense_display FROM controls", CONTROLS)
+def display_names(spark, sf):
+    names = spark.createDataFrame(list(_DISPLAY.items()), "raw string, display string")
+    rows = context.display_names(context.display_names(controls(spark, sf, named=False), "barrier_type", names), "line_of_defense", names)
+    return rows.select("incident_id", "control_id", "barrier_type_display", "line_of_defense_display")
+
+
+_NOTES = "list_filter([" + ", ".join(f"nullif(trim({p}_value), '')" for p in PIFS) + "], lambda x: x IS NOT NULL)"
+
+
+@query("factor_notes", f"SELECT incident_id, coalesce(array_to_string({_NOTES}, '|'), '') AS notes FROM valued", INCIDENTS, _VALUED)
+def factor_notes(spark, sf):
+    return _valued(spark, sf).select("incident_id", F.array_join(context.factor_notes(), "|").alias("notes"))
+
+
+_DESCRIBED = """described AS (SELECT *, CASE WHEN incident_id % 4 = 0 THEN NULL ELSE ['crude oil', 'gas'] END AS materials, CASE WHEN incident_id % 6 = 0 THEN ['inspect', 'train "all"'] ELSE [] END AS recommendations,
+  CASE WHEN incident_id % 7 = 0 THEN NULL ELSE 'summary ' || incident_id END AS summary FROM valued)"""
+
+
+def _described(spark, sf):
+    key, none = F.col("incident_id"), F.array().cast("array<string>")
+    return _valued(spark, sf).withColumns(
+        {
+            "materials": F.when(key % 4 != 0, F.array(F.lit("crude oil"), F.lit("gas"))),
+            "recommendations": F.when(key % 6 == 0, F.array(F.lit("inspect"), F.lit('train "all"'))).otherwise(none),
+            "summary": F.when(key % 7 != 0, F.concat(F.lit("summary "), key.cast("string"))),
+        }
+    )
+
+
+def _one_tag(category: str) -> str:
+    listed = ", ".join(f"CASE WHEN pif_{f}_value = 'negative' THEN '{f}' END" for f in sorted(FACTORS[category]))
+    found = f"list_filter([{listed}], lambda x: x IS NOT NULL)"
+    return f"""CASE WHEN len({found}) > 0 THEN '"{category}":["' || array_to_string({found}, '","') || '"]' END"""
+
+
+_TAGS_JSON = "list_filter([" + ", ".join(map(_one_tag, FACTORS)) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    "incident_documents",
+    f"""SELECT incident_id, 'Top Event: ' || top_event || '\nIncident Type: ' || incident_type || '\nOperating Phase: unknown\nMaterials: ' || coalesce(array_to_string(materials, ', '), 'N/A') || '\nSummary: ' || coalesce(summary, '')
+      || '\nRecommendations:\n' || CASE WHEN len(recommendations) > 0 THEN array_to_string(recommendations, '\n') ELSE 'N/A' END || '\nPerformance-Influencing Factor Notes:\n' || CASE WHEN len(notes) > 0 THEN array_to_string(notes, '\n') ELSE 'N/A' END AS incident_embed_text,
+      top_event, incident_type, 'unknown' AS operating_phase, CASE WHEN materials IS NULL THEN '[]' ELSE '["crude oil","gas"]' END AS materials, coalesce(region, 'unknown') AS region, coalesce(operator, 'unknown') AS operator, coalesce(summary, '') AS summary,
+      CASE WHEN len(recommendations) > 0 THEN '["inspect","train \\"all\\""]' ELSE '[]' END AS recommendations, CASE WHEN len(tags) > 0 THEN '{{' || array_to_string(tags, ',') || '}}' END AS pif_tags_json
+    FROM (SELECT *, {_NOTES} AS notes, {_TAGS_JSON} AS tags FROM described)""",
+    INCIDENTS,
+    _VALUED,
+    _DESCRIBED,
+)
+def incident_documents(spark, sf):
+    return context.incident_documents(_described(spark, sf))
+
+
+@query(
+    "barrier_documents",
+    f"""SELECT c.incident_id, control_id, 'Barrier: ' || coalesce(name, '') || '\nRole: ' || coalesce(barrier_role, '') || '\nLOD Basis: N/A' AS barrier_role_match_text, 'other_' || barrier_type AS barrier_family, barrier_type, side, line_of_defense,
+      coalesce(barrier_status, 'unknown') AS barrier_status, barrier_failed, barrier_failed_human, coalesce(human_contribution_value, '') AS human_contribution_value, {", ".join(f"coalesce({p}, false) AS {p}" for p in PIFS)},
+      CASE WHEN supporting_text_count = 0 THEN '[]' ELSE '["quote ' || supporting_text_count || '"]' END AS supporting_text, confidence, coalesce(summary, '') AS incident_summary
+    FROM controls c LEFT JOIN described d ON c.incident_id = d.incident_id""",
+    CONTROLS,
+    INCIDENTS,
+    _VALUED,
+    _DESCRIBED,
+)
+def barrier_documents(spark, sf):
+    n = F.col("supporting_text_count")
+    flat = controls(spark, sf).withColumn("supporting_text", F.when(n > 0, F.array(F.concat(F.lit("quote "), n.cast("string")))))
+    return context.barrier_documents(flat, _described(spark, sf), F.concat(F.lit("other_"), "barrier_type"))
+
+
 @query("side_map", "SELECT incident_id, control_id, side AS mapped FROM controls", CONTROLS)
 def side_map(spark, sf):
     drifted = F.when(F.col("side") == "prevention", "left").otherwise("right")

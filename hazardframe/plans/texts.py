@@ -12,13 +12,19 @@ from .registry import query, table
 PRIMARY, SECONDARY, CONTEXT = ["ing", "keit", "que"], ["the", "und"], ["of", "der", "la", "the"]
 
 _GARBLED = "garbled AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN text || repeat('(cid:7)', 6) WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 17 = 0 THEN repeat('12345 ', 100) ELSE text END AS text FROM documents)"
-_STRIP = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
-_MEASURED = f"""stripped AS (SELECT doc_id, source, {_STRIP.format("coalesce(text, '')")} AS t FROM garbled),
+_BLANK = r"[\s\p{Z}]"  # white space of any script
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_BLANK}+', ''), '{_BLANK}+$', '')"
+
+
+_MEASURED = rf"""stripped AS (SELECT doc_id, source, {_strip("coalesce(text, '')")} AS t FROM garbled),
  measured AS (SELECT doc_id, source, CAST(length(t) AS INTEGER) AS text_len,
-  CASE WHEN t <> '' THEN length(regexp_replace(t, '\\P{{L}}', '', 'g')) / length(t)::DOUBLE ELSE 0.0::DOUBLE END AS alpha_ratio,
-  CASE WHEN t <> '' THEN length(regexp_replace(t, '\\S', '', 'g')) / length(t)::DOUBLE ELSE 0.0::DOUBLE END AS whitespace_ratio,
-  CAST(len(regexp_extract_all(t, '\\(cid:\\d+\\)')) AS INTEGER) AS cid_count, CASE WHEN t <> '' THEN len(regexp_extract_all(t, '\\(cid:\\d+\\)')) / length(t)::DOUBLE ELSE 0.0::DOUBLE END AS cid_ratio FROM stripped)"""
-_GATED = """gated AS (SELECT doc_id, source, CASE WHEN text_len = 0 THEN 'EMPTY_TEXT' WHEN text_len < 400 THEN 'TEXT_TOO_SHORT' WHEN cid_ratio > 0.01 OR cid_count >= 5 THEN 'CID_ENCODING_GIBBERISH'
+  CASE WHEN t <> '' THEN round(length(regexp_replace(t, '\P{{L}}', '', 'g')) / length(t)::DOUBLE, 4) ELSE 0.0::DOUBLE END AS alpha_ratio,
+  CASE WHEN t <> '' THEN round((length(t) - length(regexp_replace(t, '{_BLANK}', '', 'g'))) / length(t)::DOUBLE, 4) ELSE 0.0::DOUBLE END AS whitespace_ratio,
+  CAST(len(regexp_extract_all(t, '\(cid:\d+\)')) AS INTEGER) AS cid_count, CASE WHEN t <> '' THEN round((length(t) - length(regexp_replace(t, '\(cid:\d+\)', '', 'g'))) / length(t)::DOUBLE, 4) ELSE 0.0::DOUBLE END AS cid_ratio FROM stripped)"""
+_GATED = """gated AS (SELECT doc_id, source, CASE WHEN text_len = 0 THEN 'EMPTY_TEXT' WHEN text_len < 400 THEN 'TOO_SHORT' WHEN cid_ratio > 0.01 OR cid_count >= 5 THEN 'CID_ENCODING_GIBBERISH'
   WHEN alpha_ratio < 0.55 THEN 'LOW_ALPHA_GIBBERISH' ELSE 'OK' END AS status FROM measured)"""
 
 
@@ -47,14 +53,20 @@ def gate_summary(spark, sf):
     return _gated(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Every special character once: quotes of all kinds, dashes that stay, blanks of all kinds, control and format characters.
+_ODD = "  «a» ‘b’ “c” d–e—f    \t x   y ​z\u0007­w\r\n   \n\n\n\n\n\n end  "
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\p{Cf}\p{Co}]"
+_PLAIN = "translate(coalesce(text, ''), chr(160) || '‘’“”«»', ' ' || repeat(chr(39), 2) || repeat(chr(34), 4))"
+_SQUEEZED = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '{_CONTROL}', '', 'g'), '[ \t\r\p{{Z}}]{{3,}}', '  ', 'g'), '\n{{4,}}', repeat(chr(10), 3), 'g')"
+
+
 @query(
     "normalized_text",
-    r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(translate(text, chr(8217) || chr(160), ''' '), '[^\S\n]{3,}', '  ', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10)),
-      lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), chr(10)), '^\s+', ''), '\s+$', '')) AS digest
-    FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '     tail' || chr(160) || 'x' || chr(8217) || repeat(chr(10), 6) || 'end ' ELSE text END AS text FROM documents)""",
+    f"""SELECT doc_id, sha256({_strip(f"array_to_string(list_transform(string_split(t, chr(10)), lambda x: {_strip('x')}), chr(10))")}) AS digest FROM (SELECT doc_id, {_SQUEEZED} AS t
+      FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN text || $odd${_ODD}$odd$ || text ELSE text END AS text FROM documents))""",
 )
 def normalized_text(spark, sf):
-    odd = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("     tail x’\n\n\n\n\n\nend "))).otherwise(F.col("text"))
+    odd = F.when(F.col("doc_id") % 11 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(_ODD), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.normalize_text(odd), 256).alias("digest"))
 
 
@@ -162,7 +174,7 @@ def _marked(spark, sf):
 def _cleaned(column: str) -> str:
     for pattern in (text.ROLE_MARKERS, text.TEMPLATE_VARIABLES, text.TAGS_OF_PROMPTS, text.HEADINGS_OF_PROMPTS):
         column = f"regexp_replace({column}, '{pattern}', '', 'g')"
-    return _STRIP.format(column)
+    return _strip(column)
 
 
 @query("sanitized_turns", f"SELECT conv_id, turn, sha256({_cleaned('text')}) AS digest FROM marked", _MARKED)
@@ -172,7 +184,7 @@ def sanitized_turns(spark, sf):
 
 @query(
     "narrative_gate",
-    rf"""SELECT conv_id, turn, t <> '' AND len(regexp_split_to_array(t, '\s+')) <= 60 AND len(regexp_extract_all(t, '[.!?]')) <= 4 AS ok FROM (SELECT conv_id, turn, {_STRIP.format("coalesce(text, '')")} AS t FROM conversations)""",
+    rf"""SELECT conv_id, turn, t <> '' AND len(regexp_split_to_array(t, '\s+')) <= 60 AND len(regexp_extract_all(t, '[.!?]')) <= 4 AS ok FROM (SELECT conv_id, turn, {_strip("coalesce(text, '')")} AS t FROM conversations)""",
 )
 def narrative_gate(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.narrative_ok(F.col("text")).alias("ok"))

@@ -1,4 +1,4 @@
-"""Queries over embeddings: search, hybrid ranking, evaluation."""
+"""Queries over embeddings: search, hybrid ranking, pair context, evaluation."""
 
 from __future__ import annotations
 
@@ -16,26 +16,33 @@ def _ranked(name: str, where: str, on: str = "true") -> str:
       SELECT query_id, vec_id AS item_id, label, round(list_dot_product(qe, e), 6) AS score FROM q, v WHERE {where} AND {on})))"""
 
 
-_B, _I = _ranked("b", "vec_id >= 100"), _ranked("i", "vec_id < 100")
-_M = _ranked("m", "vec_id >= 100", "label = qlabel AND vec_id % 2 = 0")
-_H = """h AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, barrier_rank, item_id) AS INTEGER) AS place FROM (
+_B, _I, _A = _ranked("b", "vec_id >= 100"), _ranked("i", "vec_id < 100"), _ranked("a", "true")
+_M = _ranked("m", "true", "label = qlabel AND vec_id % 2 = 0")
+_H30 = """h30 AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, barrier_rank, item_id) AS INTEGER) AS place FROM (
   SELECT query_id, b.item_id, i.item_id AS incident_id, b.rank AS barrier_rank, b.score AS barrier_sim, i.rank AS incident_rank, i.score AS incident_sim,
     round(1.0::DOUBLE / (60 + b.rank) + 1.0::DOUBLE / (60 + i.rank), 9) AS rrf_score, b.label AS family
-  FROM b JOIN i USING (query_id) WHERE b.item_id % 100 = i.item_id AND b.rank <= 150 AND i.rank <= 40)) WHERE place <= 10)"""
-_HITS = [_V, _B, _I, _H]
+  FROM b JOIN i USING (query_id) WHERE b.item_id % 100 = i.item_id AND b.rank <= 150 AND i.rank <= 40)) WHERE place <= 30)"""
+_H = "h AS (SELECT * FROM h30 WHERE place <= 10)"
+_HITS = [_V, _B, _I, _H30, _H]
 
 
-def _sides(spark, sf):
-    v = table(spark, sf, "embeddings")
-    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    items = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec"), F.col("label").alias("family"), (F.col("vec_id") % 2 == 0).alias("failed_human"))
-    return queries, items.where("item_id >= 100"), items.where("item_id < 100")
+def _queries(spark, sf):
+    v = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-def _hybrid(spark, sf):
-    queries, barriers, incidents = _sides(spark, sf)
-    parent = barriers.select("item_id", (F.col("item_id") % 100).alias("incident_id"))
-    return retrieval.hybrid(retrieval.top_k(queries, barriers, 150), retrieval.top_k(queries, incidents, 40), parent)
+def _items(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec"), F.col("label").alias("family"), (F.col("vec_id") % 2 == 0).alias("failed_human"))
+
+
+def _indexed(spark, sf):
+    """Both indexes of a hybrid search: the vectors from 100 on are barriers, the others their incidents."""
+    key = F.col("item_id")
+    return _items(spark, sf).withColumns({"side": F.when(key >= 100, retrieval.BARRIER).otherwise(retrieval.INCIDENT), "incident_id": key % 100})
+
+
+def _hybrid(spark, sf, k=10):
+    return retrieval.hybrid_search(_queries(spark, sf), _indexed(spark, sf), 150, 40, k)
 
 
 @query("vector_norm_check", "SELECT count(*) AS vectors, count(*) FILTER (abs(sqrt(list_dot_product(e, e)) - 1) > 1e-4) AS not_unit FROM v", _V)
@@ -43,17 +50,16 @@ def vector_norm_check(spark, sf):
     return retrieval.check_unit(table(spark, sf, "embeddings"))
 
 
-@query("vector_topk", "SELECT query_id, item_id, score, rank FROM b WHERE rank <= 50", _V, _B)
+@query("vector_topk", "SELECT query_id, item_id, score, rank FROM a WHERE rank <= 50", _V, _A)
 def vector_topk(spark, sf):
-    queries, barriers, _ = _sides(spark, sf)
-    return retrieval.top_k(queries, barriers, 50)
+    return retrieval.top_k(_queries(spark, sf), _items(spark, sf), 50)
 
 
 @query("masked_topk", "SELECT query_id, item_id, score, rank FROM m WHERE rank <= 50", _V, _M)
 def masked_topk(spark, sf):
-    queries, barriers, _ = _sides(spark, sf)
-    family = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("family"), F.lit(True).alias("failed_human"))
-    return retrieval.top_k(queries.join(family, "query_id"), barriers, 50)
+    masks = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    queries = masks.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("family"), F.lit(True).alias("failed_human"))
+    return retrieval.top_k(queries, _items(spark, sf), 50)
 
 
 @query("hybrid_rrf", "SELECT query_id, item_id, incident_id, barrier_rank, incident_rank, barrier_sim, incident_sim, rrf_score, place FROM h", *_HITS)
@@ -81,18 +87,96 @@ def confidence_gate(spark, sf):
 
 @query(
     "rerank",
-    """SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN item_id % 3 > 0 THEN (item_id % 7) / 7.0::DOUBLE END, 0) DESC, rrf_score DESC, place) AS INTEGER) AS rerank_place FROM h""",
+    """SELECT query_id, item_id, rerank_place FROM (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN item_id % 3 > 0 THEN (item_id % 7) / 7.0::DOUBLE END, 0) DESC, rrf_score DESC, place) AS INTEGER) AS rerank_place FROM h30)
+    WHERE rerank_place <= 10""",
     *_HITS,
 )
 def rerank(spark, sf):
-    scored = _hybrid(spark, sf).withColumn("rerank_score", F.when(F.col("item_id") % 3 > 0, (F.col("item_id") % 7) / F.lit(7.0)))
+    """Thirty candidates are fetched for a reranker, the best ten stay."""
+    scored = _hybrid(spark, sf, 30).withColumn("rerank_score", F.when(F.col("item_id") % 3 > 0, (F.col("item_id") % 7) / F.lit(7.0)))
     return retrieval.rerank(scored).select("query_id", "item_id", "rerank_place")
 
 
-def _matches(spark, sf, hits):
+_PAIR = """c AS (SELECT query_id, vec_id AS item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(qe, e), 6) DESC, vec_id) AS INTEGER) AS rank FROM q, v WHERE vec_id >= 100 AND vec_id % 2 = 0),
+ sides AS (SELECT 'conditioning' AS side_of_pair, query_id, c.item_id, i.item_id AS incident_id, c.rank AS barrier_rank, i.rank AS incident_rank, round(1.0::DOUBLE / (60 + c.rank) + 1.0::DOUBLE / (60 + i.rank), 9) AS rrf_score
+   FROM c JOIN i USING (query_id) WHERE c.item_id % 100 = i.item_id AND c.rank <= 150 AND i.rank <= 40
+  UNION ALL SELECT 'target', query_id, b.item_id, i.item_id, b.rank, i.rank, round(1.0::DOUBLE / (60 + b.rank) + 1.0::DOUBLE / (60 + i.rank), 9) FROM b JOIN i USING (query_id) WHERE b.item_id % 100 = i.item_id AND b.rank <= 150 AND i.rank <= 40),
+ ten AS (SELECT *, row_number() OVER (PARTITION BY query_id, side_of_pair ORDER BY rrf_score DESC, barrier_rank, item_id) AS p FROM sides QUALIFY p <= 10),
+ kept AS (SELECT *, row_number() OVER (PARTITION BY query_id, side_of_pair, incident_id ORDER BY rrf_score DESC, p) AS n FROM ten WHERE incident_id % 4 = 0 OR (incident_id % 4 = 2 AND incident_id % 3 = 0) OR incident_id % 4 = 3 QUALIFY n = 1),
+ pair_hits AS (SELECT * EXCLUDE (p, n), CAST(row_number() OVER (PARTITION BY query_id, side_of_pair ORDER BY p) AS INTEGER) AS place FROM kept)"""
+
+
+def _incident_facts(spark, sf):
+    """Publisher and region of the incident side: some are known by publisher, others by region or not at all."""
+    ids = table(spark, sf, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("incident_id"))
+    k = F.col("incident_id") % 4
+    agency = F.when(k == 0, "bsee").when(k == 1, "CSB").otherwise("")
+    region = F.when(k == 2, F.when(F.col("incident_id") % 3 == 0, "Gulf of Mexico").otherwise("Texas")).otherwise("")
+    return ids.select("incident_id", agency.alias("agency"), region.alias("region"))
+
+
+def _pair_hits(spark, sf):
+    queries = _queries(spark, sf)
+    items = _indexed(spark, sf).withColumn("failed_human", (F.col("side") == retrieval.INCIDENT) | F.col("failed_human"))
+    conditioning = retrieval.hybrid_search(queries.withColumn("failed_human", F.lit(True)), items, 150, 40)
+    target = retrieval.hybrid_search(queries, items, 150, 40)
+    return retrieval.pair_hits(conditioning, target, _incident_facts(spark, sf))
+
+
+@query("pair_hits", "SELECT query_id, side_of_pair, item_id, incident_id, barrier_rank, incident_rank, rrf_score, place FROM pair_hits", *_HITS, _PAIR)
+def pair_hits(spark, sf):
+    return _pair_hits(spark, sf).select("query_id", "side_of_pair", "item_id", "incident_id", "barrier_rank", "incident_rank", "rrf_score", "place")
+
+
+_ENTRY = """printf('### Result %d (RRF: %.4f, Barrier Rank: %d, Incident Rank: %d)\n**Barrier:** barrier %d\n**Family:** f%d | Side: prevention | Status: failed\n**Role:** \n**LOD Basis:** N/A\n**Human Failed:** %s | Human Contribution: N/A\n**Evidence:**\n%s\n\n**Parent Incident:** %d\n**Incident Summary:** summary %d\n%s%s',
+   place, rrf_score, barrier_rank, incident_rank, item_id, item_id % 5, CASE WHEN item_id % 2 = 0 THEN 'Yes' ELSE 'No' END, CASE WHEN item_id % 3 = 0 THEN '- "quote one"\n- "quote two"' ELSE '- N/A' END, incident_id, incident_id,
+   CASE WHEN incident_id % 5 = 0 THEN '**Recommendations:**\n- ' || repeat('inspect ', 60) || '\n' ELSE '' END,
+   CASE WHEN incident_id % 7 = 0 THEN '**Performance Influencing Factors (negative):**\n- People: situational awareness\n- Organisation: safety culture, training\n' ELSE '' END)"""
+_CONTEXT = f"""entries AS (SELECT query_id, side_of_pair, place, {_ENTRY} AS entry FROM pair_hits),
+ running AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id, side_of_pair ORDER BY place) AS used FROM entries),
+ cut AS (SELECT *, min(CASE WHEN used > 3000 - 29 AND place > 1 THEN place END) OVER (PARTITION BY query_id, side_of_pair) AS stop FROM running),
+ texts AS (SELECT query_id, s.side_of_pair, coalesce('## Similar Barrier Failures\n\n' || string_agg(entry, '\n---\n' ORDER BY place) FILTER (stop IS NULL OR place < stop), '## Similar Barrier Failures\n\nNo similar barrier failures found.') AS t
+   FROM q CROSS JOIN (VALUES ('conditioning'), ('target')) AS s(side_of_pair) LEFT JOIN cut USING (query_id, side_of_pair) GROUP BY 1, 2),
+ counts AS (SELECT query_id, count(*) FILTER (side_of_pair = 'conditioning') AS n_conditioning, count(*) FILTER (side_of_pair = 'target') AS n_target FROM pair_hits GROUP BY 1)"""
+
+
+@query(
+    "pair_context",
+    """SELECT query_id, digest, coalesce(n_conditioning, 0) AS n_conditioning, coalesce(n_target, 0) AS n_target FROM (SELECT query_id, sha256('## Conditioning Barrier — Similar Failures\n\n' || max(CASE WHEN side_of_pair = 'conditioning' THEN t END)
+      || '\n\n## Target Barrier — Similar Failures\n\n' || max(CASE WHEN side_of_pair = 'target' THEN t END)) AS digest FROM texts GROUP BY 1) LEFT JOIN counts USING (query_id)""",
+    *_HITS,
+    _PAIR,
+    _CONTEXT,
+)
+def pair_context(spark, sf):
+    item, inc = F.col("item_id"), F.col("incident_id")
+    none = F.array().cast("array<string>")
+    tags = F.create_map(F.lit("people"), F.array(F.lit("situational_awareness")), F.lit("organisation"), F.array(F.lit("safety_culture"), F.lit("training")))
+    columns = {
+        "barrier_name": F.concat(F.lit("barrier "), item.cast("string")), "barrier_family": F.concat(F.lit("f"), (item % 5).cast("string")), "side": F.lit("prevention"), "barrier_status": F.lit("failed"),
+        "barrier_role": F.lit(""), "lod_basis": F.lit("N/A"), "barrier_failed_human": item % 2 == 0, "human_contribution_value": F.lit(None).cast("string"),
+        "supporting_text": F.when(item % 3 == 0, F.array(F.lit("quote one"), F.lit("quote two"))).otherwise(none), "incident_summary": F.concat(F.lit("summary "), inc.cast("string")),
+        "recommendations": F.when(inc % 5 == 0, F.array(F.repeat(F.lit("inspect "), F.lit(60)))).otherwise(none), "pif_tags": F.when(inc % 7 == 0, tags),
+    }
+    hits = _pair_hits(spark, sf).withColumn("entry", retrieval.context_entry(F.col("place"), columns))
+    found = retrieval.pair_context(hits, _queries(spark, sf), 3000)
+    return found.select("query_id", F.sha2("context", 256).alias("digest"), "n_conditioning", "n_target")
+
+
+def _expected(spark, sf):
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("family"))
+
+
+def _first_hits(spark, sf):
+    """The rank of the first of ten hits among the barriers that has the query's own label."""
+    hits = retrieval.top_k(_queries(spark, sf), _items(spark, sf).where("item_id >= 100"), 10, carry=["family"])
+    return retrieval.first_match(hits, _expected(spark, sf))
+
+
+def _delta(spark, sf):
     family = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("family"))
-    expected = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("family"))
-    return retrieval.first_match(hits.join(family, "item_id").select("query_id", "family", "rank"), expected)
+    after = _hybrid(spark, sf).join(family, "item_id").select("query_id", "family", F.col("place").alias("rank"))
+    return retrieval.ranking_delta(_first_hits(spark, sf), retrieval.first_match(after, _expected(spark, sf)))
 
 
 _FIRST = """first_b AS (SELECT query_id, min(CASE WHEN label = qlabel AND rank <= 10 THEN rank END) AS rank FROM q LEFT JOIN b USING (query_id) GROUP BY 1),
@@ -107,8 +191,7 @@ _FIRST = """first_b AS (SELECT query_id, min(CASE WHEN label = qlabel AND rank <
     _FIRST,
 )
 def retrieval_metrics(spark, sf):
-    queries, barriers, _ = _sides(spark, sf)
-    return retrieval.retrieval_metrics(_matches(spark, sf, retrieval.top_k(queries, barriers, 10)))
+    return retrieval.retrieval_metrics(_first_hits(spark, sf))
 
 
 @query(
@@ -119,10 +202,18 @@ def retrieval_metrics(spark, sf):
     _FIRST,
 )
 def ranking_delta(spark, sf):
-    queries, barriers, _ = _sides(spark, sf)
-    before = _matches(spark, sf, retrieval.top_k(queries, barriers, 10))
-    after = _matches(spark, sf, _hybrid(spark, sf).select("query_id", "item_id", F.col("place").alias("rank")))
-    return retrieval.ranking_delta(before, after)
+    return _delta(spark, sf)
+
+
+@query(
+    "ranking_delta_summary",
+    """SELECT count(*) FILTER (coalesce(y.rank < x.rank, y.rank IS NOT NULL AND x.rank IS NULL)) AS improved, count(*) FILTER (coalesce(y.rank > x.rank, y.rank IS NULL AND x.rank IS NOT NULL)) AS degraded,
+    count(*) FILTER (x.rank IS NOT DISTINCT FROM y.rank) AS unchanged, coalesce(round(avg(x.rank - y.rank), 6), 0) AS mean_gain FROM first_b x JOIN first_h y USING (query_id)""",
+    *_HITS,
+    _FIRST,
+)
+def ranking_delta_summary(spark, sf):
+    return retrieval.delta_summary(_delta(spark, sf))
 
 
 @query("latency_stats", "SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events")

@@ -5,7 +5,7 @@ import math
 
 import pytest
 from hazardframe.functions import html, text, vector
-from hazardframe.operators import baseline, cascade, coercion, context, coverage, manifests, metrics, mining, ml, profiling, providers, retrieval, taxonomy, threats
+from hazardframe.operators import baseline, cascade, coercion, context, coverage, manifests, metrics, mining, ml, profiling, providers, retrieval, taxonomy, threats, validation
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,11 +61,28 @@ def test_baselines(controls):
     assert rows(baseline.cofailures(controls)) == [("plan", "valve", 1)]
     r = baseline.human_contribution(controls).head()
     assert (r.controls, r.mentioned, r.failed_human, r.failed_and_human, r.incidents) == (5, 1, 1, 1, 3)
-    assert abs(sum(r.share for r in baseline.status_distribution(controls).collect()) - 1) < 1e-12
+    assert r.mentioned_share == 0.2 and r.failed_human_share == 0.2
+    assert rows(baseline.status_distribution(controls), "barrier_status", "n", "share") == [("Active ", 1, 0.2), ("degraded", 1, 0.2), ("failed", 1, 0.2), ("unknown", 1, 0.2)]
+    none = baseline.human_contribution(controls.limit(0)).head()
+    assert none.controls == 0 and none.mentioned_share == 0.0
+
+
+def test_fleet_coverage(spark):
+    reference = spark.createDataFrame([("prevention", "Valve"), ("prevention", "Alarm"), ("mitigation", "Deluge"), ("mitigation", "Drill")], "side string, name string")
+    present = spark.createDataFrame([("A", "prevention", "VALVE"), ("A", "prevention", "valve"), ("A", "prevention", "valve"), ("A", "mitigation", "alarm"), ("B", "mitigation", "drill")], "incident_id string, side string, name string")
+    universe = spark.createDataFrame([("A",), ("B",), ("C",)], "incident_id string")
+    got = {r.incident_id: (r.prevention, r.mitigation, r.overall) for r in baseline.fleet_coverage(present, reference, universe).collect()}
+    # repeated names count up to the cap; a name on the other side counts for overall only
+    assert got == {"A": (1.0, 0.0, 1.0), "B": (0.0, 0.5, 0.25), "C": (0.0, 0.0, 0.0)}
+    assert rows(baseline.fleet_gaps(present, reference, universe).where("incident_id = 'A'"), "name") == [("Deluge",), ("Drill",)]
+    means = baseline.fleet_means(baseline.fleet_coverage(present, reference, universe)).head()
+    assert means.incidents == 3 and means.overall == pytest.approx(1.25 / 3)
+    none = baseline.fleet_coverage(present, reference.limit(0), universe).collect()
+    assert all((r.prevention, r.mitigation, r.overall) == (0.0, 0.0, 0.0) for r in none)
 
 
 def test_fleet_means_of_nothing(spark):
-    empty = spark.createDataFrame([], "incident_id string, prevention double, mitigation double")
+    empty = spark.createDataFrame([], "incident_id string, prevention double, mitigation double, overall double")
     assert tuple(baseline.fleet_means(empty).head()) == (0, 0.0, 0.0, 0.0)
 
 
@@ -145,12 +162,15 @@ def test_waterfall_and_prevalence(spark):
 
 
 def test_threat_tiers(spark):
-    b = spark.createDataFrame([("A", 1, ["T1", "T9"]), ("A", 2, ["T9"]), ("B", 1, [])], "incident_id string, control_seq int, linked_threat_ids array<string>")
-    t = spark.createDataFrame([("A", "T1"), ("A", "T2")], "incident_id string, threat_id string")
-    i = spark.createDataFrame([("A", "x"), ("B", "")], "incident_id string, top_event string")
-    pairs = threats.threat_barrier_pairs(b, t, i)
-    assert rows(pairs) == [("A", 1, "T1", "explicit"), ("A", 2, "T1", "inferred"), ("A", 2, "T2", "inferred"), ("B", 1, "TE:Loss of Containment", "top_event")]
-    assert threats.uncovered(b, pairs).count() == 0
+    b = spark.createDataFrame([("A", 1, ["T1", "T9"]), ("A", 2, ["T9"]), ("B", 1, []), ("C", 1, ["T1"]), ("D", 1, None)], "incident_id string, control_seq int, linked_threat_ids array<string>")
+    fields = "incident_id string, threats array<struct<threat_id:string,threat_name:string>>, top_event string, description string, incident_type string, error string"
+    i = spark.createDataFrame([("A", [("T1", "one"), ("T2", "two")], "x", None, None, None), ("B", [], " ", None, "fire", None), ("D", [("T1", "one")], None, None, None, "bad")], fields)
+    pairs = threats.threat_barrier_pairs(b, i)
+    assert rows(pairs) == [
+        ("A", 1, "T1", "one", "explicit"), ("A", 2, "T1", "one", "side_inferred"), ("A", 2, "T2", "two", "side_inferred"), ("B", 1, "T-TOP", "fire", "top_event_only"),
+        ("C", 1, "T-UNKNOWN", "Unknown (JSON not found)", "json_missing"), ("D", 1, "T-ERROR", "Error loading JSON: bad", "json_error"),
+    ]
+    assert threats.uncovered(b, pairs).count() == 0 and {r.mapping_method: r.pairs for r in threats.pair_stats(pairs).collect()}["side_inferred"] == 2
 
 
 def test_search_and_hybrid(spark):
@@ -177,21 +197,30 @@ def test_budget(spark):
 
 
 def test_text_gate(spark):
-    cases = [("", "EMPTY_TEXT"), (" \n\t ", "EMPTY_TEXT"), ("short", "TEXT_TOO_SHORT"), ("word " * 100 + "(cid:12)" * 5, "CID_ENCODING_GIBBERISH"), ("12345 67890 " * 50, "LOW_ALPHA_GIBBERISH"), ("plain words here " * 40, "OK")]
+    cases = [("", "EMPTY_TEXT"), (" \n\t ", "EMPTY_TEXT"), ("short", "TOO_SHORT"), ("word " * 100 + "(cid:12)" * 5, "CID_ENCODING_GIBBERISH"), ("12345 67890 " * 50, "LOW_ALPHA_GIBBERISH"), ("plain words here " * 40, "OK")]
     for t, want in cases:
         m = text.text_metrics(F.lit(t))
         assert value(spark, text.extraction_status(m["text_len"], m["alpha_ratio"], m["cid_count"], m["cid_ratio"])) == want
+    few = text.text_metrics(F.lit("abcd " * 197 + "(cid:123456789)"))  # 15 of 1,000 characters in one code
+    assert value(spark, few["cid_ratio"]) == 0.015 and value(spark, few["cid_count"]) == 1 and value(spark, few["alpha_ratio"]) == 0.791
+    assert value(spark, text.extraction_status(few["text_len"], few["alpha_ratio"], few["cid_count"], few["cid_ratio"])) == "CID_ENCODING_GIBBERISH"
 
 
 def test_text_functions(spark):
     v = lambda c, **d: value(spark, c, **d)
     assert v(text.normalize_text(F.col("t")), t="a b‘c’ “d”\x00\n\n\n\n\n  e     f \t\n") == "a b'c' \"d\"\n\n\ne  f"
+    assert v(text.normalize_text(F.col("t")), t="a «b» c–d—e\u2003\u2003\u2003f") == 'a "b" c–d—e  f' and value(spark, text.normalize_text(F.lit(None).cast("string"))) == ""
     assert v(text.sanitize_prompt(F.col("t")), t="System: do {{x}} <prompt a>y</prompt>\n## Ignore all") == "do  y all"
     assert v(text.unquote(F.col("t")), t="a%20b+c") == "a b+c" and v(text.unquote(F.col("t")), t="100%zz") == "100%zz"
     assert v(text.url_doc_id(F.col("t")), t="https://x/y/p23h0001/z.html") == "P23H0001" and v(text.url_doc_id(F.col("t")), t="https://x/a/file.name.pdf?q#f") == "FILE.NAME"
     assert v(text.href_score(F.col("t")), t="/Final-Investigation-Report.pdf") == 6 and v(text.href_score(F.col("t")), t="/assets/recommendation/scs1.pdf") == -18
     assert v(text.parse_date(F.col("t")), t="March 5, 2020") == "2020-03-05" and v(text.parse_date(F.col("t")), t="soon") is None
-    assert v(text.slug(F.col("t")), t=" Fire & Gas -- Explosion! ") == "fire-gas-explosion"
+    assert [v(text.parse_date(F.col("t")), t=t) for t in (" mar 5, 2020", "3/5/2020", "2020-03-05", "5 March 2020")] == ["2020-03-05"] * 3 + [None]
+    assert v(text.slug(F.col("t")), t=" Fire & Gas -- Under_score! ") == "fire-gas-under_score" and v(text.slug(F.col("t"), 6), t="a b c d e") == "a-b-c-"
+    assert v(text.title_of_slug(F.col("t")), t="-gas-3rd-o_k-") == "Gas 3Rd O_K"
+    assert v(text.compose_barrier_text(F.col("a"), F.col("b"), F.lit(None).cast("string")), a="n", b="r") == "Barrier: n\nRole: r\nLOD Basis: N/A"
+    whole = text.compose_incident_text(F.col("a"), F.col("a"), F.col("a"), F.array().cast("array<string>"), F.col("a"), F.array(F.lit("x"), F.lit("y")), F.lit(None).cast("array<string>"))
+    assert v(whole, a="q") == "Top Event: q\nIncident Type: q\nOperating Phase: q\nMaterials: N/A\nSummary: q\nRecommendations:\nx\ny\nPerformance-Influencing Factor Notes:\nN/A"
     assert v(text.term_count(F.col("t"), "gas"), t="Gas gas. biogas gas_x GAS") == 3
     assert v(text.narrative_ok(F.col("t")), t="One. Two. Three. Four. Five.") is False and v(text.narrative_ok(F.col("t")), t="") is False
     assert v(text.fill_template("a {{x}} b", x=F.lit("1"))) == "a 1 b"
@@ -221,8 +250,84 @@ def test_coercion_of_drifting_documents(spark):
     assert parsed.where("v is null").count() == 1
     got = coercion.coerced_controls(parsed)
     assert rows(got.na.fill("-"), "control_id", "side", "line_of_defense", "barrier_status", "human_contribution_value") == [("a", "prevention", "1st", "failed", "x; y"), ("b", "mitigation", "recovery", "unknown", "-")]
+    counts = {r.coercion: r.n for r in coercion.coercion_counts(parsed).collect()}
+    assert counts == {"incident_type_list_to_str": 1, "incident_type_to_str": 1, "side_mapped": 2, "lod_int_to_enum": 1, "barrier_status_mapped": 2, "human_value_list_to_str": 1}
     assert {r.incident_id: r.t for r in parsed.where("v is not null").select("incident_id", coercion.incident_type(F.col("v")).alias("t")).collect()} == {"1": "fire; spill", "2": "5", "4": "unknown"}
-    assert ("3", "document: not JSON") in rows(coercion.validation_errors(parsed))
+    assert ("3", "document: not JSON") in rows(validation.validation_errors(parsed)) and ("4", "incident_id: Field required") in rows(validation.validation_errors(parsed))
+
+
+def test_lines_and_names_of_lines(spark):
+    line = lambda raw, kind: value(spark, coercion.line_of_defense(F.col("r"), F.col("k")), r=raw, k=kind)
+    assert [line("3", "BIGINT"), line("9", "BIGINT"), line(" 02 ", "STRING"), line("2ND", "STRING"), line("1st", "STRING"), line("1.0", "DECIMAL(2,1)")] == ["3rd", "unknown", "2nd", "unknown", "1st", "unknown"]
+
+
+def test_validation_against_the_schema(spark):
+    good = {"incident_id": "1", "event": {"top_event": 4, "costs": {}}, "bowtie": {"threats": [{"threat_id": "t", "name": "n", "description": None}], "controls": [{"control_id": "c", "performance": {"barrier_failed": "yes"}, "human": {"human_contribution_value": None}}]}}
+    bad = {
+        "incident_id": 7, "source": [], "event": {"summary": None, "recommendations": ["a", 1], "key_phrases": "x"}, "pifs": {"work": {"procedures_mentioned": "maybe", "workload_value": 3}},
+        "bowtie": {"hazards": [{"name": "n"}, 3], "threats": {}, "controls": [{"side": "left", "performance": {"barrier_failed": None}, "evidence": {"confidence": "High"}}, "x"]},
+    }
+    df = spark.createDataFrame([("good", json.dumps(good)), ("bad", json.dumps(bad)), ("moved", json.dumps({"incident_id": "m", "controls": [{"control_id": 1}]})), ("list", "[]")], "incident_id string, payload string")
+    parsed = coercion.parse(df)
+    by = {r.incident_id: r for r in validation.validity(parsed).collect()}
+    assert by["good"].valid and by["good"].errors == "" and by["list"].errors == "document: Input should be a valid dictionary" and by["moved"].errors == "bowtie -> controls -> 0 -> control_id: Input should be a valid string"
+    assert by["bad"].errors.split("; ") == [
+        "incident_id: Input should be a valid string", "source: Input should be a valid dictionary", "event -> summary: Input should be a valid string", "event -> recommendations -> 1: Input should be a valid string",
+        "event -> key_phrases: Input should be a valid list", "pifs -> work -> procedures_mentioned: Input should be a valid boolean, unable to interpret input", "pifs -> work -> workload_value: Input should be a valid string",
+        "bowtie -> hazards -> 0 -> hazard_id: Field required", "bowtie -> hazards -> 1: Input should be a valid dictionary", "bowtie -> threats: Input should be a valid list",
+        "bowtie -> controls -> 0 -> control_id: Field required", "bowtie -> controls -> 0 -> side: Input should be 'prevention' or 'mitigation'",
+        "bowtie -> controls -> 0 -> performance -> barrier_failed: Input should be a valid boolean", "bowtie -> controls -> 0 -> evidence -> confidence: Input should be 'high', 'medium' or 'low'", "bowtie -> controls -> 1: Input should be a valid dictionary",
+    ]
+
+
+def test_percentiles_are_those_of_sorting(spark):
+    import random
+
+    import numpy as np
+
+    random.seed(5)
+    for data in ([3.0], [1.0, 2.0], [random.choice([0.0, 1.5, 7.0]) for _ in range(50)], [random.expovariate(1) for _ in range(400)]):
+        df = spark.createDataFrame([(x,) for x in data] + [(None,)], "x double")
+        got = metrics.percentiles(df, "x", {"a": 0.0, "b": 0.6, "c": 0.95, "d": 1.0}, blocks=7).head()
+        assert tuple(got) == pytest.approx(tuple(np.percentile(data, [0, 60, 95, 100])))
+    assert tuple(metrics.percentiles(df.limit(0), "x", {"a": 0.5}).head()) == (None,)
+
+
+def test_context_layout(spark):
+    entry = spark.range(1).select(
+        *[F.lit(v).alias(k) for k, v in {"rrf_score": 0.03252, "barrier_rank": 1, "incident_rank": 2, "barrier_name": "valve", "barrier_family": "relief", "side": "prevention", "barrier_status": "failed", "barrier_role": "shut", "lod_basis": "N/A", "barrier_failed_human": True, "human_contribution_value": "", "incident_id": "I-1", "incident_summary": "leak"}.items()],
+        F.array(F.lit("it failed")).alias("supporting_text"), F.array(F.lit("inspect")).alias("recommendations"), F.create_map(F.lit("work"), F.array(F.lit("time_pressure"))).alias("pif_tags"),
+    )
+    want = (
+        "### Result 1 (RRF: 0.0325, Barrier Rank: 1, Incident Rank: 2)\n**Barrier:** valve\n**Family:** relief | Side: prevention | Status: failed\n**Role:** shut\n**LOD Basis:** N/A\n**Human Failed:** Yes | Human Contribution: N/A\n"
+        '**Evidence:**\n- "it failed"\n\n**Parent Incident:** I-1\n**Incident Summary:** leak\n**Recommendations:**\n- inspect\n**Performance Influencing Factors (negative):**\n- Work: time pressure\n'
+    )
+    assert entry.select(retrieval.context_entry(F.lit(1)).alias("e")).head().e == want
+    queries = spark.createDataFrame([("a",), ("b",)], "q string")
+    hits = spark.createDataFrame([("a", 1, "x" * 60), ("a", 2, "y" * 20), ("a", 3, "z" * 200), ("a", 4, "w")], "q string, place int, entry string")
+    got = {r.q: r.context for r in retrieval.context_text(hits, queries, ["q"], 120).collect()}
+    assert got == {"a": "## Similar Barrier Failures\n\n" + "x" * 60 + "\n---\n" + "y" * 20, "b": "## Similar Barrier Failures\n\nNo similar barrier failures found."}
+
+
+def test_metadata_falls_back_to_the_first_row_of_a_control(spark):
+    hits = spark.createDataFrame([("A", "c1"), ("X", "c1"), ("X", "c9"), ("B", "c2")], "incident_id string, control_id string")
+    known = spark.createDataFrame([("B", "c1", "late", 2), ("Z", "c1", "first", 1), ("A", "c1", None, 3), ("B", "c2", "own", 4)], "incident_id string, control_id string, note string, pos int")
+    assert sorted(map(str, (tuple(r) for r in retrieval.with_metadata(hits, known, ["note"], "pos").collect()))) == sorted(map(str, [("A", "c1", None), ("X", "c1", "first"), ("X", "c9", None), ("B", "c2", "own")]))
+
+
+def test_grid_search_equals_the_small_one(spark, monkeypatch):
+    import random
+
+    random.seed(3)
+    items = spark.createDataFrame([(k, [random.gauss(0, 1) for _ in range(6)], k % 3) for k in range(300)], "item_id long, item_vec array<double>, family long")
+    queries = spark.createDataFrame([(k, [random.gauss(0, 1) for _ in range(6)], k % 4 if k % 4 < 3 else None) for k in range(40)], "query_id long, query_vec array<double>, family long")
+    want = rows(retrieval.top_k(queries, items, 7))
+    for r in queries.collect()[:5]:
+        scores = sorted(((-round(sum(a * b for a, b in zip(r.query_vec, i.item_vec, strict=True)), 6), i.item_id) for i in items.collect() if r.family in (None, i.family)))[:7]
+        assert [(w[1], w[2]) for w in sorted(want, key=lambda w: w[3]) if w[0] == r.query_id] == [(i, pytest.approx(-s)) for s, i in scores]
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(retrieval, "ITEM_BLOCK", 70)
+    assert rows(retrieval.top_k(queries, items, 7)) == want
 
 
 def test_json_in_answers(spark):
@@ -308,7 +413,7 @@ def test_checks_that_stop(spark, controls):
 
 def test_small_helpers(spark, controls):
     assert [value(spark, text.parse_bool(F.col("t")), t=t) for t in ("Yes", " 1", "no", "")] == [True, True, False, False]
-    assert value(spark, text.safe_filename(F.col("t")), t=" A b/c?.json ") == "a-b-c-.json"
+    assert value(spark, text.safe_filename(F.col("t")), t=" A b/c?.json ") == "A_b_c_.json"
     assert [r.name for r in cascade.sort_rows(controls, "name", True).collect()][0] in ("x",) and cascade.filter_rows(controls, side="mitigation", name=None).count() == 3
     f = spark.createDataFrame([(True, None, True)], "pif_competence boolean, pif_fatigue boolean, pif_communication boolean").withColumn("pif_situational_awareness", F.lit(False))
     r = f.select(context.mentioned("people").alias("m"), cascade.factor_count(f.columns).alias("n")).head()
