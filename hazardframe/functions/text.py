@@ -141,8 +141,9 @@ def file_stem(path: Column) -> Column:
 
 
 def text_path_of(pdf_path: Column) -> Column:
-    """The text file that belongs to a document: folder pdfs becomes text, extension .txt."""
-    return F.regexp_replace(F.regexp_replace(pdf_path, r"(^|/)pdfs(?=/)", "$1text"), r"(?i)\.pdf\z", ".txt")
+    """The text file that belongs to a document: the first folder named pdfs becomes text, extension .pdf becomes .txt."""
+    plain = F.replace(pdf_path, F.lit("\\"), F.lit("/"))
+    return F.regexp_replace(F.regexp_replace(plain, r"\A((?:(?!pdfs/)[^/]*/)*?)pdfs(?=/|\z)", "$1text"), r"\.pdf\z", ".txt")
 
 
 def wait_seconds(text: Column, delay: float, per_minute: int = 30_000, window: int = 65) -> Column:

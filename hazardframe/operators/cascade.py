@@ -16,6 +16,28 @@ FLAGS = {
 P60, P80 = 0.45, 0.70
 
 
+# The features of a pair of barriers, categories first; context comes from the target's side.
+TARGET_FEATURES = ["lod_industry_standard", "barrier_level", "pathway_sequence", "lod_numeric", "num_threats_in_lod_numeric"]
+CONDITION_FEATURES = ["lod_industry_standard", "barrier_level", "barrier_condition", "pathway_sequence", "lod_numeric", "num_threats_in_lod_numeric"]
+CONTEXT_FEATURES = ["total_prev_barriers_incident", "total_mit_barriers_incident", "num_threats_in_sequence", *FLAGS]
+TARGETS = ["y_fail", "y_hf_fail"]
+CATEGORICAL = [*(f"{c}_target" for c in TARGET_FEATURES[:2]), *(f"{c}_cond" for c in CONDITION_FEATURES[:3])]
+NUMERIC = [*(f"{c}_target" for c in TARGET_FEATURES[2:]), *(f"{c}_cond" for c in CONDITION_FEATURES[3:]), *CONTEXT_FEATURES]
+
+
+def pair_dataset(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The training pairs: incident_id, the 18 features, and the labels of both sides, of complete rows only.
+
+    Rows with a null or NaN in any feature or label go first, then rows are
+    numbered and paired; only barriers that failed condition others.
+    """
+    raw = list(dict.fromkeys([*TARGET_FEATURES, *CONDITION_FEATURES]))
+    clean = complete(rows, [*raw, *CONTEXT_FEATURES, *TARGETS])
+    pairs = barrier_pairs(clean, order, "y_fail", [*raw, *CONTEXT_FEATURES, *TARGETS])
+    context = [F.col(f"{c}_target").alias(c) for c in CONTEXT_FEATURES]
+    return pairs.select("incident_id", *CATEGORICAL, *[c for c in NUMERIC if c not in CONTEXT_FEATURES], *context, *[f"{y}_{side}" for side in ("target", "cond") for y in TARGETS])
+
+
 def barrier_pairs(rows: DataFrame, order: list[str], fail: str = "y_fail", keep: list[str] | None = None) -> DataFrame:
     """Every failed barrier of an incident with every other of it: <column>_cond and <column>_target.
 
@@ -63,21 +85,39 @@ def flags(threat_text: Column, factors: dict[str, Column]) -> dict[str, Column]:
 
 
 def scenario_features(barriers: DataFrame, threats: DataFrame, factors: DataFrame | None = None) -> DataFrame:
-    """The feature row of every ordered pair of an incident's barriers, the conditioning one taken as ineffective."""
-    stats = scenario_stats(barriers)
+    """The 18 features of every ordered pair of an incident's barriers, the conditioning one taken as ineffective, with both control ids.
+
+    barriers: incident_id, control_seq, control_id, side, line_of_defense,
+    lod_numeric, linked_threat_ids. An incident's barriers, some tens, meet once
+    in an array from which places, counts and pairs all follow.
+    """
+    fields = ["control_seq", "control_id", "side", "line_of_defense", "lod_numeric", "linked_threat_ids"]
+    per = barriers.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("b"))
+
+    def with_place(b, i):
+        met = F.flatten(F.transform(F.filter("b", lambda o: o["lod_numeric"].eqNullSafe(b["lod_numeric"])), lambda o: F.coalesce(o["linked_threat_ids"], F.array().cast("array<string>"))))
+        return F.struct(
+            b["control_id"].alias("control_id"), b["line_of_defense"].alias("lod_industry_standard"), b["side"].alias("barrier_level"), i.alias("pathway_sequence"),
+            F.coalesce(b["lod_numeric"].cast("double"), F.lit(0.0)).alias("lod_numeric"), F.size(F.array_distinct(met)).alias("num_threats_in_lod_numeric"),
+        )
+
+    def pairs_of(c):
+        return F.transform(F.filter("s", lambda t: t["pathway_sequence"] != c["pathway_sequence"]), lambda t: F.struct(c.alias("c"), t.alias("t")))
+
+    count = lambda side: F.size(F.filter("b", lambda x: x["side"] == side)).cast("long")
+    placed = per.select("incident_id", F.transform("b", with_place).alias("s"), count("prevention").alias("total_prev_barriers_incident"), count("mitigation").alias("total_mit_barriers_incident"))
     per_incident = threats.groupBy("incident_id").agg(F.count("*").alias("num_threats_in_sequence"), F.array_join(F.array_sort(F.collect_list("threat_name")), " ").alias("threat_text"))
-    names = ["control_id", "line_of_defense", "side", "pathway_sequence", "lod_numeric", "num_threats_in_lod_numeric"]
-    target = stats.select("incident_id", "total_prev", "total_mit", *[F.col(c).alias(f"{c}_target") for c in names])
-    cond = stats.select("incident_id", *[F.col(c).alias(f"{c}_cond") for c in names])
-    pairs = cond.join(target, "incident_id").where("pathway_sequence_cond != pathway_sequence_target")
-    wide = pairs.join(per_incident, "incident_id", "left")
+    wide = placed.join(per_incident, "incident_id", "left")
     have: dict[str, Column] = {}
     if factors is not None:
         wanted = [f for _, f in FLAGS.values() if f and f in factors.columns]
         wide = wide.join(factors.select("incident_id", *wanted), "incident_id", "left")
         have = {f: F.col(f) for f in wanted}
-    marked = wide.withColumns({**flags(F.col("threat_text"), have), "num_threats_in_sequence": F.coalesce("num_threats_in_sequence", F.lit(0)).cast("long"), "barrier_condition_cond": F.lit("ineffective")})
-    return marked.drop("threat_text", *have)
+    marked = wide.withColumns({**flags(F.col("threat_text"), have), "num_threats_in_sequence": F.coalesce("num_threats_in_sequence", F.lit(0)).cast("long")})
+    each = marked.select("incident_id", *CONTEXT_FEATURES, F.explode(F.flatten(F.transform("s", pairs_of))).alias("p"))
+    side = lambda key, names, suffix: [F.col(f"p.{key}.{n}").alias(f"{n}_{suffix}") for n in names]
+    conditions = [c for c in CONDITION_FEATURES if c != "barrier_condition"]
+    return each.select("incident_id", *side("c", ["control_id", *conditions], "cond"), F.lit("ineffective").alias("barrier_condition_cond"), *side("t", ["control_id", *TARGET_FEATURES], "target"), *CONTEXT_FEATURES)
 
 
 def risk_band(p: Column, p60: float = P60, p80: float = P80) -> Column:
@@ -90,6 +130,25 @@ def cascade_average(scores: DataFrame, digits: int = 6) -> DataFrame:
     return scores.groupBy("incident_id", "control_id_target").agg(F.round(F.avg("p"), digits).alias("average"), best.alias("worst_cond"), F.max("p").alias("worst"))
 
 
+def reasons_of_worst(scores: DataFrame, contributions: DataFrame, k: int = 2) -> DataFrame:
+    """(incident_id, control_id, feature, value, n): the k largest contributions of each target in the run with its largest probability.
+
+    contributions: incident_id, control_id_cond, control_id_target, feature, value.
+    """
+    worst = cascade_average(scores).select("incident_id", "control_id_target", F.col("worst_cond").alias("control_id_cond"))
+    runs = contributions.join(worst, ["incident_id", "control_id_target", "control_id_cond"])
+    return top_reasons(runs.select("incident_id", F.col("control_id_target").alias("control_id"), "feature", "value"), k)
+
+
+def tier(p: Column, high: float = 0.66, medium: float = 0.33) -> Column:
+    """The tiers of a model's own report."""
+    return F.when(p >= high, "HIGH").when(p >= medium, "MEDIUM").otherwise("LOW")
+
+
+def colour(p: Column, p60: float = P60, p80: float = P80) -> Column:
+    return F.when(p >= p80, "red").when(p >= p60, "amber").otherwise("green")
+
+
 def ranked(scores: DataFrame, score: str, keys: list[str] = ["incident_id"], tie: str = "control_id") -> DataFrame:  # noqa: B006
     """place counts rows, rank lets equal scores share the least."""
     w = Window.partitionBy(*keys)
@@ -151,10 +210,10 @@ def factor_count(factors: list[str]) -> Column:
     return sum((F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in factors), F.lit(0))
 
 
-def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """By a column, text without case, nulls last either way."""
+def sort_rows(rows: DataFrame, column: str, descending: bool = False, *then: str) -> DataFrame:
+    """By a column, text without case, nulls last either way; ties by the columns of `then`."""
     key = F.lower(column) if dict(rows.dtypes)[column] == "string" else F.col(column)
-    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last())
+    return rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *then)
 
 
 def filter_rows(rows: DataFrame, **wanted) -> DataFrame:

@@ -46,7 +46,13 @@ def gaps(controls: DataFrame) -> DataFrame:
     return controls.where(norm_status(F.col("barrier_status")).isin(GAP_STATUSES) | (F.coalesce(F.col("supporting_text_count").cast("int"), F.lit(0)) <= 0)).select(*wanted)
 
 
+def in_gap_order(gap_rows: DataFrame) -> DataFrame:
+    return gap_rows.orderBy(*[F.asc_nulls_last(c) for c in ("incident_id", "barrier_status", "barrier_type", "name")])
+
+
 ROLLUPS = ["barrier_type", "barrier_role", "side", "line_of_defense", "name"]
+# A rollup is named by its dimension, but for that of names.
+ROLLUP_NAMES = {"name": "by_control_name"}
 
 
 def gap_rollups(gap_rows: DataFrame, dimensions: list[str] = ROLLUPS) -> DataFrame:
@@ -54,4 +60,12 @@ def gap_rollups(gap_rows: DataFrame, dimensions: list[str] = ROLLUPS) -> DataFra
     dims = [d for d in dimensions if d in gap_rows.columns]
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dims])).alias("p")
     counted = gap_rows.select(pairs).select("p.*").where("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("gap_count"))
-    return counted.select(F.concat(F.lit("gaps_by_"), F.col("dimension")).alias("rollup"), "dimension", "value", "gap_count")
+    label = F.concat(F.lit("by_"), F.col("dimension"))
+    for dimension, name in ROLLUP_NAMES.items():
+        label = F.when(F.col("dimension") == dimension, name).otherwise(label)
+    return counted.select(label.alias("rollup"), "dimension", "value", "gap_count")
+
+
+def in_rollup_order(rollups: DataFrame) -> DataFrame:
+    """Rollups one after another, each by count."""
+    return rollups.orderBy("rollup", F.desc("gap_count"), "value")

@@ -67,6 +67,13 @@ def auc_gate(per_fold: DataFrame, mean: float = 0.70, least: float = 0.60) -> Da
     return per_fold.agg(F.round(F.avg("auc"), 6).alias("mean_auc"), F.min("auc").alias("least_auc"), ((F.avg("auc") >= mean) & (F.min("auc") >= least)).alias("passed"))
 
 
+def branch(per_fold: DataFrame) -> DataFrame:
+    """One row: mean_auc, least_auc and the branch: A for a mean of 0.70 and no fold under 0.60, B for 0.60 and 0.55, else C."""
+    one = per_fold.agg(F.avg("auc").alias("mean_auc"), F.min("auc").alias("least_auc"))
+    good = lambda mean, least: (F.col("mean_auc") >= mean) & (F.col("least_auc") >= least)
+    return one.withColumn("branch", F.when(good(0.70, 0.60), "A").when(good(0.60, 0.55), "B").otherwise("C"))
+
+
 def percentiles(rows: DataFrame, column: str, shares: dict[str, float], blocks: int = 1024) -> DataFrame:
     """One row: the percentile of each share, linear between neighbours as usual; null for no rows.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import DID_NOT_PERFORM
@@ -30,19 +30,27 @@ def pair_counts(items: DataFrame) -> DataFrame:
 def association_rules(items: DataFrame, support: float = 0.05, confidence: float = 0.5) -> DataFrame:
     """Rules a -> b of both directions with at least that support and confidence and a lift above 1.
 
-    The population is the incidents with a failed barrier.
+    The population is the incidents with a failed barrier. Each incident's
+    items meet once in an array and give every ordered pair and, as a pair with
+    itself, every item; one combined count over these holds all that rules need.
     """
-    counts, pairs = item_counts(items), pair_counts(items)
+    sets = transactions(items)
+    pair = F.explode(F.flatten(F.transform("items", lambda x: F.transform("items", lambda y: F.struct(x.alias("antecedent"), y.alias("consequent")))))).alias("p")
+    counts = sets.select(pair).groupBy("p.antecedent", "p.consequent").agg(F.count("*").alias("n_both"))
+    alone = F.when(F.col("antecedent") == F.col("consequent"), F.col("n_both"))
+    counts = counts.withColumn("na", F.max(alone).over(Window.partitionBy("antecedent"))).withColumn("nc", F.max(alone).over(Window.partitionBy("consequent")))
     total = items.agg(F.count_distinct("incident_id").alias("population"))
-    both = pairs.select(F.col("a").alias("antecedent"), F.col("b").alias("consequent"), "n").union(pairs.select("b", "a", "n"))
-    rules = both.join(counts.select(F.col("item").alias("antecedent"), F.col("n").alias("na")), "antecedent")
-    rules = rules.join(counts.select(F.col("item").alias("consequent"), F.col("n").alias("nc")), "consequent").join(total, F.lit(True))
-    rules = rules.select(
+    rules = counts.where("antecedent != consequent").join(F.broadcast(total), F.lit(True)).select(  # one row
         "antecedent",
         "consequent",
-        F.col("n").alias("n_both"),
-        (F.col("n") / F.col("population")).alias("support"),
-        (F.col("n") / F.col("na")).alias("confidence"),
-        (F.col("n") * F.col("population") / (F.col("na") * F.col("nc"))).alias("lift"),
+        "n_both",
+        (F.col("n_both") / F.col("population")).alias("support"),
+        (F.col("n_both") / F.col("na")).alias("confidence"),
+        (F.col("n_both") * F.col("population") / (F.col("na") * F.col("nc"))).alias("lift"),
     )
     return rules.where((F.col("support") >= support) & (F.col("confidence") >= confidence) & (F.col("lift") > 1))
+
+
+def in_rule_order(rules: DataFrame) -> DataFrame:
+    """By confidence, then lift, then names."""
+    return rules.orderBy(F.desc("confidence"), F.desc("lift"), "antecedent", "consequent")

@@ -138,6 +138,27 @@ def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     return df.withColumn("__v", value).join(codes.select(F.col("value").alias("__v"), "code"), "__v", "left").withColumn(column, F.coalesce("code", F.lit(-1))).drop("__v", "code")
 
 
+#: Categories of one column that `encode_all` takes.
+MOST_CATEGORIES = 10_000
+
+
+def encode_all(df: DataFrame, columns: list[str], reference: DataFrame | None = None) -> DataFrame:
+    """Every column replaced by its code, as `encode` does, from one pass over `reference` (the rows themselves if not given).
+
+    The sorted categories of all columns are one row of short lists that goes
+    with every task. More than `MOST_CATEGORIES` of one column stop the query:
+    such a column is no category, and `encode` joins its codes instead.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), value(c).alias("v")) for c in columns])).alias("p")
+    distinct = (reference if reference is not None else df).select(each).groupBy("p.c", "p.v").agg(F.lit(1).alias("one"))
+    lists = distinct.groupBy("c").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("v")).alias("all"))
+    lists = lists.withColumn("all", F.when(F.col("n") > MOST_CATEGORIES, F.raise_error(F.lit("too many categories to encode as one list"))).otherwise(F.col("all")))
+    codes = lists.agg(*[F.max(F.when(F.col("c") == c, F.col("all"))).alias(f"__{c}") for c in columns])
+    wide = df.join(F.broadcast(codes), F.lit(True), "left")  # one row
+    return wide.withColumns({c: F.coalesce(F.array_position(F.col(f"__{c}"), value(c)), F.lit(0)) - 1 for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
 def class_weight(labelled: DataFrame, label: str) -> DataFrame:
     """One row: negatives over positives."""
     y: Column = F.col(label)

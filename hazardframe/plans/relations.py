@@ -90,7 +90,7 @@ def control_gaps(spark, sf):
 
 @query(
     "gap_rollups",
-    " UNION ALL ".join(f"SELECT 'gaps_by_{d}' AS rollup, '{d}' AS dimension, {d} AS value, count(*) AS gap_count FROM gaps WHERE {d} IS NOT NULL GROUP BY {d}" for d in coverage.ROLLUPS),
+    " UNION ALL ".join(f"SELECT '{coverage.ROLLUP_NAMES.get(d, 'by_' + d)}' AS rollup, '{d}' AS dimension, {d} AS value, count(*) AS gap_count FROM gaps WHERE {d} IS NOT NULL GROUP BY {d}" for d in coverage.ROLLUPS),
     CONTROLS,
     _GAPS,
 )
@@ -210,9 +210,7 @@ _ENCODED = ["side", "barrier_type", "line_of_defense", "family"]
 def feature_matrix(spark, sf):
     rows = labelled(spark, sf).withColumn("family", TAXONOMY.family(F.col("name"), F.col("barrier_role"), F.col("side"), F.col("barrier_type")))
     wide = profiling.with_factors(rows, incidents(spark, sf).select("incident_id", *MODEL_PIFS))
-    for c in _ENCODED:
-        # a code for each category: a handful of rows
-        wide = profiling.encode(wide, c, F.broadcast(profiling.ordinal_encoding(rows, c)))
+    wide = profiling.encode_all(wide, _ENCODED, rows)
     return wide.select(
         "incident_id", "control_id", *[F.col(c).cast("long").alias(c) for c in _ENCODED], "supporting_text_count", (F.col("control_seq").cast("long") - 1).alias("pathway_sequence"), "label_barrier_failed", "label_barrier_failed_human", *MODEL_PIFS
     )

@@ -103,10 +103,11 @@ def scenario_stats(spark, sf):
 
 
 _FLAG_NAMES = [(name, "|".join(words), factor) for name, (words, factor) in cascade.FLAGS.items()]
+_SIDE_COLUMNS = {"line_of_defense": "lod_industry_standard", "side": "barrier_level", "pathway_sequence": "pathway_sequence", "CAST(@lod_numeric AS DOUBLE)": "lod_numeric", "num_threats_in_lod_numeric": "num_threats_in_lod_numeric"}
 _NAMED = "named AS (SELECT incident_id, threat_id, CASE threat_id WHEN 'T-001' THEN 'Pump leak' WHEN 'T-002' THEN 'Operator error' ELSE 'Loss of power' END AS threat_name FROM threats)"
 _SCENARIO = f"""per_incident AS (SELECT incident_id, count(*) AS num_threats_in_sequence, string_agg(threat_name, ' ') AS txt FROM named GROUP BY 1),
- features AS (SELECT c.incident_id, c.control_id AS control_id_cond, t.control_id AS control_id_target, c.pathway_sequence AS pathway_sequence_cond, t.pathway_sequence AS pathway_sequence_target,
-  c.num_threats_in_lod_numeric AS num_threats_in_lod_numeric_cond, t.num_threats_in_lod_numeric AS num_threats_in_lod_numeric_target, t.total_prev, t.total_mit, coalesce(num_threats_in_sequence, 0) AS num_threats_in_sequence, 'ineffective' AS barrier_condition_cond,
+ features AS (SELECT c.incident_id, c.control_id AS control_id_cond, t.control_id AS control_id_target, 'ineffective' AS barrier_condition_cond, t.total_prev AS total_prev_barriers_incident, t.total_mit AS total_mit_barriers_incident,
+  {", ".join((old.replace("@", f"{x}.") if "@" in old else f"{x}.{old}") + f" AS {new}_{side}" for x, side in (("c", "cond"), ("t", "target")) for old, new in _SIDE_COLUMNS.items())}, coalesce(num_threats_in_sequence, 0) AS num_threats_in_sequence,
   {", ".join(f"CAST(coalesce(regexp_matches(lower(txt), '{p}'), false)" + (f" OR {f}" if f else "") + f" AS INTEGER) AS {n}" for n, p, f in _FLAG_NAMES)}
   FROM stats c JOIN stats t ON c.incident_id = t.incident_id AND c.control_seq <> t.control_seq LEFT JOIN per_incident p ON p.incident_id = c.incident_id JOIN incidents i ON i.incident_id = c.incident_id)"""
 
@@ -115,11 +116,30 @@ _SCENARIO = f"""per_incident AS (SELECT incident_id, count(*) AS num_threats_in_
 def scenario_features(spark, sf):
     named = threats(spark, sf).withColumn("threat_name", F.when(F.col("threat_id") == "T-001", "Pump leak").when(F.col("threat_id") == "T-002", "Operator error").otherwise("Loss of power"))
     factors = incidents(spark, sf).select("incident_id", "pif_procedures", "pif_tools_equipment")
-    wide = cascade.scenario_features(controls(spark, sf, named=False), named, factors)
-    return wide.select(
-        "incident_id", "control_id_cond", "control_id_target", "pathway_sequence_cond", "pathway_sequence_target", "num_threats_in_lod_numeric_cond", "num_threats_in_lod_numeric_target",
-        "total_prev", "total_mit", "num_threats_in_sequence", "barrier_condition_cond", *cascade.FLAGS,
+    return cascade.scenario_features(controls(spark, sf, named=False), named, factors)
+
+
+_TRAINING = """training AS (SELECT incident_id, control_seq, CASE WHEN quantity = 7 THEN NULL ELSE line_of_defense END AS lod_industry_standard, side AS barrier_level, barrier_status AS barrier_condition, control_seq AS pathway_sequence, lod_numeric,
+  supporting_text_count AS num_threats_in_lod_numeric, 1 AS total_prev_barriers_incident, 2 AS total_mit_barriers_incident, quantity AS num_threats_in_sequence, 0 AS flag_environmental_threat, 1 AS flag_electrical_failure, quantity % 2 AS flag_procedural_error,
+  CASE WHEN quantity = 9 THEN 'NaN'::DOUBLE ELSE 0.5 END AS flag_mechanical_failure, CAST(barrier_failed AS INTEGER) AS y_fail, CAST(barrier_failed AND barrier_failed_human AS INTEGER) AS y_hf_fail FROM controls),
+ clean AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY control_seq) AS k FROM training WHERE lod_industry_standard IS NOT NULL AND barrier_condition IS NOT NULL AND NOT isnan(flag_mechanical_failure))"""
+
+
+@query(
+    "pair_dataset",
+    f"""SELECT t.incident_id, {", ".join(f"t.{c} AS {c}_target" for c in cascade.TARGET_FEATURES)}, {", ".join(f"c.{c} AS {c}_cond" for c in cascade.CONDITION_FEATURES)}, {", ".join(f"t.{c}" for c in cascade.CONTEXT_FEATURES)},
+    {", ".join(f"{x}.{y} AS {y}_{side}" for x, side in (("t", "target"), ("c", "cond")) for y in cascade.TARGETS)} FROM clean t JOIN clean c ON t.incident_id = c.incident_id AND t.k <> c.k WHERE c.y_fail = 1""",
+    CONTROLS,
+    _TRAINING,
+)
+def pair_dataset(spark, sf):
+    q, failed = F.col("quantity"), F.col("barrier_failed")
+    rows = controls(spark, sf, named=False).select(
+        "incident_id", "control_seq", F.when(q != 7, F.col("line_of_defense")).alias("lod_industry_standard"), F.col("side").alias("barrier_level"), F.col("barrier_status").alias("barrier_condition"), F.col("control_seq").alias("pathway_sequence"), "lod_numeric",
+        F.col("supporting_text_count").alias("num_threats_in_lod_numeric"), F.lit(1).alias("total_prev_barriers_incident"), F.lit(2).alias("total_mit_barriers_incident"), q.alias("num_threats_in_sequence"), F.lit(0).alias("flag_environmental_threat"),
+        F.lit(1).alias("flag_electrical_failure"), (q % 2).alias("flag_procedural_error"), F.when(q == 9, float("nan")).otherwise(0.5).alias("flag_mechanical_failure"), failed.cast("int").alias("y_fail"), (failed & F.col("barrier_failed_human")).cast("int").alias("y_hf_fail"),
     )
+    return cascade.pair_dataset(rows, ["control_seq"])
 
 
 _PAIR_SCORES = "pair_scores AS (SELECT c.incident_id, c.control_id AS control_id_cond, t.control_id AS control_id_target, ((c.quantity * 31 + t.quantity * 17) % 100) / 100.0::DOUBLE AS p FROM controls c JOIN controls t ON c.incident_id = t.incident_id AND c.control_seq <> t.control_seq)"

@@ -224,7 +224,8 @@ def test_text_functions(spark):
     assert v(text.term_count(F.col("t"), "gas"), t="Gas gas. biogas gas_x GAS") == 3
     assert v(text.narrative_ok(F.col("t")), t="One. Two. Three. Four. Five.") is False and v(text.narrative_ok(F.col("t")), t="") is False
     assert v(text.fill_template("a {{x}} b", x=F.lit("1"))) == "a 1 b"
-    assert v(text.text_path_of(F.col("t")), t="data/pdfs/a.PDF") == "data/text/a.txt"
+    paths = {"data/pdfs/a.pdf": "data/text/a.txt", "pdfs/pdfs/a.pdf": "text/pdfs/a.txt", "c\\pdfs\\a.PDF": "c/text/a.PDF", "mypdfs/a.pdf": "mypdfs/a.txt"}
+    assert {t: v(text.text_path_of(F.col("t")), t=t) for t in paths} == paths
 
 
 def test_keyword_scores(spark):
@@ -361,6 +362,9 @@ def test_cross_validation_and_contributions(spark):
     assert per_fold.count() == 3 and metrics.auc_gate(per_fold).head().passed
     parts = ml.linear_contributions(df, ["a", "b"], {"a": 2.0, "b": -1.0}, ["id"])
     assert abs(parts.agg(F.sum("value")).head()[0]) < 1e-6
+    assert metrics.branch(per_fold).head().branch == "A"
+    fold = lambda *aucs: spark.createDataFrame([(x,) for x in aucs], "auc double")
+    assert [metrics.branch(fold(*x)).head().branch for x in ((0.9, 0.59), (0.7, 0.6), (0.6, 0.54), (0.6, 0.6), (0.5, 0.5))] == ["B", "A", "C", "B", "C"]
     assert rows(ml.ablation(per_fold, per_fold), "impact") == [("neutral",), ("neutral",)]
 
 
