@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hmac
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,20 +55,52 @@ def explain_cascading(hits: DataFrame, queries: DataFrame, incidents: DataFrame,
 def check_route(name: str) -> None:
     """Routes that were withdrawn answer 410."""
     if name in GONE:
-        raise LookupError(f"410: {name} was withdrawn; use predict-cascading or explain-cascading")
+        raise ServiceError(410, f"{name} was withdrawn; use predict-cascading or explain-cascading")
 
 
 def apriori_rules(items: DataFrame) -> DataFrame:
-    return mining.association_rules(items).orderBy(F.desc("confidence"), F.desc("lift"), "antecedent", "consequent")
-
-
-def narrative_synthesis(prompt: str, model: LanguageModel, tries: int = 2) -> str:
-    """A short narrative; an answer that breaks the limits is asked for again, then refused."""
-    for _ in range(tries):
-        answer = model.extract(prompt).strip()
-        if answer and len(answer.split()) <= 60 and sum(answer.count(c) for c in ".!?") <= 4:
-            return answer
-    raise ValueError("no narrative within the limits")
+    return mining.in_rule_order(mining.association_rules(items))
+
+
+class ServiceError(Exception):
+    """A failure with the status that the service answers."""
+
+    def __init__(self, status: int, detail: str):
+        super().__init__(detail)
+        self.status, self.detail = status, detail
+
+
+def synthesis_prompt(template: str, facts: dict[str, str], top_features: list[tuple[str, float]], contexts: list[tuple[str, str, str]]) -> str:
+    """The template with its {name} fields filled; features as signed lines, contexts (incident, summary, failure) as tagged ones."""
+    features = "\n".join(f"- {name}: {value:+.3f}" for name, value in top_features) or "No SHAP data available"
+    lines = "\n".join(f"<rag_incident_contexts>Incident {i}: {s}" + (f" | Barrier failure: {f}" if f else "") + "</rag_incident_contexts>" for i, s, f in contexts) or "No historical context available"
+    for name, value in {**facts, "shap_features_formatted": features, "rag_contexts_formatted": lines}.items():
+        template = template.replace("{" + name + "}", str(value))
+    return template
+
+
+def narrative_synthesis(prompt: str, model: LanguageModel | None, timeout: float = 10.0) -> str:
+    """A short narrative. 503 without a model or if it fails, 504 if it takes too long, 502 if the answer breaks the limits."""
+    if model is None:
+        raise ServiceError(503, "no model is loaded")
+    pool = ThreadPoolExecutor(1)
+    try:
+        answer = pool.submit(model.extract, prompt).result(timeout).strip()
+    except FutureTimeout as e:
+        raise ServiceError(504, "the narrative took too long") from e
+    except Exception as e:
+        raise ServiceError(503, "the model failed") from e
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    if not answer or len(answer.split()) > 60 or sum(answer.count(c) for c in ".!?") > 4:
+        raise ServiceError(502, "no narrative within the limits")
+    return answer
+
+
+def check_key(given: str | None, wanted: str | None) -> None:
+    """Requests need the service's key where one is set."""
+    if wanted and not hmac.compare_digest(given or "", wanted):
+        raise ServiceError(401, "a valid key is needed")
 
 
 def health(**parts: object) -> dict[str, object]:

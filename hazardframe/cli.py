@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
+from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
 from . import session
 from .functions import text
-from .operators import baseline, coercion, coverage, manifests, mining, profiling, taxonomy, validation
+from .operators import baseline, coercion, coverage, manifests, mining, profiling, providers, taxonomy, validation
 from .schemas import MANIFEST
-from .sources import files, incidents, sinks
+from .sources import connectors, files, incidents, sinks
 
 
 def _documents(spark, args):
@@ -66,16 +68,139 @@ def associate(spark, args):
 
 def profile(spark, args):
     controls = incidents.flat_controls(_documents(spark, args))
-    print(json.dumps(sinks.report(profiling.label_stats(profiling.labels(profiling.known(controls))))))
+    labelled = profiling.labels(profiling.known(controls))
+    parts = {"Labels": profiling.label_stats(labelled), "Nulls": profiling.null_profile(controls, ["barrier_status", "side", "barrier_type", "line_of_defense"]), "Statuses": baseline.status_distribution(controls)}
+    sinks.write_text(spark, f"{args.output}/profile", sinks.markdown_report("Profile of controls", parts))
+    print(json.dumps(sinks.report(parts["Labels"])))
 
 
 def process(spark, args):
-    sinks.write_parquet(files.text_blocks(files.read_texts(spark, args.input)), f"{args.output}/incidents")
+    """Text incidents with, given a reference bowtie, their coverage, gaps and fleet metrics."""
+    rows = files.text_blocks(files.read_texts(spark, args.input))
+    sinks.write_parquet(rows, f"{args.output}/incidents")
+    bowtie = files.read_bowtie(spark, args.other) if args.other else None
+    if bowtie is None:
+        return
+    stored = spark.read.parquet(f"{args.output}/incidents")
+    sides = [(c, s) for c, s in (("prevention_barriers", "prevention"), ("mitigation_barriers", "mitigation"))]
+    present = None
+    for column, side in sides:
+        part = stored.select("incident_id", F.lit(side).alias("side"), F.explode(column).alias("name"))
+        present = part if present is None else present.unionByName(part)
+    covered = baseline.fleet_coverage(present, bowtie.select("side", "name"), stored.select("incident_id"))
+    sinks.write_csv(covered, f"{args.output}/coverage")
+    sinks.write_csv(baseline.fleet_gaps(present, bowtie.select("side", "name"), stored), f"{args.output}/gaps")
+    means = sinks.report(baseline.fleet_means(covered))[0]
+    sinks.write_text(spark, f"{args.output}/fleet_metrics", json.dumps(means))
+    print(json.dumps(means))
+
+
+def quality_gate(spark, args):
+    print(json.dumps(sinks.report(coercion.quality_gate(coercion.gate_facts(_documents(spark, args)).drop("incident_id")))[0]))
+
+
+def extract_text(spark, args):
+    """Texts of documents by the chain of extractors, with their gate, as a manifest and a table of texts."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.input)
+    found = files.fallback_text(raw, files.EXTRACTORS, list(files.EXTRACTORS)).withColumn("text", text.normalize_text(F.col("text")))
+    m = found.select("*", *[c.alias(n) for n, c in text.text_metrics(F.col("text")).items()])
+    gated = m.withColumn("extraction_status", text.extraction_status(F.col("text_len"), F.col("alpha_ratio"), F.col("cid_count"), F.col("cid_ratio")))
+    sinks.write_parquet(gated, f"{args.output}/texts")
+    stored = spark.read.parquet(f"{args.output}/texts")
+    sinks.write_csv(stored.drop("text"), f"{args.output}/text_manifest")
+    print(json.dumps(sinks.report(stored.groupBy("extraction_status").agg(F.count("*").alias("n")).orderBy("extraction_status"))))
+
+
+def extract_structured(spark, args, model=None):
+    """Incident JSON from texts by a language model; answers are parsed leniently and checked against the schema.
+
+    Without a model of the caller's a stub answers, so the run can be tried offline.
+    """
+    model = model or providers.StubModel("{}")
+    texts = files.read_texts(spark, args.input)
+    prompts = texts.select(F.col("stem").alias("incident_id"), text.fill_template("Extract the incident as JSON.\n{{text}}", text=text.truncated(F.col("text"), 50_000)).alias("prompt"))
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(answer=[model.extract(p) for p in frame["prompt"]])[["incident_id", "answer"]]
+
+    sinks.write_parquet(prompts.mapInPandas(run, "incident_id string, answer string"), f"{args.output}/answers")
+    parsed = coercion.json_in_answer(spark.read.parquet(f"{args.output}/answers"), "answer")
+    checked = validation.validity(coercion.parse(parsed.select("incident_id", F.col("json").alias("payload"))))
+    sinks.write_parquet(checked, f"{args.output}/structured_manifest")
+    stored = spark.read.parquet(f"{args.output}/structured_manifest")
+    print(json.dumps({**sinks.report(coercion.run_report(stored))[0], "top_errors": sinks.report(coercion.top_errors(stored))}))
+
+
+def _stems(spark, folder, pattern):
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return found.select(text.unquote(text.file_stem(F.col("path"))).alias("stem")).distinct()
+
+
+def corpus_manifest(spark, args):
+    """Which documents (--input) have a form (--other)."""
+    documents, forms = _stems(spark, args.input, "*.pdf"), _stems(spark, args.other, "*.json")
+    found = manifests.corpus(documents, forms, documents.limit(0))
+    sinks.write_csv(found.orderBy("stem"), f"{args.output}/corpus_manifest")
+    print(json.dumps(sinks.report(found.groupBy("status").agg(F.count("*").alias("n")).orderBy("status"))))
+
+
+def corpus_clean(spark, args):
+    """Forms (--other) without a document (--input): listed, not moved."""
+    found = manifests.noise(_stems(spark, args.other, "*.json"), _stems(spark, args.input, "*.pdf"))
+    sinks.write_csv(found.orderBy("stem"), f"{args.output}/noise")
+    print(json.dumps({"noise": found.count()}))
+
+
+def _transport(args):
+    """Stored pages under --input stand for the publishers': a file's name is its quoted address."""
+    folder = Path(args.input)
+    return connectors.Pages({unquote(p.name): p.read_bytes() for p in sorted(folder.iterdir()) if p.is_file()})
+
+
+def discover_source(spark, args):
+    found = connectors.discover(spark, args.source, _transport(args), limit=args.limit)
+    sinks.write_url_lists(found, args.output)
+    print(json.dumps({"source": args.source, "candidates": found.count()}))
+
+
+def acquire(spark, args):
+    """Candidates of a source, their documents, and a manifest merged with the one before (--other)."""
+    transport = _transport(args)
+    rows, contents = connectors.download(connectors.discover(spark, args.source, transport, limit=args.limit), transport)
+    sinks.write_parquet(contents, f"{args.output}/documents")
+    merged = manifests.merge(files.read_manifest(spark, args.other, MANIFEST), rows) if args.other else rows
+    sinks.write_manifest(merged, f"{args.output}/manifest")
+    stored = files.read_manifest(spark, f"{args.output}/manifest", MANIFEST)
+    print(json.dumps(sinks.report(stored.agg(F.count("*").alias("rows"), F.count_if("downloaded").alias("downloaded")))[0]))
+
+
+def ingest_source(spark, args):
+    """Local documents: copied into a table, with a manifest, merged with the one before (--other)."""
+    rows = files.ingest_documents(spark, args.input, f"{args.output}/documents", args.source or "local")
+    merged = manifests.merge(files.read_manifest(spark, args.other, MANIFEST), rows) if args.other else rows
+    sinks.write_manifest(merged, f"{args.output}/manifest")
+    print(json.dumps({"documents": rows.count()}))
+
+
+def ingest_phmsa(spark, args):
+    """What a bulk table holds; its manifest has a header and no rows until its columns are confirmed."""
+    found = files.inspect_bulk(spark, args.input, args.limit)
+    sinks.write_csv(spark.createDataFrame([], ", ".join(f"{c} string" for c in files.BULK_MANIFEST)), f"{args.output}/manifest", single=True)
+    print(json.dumps(found))
+
+
+def overview(spark, args):
+    """Key figures and the incidents of a folder that `process` or an older run wrote."""
+    incidents_, metrics_ = files.read_processed(spark, args.input)
+    print(json.dumps({**metrics_, "incidents": 0 if incidents_ is None else incidents_.count()}))
 
 
 COMMANDS = {
-    "process": process, "build-combined-exports": flatten, "report": report, "schema-check": schema_check, "convert-schema": convert_schema,
-    "extract-qc": extract_qc, "merge-manifests": merge_manifests, "associate": associate, "profile": profile,
+    "process": process, "build-combined-exports": flatten, "report": report, "schema-check": schema_check, "convert-schema": convert_schema, "quality-gate": quality_gate,
+    "extract-text": extract_text, "extract-qc": extract_qc, "extract-structured": extract_structured, "corpus-manifest": corpus_manifest, "corpus-clean": corpus_clean,
+    "acquire": acquire, "discover-source": discover_source, "ingest-source": ingest_source, "ingest-phmsa": ingest_phmsa, "merge-manifests": merge_manifests,
+    "associate": associate, "profile": profile, "overview": overview,
 }
 
 
@@ -84,7 +209,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("command", choices=sorted(COMMANDS))
     parser.add_argument("--input", required=True)
     parser.add_argument("--output", default="out")
-    parser.add_argument("--other", help="the second manifest, or the taxonomy file")
+    parser.add_argument("--other", help="the second manifest, the forms, the reference bowtie or the taxonomy file")
+    parser.add_argument("--source", help="the publisher")
+    parser.add_argument("--limit", type=int)
     args = parser.parse_args(argv)
     COMMANDS[args.command](session.session(), args)
 

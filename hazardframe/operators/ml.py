@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, trees
 
 
 def weighted(rows: DataFrame, label: str) -> DataFrame:
@@ -47,6 +47,76 @@ def cross_validate(build, rows: DataFrame, features: list[str], label: str, grou
     return per_fold.join(metrics.roc_auc(out, ["fold"]), "fold")
 
 
+# The tiers that a model's metadata states.
+TIERS = {"high": 0.66, "medium": 0.33}
+
+
+def cascade_pipeline(rows: DataFrame, categorical: list[str], numeric: list[str], label: str, rounds: int = 400) -> PipelineModel:
+    """Encoder (categories by sorted value, unseen ones a number of their own), then boosted trees, fitted on the rows; positives weigh as much as negatives."""
+    index = StringIndexer(inputCols=categorical, outputCols=[f"__{c}" for c in categorical], stringOrderType="alphabetAsc", handleInvalid="keep")
+    trees = boosted([*(f"__{c}" for c in categorical), *numeric], label, rounds)
+    return Pipeline(stages=[index, *trees.getStages()]).fit(weighted(rows, label))
+
+
+def train_cascade(pairs: DataFrame, categorical: list[str], numeric: list[str], label: str, group: str = "incident_id", folds: int = 5, rounds: int = 400) -> tuple[PipelineModel, dict]:
+    """The model of all pairs, and its metadata: features, rows, share of positives, weight, and the folds' areas under the curve."""
+    dealt = pairs.join(metrics.fold_assignment(pairs, group, folds).select(F.col("grp").alias(group), "fold"), group)
+    aucs = []
+    for k in range(folds):
+        model = cascade_pipeline(dealt.where(F.col("fold") != k), categorical, numeric, label, rounds)
+        held = dealt.where(F.col("fold") == k).withColumn("weight", F.lit(1.0))
+        aucs.append(metrics.roc_auc(predictions(model, held, F.col(label).alias("y"))).head()["auc"])
+    n, positives = pairs.agg(F.count("*"), F.sum(label)).head()
+    known = [a for a in aucs if a is not None]
+    mean = sum(known) / len(known) if known else None
+    spread = (sum((a - mean) ** 2 for a in known) / len(known)) ** 0.5 if known else None
+    metadata = {
+        "target": label, "categorical_features": categorical, "numerical_features": numeric, "all_features": [*categorical, *numeric], "risk_tier_thresholds": TIERS, "training_rows": n, "positive_rate": positives / n if n else None,
+        "scale_pos_weight": (n - positives) / positives if positives else None, "rounds": rounds, "cv_scores": {"per_fold": aucs, "mean": mean, "std": spread},
+    }
+    return cascade_pipeline(pairs, categorical, numeric, label, rounds), metadata
+
+
+class Predictor:
+    """A saved cascade model: scores pairs, ranks targets, explains a pair."""
+
+    def __init__(self, model: PipelineModel, metadata: dict):
+        self.model, self.metadata = model, metadata
+        self.features = metadata["all_features"]
+
+    @classmethod
+    def load(cls, spark, path: str) -> Predictor:
+        from ..sources import sinks
+
+        return cls(*sinks.load_model(spark, path))
+
+    def _rows(self, pairs: DataFrame) -> DataFrame:
+        if missing := [c for c in self.features if c not in pairs.columns]:
+            raise ValueError(f"the model needs {missing}")
+        return pairs.withColumn("weight", F.lit(1.0))
+
+    def predict(self, pairs: DataFrame, *keys: str) -> DataFrame:
+        """(keys, p), largest first where collected in order."""
+        return predictions(self.model, self._rows(pairs), *keys).withColumnRenamed("score", "p")
+
+    def explain(self, pairs: DataFrame, *keys: str) -> DataFrame:
+        """(keys, score, feature, value): each feature's part of the log-odds."""
+        return trees.explained(self.model, self._rows(pairs), self.features, list(keys))
+
+
+def retrain(rows: DataFrame, features: list[str], labels: list[str], group: str, drop: tuple[str, ...] = ("source_agency", "label_multiclass"), folds: int = 5, rounds: int = 300) -> dict[str, dict]:
+    """For each label both learners: metrics over folds, and the model of all rows with the rows that explanations start from."""
+    kept = rows.drop(*drop)
+    if missing := [c for c in features if c not in kept.columns]:
+        raise ValueError(f"missing features: {missing}")
+    out: dict[str, dict] = {}
+    for label in labels:
+        learners = {"logreg": logistic, "boosted": lambda f, y: boosted(f, y, rounds)}
+        out[label] = {name: {"folds": cross_validate(build, kept, features, label, group, folds), "model": build(features, label).fit(weighted(kept, label))} for name, build in learners.items()}
+        out[label]["background"] = background(kept.select(*features))
+    return out
+
+
 def linear_contributions(rows: DataFrame, features: list[str], weights: dict[str, float], keys: list[str]) -> DataFrame:
     """(keys, feature, value): exact additive contributions of a linear model, weight x (value - mean)."""
     means = rows.agg(*[F.avg(f).alias(f"__{f}") for f in features])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -48,6 +49,13 @@ def embedded(df: DataFrame, column: str, provider: EmbeddingProvider) -> DataFra
     return df.withColumn("embedding", run(F.col(column)))
 
 
+def embedded_checked(df: DataFrame, column: str, provider: EmbeddingProvider) -> DataFrame:
+    """`embedded`, in which a row without a vector of the provider's size stops the query."""
+    rows = embedded(df, column, provider)
+    wrong = F.coalesce(F.size("embedding") != provider.dimension, F.lit(True))
+    return rows.withColumn("embedding", F.when(wrong, F.raise_error(F.lit("a row without a vector of the stated size"))).otherwise(F.col("embedding")))
+
+
 def lexical_rerank(query: Column, passage: Column) -> Column:
     """A stand-in for a cross-encoder: the share of the query's words that the passage has."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != ""))
@@ -70,6 +78,23 @@ class StubModel:
         return self.answer
 
 
+class Retrying:
+    """A model whose failed calls are tried again after 1, 2, 4, .. seconds; the last failure is the caller's."""
+
+    def __init__(self, model: LanguageModel, retries: int = 2, wait: Callable[[float], None] = time.sleep):
+        self.model, self.retries, self.wait = model, retries, wait
+
+    def extract(self, prompt: str) -> str:
+        for attempt in range(self.retries + 1):
+            try:
+                return self.model.extract(prompt)
+            except Exception:
+                if attempt == self.retries:
+                    raise
+                self.wait(2**attempt)
+        raise AssertionError
+
+
 class Ladder:
     """Models in order of cost; an answer that fails its check promotes to the next, tried `retries` times each."""
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import file_stem, parse_date
+from ..functions.text import file_stem, parse_date, slug
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -55,7 +57,7 @@ def text_blocks(texts: DataFrame, column: str = "text") -> DataFrame:
     """Incidents of key: value blocks that blank lines part; lines that do not begin a key continue the one before.
 
     A block needs an ID and a description. Dates that cannot be read are null;
-    Causes and Consequences are lists parted by commas.
+    Causes, consequences and barriers are lists parted by commas.
     """
     blocks = texts.select(F.explode(F.split(F.regexp_replace(column, r"\r\n?", "\n"), r"\n[ \t]*\n")).alias("block"))
     joined = F.regexp_replace("block", r"\n(?![A-Za-z][\w ]*:)", " ")
@@ -68,6 +70,8 @@ def text_blocks(texts: DataFrame, column: str = "text") -> DataFrame:
         value("Description").alias("description"),
         items("Causes").alias("causes"),
         items("Consequences").alias("consequences"),
+        items("Prevention Barriers").alias("prevention_barriers"),
+        items("Mitigation Barriers").alias("mitigation_barriers"),
     )
     return rows.where("incident_id is not null and description is not null")
 
@@ -81,13 +85,19 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(url != "").select(F.coalesce(given, stem).alias("doc_id"), url.alias("url"))
 
 
-# Headers that mean the same in bulk tables.
+# Headers that mean the same in bulk tables, in the order they are tried, and the page the tables come from.
 ALIASES = {
-    "report_id": ["report_number", "report_no", "report_id", "incident_id"],
-    "date": ["local_datetime", "incident_date", "date", "idate"],
-    "operator": ["operator_name", "operator", "name"],
-    "narrative": ["narrative", "description"],
+    "id": ["report_number", "report number", "reportnumber", "id"],
+    "date": ["incident_date", "incident date", "date", "iyear"],
+    "narrative": ["narrative", "description", "summary"],
+    "city": ["city", "location_city"],
+    "state": ["state", "location_state"],
+    "operator": ["operator_name", "operator"],
+    "commodity": ["commodity_released_type", "commodity"],
+    "volume": ["unintentional_release_bbls", "net_loss_barrels", "total_release_volume"],
 }
+BULK_PAGE = "https://www.phmsa.dot.gov/data-and-statistics/pipeline/data-and-statistics-overview"
+BULK_MANIFEST = ["doc_id", "incident_id", "json_path", "valid", "provider", "error", "created_at"]
 
 
 def resolve_headers(columns: list[str], aliases: dict[str, list[str]] = ALIASES) -> dict[str, str]:
@@ -96,13 +106,42 @@ def resolve_headers(columns: list[str], aliases: dict[str, list[str]] = ALIASES)
     return {field: have[a] for field, names in aliases.items() for a in [next((n for n in names if n in have), None)] if a}
 
 
+def numbered(rows: DataFrame, name: str = "n") -> DataFrame:
+    """Rows with their place in the file, from 0, without a gap: places in partitions plus the sizes of those before.
+
+    One row for each partition enters the running sum. The order is that of a
+    scan, which is the same each time.
+    """
+    placed = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__m"))
+    before = F.coalesce(F.sum("__m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = placed.join(F.broadcast(sizes.select("__part", before.alias("__base"))), "__part")
+    return met.withColumn(name, F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__base")
+
+
 def bulk_candidates(rows: DataFrame, prefix: str = "phmsa", limit: int | None = None) -> DataFrame:
-    """(candidate_id, title, date) of a bulk table; ids count its rows in the order of the report id."""
+    """(doc_id, url, title, date, page_url, source) of a bulk table, row by row; ids are slugs of report ids, else the row's number.
+
+    `limit` takes the first rows of the file.
+    """
     found = resolve_headers(rows.columns)
-    get = lambda f: F.col(found[f]).cast("string") if f in found else F.lit(None).cast("string")
-    flat = rows.select(get("report_id").alias("report_id"), F.substring(F.concat_ws(" - ", get("operator"), get("narrative")), 1, 200).alias("title"), parse_date(get("date")).alias("date"))
-    flat = flat.limit(limit) if limit else flat
-    return flat.withColumn("candidate_id", F.concat(F.lit(f"{prefix}-"), F.coalesce(F.nullif(F.col("report_id"), F.lit("")), F.substring(F.sha2(F.concat_ws("|", *flat.columns), 256), 1, 12))))
+    get = lambda f: F.trim(F.coalesce(F.col(f"`{found[f]}`").cast("string"), F.lit(""))) if f in found else F.lit("")
+    placed = numbered(rows)
+    placed = placed.where(F.col("n") < limit) if limit is not None else placed
+    report = F.coalesce(F.nullif(get("id"), F.lit("")), F.format_string(f"{prefix}-%05d", "n"))
+    title = F.coalesce(F.nullif(F.substring(get("narrative"), 1, 200), F.lit("")), F.concat(F.lit(f"{prefix.upper()} incident "), report))
+    return placed.select(slug(report, 80).alias("doc_id"), F.lit("").alias("url"), title.alias("title"), get("date").alias("date"), F.lit(BULK_PAGE).alias("page_url"), F.lit(prefix).alias("source"))
+
+
+def inspect_bulk(spark: SparkSession, path: str, limit: int | None = None) -> dict:
+    """What a bulk table holds: the fields recognised, those missing, and its rows (0 where an id or a narrative is missing)."""
+    try:
+        rows = read_csv(spark, path)
+    except Exception as e:  # a missing or unreadable table is an answer, not a failure
+        return {"recognised": {}, "missing": sorted(ALIASES), "rows": 0, "error": type(e).__name__}
+    found = resolve_headers(rows.columns)
+    usable = "id" in found and "narrative" in found
+    return {"recognised": found, "missing": sorted(set(ALIASES) - set(found)), "rows": (rows.limit(limit) if limit else rows).count() if usable else 0, "error": None}
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -140,11 +179,87 @@ def extract_text(files: DataFrame, extractors: list[tuple[str, Callable[[bytes],
     return files.select("path", "content").mapInPandas(run, "path string, extractor_used string, text string, fail_reason string")
 
 
-def read_config(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    """A configuration mapping as the small table (raw, display)."""
-    return spark.createDataFrame(list(mapping.items()) or [], "raw string, display string")
+def fallback_text(files: DataFrame, bundled: dict[str, Callable[[bytes], str]], order: list[str]) -> DataFrame:
+    """`extract_text` by extractors of a registry, tried in the order of their names."""
+    if unknown := [n for n in order if n not in bundled]:
+        raise ValueError(f"unknown extractors {unknown}; known: {sorted(bundled)}")
+    return extract_text(files, [(n, bundled[n]) for n in order])
+
 
+def plain_text(content: bytes) -> str:
+    """Text in UTF-8; anything else is an error, so the next extractor is tried."""
+    return content.decode("utf-8-sig")
 
-def read_processed(spark: SparkSession, folder: str) -> DataFrame:
-    """Processed incidents of an older layout, INC-*.json."""
-    return spark.read.option("multiLine", "true").option("pathGlobFilter", "INC-*.json").json(folder)
+
+def latin_text(content: bytes) -> str:
+    """Printable runs of a file of unknown kind, in the manner of `strings`."""
+    return "\n".join(m.decode("latin-1") for m in re.findall(rb"[\t\x20-\x7e]{4,}", content))
+
+
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"text": plain_text, "strings": latin_text}
+
+
+def ingest_documents(spark: SparkSession, folder: str, target: str, source: str = "local", pattern: str = "*.pdf") -> DataFrame:
+    """Copies local documents into a table under `target` (path, sha256, content) and returns their manifest rows.
+
+    The copies are rows of few files, so any store will do and no folder fills
+    with small files. A document of equal content is copied once.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    rows = files.select("path", file_stem(F.col("path")).alias("stem"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+    first = rows.groupBy("sha256").agg(F.min("path").alias("path"))
+    rows.join(first, ["sha256", "path"]).select("path", "sha256", "content").write.mode("overwrite").parquet(target)
+    none = lambda t: F.lit(None).cast(t)
+    return rows.select(
+        F.lit(source).alias("source"), F.col("stem").alias("incident_id"), F.col("stem").alias("title"), none("string").alias("date_occurred"), none("string").alias("date_report_released"), F.lit("").alias("detail_url"), F.lit("").alias("pdf_url"),
+        F.col("path").alias("pdf_path"), F.lit(True).alias("downloaded"), none("timestamp").alias("retrieved_at"), none("int").alias("http_status"), F.lit("application/pdf").alias("content_type"), F.col("size").alias("file_size_bytes"), "sha256", none("string").alias("error"),
+    )
+
+
+def load_config(path: str) -> dict:
+    """A JSON or YAML configuration file; YAML needs its library."""
+    with open(path, encoding="utf-8") as f:
+        if not path.endswith((".yaml", ".yml")):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path}: YAML files need PyYAML") from e
+        return yaml.safe_load(f) or {}
+
+
+def read_config(spark: SparkSession, mapping: dict | str, section: str | None = None, field: str = "display_name") -> DataFrame:
+    """A configuration mapping, or a section of a configuration file, as the small table (raw, display); entries may be texts or objects with `field`."""
+    table = load_config(mapping) if isinstance(mapping, str) else mapping
+    table = table.get(section, {}) if section else table
+    rows = [(str(k), str(v[field] if isinstance(v, dict) else v)) for k, v in table.items()]
+    return spark.createDataFrame(rows, "raw string, display string")
+
+
+# The metrics of a fleet that was never processed.
+NO_METRICS = {"total_incidents": 0, "average_prevention_coverage": 0.0, "average_mitigation_coverage": 0.0, "average_overall_coverage": 0.0}
+
+
+def read_processed(spark: SparkSession, folder: str) -> tuple[DataFrame | None, dict]:
+    """Processed incidents of an older layout (INC-*.json, by id) and the metrics beside them; none, and zeros, where they are missing."""
+    try:
+        rows = spark.read.option("multiLine", "true").option("pathGlobFilter", "INC-*.json").json(folder)
+        incidents = rows.orderBy("incident_id") if "incident_id" in rows.columns else None
+    except Exception:  # no such folder
+        return None, dict(NO_METRICS)
+    try:
+        with open(f"{folder}/fleet_metrics.json", encoding="utf-8") as f:
+            return incidents, json.load(f)
+    except (OSError, ValueError):
+        return incidents, dict(NO_METRICS)
+
+
+def read_bowtie(spark: SparkSession, path: str) -> DataFrame | None:
+    """(id, name, side) of the reference barriers of a bowtie file; None if it is missing or cannot be read."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            barriers = json.load(f)["barriers"]
+        rows = [(str(b.get("id", "")), str(b["name"]), str(b["type"])) for b in barriers]
+    except (OSError, ValueError, KeyError, TypeError):
+        return None
+    return spark.createDataFrame(rows, "id string, name string, side string")

@@ -13,7 +13,7 @@ from ..schemas import INCIDENT
 
 
 def read_json(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(json_path, incident_id, payload, v): every .json file, one row each, sorted by nothing.
+    """(json_path, incident_id, payload, v): every .json file, one row each, in no order.
 
     A byte order mark is dropped; a file that is not JSON has a null v and is
     counted by the caller, not lost. The id defaults to the file's stem.
@@ -24,6 +24,13 @@ def read_json(spark: SparkSession, folder: str, recursive: bool = True) -> DataF
     return rows.withColumn("incident_id", F.coalesce(F.nullif(F.try_variant_get("v", "$.incident_id", "string"), F.lit("")), stem))
 
 
+def aggregated(parsed: DataFrame) -> DataFrame:
+    """(incident_id, source_file, payload) of every document that is an object, in the order of paths; a source_file of its own stays."""
+    own = F.nullif(F.try_variant_get("v", "$.source_file", "string"), F.lit(""))
+    rows = parsed.where("v is not null").where(F.schema_of_variant("v").startswith("OBJECT"))
+    return rows.select("incident_id", F.coalesce(own, "json_path").alias("source_file"), "payload").orderBy("source_file")
+
+
 def typed(parsed: DataFrame) -> DataFrame:
     """The documents in the fixed schema; fields of another type are null."""
     return parsed.where("v is not null").select("json_path", F.from_json(F.regexp_replace("payload", r"^\x{FEFF}", ""), INCIDENT).alias("d")).select("json_path", "d.*")
@@ -35,14 +42,14 @@ def flat_incidents(parsed: DataFrame) -> DataFrame:
     blank = lambda path: F.coalesce(text_of(v, path), F.lit("")).alias("incident__" + path[2:].replace(".", "__"))
     fields = ["source.doc_type", "source.url", "source.title", "source.date_published", "source.date_occurred", "context.region", "context.operator", "context.operating_phase", "event.top_event", "event.incident_type", "event.costs", "event.summary"]
     flags = [(c, f) for c, names in FACTORS.items() for f in names]
-    agency = F.coalesce(*[F.nullif(F.try_variant_get("v", f"$.source.{k}", "string"), F.lit("")) for k in ("agency", "publisher", "report_source")], F.lit(""))
+    told = lambda *names: F.coalesce(*[F.nullif(F.try_variant_get("v", f"$.source.{k}", "string"), F.lit("")) for k in names], F.lit(""))  # noqa: E731  the first that is not blank
     return parsed.where("v is not null").select(
         "incident_id",
-        source_agency(agency, F.try_variant_get("v", "$.source.doc_type", "string"), F.try_variant_get("v", "$.source.url", "string"), F.col("json_path")).alias("source_agency"),
+        source_agency(told("agency", "publisher", "report_source"), told("doc_type", "document_type"), told("url", "document_url"), F.col("json_path")).alias("source_agency"),
         F.element_at(F.split("json_path", "/"), -2).alias("provider_bucket"),
         *[blank(f"$.{p}") for p in fields],
         F.array_join(list_of(v, "$.context.materials"), ", ").alias("incident__context__materials"),
-        *[F.coalesce(F.try_variant_get("v", f"$.pifs.{c}.{f}_mentioned", "boolean"), F.lit(False)).alias(f"incident__pifs__{c}__{f}_mentioned") for c, f in flags],
+        *[x for c, f in flags for x in (blank(f"$.pifs.{c}.{f}_value"), F.coalesce(F.try_variant_get("v", f"$.pifs.{c}.{f}_mentioned", "boolean"), F.lit(False)).alias(f"incident__pifs__{c}__{f}_mentioned"))],
         "json_path",
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,9 +50,61 @@ def write_url_lists(candidates: DataFrame, folder: str) -> None:
 
 
 def write_raw(df: DataFrame, path: str, id_col: str, text_col: str) -> None:
-    """Raw payloads for audit, one partition folder an id."""
-    df.select(F.col(id_col), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(id_col).text(path)
+    """Raw payloads for audit as rows (id, value) of JSON lines, in as many files as there are partitions."""
+    df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("value")).write.mode("overwrite").json(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id string, value string").json(path)
+
+
+def markdown_report(title: str, sections: dict[str, DataFrame | dict]) -> str:
+    """A report of several small tables or lists of facts under one title."""
+    parts = [f"# {title}"]
+    for name, content in sections.items():
+        if isinstance(content, dict):
+            parts.append("\n".join([f"## {name}", "", *[f"- {k}: {v}" for k, v in content.items()]]))
+        else:
+            parts.append(markdown(content, name))
+    return "\n\n".join(parts) + "\n"
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """A small text file through Spark, so any store will do; its folder holds one part."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).head()["value"]
+
+
+def write_thresholds(spark: SparkSession, thresholds: DataFrame, path: str) -> dict:
+    """The one row of thresholds as JSON, keys in order; returns it."""
+    values = report(thresholds)[0]
+    write_text(spark, path, json.dumps(values, indent=2, sort_keys=True))
+    return values
+
+
+def summary(counts: DataFrame, name: str, n: str = "n") -> list[str]:
+    """Lines for a console, most frequent first."""
+    rows = sorted(report(counts), key=lambda r: (-r[n], str(r[name])))
+    return [f"{r[name]}: {r[n]}" for r in rows]
+
+
+def save_model(model: PipelineModel, path: str, metadata: dict | None = None, background: DataFrame | None = None) -> None:
+    """The model, its metadata as JSON, and the rows its explanations start from."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    write_text(spark, f"{path}/metadata", json.dumps(metadata or {}, sort_keys=True))
+    if background is not None:
+        background.write.mode("overwrite").parquet(f"{path}/background")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
+    return PipelineModel.load(f"{path}/model"), json.loads(read_text(spark, f"{path}/metadata"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, sha256) of every file of an artifact."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+(?:/[^/]+)?)$", 1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -1,11 +1,13 @@
 """Readers, sinks, streams and the command line on files."""
 
 import json
+import time
+from urllib.parse import quote
 
 import pytest
 from hazardframe import api, cli, schemas
 from hazardframe.operators import manifests, providers
-from hazardframe.sources import files, incidents, sinks
+from hazardframe.sources import connectors, files, incidents, sinks
 from hazardframe.streaming import manifests as streams
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ def test_incident_files(spark, folder):
     flat = {r.incident_id: r for r in incidents.flat_incidents(parsed).collect()}
     assert sorted(flat) == ["I-1", "two"] and flat["I-1"].source_agency == "CSB" and flat["I-1"].provider_bucket == "csb"
     assert flat["I-1"].incident__event__incident_type == "fire" and flat["I-1"].incident__context__materials == "oil" and flat["I-1"].incident__pifs__people__fatigue_mentioned
+    assert flat["I-1"].incident__pifs__people__fatigue_value == "" and len(flat["I-1"]) == 41
     assert flat["two"].incident__event__top_event == "" and not flat["two"].incident__pifs__people__fatigue_mentioned
     controls = incidents.flat_controls(parsed).orderBy("control_id").collect()
     assert [(c.control_id, c.linked_threat_ids, c.supporting_text_count, c.line_of_defense) for c in controls] == [("C-1", "T1,T2", 2, ""), ("C-2", "", 0, "1")]
@@ -54,7 +57,11 @@ def test_text_sources(spark, tmp_path):
     stems = spark.createDataFrame([("s",), ("r",), ("q",)], "stem string")
     assert {r.stem: r.text for r in files.first_text(spark, stems, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()} == {"s": "one", "r": "three", "q": None}
     bulk = spark.createDataFrame([("7", "Op", "01/02/2020"), ("8", None, "x")], "REPORT_NUMBER string, Operator_Name string, Incident_Date string")
-    assert [(r.candidate_id, r.title, r.date) for r in files.bulk_candidates(bulk).orderBy("report_id").collect()] == [("phmsa-7", "Op", "2020-01-02"), ("phmsa-8", "", None)]
+    bulk = spark.createDataFrame([(" A 7 ", "Op", " 01/02/2020", "n" * 300), (None, None, "x", None)], "REPORT_NUMBER string, Operator_Name string, Incident_Date string, Narrative string").coalesce(1)
+    assert [(r.doc_id, r.title, r.date, r.source) for r in files.bulk_candidates(bulk).collect()] == [("a-7", "n" * 200, "01/02/2020", "phmsa"), ("phmsa-00001", "PHMSA incident phmsa-00001", "x", "phmsa")]
+    assert files.bulk_candidates(bulk, limit=1).count() == 1
+    many = spark.range(100).repartition(5)
+    assert sorted(r.n for r in files.numbered(many).collect()) == list(range(100))
 
 
 def test_manifests_round_trip(spark, tmp_path):
@@ -105,6 +112,120 @@ def test_windowed_failures(spark, tmp_path):
     assert [(r.events, r.errors) for r in spark.table("rates").orderBy("start").collect()] == [(2, 1)] * 3
 
 
+def test_connectors_over_stored_pages(spark, tmp_path):
+    listing = connectors.ADAPTERS["bsee"].listings[0]
+    pages = {listing: b'<a href="/a/Fire-2019.pdf">Fire in 2019</a> <a href="https://o.example/b.pdf">Spill</a> <a href="/gone.pdf">Gone</a>', "https://www.bsee.gov/a/Fire-2019.pdf": b"one", "https://o.example/b.pdf": b"two"}
+    found = connectors.discover(spark, "bsee", connectors.Pages(pages))
+    assert sorted((r.doc_id, r.url, r.date) for r in found.collect()) == [("fire-in-2019", "https://www.bsee.gov/a/Fire-2019.pdf", "2019-01-01"), ("gone", "https://www.bsee.gov/gone.pdf", None), ("spill", "https://o.example/b.pdf", None)]
+    rows, contents = connectors.download(found, connectors.Pages(pages), tries=2)
+    got = {r.incident_id: (r.downloaded, r.http_status, r.file_size_bytes, r.error) for r in rows.collect()}
+    assert got == {"fire-in-2019": (True, 200, 3, None), "spill": (True, 200, 3, None), "gone": (False, 404, None, "HTTP 404")} and contents.count() == 2
+    with pytest.raises(ValueError, match="unknown source"):
+        connectors.discover(spark, "nowhere", connectors.Pages({}))
+
+    class Failing:
+        def get(self, url):
+            raise OSError("no route")
+
+    failed = connectors.fetch(spark.createDataFrame([("https://x",)], "url string"), Failing()).head()
+    assert failed.error == "OSError" and failed.content is None
+
+
+def test_models_are_saved_with_what_they_need(spark, tmp_path):
+    from hazardframe.operators import ml
+
+    df = spark.createDataFrame([(k, float(k % 7), int(k % 7 > 3)) for k in range(70)], "id long, a double, y int")
+    model = ml.logistic(["a"], "y").fit(ml.weighted(df, "y"))
+    sinks.save_model(model, f"{tmp_path}/m", {"all_features": ["a"]}, df.limit(5))
+    back, meta = sinks.load_model(spark, f"{tmp_path}/m")
+    assert meta == {"all_features": ["a"]} and ml.predictions(back, ml.weighted(df, "y"), "id").count() == 70
+    assert sinks.digests(spark, f"{tmp_path}/m/background").where("length(sha256) = 64").count() >= 1
+    assert sinks.write_thresholds(spark, spark.sql("select 0.45d p60, 0.7d p80"), f"{tmp_path}/t") == {"p60": 0.45, "p80": 0.7}
+    assert json.loads(sinks.read_text(spark, f"{tmp_path}/t")) == {"p60": 0.45, "p80": 0.7}
+    sinks.write_raw(spark.createDataFrame([("1", "a\nb"), ("2", None)], "id string, t string"), f"{tmp_path}/raw", "id", "t")
+    assert sorted(map(tuple, sinks.read_raw(spark, f"{tmp_path}/raw").fillna("-").collect())) == [("1", "a\nb"), ("2", "-")]
+    counts = spark.createDataFrame([("a", 1), ("b", 3)], "k string, n int")
+    assert sinks.summary(counts, "k") == ["b: 3", "a: 1"] and sinks.markdown_report("T", {"facts": {"x": 1}, "rows": counts}).startswith("# T\n\n## facts\n\n- x: 1\n\n## rows\n\n| k | n |")
+
+
+def test_configuration_and_older_layouts(spark, tmp_path):
+    (tmp_path / "names.json").write_text(json.dumps({"types": {"ppe": {"display_name": "Gear"}, "x": {"display_name": "Y"}}, "plain": {"a": "b"}}))
+    assert sorted(map(tuple, files.read_config(spark, str(tmp_path / "names.json"), "types").collect())) == [("ppe", "Gear"), ("x", "Y")]
+    assert sorted(map(tuple, files.read_config(spark, {"a": "b"}).collect())) == [("a", "b")]
+    assert files.read_processed(spark, str(tmp_path / "none")) == (None, files.NO_METRICS)
+    (tmp_path / "old").mkdir()
+    for k in (2, 1):
+        (tmp_path / "old" / f"INC-{k}.json").write_text(json.dumps({"incident_id": f"INC-{k}"}))
+    (tmp_path / "old" / "fleet_metrics.json").write_text('{"total_incidents": 2}')
+    rows, found = files.read_processed(spark, str(tmp_path / "old"))
+    assert [r.incident_id for r in rows.collect()] == ["INC-1", "INC-2"] and found == {"total_incidents": 2}
+    assert files.read_bowtie(spark, str(tmp_path / "none.json")) is None and files.read_bowtie(spark, str(tmp_path / "names.json")) is None
+    assert files.inspect_bulk(spark, str(tmp_path / "none.csv"))["error"]
+
+
+def test_aggregate_keeps_where_a_document_came_from(spark, folder):
+    (folder / "in" / "list.json").write_text("[1]")
+    (folder / "in" / ".hidden.json").write_text("{}")
+    got = incidents.aggregated(incidents.read_json(spark, str(folder / "in"))).collect()
+    assert [(r.incident_id, r.source_file.rsplit("/", 1)[1]) for r in got] == [("I-1", "one.json"), ("two", "two.json")]
+
+
+def test_retries_wait_longer_each_time():
+    waits, calls = [], []
+
+    class Model:
+        def extract(self, prompt):
+            calls.append(prompt)
+            if len(calls) < 3:
+                raise OSError
+            return "ok"
+
+    assert providers.Retrying(Model(), 2, waits.append).extract("p") == "ok" and waits == [1, 2]
+    calls.clear()
+    with pytest.raises(OSError):
+        providers.Retrying(Model(), 1, waits.append).extract("p")
+
+
+def test_commands_for_texts_and_sources(spark, folder, capsys):
+    said = lambda: json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    run = lambda *a: cli.main([*map(str, a)])
+    run("quality-gate", "--input", folder / "in")
+    gate = said()
+    assert (gate["documents"], gate["has_controls"], gate["has_controls_pct"], gate["most"]) == (3, 1, 33.3, 3)
+    (folder / "t").mkdir()
+    (folder / "t" / "a.txt").write_text("ID: 1\nDescription: x\nPrevention Barriers: Valve, valve\nMitigation Barriers: Deluge\n\nID: 2\nDescription: y\n")
+    (folder / "bowtie.json").write_text(json.dumps({"hazard": "h", "top_event": "t", "barriers": [{"id": "b1", "name": "VALVE", "type": "prevention"}, {"id": "b2", "name": "alarm", "type": "mitigation"}]}))
+    run("process", "--input", folder / "t", "--output", folder / "p", "--other", folder / "bowtie.json")
+    assert said() == {"incidents": 2, "prevention": 0.5, "mitigation": 0.0, "overall": 0.5}
+    assert sorted(map(tuple, files.read_csv(spark, str(folder / "p" / "gaps")).collect())) == [("1", "mitigation", "alarm"), ("2", "mitigation", "alarm"), ("2", "prevention", "VALVE")]
+    run("extract-text", "--input", folder / "t", "--output", folder / "x")
+    assert said() == [{"extraction_status": "TOO_SHORT", "n": 1}]
+    run("extract-structured", "--input", folder / "t", "--output", folder / "s")
+    assert said()["top_errors"] == [{"error": "incident_id: Field required", "n": 1}]
+    (folder / "pdfs").mkdir()
+    for name in ("one.pdf", "free%20space.pdf"):
+        (folder / "pdfs" / name).write_bytes(b"x")
+    run("corpus-manifest", "--input", folder / "pdfs", "--other", folder / "in", "--output", folder / "c")
+    assert said() == [{"status": "needs_extraction", "n": 1}, {"status": "ready", "n": 1}]
+    run("corpus-clean", "--input", folder / "pdfs", "--other", folder / "in", "--output", folder / "c")
+    assert said() == {"noise": 2}
+    run("ingest-source", "--input", folder / "pdfs", "--output", folder / "i")
+    assert said() == {"documents": 2} and spark.read.parquet(str(folder / "i" / "documents")).count() == 1
+    (folder / "site").mkdir()
+    listing = connectors.ADAPTERS["bsee"].listings[0]
+    (folder / "site" / quote(listing, safe="")).write_text('<a href="/r/a.pdf">Fire</a>')
+    (folder / "site" / quote("https://www.bsee.gov/r/a.pdf", safe="")).write_bytes(b"pdf")
+    run("discover-source", "--source", "bsee", "--input", folder / "site", "--output", folder / "d")
+    assert said() == {"source": "bsee", "candidates": 1}
+    run("acquire", "--source", "bsee", "--input", folder / "site", "--output", folder / "q")
+    assert said() == {"rows": 1, "downloaded": 1}
+    (folder / "bulk.csv").write_text("REPORT_NUMBER,Narrative\n1,a\n2,b\n")
+    run("ingest-phmsa", "--input", folder / "bulk.csv", "--output", folder / "b")
+    assert said()["rows"] == 2
+    run("overview", "--input", folder / "none")
+    assert said()["incidents"] == 0
+
+
 def test_command_line(spark, folder, capsys):
     cli.main(["build-combined-exports", "--input", str(folder / "in"), "--output", str(folder / "out")])
     assert files.read_csv(spark, str(folder / "out" / "controls")).count() == 2
@@ -123,6 +244,24 @@ def test_service(spark):
     with pytest.raises(ValueError, match="not in the scenario"):
         api.predict_cascading(b, t, "zz", score)
     assert api.narrative_synthesis("p", providers.StubModel("Fine.")) == "Fine."
-    with pytest.raises(ValueError, match="limits"):
-        api.narrative_synthesis("p", providers.StubModel("word " * 99))
+
+    class Broken:
+        def extract(self, prompt):
+            raise RuntimeError
+
+    class Slow:
+        def extract(self, prompt):
+            time.sleep(1)
+
+    for model, status in ((providers.StubModel("word " * 99), 502), (providers.StubModel(" "), 502), (None, 503), (Broken(), 503), (Slow(), 504)):
+        with pytest.raises(api.ServiceError) as e:
+            api.narrative_synthesis("p", model, 0.2)
+        assert e.value.status == status
+    with pytest.raises(api.ServiceError):
+        api.check_route("predict")
+    with pytest.raises(api.ServiceError):
+        api.check_key("x", "y")
+    api.check_key(None, None)
+    prompt = api.synthesis_prompt("{top_event}|{shap_features_formatted}|{rag_contexts_formatted}", {"top_event": "leak"}, [("side", 0.5)], [("I", "s", "")])
+    assert prompt == "leak|- side: +0.500|<rag_incident_contexts>Incident I: s</rag_incident_contexts>"
     assert api.health(model=object(), index=None)["status"] == "degraded"
