@@ -31,32 +31,36 @@ def first_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 class _Narrative(HTMLParser):
-    """Text outside script and style; of <main> less nav if there is one, else of <body> less header, nav and footer."""
+    """Text outside script and style: of the first <main> less nav if there is one, else of <body> less header, nav and footer, else of the whole page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
         self.main: list[str] = []
         self.body: list[str] = []
-        self.has_main = False
+        self.whole: list[str] = []
+        self.has_main = self.has_body = self.past_main = False
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style", "main", "body", "nav", "header", "footer"):
             self.open.append(tag)
             self.has_main |= tag == "main"
+            self.has_body |= tag == "body"
 
     def handle_endtag(self, tag):
         if tag in self.open:
             while self.open.pop() != tag:
                 pass
+            self.past_main |= tag == "main" and "main" not in self.open
 
     def handle_data(self, data):
         data = data.strip()
-        if not data or "script" in self.open or "style" in self.open or "nav" in self.open:
+        if not data or "script" in self.open or "style" in self.open:
             return
-        if "main" in self.open:
+        self.whole.append(data)
+        if "main" in self.open and not self.past_main and "nav" not in self.open:
             self.main.append(data)
-        if "body" in self.open and not {"header", "footer"} & set(self.open):
+        if "body" in self.open and not {"nav", "header", "footer"} & set(self.open):
             self.body.append(data)
 
 
@@ -64,7 +68,7 @@ def narrative_of(html: str | None) -> str:
     parser = _Narrative()
     parser.feed(html or "")
     parser.close()
-    return "\n".join(parser.main if parser.has_main else parser.body)
+    return "\n".join(parser.main if parser.has_main else parser.body if parser.has_body else parser.whole)
 
 
 @F.pandas_udf(T.StringType())
@@ -72,12 +76,32 @@ def narrative(html: pd.Series) -> pd.Series:
     return html.map(narrative_of)
 
 
-def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] = ("/about", "/news")) -> DataFrame:
-    """(page_id, href, heading): report links of listing pages, each with the heading that follows within `window` characters."""
-    cards = F.regexp_extract_all("html", F.lit(rf'(?is)(<a[^>]+href="[^"]+"[^>]*>.{{0,{window}}}?</h3>)'), F.lit(1))
-    rows = pages.select("page_id", F.explode(cards).alias("card"))
-    rows = rows.select("page_id", F.regexp_extract("card", r'(?i)href="([^"]+)"', 1).alias("href"), F.trim(strip_tags(F.regexp_extract("card", r"(?is)<h3[^>]*>(.*?)</h3>", 1))).alias("heading"))
-    return rows.where(~F.col("href").rlike("|".join(denied))).distinct()
+# Folders of listing pages that are no reports.
+NOT_REPORTS = ("about", "news", "investigations", "recommendations", "contact", "careers", "search")
+
+
+def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] = NOT_REPORTS) -> DataFrame:
+    """(page_id, href, heading): links to reports of listing pages, each folder once, in page order.
+
+    Where a page calls to "full investigation details", links of one folder in
+    the `window` characters before each call count, titled by their folder;
+    other pages give links that hold an <h3>, titled by it.
+    """
+    text = F.coalesce("html", F.lit(""))
+    call = F.lit(rf"(?is)(.{{0,{window}}})full\s+investigation\s+details")
+    called = text.rlike(r"(?i)full\s+investigation\s+details")
+    near = pages.where(called).select("page_id", F.posexplode(F.regexp_extract_all(text, call, F.lit(1))).alias("pos", "w"))
+    near = near.select("page_id", "pos", F.posexplode(F.regexp_extract_all("w", F.lit(r'(?i)href="(/[^"/]+/)"'), F.lit(1))).alias("inner", "href"))
+    folder = F.regexp_replace("href", "/", "")
+    near = near.select("page_id", "pos", "inner", "href", F.initcap(F.trim(F.replace(folder, F.lit("-"), F.lit(" ")))).alias("heading"))
+    cards = F.regexp_extract_all(text, F.lit(r'(?is)(<a\s[^>]*href="/[^"/]+/"[^>]*>.*?<h3[^>]*>.*?</h3>)'), F.lit(1))
+    plain = pages.where(~called).select("page_id", F.posexplode(cards).alias("pos", "card"))
+    heading = F.trim(strip_tags(F.regexp_extract("card", r"(?is)<h3[^>]*>(.*?)</h3>", 1)))
+    plain = plain.select("page_id", "pos", F.lit(0).alias("inner"), F.regexp_extract("card", r'(?i)href="(/[^"/]+/)"', 1).alias("href"), heading.alias("heading"))
+    rows = near.unionByName(plain).withColumn("folder", folder)
+    good = rows.where((F.length("folder") >= 3) & ~F.col("folder").startswith("investigations") & ~F.col("folder").isin(*denied))
+    first = good.groupBy("page_id", "href").agg(F.min_by("heading", F.struct("pos", "inner")).alias("heading"))
+    return first.select("page_id", "href", "heading")
 
 
 def pdf_anchors(pages: DataFrame) -> DataFrame:
@@ -105,6 +129,13 @@ def listing_links(pages: DataFrame) -> DataFrame:
     return rows.select(report.alias("report_id"), F.regexp_extract("a", r'(?i)href="([^"]+)"', 1).alias("href"), F.nullif(F.regexp_extract("a", r"(\d{4}-\d{2}-\d{2})\s*\z", 1), F.lit("")).alias("date")).distinct()
 
 
+def document_links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, anchor) of every link with the text it shows, in page order."""
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'(?is)(<a\s[^>]*?href="[^"]+"[^>]*?>.*?</a>)'), F.lit(1))
+    rows = pages.select("page_id", F.posexplode(found).alias("pos", "a"))
+    return rows.select("page_id", "pos", F.regexp_extract("a", r'(?i)href="([^"]+)"', 1).alias("href"), F.trim(strip_tags(F.col("a"))).alias("anchor"))
+
+
 def best_report(candidates: DataFrame, key: str, score: Column) -> DataFrame:
     """The link with the highest score of each key; ties go to the first address."""
     return candidates.groupBy(key).agg(F.max_by(F.struct(*candidates.columns), F.struct(score, F.col("href"))).alias("r")).select("r.*")

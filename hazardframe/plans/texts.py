@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text
 from ..operators import retrieval
+from ..streaming import manifests as streams
 from .registry import query, table
 
 #: Terms that occur in the test prose; the defaults of the operator are those of the domain.
@@ -131,12 +132,40 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query("html_narrative")
+_SHAPES = r"""shaped AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(replace(html, '<article>', '<main><nav>skip</nav>'), '</article>', '</main>') WHEN 1 THEN '<p>no <b>body</b></p><style>x</style><nav>kept</nav>' ELSE html END AS h FROM pages),
+ cleaned AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', chr(1), 'g') AS h FROM shaped),
+ parts AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_replace(regexp_extract(h, '(?is)<main>(.*?)</main>', 1), '(?is)<nav>.*?</nav>', chr(1), 'g') WHEN 1 THEN h
+   ELSE regexp_replace(regexp_replace(regexp_extract(h, '(?is)<body>(.*?)(?:</body>|\z)', 1), '(?is)<nav>.*?</nav>', chr(1), 'g'), '(?is)<footer>.*?</footer>', chr(1), 'g') END AS t FROM cleaned)"""
+_ENTITIES = "replace(replace(replace(replace(replace(x, '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
+
+
+@query(
+    "html_narrative",
+    f"SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '<[^>]+>', chr(1), 'g'), chr(1)), lambda x: {_strip(_ENTITIES)}), lambda x: x <> ''), chr(10)) AS narrative FROM parts",
+    _SHAPES,
+)
 def html_narrative(spark, sf):
-    page = F.when(F.col("page_id") % 3 == 0, F.replace(F.replace("html", F.lit("<article>"), F.lit("<main>")), F.lit("</article>"), F.lit("</main>"))).otherwise(F.col("html"))
+    """Pages with a main part, with a body only, and without either."""
+    main = F.replace(F.replace("html", F.lit("<article>"), F.lit("<main><nav>skip</nav>")), F.lit("</article>"), F.lit("</main>"))
+    page = F.when(F.col("page_id") % 3 == 0, main).when(F.col("page_id") % 3 == 1, F.lit("<p>no <b>body</b></p><style>x</style><nav>kept</nav>")).otherwise(F.col("html"))
     return table(spark, sf, "pages").select("page_id", html.narrative(page).alias("narrative"))
 
 
+@query("document_links", """SELECT page_id, CAST(pos AS INTEGER) AS pos, regexp_extract(a, '(?i)href="([^"]+)"', 1) AS href, trim(regexp_replace(a, '<[^>]+>', '', 'g')) AS anchor FROM (SELECT page_id, unnest(range(len(f))) AS pos, unnest(f) AS a FROM (SELECT page_id, regexp_extract_all(html, '(?is)(<a\\s[^>]*?href="[^"]+"[^>]*?>.*?</a>)', 1) AS f FROM pages) WHERE len(f) > 0)""".replace("\\\\s", "\\s"))
+def document_links(spark, sf):
+    return html.document_links(table(spark, sf, "pages"))
+
+
+@query(
+    "windowed_failures",
+    "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
+)
+def windowed_failures(spark, sf):
+    """The streaming aggregate over a table at rest."""
+    rates = streams.failure_rate(table(spark, sf, "events"))
+    return rates.select(F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "events", "errors")
+
+
 @query(
     "url_doc_id",
     r"""SELECT page_id, upper(CASE WHEN page_id % 3 = 0 THEN 'p23h0001' ELSE coalesce(nullif(regexp_replace(split_part(regexp_replace(regexp_replace(url, '[?#].*', ''), '/+$', ''), '/', -1), '\.[^.]*$', ''), ''), 'TSB_UNKNOWN') END) AS doc_id FROM pages""",

@@ -239,6 +239,15 @@ def test_narrative_of_pages():
     assert html.narrative_of(page) == "one\ntwo"
     assert html.narrative_of(page.replace("<p>", "<main><nav>n</nav><p>").replace("</p><script>", "</p></main><script>")) == "one\ntwo"
     assert html.narrative_of(None) == ""
+    assert html.narrative_of("<p>no <i>body</i></p><nav>n</nav><script>x</script>") == "no\nbody\nn", "a page without a body gives all its text"
+
+
+def test_cards_of_listing_pages(spark):
+    called = '<a href="/about/">a</a> <a href="/tank-fire/">x</a> <a href="/x/y/">deep</a> Full  Investigation Details <a href="/tank-fire/">again</a> <a href="/investigations-all/">i</a> <a href="/gas-leak/">g</a> full investigation details'
+    plain = '<a class="c" href="/pump-fire/"><img><h3>Pump <b>Fire</b></h3></a><a href="/news/"><h3>News</h3></a>'
+    df = spark.createDataFrame([(1, called), (2, plain), (3, None)], "page_id int, html string")
+    assert rows(html.report_cards(df)) == [(1, "/gas-leak/", "Gas Leak"), (1, "/tank-fire/", "Tank Fire"), (2, "/pump-fire/", "Pump Fire")]
+    assert rows(html.document_links(df.where("page_id = 2")), "href", "anchor") == [("/news/", "News"), ("/pump-fire/", "Pump Fire")]
 
 
 def test_coercion_of_drifting_documents(spark):
