@@ -301,6 +301,28 @@ def context_text(hits: DataFrame, queries: DataFrame, keys: list[str], most: int
     return queries.select(*keys).join(built, keys, "left").select(*keys, F.coalesce("context", F.lit(NO_CONTEXT)).alias("context"))
 
 
+def explained(hits: DataFrame, queries: DataFrame, metadata: DataFrame, incidents: DataFrame, k: int = 10, most: int = MOST_CONTEXT, reranked: bool = False) -> DataFrame:
+    """(query_id, context) of a hybrid search: candidates cut to k (by rerank_score if there is a reranker), with what is known of barrier and incident.
+
+    hits: those of `hybrid` or `hybrid_search`, asked for 30 candidates where a
+    reranker follows, with control_id. metadata: incident_id, control_id and the
+    barrier's fields; incidents: incident_id, incident_summary, recommendations, pif_tags.
+    """
+    kept = rerank(hits, k).drop("place").withColumnRenamed("rerank_place", "place") if reranked else hits.where(F.col("place") <= k)
+    fields = ["barrier_name", "barrier_family", "side", "barrier_status", "barrier_role", "lod_basis", "barrier_failed_human", "human_contribution_value", "supporting_text"]
+    known = with_metadata(kept, metadata, fields).join(incidents, "incident_id", "left")
+    return context_text(known.withColumn("entry", context_entry(F.col("place"))), queries, ["query_id"], most)
+
+
+def evaluated(searches: dict[str, DataFrame], expected: DataFrame) -> DataFrame:
+    """(search, queries, top1, top5, top10, mrr) of several rankings of the same queries. searches: name to hits (query_id, family, rank)."""
+    out = None
+    for name, hits in searches.items():
+        row = retrieval_metrics(first_match(hits, expected)).select(F.lit(name).alias("search"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def pair_hits(conditioning: DataFrame, target: DataFrame, incidents: DataFrame) -> DataFrame:
     """Both sides' hits of a barrier pair, each side kept to the domain and to its best hit of each incident, under one another.
 

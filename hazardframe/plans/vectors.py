@@ -194,6 +194,22 @@ def retrieval_metrics(spark, sf):
     return retrieval.retrieval_metrics(_first_hits(spark, sf))
 
 
+@query(
+    "search_evaluation",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS search, count(*) AS queries, avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS top1, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS top5, avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS top10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM {view}"""
+        for name, view in (("vectors", "first_b"), ("hybrid", "first_h"))
+    ),
+    *_HITS,
+    _FIRST,
+)
+def search_evaluation(spark, sf):
+    family = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("family"))
+    plain = retrieval.top_k(_queries(spark, sf), _items(spark, sf).where("item_id >= 100"), 10, carry=["family"])
+    fused = _hybrid(spark, sf).join(family, "item_id").select("query_id", "family", F.col("place").alias("rank"))
+    return retrieval.evaluated({"vectors": plain.select("query_id", "family", "rank"), "hybrid": fused}, _expected(spark, sf))
+
+
 @query(
     "ranking_delta",
     """SELECT query_id, x.rank AS before, y.rank AS after, CASE WHEN x.rank IS NULL AND y.rank IS NULL THEN 'both_miss' WHEN x.rank IS NULL THEN 'new_hit' WHEN y.rank IS NULL THEN 'lost'
