@@ -77,7 +77,7 @@ def narrative(html: pd.Series) -> pd.Series:
 
 
 # Folders of listing pages that are no reports.
-NOT_REPORTS = ("about", "news", "investigations", "recommendations", "contact", "careers", "search")
+NOT_REPORTS = ("investigations", "completed-investigations", "current-investigations", "data-quality", "data-quality-", "about", "recommendations", "videos", "news")
 
 
 def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] = NOT_REPORTS) -> DataFrame:
