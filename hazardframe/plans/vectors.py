@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..operators import retrieval
 from .registry import query, table
 
@@ -163,6 +164,29 @@ def pair_context(spark, sf):
     return found.select("query_id", F.sha2("context", 256).alias("digest"), "n_conditioning", "n_target")
 
 
+@query(
+    "explain_cascading",
+    """SELECT query_id, n_conditioning, n_target, n_snippets, n_incidents, empty, coalesce((SELECT string_agg(rec, '|' ORDER BY n) FROM (SELECT query_id AS qid, rec, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS n FROM (
+        SELECT query_id, rec, side_of_pair || lpad(CAST(place AS VARCHAR), 4, '0') || i AS pos FROM (SELECT query_id, side_of_pair, place, unnest(['r' || (incident_id % 7), 'r' || (incident_id % 5)]) AS rec, unnest([1, 2]) AS i FROM pair_hits)) GROUP BY query_id, rec)
+      WHERE qid = query_id AND n <= 5), '') AS recommendations,
+    CASE WHEN people OR work THEN '{' || array_to_string(list_filter([CASE WHEN people THEN '"people":["fatigue"]' END, CASE WHEN work THEN '"work":["procedures","workload"]' END], lambda x: x IS NOT NULL), ',') || '}' END AS pif_tags
+    FROM (SELECT q.query_id, count(item_id) FILTER (side_of_pair = 'conditioning') AS n_conditioning, count(item_id) FILTER (side_of_pair = 'target') AS n_target, count(item_id) AS n_snippets, count(DISTINCT incident_id) AS n_incidents,
+      concat_ws(',', CASE WHEN count(item_id) FILTER (side_of_pair = 'conditioning') = 0 THEN 'conditioning' END, CASE WHEN count(item_id) FILTER (side_of_pair = 'target') = 0 THEN 'target' END) AS empty,
+      coalesce(bool_or(incident_id % 2 = 0), false) AS people, coalesce(bool_or(incident_id % 3 = 0), false) AS work FROM q LEFT JOIN pair_hits USING (query_id) GROUP BY 1)""",
+    *_HITS,
+    _PAIR,
+)
+def explain_cascading(spark, sf):
+    """What the service answers for a pair: counts, the first five recommendations and the united tags."""
+    key = F.col("incident_id")
+    text = lambda n: F.concat(F.lit("r"), (key % n).cast("string"))
+    tags = F.map_filter(F.create_map(F.lit("people"), F.when(key % 2 == 0, F.array(F.lit("fatigue"))), F.lit("work"), F.when(key % 3 == 0, F.array(F.lit("workload"), F.lit("procedures")))), lambda k, v: v.isNotNull())
+    facts = _incident_facts(spark, sf).select("incident_id", F.array(text(7), text(5)).alias("recommendations"), tags.alias("pif_tags"))
+    hits = _pair_hits(spark, sf).withColumn("entry", F.lit("x"))
+    found = api.explain_cascading(hits, _queries(spark, sf), facts)
+    return found.select("query_id", "n_conditioning", "n_target", "n_snippets", "n_incidents", "empty", F.coalesce(F.array_join("recommendations", "|"), F.lit("")).alias("recommendations"), F.to_json("pif_tags").alias("pif_tags"))
+
+
 def _expected(spark, sf):
     return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("family"))
 
