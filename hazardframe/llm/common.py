@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -116,6 +117,31 @@ def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int, distinct:
     return hashed.orderBy("__o", *keys).limit(size).drop("__o")
 
 
+def hand_back() -> None:
+    """Gives memory that this Python worker no longer uses back to the machine.
+
+    Workers outlive their tasks and wait for the next stage; without this, several
+    of them would keep the most that each ever held.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def tidy(run):
+    """A function over the batches of a partition that hands memory back when the partition is done."""
+
+    def wrapped(batches, *args):
+        try:
+            yield from run(batches, *args)
+        finally:
+            hand_back()
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut so that what is made from one stays small."""
     for batch in batches:

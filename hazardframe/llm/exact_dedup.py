@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_of, quoted, text_or_empty, utf8, without
+from .common import all_of, quoted, text_or_empty, tidy, utf8, without
 
 REPORT = ["keep_id", "group_size", "kept", "text_sha256"]
 #: Bytes of text that one table holds before it flushes (map side) or spills (reduce side).
@@ -182,8 +182,8 @@ def _resolve_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each distinct text: text_sha256, keep_id, group_size, tied (rows with keep_id)."""
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("content"))
-    local = whole.mapInArrow(_fold_partition, _DDL)
-    found = local.repartition("h").mapInArrow(_resolve_partition, _DDL)
+    local = whole.mapInArrow(tidy(_fold_partition), _DDL)
+    found = local.repartition("h").mapInArrow(tidy(_resolve_partition), _DDL)
     return found.select(F.col("content").alias("text_sha256"), "keep_id", "group_size", "tied")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, quoted, slices, text_or_empty, texts
+from .common import Scratch, quoted, slices, text_or_empty, texts, tidy
 from .tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -104,7 +104,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, i
             )
 
     read = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), _source_key(docs, source_col).alias("source"), F.col(quoted(text_col)).cast("string").alias("text"))
-    return scratch.table(read.mapInArrow(run, "row_id long, doc_id long, queue int, n long, ids binary, part long, at long"), "tokens")
+    return scratch.table(read.mapInArrow(tidy(run), "row_id long, doc_id long, queue int, n long, ids binary, part long, at long"), "tokens")
 
 
 def handed_over(totals: list[int], position: int, weights: list[int] | None = None) -> list[int]:
@@ -284,7 +284,7 @@ def pack(
             columns = list(zip(*out, strict=True)) if out else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT.types, strict=True)], schema=_CUT)
 
-    pieces = placed.mapInArrow(cut, "segment long, row_id long, doc_id long, queue int, n long, start long, len long, at long, ids binary")
+    pieces = placed.mapInArrow(tidy(cut), "segment long, row_id long, doc_id long, queue int, n long, start long, len long, at long, ids binary")
     return pieces.groupBy("segment").applyInPandas(lambda f: _pack_segment(f, totals, weights, window, segment, width, keep_ids), _PIECE + ", ids binary" * keep_ids)
 
 

@@ -47,11 +47,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, all_of, slices, text_or_empty, utf8, without
+from .common import Scratch, all_of, hand_back, slices, text_or_empty, tidy, utf8, without
 
 LENGTH, GRAM = 50, 34
 #: Bytes of text in a part, in a block that is sorted at once, and in one signature's or anchor's block at most.
-PART_BYTES, BLOCK_BYTES, BLOCK_MOST = 8 << 20, 1 << 20, 4 << 20
+PART_BYTES, BLOCK_BYTES, BLOCK_MOST = 8 << 20, 1 << 20, 2 << 20
 #: Bytes of an anchor's hash kept beside its bucket's number; a clash only brings texts together in vain.
 KEPT = 5
 #: Texts that hold a piece of a large signature from which it is broadcast, and the most such pieces (100 bytes each).
@@ -187,6 +187,7 @@ def _from_blob(blob: bytes) -> np.ndarray:
 
 def _report(table: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """Each anchor of a part once, by bucket: hashes, and whether two of its texts have it."""
+    hand_back()
     part = table.column("part")[0].as_py()
     texts, _, _ = _units(table)
     found = [(h, owner) for owner, _, h in _anchored(texts, length, gram)]
@@ -244,6 +245,7 @@ _RUN_DDL = "signature long, ord long, h long, start long, text binary"
 
 def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
     """The runs of a part: text with shared anchors, and all strings around them."""
+    hand_back()
     out: dict[str, list] = {n: [] for n in _RUN}
     if table.num_rows and shared.num_rows:
         # one number for bucket and kept hash: the bucket's low bits stand above the hash
@@ -279,30 +281,38 @@ def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first `depth` bytes (a shorter one before what it begins), ties in any order; and each position's rank.
 
     Prefix doubling: ranks of 2k bytes come from ranks of k bytes at two places;
-    the last step lets the two overlap to reach `depth` exactly.
+    the last step lets the two overlap to reach `depth` exactly. Ranks and the
+    order take four bytes a position; only the key that is sorted takes eight.
     """
     n = len(data)
     rank, size = data.astype(np.int64) + 1, 1  # 0 is past the end
     while size < 4 and 2 * size <= depth:  # the first ranks are the bytes themselves, side by side
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - size)] = rank[size:]
-        rank = (rank << (9 * size)) + after
+        rank = (rank << (9 * size)) | _ahead(rank, size)
         size *= 2
-    order = np.argsort(rank)
+    order = np.argsort(rank).astype(np.int32)
     while size < depth:
         step = min(size, depth - size)
-        rank = _dense(rank, order) + 1
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - step)] = rank[step:]
-        rank, size = (rank << 32) + after, size + step
-        order = np.argsort(rank)
+        dense = _dense(rank, order) + np.int32(1)
+        rank = dense.astype(np.int64)
+        rank <<= 32
+        rank |= _ahead(dense, step)
+        size += step
+        order = np.argsort(rank).astype(np.int32)
     return order, _dense(rank, order)
 
 
+def _ahead(rank: np.ndarray, by: int) -> np.ndarray:
+    """The rank `by` places on; 0 past the end."""
+    out = np.zeros(len(rank), rank.dtype)
+    out[: max(0, len(rank) - by)] = rank[by:]
+    return out
+
+
 def _dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    ordered = key[order]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if len(key) else 0
+    out = np.zeros(len(key), np.int32)
+    if len(key):
+        ordered = key[order]
+        out[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32)
     return out
 
 
@@ -346,7 +356,14 @@ def earlier_factors(data: np.ndarray, room: np.ndarray, owner: np.ndarray, lengt
     met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order, group = order[met], group[met]
     before, after = smaller_neighbours(owner[order], group)
-    return np.sort(order[(before >= 0) | (after >= 0)])
+    return np.sort(order[(before >= 0) | (after >= 0)]).astype(np.int64)
+
+
+def _room(ends: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The bytes from each position to the end of its run."""
+    out = ends.astype(np.int32)[run]
+    out -= np.arange(len(run), dtype=np.int32)
+    return out
 
 
 def _spans(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,21 +382,26 @@ def _solve(rows: list[tuple[int, int, int, bytes]], length: int) -> pa.RecordBat
     rows.sort(key=lambda r: r[:3])
     sizes = np.array([len(r[3]) for r in rows], np.int64)
     ends = np.cumsum(sizes)
-    run = np.repeat(np.arange(len(rows)), sizes)
+    run = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-    owner = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
-    room = ends[run] - np.arange(len(data))
-    at = earlier_factors(data, room, owner[run], length)
+    owner = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1].astype(np.int32)
+    at = earlier_factors(data, _room(ends, run), owner[run], length)
     out = []
-    for k in np.unique(run[at]).tolist():
-        begin = int(ends[k] - sizes[k])
-        lo, hi = np.searchsorted(at, [begin, int(ends[k])])
+    for k, begin, mine in _of_runs(at, ends, sizes):
         o, h, start, _ = rows[k]
-        for a, b in zip(*(x.tolist() for x in _spans(at[lo:hi], length)), strict=True):
+        for a, b in zip(*(x.tolist() for x in _spans(mine, length)), strict=True):
             out.append((o, h, start + a - begin, start + b - begin))
     return _span_batch(out)
 
 
+def _of_runs(at: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number, begin, positions) of each run that has any of the sorted positions."""
+    begins = ends - sizes
+    lo, hi = np.searchsorted(at, begins), np.searchsorted(at, ends)
+    for k in np.flatnonzero(hi > lo).tolist():
+        yield k, int(begins[k]), at[lo[k] : hi[k]]
+
+
 def _span_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["ord", "h", "begin", "end"])
 
@@ -422,14 +444,12 @@ def _cut_pieces(rows: list[tuple[int, bytes, int]], length: int) -> Iterator[tup
     """(anchor, piece, begin, end) of what goes from each different piece (least ord, piece, anchor) of a block."""
     sizes = np.array([len(p) for _, p, _ in rows], np.int64)
     ends = np.cumsum(sizes)
-    run = np.repeat(np.arange(len(rows)), sizes)
-    owner = np.unique(np.array([o for o, _, _ in rows], np.int64), return_inverse=True)[1]
+    run = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    owner = np.unique(np.array([o for o, _, _ in rows], np.int64), return_inverse=True)[1].astype(np.int32)
     data = np.frombuffer(b"".join(p for _, p, _ in rows), np.uint8)
-    at = earlier_factors(data, ends[run] - np.arange(len(data)), owner[run], length)
-    for k in np.unique(run[at]).tolist():
-        begin = int(ends[k] - sizes[k])
-        lo, hi = np.searchsorted(at, [begin, int(ends[k])])
-        for a, b in zip(*(x.tolist() for x in _spans(at[lo:hi] - begin, length)), strict=True):
+    at = earlier_factors(data, _room(ends, run), owner[run], length)
+    for k, begin, mine in _of_runs(at, ends, sizes):
+        for a, b in zip(*(x.tolist() for x in _spans(mine - begin, length)), strict=True):
             yield rows[k][2], rows[k][1], a, b
 
 
@@ -463,15 +483,15 @@ def _piece_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 def _solve_split(hot: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
     """Spans of signatures that are too large for one block, by the pieces around their anchors."""
-    pieces = scratch.table(hot.mapInArrow(lambda it: _pieces(it, length, gram), "anchor long, piece binary, ord long, h long, at long"), "pieces")
+    pieces = scratch.table(hot.mapInArrow(tidy(lambda it: _pieces(it, length, gram)), "anchor long, piece binary, ord long, h long, at long"), "pieces")
     # copies are folded inside each input partition, so a piece of a third of all documents is one row for each
     first = scratch.table(pieces.groupBy("anchor", "piece").agg(F.min("ord").alias("least"), F.count("*").alias("n")), "first")
     large = first.groupBy("anchor").agg(F.sum(F.octet_length("piece")).alias("size")).where(F.col("size") > BLOCK_MOST).select("anchor")
     large = scratch.table(large, "large")
     usual = first.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").select("anchor", "piece", "least")
-    cut = usual.mapInArrow(lambda it: _piece_blocks(it, length), "anchor long, piece binary, begin long, end long")
+    cut = usual.mapInArrow(tidy(lambda it: _piece_blocks(it, length)), "anchor long, piece binary, begin long, end long")
     if not large.isEmpty():
-        suffixes = first.join(large, "anchor", "left_semi").select("anchor", "piece", "least").mapInArrow(lambda it: _piece_suffixes(it, length), "suffix binary, least long, anchor long, piece binary, at long")
+        suffixes = first.join(large, "anchor", "left_semi").select("anchor", "piece", "least").mapInArrow(tidy(lambda it: _piece_suffixes(it, length)), "suffix binary, least long, anchor long, piece binary, at long")
         suffixes = scratch.table(suffixes, "suffixes")
         runs = suffixes.groupBy("suffix").agg(F.min("least").alias("owner"))
         gone = suffixes.join(runs, "suffix").where("owner < least")
@@ -497,7 +517,7 @@ def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = _keyed(docs, id_col, text_col)
     total = whole.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     parts = max(1, math.ceil(total / PART_BYTES))
-    dealt = whole.where(F.octet_length("text") >= length).mapInArrow(_fold, "h long, ord long, text binary").withColumn("part", F.pmod(F.shiftright("h", 7), F.lit(parts)))
+    dealt = whole.where(F.octet_length("text") >= length).mapInArrow(tidy(_fold), "h long, ord long, text binary").withColumn("part", F.pmod(F.shiftright("h", 7), F.lit(parts)))
     by_part = dealt.groupBy("part")
     reported = by_part.applyInArrow(lambda t: _report(t, parts, length, gram), "bucket long, part long, hashes binary, several binary")
     shared = reported.groupBy("bucket").applyInArrow(_shared, "part long, bucket long, hashes binary, signatures binary")
@@ -506,7 +526,7 @@ def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = runs.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > BLOCK_MOST).select("signature")
     hot = scratch.table(hot, "hot")
     usual = runs.join(hot, "signature", "left_anti").repartition("signature").sortWithinPartitions("signature")
-    spans = usual.mapInArrow(lambda it: _solve_blocks(it, length), _SPAN_DDL)
+    spans = usual.mapInArrow(tidy(lambda it: _solve_blocks(it, length)), _SPAN_DDL)
     if not hot.isEmpty():
         spans = spans.union(_solve_split(runs.join(hot, "signature"), length, gram, scratch))
     return spans.groupBy("ord", "h").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_sample, slices, utf8, without
+from .common import Scratch, hash_sample, slices, tidy, utf8, without
 
 #: Labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -77,7 +77,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             x = np.array([statistics(t) for t in utf8(batch.column(1))]).reshape(-1, N_STATISTICS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, x array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "id long, x array<double>")
 
 
 def held_out(id_col: str):
@@ -175,7 +175,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             score = model.score(np.array([statistics(t) for t in utf8(batch.column(1))]).reshape(-1, N_STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) `{id_col}`", f"cast(`{text_col}` as string) t").mapInArrow(run, f"`{id_col}` long, score double, predicted int")
+    return docs.selectExpr(f"cast(`{id_col}` as bigint) `{id_col}`", f"cast(`{text_col}` as string) t").mapInArrow(tidy(run), f"`{id_col}` long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

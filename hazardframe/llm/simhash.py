@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, all_of, quoted, slices, text_or_empty, utf8, without
+from .common import Scratch, all_of, quoted, slices, text_or_empty, tidy, utf8, without
 from .components import connected_components
 
 RADIUS = 3
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(size))], ["id", "h", *names])
 
     whole = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(run, ", ".join(["id long, h long", *(f"{n} long" for n in names)]))
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(tidy(run), ", ".join(["id long, h long", *(f"{n} long" for n in names)]))
 
 
 class Forest:
@@ -346,7 +346,7 @@ def _met_links(keyed: DataFrame, words: list[str], scratch: Scratch, radius: int
     met = keyed.join(large, ["choice", "bits"], "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     dealt = met.select("choice", "bits", F.expr(MEETING).alias("pair"), *words, "node")
     sorted_ = dealt.repartition("choice", "bits", "pair").sortWithinPartitions("choice", "bits", "pair", *words)
-    return sorted_.mapInArrow(lambda it: _links(it, radius), "a long, b long")
+    return sorted_.mapInArrow(tidy(lambda it: _links(it, radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, size: int = 1, radius: int = RADIUS) -> DataFrame:
@@ -381,7 +381,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(v)) for v in values.T), pa.array([min_keys(x) for x in sets], pa.list_(pa.int64()))], [*names, "keys"])
 
     whole = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(run, ", ".join([*(f"{n} long" for n in names), "keys array<long>"]))
+    return docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text"), F.xxhash64(whole).alias("h")).mapInArrow(tidy(run), ", ".join([*(f"{n} long" for n in names), "keys array<long>"]))
 
 
 def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -454,11 +454,11 @@ def confirmed_links(docs: DataFrame, text_col: str, named: DataFrame, found: Dat
 
     whole = text_or_empty(text_col)
     met = docs.select(F.xxhash64(whole).alias("h"), whole.alias("text")).join(blocks, "h").select("component", "node", "text")
-    sets = met.mapInArrow(run, "component long, node long, shingles binary")
+    sets = met.mapInArrow(tidy(run), "component long, node long, shingles binary")
     cut = sets.join(large, "component", "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     dealt = cut.select("component", F.expr(MEETING).alias("pair"), "node", "shingles")
     sorted_ = dealt.repartition("component", "pair").sortWithinPartitions("component", "pair", "node")
-    return sorted_.mapInArrow(lambda it: _confirmed(it, similarity), "a long, b long")
+    return sorted_.mapInArrow(tidy(lambda it: _confirmed(it, similarity)), "a long, b long")
 
 
 def similar_agreement(similarity: float) -> float:

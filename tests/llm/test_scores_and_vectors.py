@@ -173,6 +173,47 @@ def test_isotonic_is_monotone_and_keeps_means():
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= -1e-12).all() and abs(np.interp(x, knots, values).mean() - y.mean()) < 0.03
 
 
+def test_fit_is_ridge_on_fourier_features(spark):
+    """Moments, feature map, normal equations and calibration against plain numpy and the min-max form of isotonic regression."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 5)) * [1, 2, 3, 4, 0.1] + 7
+    y = (x[:, 0] + rng.standard_normal(400) > 7).astype(float)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(7)
+    model = quality.fit(df, 5)
+    draw = np.random.default_rng(quality.SEED)
+    w, b = draw.standard_normal((5, quality.FEATURES)) / math.sqrt(2.5), draw.uniform(0, 2 * math.pi, quality.FEATURES)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -5, 5)
+    phi = np.hstack([np.ones((400, 1)), z / math.sqrt(5), math.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b)])
+    size = phi.shape[1]
+    want = np.linalg.solve(phi.T @ phi + quality.RIDGE * 400 * np.eye(size) / size, phi.T @ y)
+    raw = phi @ want
+    assert np.allclose(model.raw(x), raw, atol=1e-6)
+    order = np.argsort(raw)
+    ys, scores = y[order], raw[order]
+    sums = np.concatenate([[0], np.cumsum(ys)])
+    means = lambda j, k: (sums[k + 1] - sums[j]) / (k + 1 - j)
+    fitted = np.array([max(min(means(j, k) for k in range(i, 400)) for j in range(i + 1)) for i in range(0, 400, 9)])
+    first, last = np.searchsorted(scores, model.knots[1:-1]), len(model.knots) - 2
+    assert (np.diff(model.values) >= 0).all() and last >= 2 and len(first) == last
+    block = {round(float(v), 9) for v in model.values}
+    assert all(round(float(v), 9) in block for v in fitted), "every fitted value is a block's mean"
+
+
+def test_fourier_features_approximate_the_gaussian_kernel():
+    model = quality.Model(4, features=40_000)
+    z = np.random.default_rng(2).standard_normal((30, 4))
+    phi = model.features(z)[:, 5:]
+    distance = ((z[:, None] - z[None]) ** 2).sum(axis=2)
+    assert np.abs(phi @ phi.T - np.exp(-distance / 4)).max() < 0.03
+
+
+def test_repeated_ids_and_labels(spark):
+    rows = [(k % 3, "good words here " * (1 + k % 5), "en", "s", 1) for k in range(30)]
+    labels = [(k, 1, 0) for k in range(3)] * 4 + [(0, 0, 0)]
+    got = quality.quality_scores(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 30 and all(0 <= r.score <= 1 for r in got)
+
+
 def test_quality_of_held_out_rows(spark):
     random.seed(9)
     good = lambda: " ".join(random.choices(WORDS[:10], k=random.randint(20, 80))) + "."
