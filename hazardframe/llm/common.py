@@ -117,6 +117,23 @@ def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int, distinct:
     return hashed.orderBy("__o", *keys).limit(size).drop("__o")
 
 
+#: Rows of one key from which a join broadcasts the key's one row, and the most keys that are broadcast (some 100 bytes each).
+OFTEN, OFTEN_MOST = 10_000, 500_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a written table of one row a key and `n`, the rows of `left` that have the key.
+
+    Rows of keys that very many share stay where they are and are looked up
+    there; the number of such keys is counted first. All other rows are dealt by key.
+    """
+    hot = right.where(F.col("n") > OFTEN).drop("n")
+    if not 0 < hot.count() <= OFTEN_MOST:
+        return left.join(right.drop("n"), on)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col("n") <= OFTEN).drop("n"), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def hand_back() -> None:
     """Gives memory that this Python worker no longer uses back to the machine.
 

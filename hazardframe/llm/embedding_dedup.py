@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, quoted, slices
+from .common import Scratch, hot_join, quoted, slices, tidy
 from .components import connected_components
 from .simhash import Forest
 
@@ -254,7 +254,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     copies = rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     # numbered once, when written: ids may repeat or be null, so they cannot name vectors
     nodes = copies.select("digest", "label", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node"), "least", "weight", "v")
-    nodes = scratch.table(nodes.mapInArrow(_coded, _NODE + ", code binary"), "nodes")
+    nodes = scratch.table(nodes.mapInArrow(tidy(_coded), _NODE + ", code binary"), "nodes")
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).head()[0] or 0
     sets, bits = plan(largest, threshold, bucket, exact)
     keyed = nodes.select("label", "dim", "node", "code").mapInArrow(lambda it: _keyed(it, sets, bits), "label string, dim int, number int, bucket long, node long, code binary")
@@ -264,10 +264,10 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     met = keyed.join(large, on, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     pair = F.expr("explode(transform(sequence(0L, coalesce(chunks, 1L) - 1), x -> named_struct('a', least(x, own), 'b', greatest(x, own))))")
     dealt = met.select(*on, pair.alias("p"), "own", "node", "code").select(*on, "p.a", "p.b", "own", "node", "code")
-    suspects = dealt.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(lambda it: _suspects(it, threshold, exact), "label string, dim int, number int, bucket long, a long, b long, own long, node long")
+    suspects = dealt.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(tidy(lambda it: _suspects(it, threshold, exact)), "label string, dim int, number int, bucket long, a long, b long, own long, node long")
     suspects = scratch.table(suspects, "suspects")
     fetched = suspects.join(nodes.select("node", "weight", "code", "v"), "node").select(*MEETING, "own", "node", "weight", "code", "v")
-    found = fetched.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(lambda it: _links(it, threshold, bits), "kind int, node long, value long")
+    found = fetched.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(tidy(lambda it: _links(it, threshold, bits)), "kind int, node long, value long")
     found = scratch.table(found, "found")
     links = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("found"))
     parts = connected_components(found.where("kind = 1").select("node", "value"), scratch)
@@ -275,13 +275,15 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         nodes.select("digest", "node", "least", "weight")
         .join(links, "node", "left")
         .join(parts, "node", "left")
-        .select("digest", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
+        .select("digest", "least", "weight", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
     )
+    per_node = scratch.table(per_node, "per-node")
     # A component's name is the least id of its rows, whatever its nodes' numbers.
-    named = per_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    answers = per_node.join(named, "component").select("digest", "n_links", "component_id")
+    named = scratch.table(per_node.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+    answers = scratch.table(hot_join(per_node, named, ["component"]).select("digest", "n_links", F.col("weight").alias("n"), "component_id"), "answers")
     alone = rows.where("digest is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    joined = rows.where("digest is not null").select("id", "digest").join(answers, "digest").select(F.col("id").alias(id_col), "n_links", "component_id")
+    joined = rows.where("digest is not null").select("id", "digest")
+    joined = hot_join(joined, answers, ["digest"]).select(F.col("id").alias(id_col), "n_links", "component_id")
     return joined.union(alone)
 
 

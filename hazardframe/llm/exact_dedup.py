@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_of, quoted, text_or_empty, tidy, utf8, without
+from .common import Scratch, all_of, hot_join, quoted, text_or_empty, tidy, utf8, without
 
 REPORT = ["keep_id", "group_size", "kept", "text_sha256"]
 #: Bytes of text that one table holds before it flushes (map side) or spills (reduce side).
@@ -190,11 +190,12 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id with keep_id, group_size, kept and text_sha256.
 
-    The join that hands each row its group is on the digest of the whole text;
-    its left side is narrow, and a skewed digest is one that AQE can split.
+    Each row gets its group by the digest of the whole text; rows of very large
+    groups are answered where they are, so no task holds a hot group.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
-    return rows.join(distinct_texts(docs, id_col, text_col), "text_sha256").select(
+    groups = Scratch(docs.sparkSession, "groups").table(distinct_texts(docs, id_col, text_col).drop("tied").withColumn("n", F.col("group_size")), "groups")
+    return hot_join(rows, groups, ["text_sha256"]).select(
         id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

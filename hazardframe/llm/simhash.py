@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, all_of, quoted, slices, text_or_empty, tidy, utf8, without
+from .common import Scratch, all_of, hot_join, quoted, slices, text_or_empty, tidy, utf8, without
 from .components import connected_components
 
 RADIUS = 3
@@ -355,22 +355,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = scratch.table(fingerprints(docs, id_col, text_col, width, seed, size), "fingerprints")
     words = rows.columns[2:]
     # numbered once, when written: ids may repeat or be null, so they cannot name fingerprints
-    named = rows.groupBy(*words).agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    named = rows.groupBy(*words).agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     named = scratch.table(named, "distinct")
-    found = connected_components(near_links(named.drop("least"), scratch, radius), scratch)
-    return _least_ids(rows, named, words, found).select(F.col("id").alias(id_col), "h", *words, "component_id")
+    found = connected_components(near_links(named.drop("least", "n"), scratch, radius), scratch)
+    return _least_ids(rows, named, words, found, scratch).select(F.col("id").alias(id_col), "h", *words, "component_id")
 
 
-def _least_ids(rows: DataFrame, named: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
-    """`rows` with component_id, the least id of all whose `keys` name a node of the same component."""
-    classes = named.join(found, "node", "left").select(*keys, "least", F.coalesce("component", "node").alias("component"))
-    names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(classes.join(names, "component").select(*keys, "component_id"), keys)
+def _least_ids(rows: DataFrame, named: DataFrame, keys: list[str], found: DataFrame, scratch: Scratch) -> DataFrame:
+    """`rows` with component_id, the least id of all whose `keys` name a node of the same component. named: keys, node, least and n, the rows of the keys."""
+    classes = scratch.table(named.join(found, "node", "left").select(*keys, "least", "n", F.coalesce("component", "node").alias("component")), "classes")
+    names = scratch.table(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
+    known = hot_join(classes.withColumnRenamed("n", "rows"), names, ["component"]).select(*keys, F.col("rows").alias("n"), "component_id")
+    return hot_join(rows, scratch.table(known, "known"), keys)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, size: int) -> DataFrame:
-    """(id, h, d0, d1, n, f0, .., keys): a hash of the text, the digest and the size of its set of shingles, the words of that set's fingerprint and its look-up keys."""
-    names = ["id", "h", "d0", "d1", "n", *(f"f{k}" for k in range(size))]
+    """(id, h, d0, d1, shingles, f0, .., keys): a hash of the text, the digest and the size of its set of shingles, the words of that set's fingerprint and its look-up keys."""
+    names = ["id", "h", "d0", "d1", "shingles", *(f"f{k}" for k in range(size))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -440,11 +441,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
 def confirmed_links(docs: DataFrame, text_col: str, named: DataFrame, found: DataFrame, scratch: Scratch, similarity: float, width: int, seed: int) -> DataFrame:
     """Links (a, b) that span all pairs at `similarity` or more within each component of `found`, the candidates.
 
-    named: written (h, n, node): the hash of one text with the node's shingles, and their number. A component
+    named: written (h, shingles, node): the hash of one text with the node's shingles, and their number. A component
     that is large is cut into chunks, and every two chunks meet in a task.
     """
-    blocks = scratch.table(found.join(named.select("node", "h", "n"), "node"), "blocks")
-    chunks = F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / GROUP))
+    blocks = scratch.table(found.join(named.select("node", "h", F.col("shingles").alias("size")), "node"), "blocks")
+    chunks = F.greatest(F.ceil(F.sum("size") / SHINGLES), F.ceil(F.count("*") / GROUP))
     large = scratch.table(blocks.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1"), "large-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,12 +483,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = scratch.table(shingle_sets(docs, id_col, text_col, width, seed, size), "sets")
     words = rows.columns[5:-1]
     # a node is a set of shingles; equal sets may have unequal texts, of which one is read again
-    same = [F.first(c).alias(c) for c in ("n", *words, "keys")]
-    named = rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.min("h").alias("h"), *same).withColumn("node", F.monotonically_increasing_id())
+    same = [F.first(c).alias(c) for c in ("shingles", *words, "keys")]
+    named = rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("h").alias("h"), *same).withColumn("node", F.monotonically_increasing_id())
     named = scratch.table(named, "distinct")
     candidates = connected_components(candidate_links(named.select(*words, "node", "keys"), scratch, radius), scratch)
     links = confirmed_links(docs, text_col, named, candidates, scratch, similarity, width, seed)
-    classes = _least_ids(rows, named, ["d0", "d1"], connected_components(links, Scratch(docs.sparkSession, "confirmed")))
+    confirmed = Scratch(docs.sparkSession, "confirmed")
+    classes = _least_ids(rows, named, ["d0", "d1"], connected_components(links, confirmed), confirmed)
     key = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     kept = classes.where("component_id is null or id = component_id").select(key("id").alias("__key"), F.col("h").alias("__h"))
     rows = docs.withColumn("__key", key(id_col)).withColumn("__h", F.xxhash64(text_or_empty(text_col)))
