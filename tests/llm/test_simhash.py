@@ -172,7 +172,7 @@ def test_confirmed_links_within_candidates(spark, monkeypatch, group):
     texts = [" ".join(t) for t in texts]
     want = brute_components(texts, lambda a, b: jaccard(a, b) >= 0.8)
     docs = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
-    named = docs.selectExpr("xxhash64(text) h", "60L n", "doc_id node")
+    named = docs.selectExpr("xxhash64(text) h", "60L shingles", "doc_id node")
     scratch = Scratch(spark, "test")
     links = simhash.confirmed_links(docs, "text", named, named.selectExpr("node", "0L component"), scratch, 0.8, 5, 42)
     got = dict(map(tuple, connected_components(links, scratch).collect()))
