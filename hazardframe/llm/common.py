@@ -117,21 +117,25 @@ def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int, distinct:
     return hashed.orderBy("__o", *keys).limit(size).drop("__o")
 
 
-#: Rows of one key from which a join broadcasts the key's one row, and the most keys that are broadcast (some 100 bytes each).
+#: Rows of one key that a task of a join gets at most, about, and the most keys above that which are broadcast (some 100 bytes each).
 OFTEN, OFTEN_MOST = 10_000, 500_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join with a written table of one row a key and `n`, the rows of `left` that have the key.
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame) -> DataFrame:
+    """Inner join of `left` with one row a key, in which very common keys are dealt over many tasks.
 
-    Rows of keys that very many share stay where they are and are looked up
-    there; the number of such keys is counted first. All other rows are dealt by key.
+    counts: a written table of `on` and `n`, the rows of `left` that have the
+    key. Keys with more than `OFTEN` rows are counted first; their list goes to
+    the left rows, which spread by a hash of themselves, and the right row is
+    repeated as often. Without such keys, or with too many to broadcast, it is a plain join.
     """
-    hot = right.where(F.col("n") > OFTEN).drop("n")
+    hot = counts.where(F.col("n") > OFTEN).select(*on, F.ceil(F.col("n") / OFTEN).cast("int").alias("__s"))
     if not 0 < hot.count() <= OFTEN_MOST:
-        return left.join(right.drop("n"), on)
-    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col("n") <= OFTEN).drop("n"), on)
-    return left.join(F.broadcast(hot), on).unionByName(rest)
+        return left.join(right, on)
+    hot, parts = F.broadcast(hot), F.coalesce("__s", F.lit(1))
+    mine = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*all_of(left)), parts).cast("int")).drop("__s")
+    theirs = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__s")
+    return mine.join(theirs, [*on, "__salt"]).drop("__salt")
 
 
 def hand_back() -> None:

@@ -275,15 +275,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         nodes.select("digest", "node", "least", "weight")
         .join(links, "node", "left")
         .join(parts, "node", "left")
-        .select("digest", "least", "weight", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
+        .select("digest", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
     )
-    per_node = scratch.table(per_node, "per-node")
     # A component's name is the least id of its rows, whatever its nodes' numbers.
     named = scratch.table(per_node.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
-    answers = scratch.table(hot_join(per_node, named, ["component"]).select("digest", "n_links", F.col("weight").alias("n"), "component_id"), "answers")
+    answers = hot_join(per_node, named.drop("n"), ["component"], named.select("component", "n")).select("digest", "n_links", "component_id")
     alone = rows.where("digest is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     joined = rows.where("digest is not null").select("id", "digest")
-    joined = hot_join(joined, answers, ["digest"]).select(F.col("id").alias(id_col), "n_links", "component_id")
+    joined = hot_join(joined, answers, ["digest"], nodes.select("digest", F.col("weight").alias("n"))).select(F.col("id").alias(id_col), "n_links", "component_id")
     return joined.union(alone)
 
 

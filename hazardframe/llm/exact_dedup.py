@@ -190,12 +190,12 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's id with keep_id, group_size, kept and text_sha256.
 
-    Each row gets its group by the digest of the whole text; rows of very large
-    groups are answered where they are, so no task holds a hot group.
+    Each row gets its group by the digest of the whole text; rows of a very
+    large group are dealt over many tasks.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"))
-    groups = Scratch(docs.sparkSession, "groups").table(distinct_texts(docs, id_col, text_col).drop("tied").withColumn("n", F.col("group_size")), "groups")
-    return hot_join(rows, groups, ["text_sha256"]).select(
+    groups = Scratch(docs.sparkSession, "groups").table(distinct_texts(docs, id_col, text_col).drop("tied"), "groups")
+    return hot_join(rows, groups, ["text_sha256"], groups.select("text_sha256", F.col("group_size").alias("n"))).select(
         id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

@@ -363,10 +363,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _least_ids(rows: DataFrame, named: DataFrame, keys: list[str], found: DataFrame, scratch: Scratch) -> DataFrame:
     """`rows` with component_id, the least id of all whose `keys` name a node of the same component. named: keys, node, least and n, the rows of the keys."""
-    classes = scratch.table(named.join(found, "node", "left").select(*keys, "least", "n", F.coalesce("component", "node").alias("component")), "classes")
+    classes = named.join(found, "node", "left").select(*keys, "least", F.coalesce("component", "node").alias("component"))
     names = scratch.table(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
-    known = hot_join(classes.withColumnRenamed("n", "rows"), names, ["component"]).select(*keys, F.col("rows").alias("n"), "component_id")
-    return hot_join(rows, scratch.table(known, "known"), keys)
+    known = hot_join(classes, names.drop("n"), ["component"], names.select("component", "n")).select(*keys, "component_id")
+    return hot_join(rows, known, keys, named.select(*keys, "n"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int, size: int) -> DataFrame:
