@@ -138,7 +138,7 @@ _SHAPES = r"""shaped AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace(re
  cleaned AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', chr(1), 'g') AS h FROM shaped),
  parts AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_replace(regexp_extract(h, '(?is)<main>(.*?)</main>', 1), '(?is)<nav>.*?</nav>', chr(1), 'g') WHEN 1 THEN h
    ELSE regexp_replace(regexp_replace(regexp_extract(h, '(?is)<body>(.*?)(?:</body>|\z)', 1), '(?is)<nav>.*?</nav>', chr(1), 'g'), '(?is)<footer>.*?</footer>', chr(1), 'g') END AS t FROM cleaned)"""
-_NAMED = {"&nbsp;": "chr(160)", "&copy;": "'©'", "&middot;": "'·'", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#x27;": "chr(39)", "&#39;": "chr(39)", "&amp;": "'&'"}
+_NAMED = {"&nbsp;": "chr(160)", "&copy;": "'©'", "&middot;": "'·'", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#x27;": "chr(39)", "&#39;": "chr(39)", "&amp;": "'&'", "&amp": "'&'"}
 _ENTITIES = reduce(lambda x, e: f"replace({x}, '{e[0]}', {e[1]})", _NAMED.items(), "x")
 
 

@@ -319,6 +319,21 @@ def test_context_layout(spark):
     assert got == {"a": "## Similar Barrier Failures\n\n" + "x" * 60 + "\n---\n" + "y" * 20, "b": "## Similar Barrier Failures\n\nNo similar barrier failures found."}
 
 
+def test_explained_hits_and_evaluation(spark):
+    hits = spark.createDataFrame([(1, "I", "c1", 0.03, 1, 1, 1, 0.1), (1, "J", "c2", 0.02, 2, 2, 2, 0.9)], "query_id int, incident_id string, control_id string, rrf_score double, barrier_rank int, incident_rank int, place int, rerank_score double")
+    fields = "incident_id string, control_id string, barrier_name string, barrier_family string, side string, barrier_status string, barrier_role string, lod_basis string, barrier_failed_human boolean, human_contribution_value string, supporting_text array<string>"
+    known = spark.createDataFrame([(i, c, f"name {c}", "f", "prevention", "failed", "r", "b", False, "v", ["q"]) for i, c in (("I", "c1"), ("J", "c2"))], fields)
+    facts = spark.createDataFrame([("I", "s", ["inspect"], None)], "incident_id string, incident_summary string, recommendations array<string>, pif_tags map<string,array<string>>")
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    got = {r.query_id: r.context for r in retrieval.explained(hits, queries, known, facts).collect()}
+    assert got[2] == retrieval.NO_CONTEXT and got[1].index("name c1") < got[1].index("name c2") and "- inspect" in got[1]
+    again = {r.query_id: r.context for r in retrieval.explained(hits, queries, known, facts, k=1, reranked=True).collect()}
+    assert "name c2" in again[1] and "name c1" not in again[1]
+    ranked = spark.createDataFrame([(1, "f", 2), (2, "g", 1)], "query_id int, family string, rank int")
+    table = retrieval.evaluated({"x": ranked}, spark.createDataFrame([(1, "f"), (2, "f")], "query_id int, family string")).head()
+    assert (table.search, table.queries, table.top1, table.top5, table.mrr) == ("x", 2, 0.0, 0.5, 0.25)
+
+
 def test_metadata_falls_back_to_the_first_row_of_a_control(spark):
     hits = spark.createDataFrame([("A", "c1"), ("X", "c1"), ("X", "c9"), ("B", "c2")], "incident_id string, control_id string")
     known = spark.createDataFrame([("B", "c1", "late", 2), ("Z", "c1", "first", 1), ("A", "c1", None, 3), ("B", "c2", "own", 4)], "incident_id string, control_id string, note string, pos int")
@@ -384,6 +399,17 @@ def test_context_and_providers(spark):
     e = providers.provider("hashing", dimension=16)
     vecs = [r.embedding for r in providers.embedded(spark.createDataFrame([("gas leak",), ("gas leak",), ("",)], "t string"), "t", e).collect()]
     assert vecs[0] == vecs[1] and abs(sum(x * x for x in vecs[0]) - 1) < 1e-9 and not any(vecs[2])
+    checked = providers.embedded_checked(spark.createDataFrame([("a",)], "t string"), "t", e)
+    assert len(checked.head().embedding) == 16
+
+    class Short:
+        dimension = 3
+
+        def embed(self, texts):
+            return [[0.0] * 2 for _ in texts]
+
+    with pytest.raises(Exception, match="stated size"):
+        providers.embedded_checked(spark.createDataFrame([("a",)], "t string"), "t", Short()).collect()
     assert value(spark, providers.lexical_rerank(F.col("a"), F.col("b")), a="Gas leak alarm", b="the alarm for gas") == pytest.approx(2 / 3)
     ladder = providers.Ladder([("small", providers.StubModel("no")), ("big", providers.StubModel("{}"))], lambda a: a == "{}", retries=2)
     assert ladder.run("p") == ("big", "{}", ["small", "small", "big"])
