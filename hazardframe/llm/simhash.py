@@ -467,14 +467,13 @@ def similar_agreement(similarity: float) -> float:
     return 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8, seed: int = 42) -> DataFrame:
-    """The rows of `docs` less all but one of each group of texts whose sets of shingles have Jaccard `similarity` or more.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8, seed: int = 42) -> DataFrame:
+    """Membership (id, h, component_id) of every row: h is the text's xxhash64, component_id the least id reachable by links of Jaccard `similarity` or more.
 
     Pairs that share a look-up key and have near fingerprints (`size` words) are
     candidates only: within each of their components the links are those that the
     shingles themselves confirm. The radius lies `DEVIATIONS` beyond the mean
-    distance of a pair at `similarity`. The row with the least id stays; a group whose ids are all null
-    stays whole. Rows that repeat the kept id and text all stay.
+    distance of a pair at `similarity`.
     """
     agree = similar_agreement(similarity)
     bits = BITS * size
@@ -489,7 +488,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     candidates = connected_components(candidate_links(named.select(*words, "node", "keys"), scratch, radius), scratch)
     links = confirmed_links(docs, text_col, named, candidates, scratch, similarity, width, seed)
     confirmed = Scratch(docs.sparkSession, "confirmed")
-    classes = _least_ids(rows, named, ["d0", "d1"], connected_components(links, confirmed), confirmed)
+    return _least_ids(rows, named, ["d0", "d1"], connected_components(links, confirmed), confirmed).select("id", "h", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, size: int = 8, seed: int = 42) -> DataFrame:
+    """The rows of `docs` less all but one of each group of `near_groups`.
+
+    The row with the least id stays; a group whose ids are all null stays whole.
+    Rows that repeat the kept id and text all stay.
+    """
+    classes = near_groups(docs, id_col, text_col, similarity, width, size, seed)
     key = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
     kept = classes.where("component_id is null or id = component_id").select(key("id").alias("__key"), F.col("h").alias("__h"))
     rows = docs.withColumn("__key", key(id_col)).withColumn("__h", F.xxhash64(text_or_empty(text_col)))

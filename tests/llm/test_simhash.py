@@ -172,6 +172,12 @@ def test_confirmed_links_within_candidates(spark, monkeypatch, group):
     texts = [" ".join(t) for t in texts]
     want = brute_components(texts, lambda a, b: jaccard(a, b) >= 0.8)
     docs = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    if group == 4096:  # the membership of all rows, from candidates to groups
+        least = {}
+        for k, c in enumerate(want):
+            least.setdefault(c, k)
+        got = {r.id: r.component_id for r in simhash.near_groups(docs).collect()}
+        assert got == {k: least[c] for k, c in enumerate(want)}
     named = docs.selectExpr("xxhash64(text) h", "60L shingles", "doc_id node")
     scratch = Scratch(spark, "test")
     links = simhash.confirmed_links(docs, "text", named, named.selectExpr("node", "0L component"), scratch, 0.8, 5, 42)
