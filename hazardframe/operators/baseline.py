@@ -74,10 +74,16 @@ def fleet_coverage(present: DataFrame, reference: DataFrame, universe: DataFrame
 
 
 def fleet_gaps(present: DataFrame, reference: DataFrame, incidents: DataFrame) -> DataFrame:
-    """(incident_id, side, name): reference barriers whose name an incident has on neither side."""
-    have = present.select("incident_id", F.lower("name").alias("key")).distinct()
-    every = incidents.select("incident_id").join(reference.select("side", "name", F.lower("name").alias("key")), F.lit(True))
-    return every.join(have, ["incident_id", "key"], "left_anti").select("incident_id", "side", "name")
+    """(incident_id, side, name): reference barriers whose name an incident has on neither side.
+
+    A bowtie's barriers, some tens, are one row of a list; each incident keeps
+    of it what its own names lack.
+    """
+    have = present.groupBy("incident_id").agg(F.collect_set(F.lower("name")).alias("have"))
+    wanted = reference.agg(F.collect_list(F.struct("side", "name")).alias("wanted"))
+    met = incidents.select("incident_id").join(have, "incident_id", "left").join(F.broadcast(wanted), F.lit(True))  # one row
+    lacking = F.filter("wanted", lambda b: ~F.coalesce(F.array_contains("have", F.lower(b["name"])), F.lit(False)))
+    return met.select("incident_id", F.explode(lacking).alias("b")).select("incident_id", "b.side", "b.name")
 
 
 def fleet_means(scores: DataFrame) -> DataFrame:
