@@ -199,8 +199,8 @@ def rerank(hits: DataFrame, k: int = 10) -> DataFrame:
 
 def first_match(hits: DataFrame, expected: DataFrame) -> DataFrame:
     """(query_id, rank) of the first hit of the expected family, null for none. hits: query_id, family, rank."""
-    good = hits.join(expected, ["query_id", "family"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    return expected.select("query_id").join(good, "query_id", "left")
+    met = expected.select("query_id", F.col("family").alias("__wanted")).join(hits.select("query_id", "family", "rank"), "query_id", "left")
+    return met.groupBy("query_id").agg(F.min(F.when(F.col("family") == F.col("__wanted"), F.col("rank"))).alias("rank"))
 
 
 def retrieval_metrics(matches: DataFrame) -> DataFrame:

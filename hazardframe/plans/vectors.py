@@ -27,23 +27,29 @@ _H = "h AS (SELECT * FROM h30 WHERE place <= 10)"
 _HITS = [_V, _B, _I, _H30, _H]
 
 
-def _queries(spark, sf):
-    v = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+def _queries(spark, sf, v=None):
+    v = (_vectors(spark, sf) if v is None else v).where("vec_id % 100 = 0")
     return v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
-def _items(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec"), F.col("label").alias("family"), (F.col("vec_id") % 2 == 0).alias("failed_human"))
+def _items(spark, sf, v=None):
+    v = _vectors(spark, sf) if v is None else v
+    return v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec"), F.col("label").alias("family"), (F.col("vec_id") % 2 == 0).alias("failed_human"))
 
 
-def _indexed(spark, sf):
+def _indexed(spark, sf, v=None):
     """Both indexes of a hybrid search: the vectors from 100 on are barriers, the others their incidents."""
     key = F.col("item_id")
-    return _items(spark, sf).withColumns({"side": F.when(key >= 100, retrieval.BARRIER).otherwise(retrieval.INCIDENT), "incident_id": key % 100})
+    return _items(spark, sf, v).withColumns({"side": F.when(key >= 100, retrieval.BARRIER).otherwise(retrieval.INCIDENT), "incident_id": key % 100})
 
 
 def _hybrid(spark, sf, k=10):
-    return retrieval.hybrid_search(_queries(spark, sf), _indexed(spark, sf), 150, 40, k)
+    v = _vectors(spark, sf)
+    return retrieval.hybrid_search(_queries(spark, sf, v), _indexed(spark, sf, v), 150, 40, k)
 
 
 @query("vector_norm_check", "SELECT count(*) AS vectors, count(*) FILTER (abs(sqrt(list_dot_product(e, e)) - 1) > 1e-4) AS not_unit FROM v", _V)
@@ -53,7 +59,8 @@ def vector_norm_check(spark, sf):
 
 @query("vector_topk", "SELECT query_id, item_id, score, rank FROM a WHERE rank <= 50", _V, _A)
 def vector_topk(spark, sf):
-    return retrieval.top_k(_queries(spark, sf), _items(spark, sf), 50)
+    v = _vectors(spark, sf)
+    return retrieval.top_k(_queries(spark, sf, v), _items(spark, sf, v), 50)
 
 
 @query("masked_topk", "SELECT query_id, item_id, score, rank FROM m WHERE rank <= 50", _V, _M)
@@ -187,14 +194,15 @@ def explain_cascading(spark, sf):
     return found.select("query_id", "n_conditioning", "n_target", "n_snippets", "n_incidents", "empty", F.coalesce(F.array_join("recommendations", "|"), F.lit("")).alias("recommendations"), F.to_json("pif_tags").alias("pif_tags"))
 
 
-def _expected(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("family"))
+def _expected(spark, sf, v=None):
+    return (_vectors(spark, sf) if v is None else v).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("family"))
 
 
 def _first_hits(spark, sf):
     """The rank of the first of ten hits among the barriers that has the query's own label."""
-    hits = retrieval.top_k(_queries(spark, sf), _items(spark, sf).where("item_id >= 100"), 10, carry=["family"])
-    return retrieval.first_match(hits, _expected(spark, sf))
+    v = _vectors(spark, sf)
+    hits = retrieval.top_k(_queries(spark, sf, v), _items(spark, sf, v).where("item_id >= 100"), 10, carry=["family"])
+    return retrieval.first_match(hits, _expected(spark, sf, v))
 
 
 def _delta(spark, sf):
