@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, lexical, packing, passages, quality, sharding, simhash, token_output, urls
+from . import bpe, embedding_dedup, exact_dedup, lexical, line_dedup, packing, passages, quality, sharding, simhash, token_output, urls
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_embedding_links": embedding_dedup.op9_embedding_links,
     "op10_grace_dedup": exact_dedup.op10_grace_dedup,
     "op11_block_max_search": lexical.op11_block_max_search,
+    "op13_line_bitmaps": line_dedup.op13_line_bitmaps,
 }
-ORACLE_SQL = {"op10_grace_dedup": exact_dedup.OP10_SQL, "op11_block_max_search": lexical.OP11_SQL}
+ORACLE_SQL = {"op10_grace_dedup": exact_dedup.OP10_SQL, "op11_block_max_search": lexical.OP11_SQL, "op13_line_bitmaps": line_dedup.OP13_SQL}
