@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, lexical, line_dedup, packing, passages, quality, sharding, simhash, token_output, urls
+from . import bpe, embedding_dedup, exact_dedup, lexical, line_dedup, packing, passages, quality, sharding, simhash, token_output, urls, vector_codes
 
 QUERIES = {
     "op1_external_shuffle": sharding.op1_external_shuffle,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_embedding_links": embedding_dedup.op9_embedding_links,
     "op10_grace_dedup": exact_dedup.op10_grace_dedup,
     "op11_block_max_search": lexical.op11_block_max_search,
+    "op12_heap_lloyd": vector_codes.op12_heap_lloyd,
     "op13_line_bitmaps": line_dedup.op13_line_bitmaps,
 }
-ORACLE_SQL = {"op10_grace_dedup": exact_dedup.OP10_SQL, "op11_block_max_search": lexical.OP11_SQL, "op13_line_bitmaps": line_dedup.OP13_SQL}
+ORACLE_SQL = {"op10_grace_dedup": exact_dedup.OP10_SQL, "op11_block_max_search": lexical.OP11_SQL, "op12_heap_lloyd": vector_codes.OP12_SQL, "op13_line_bitmaps": line_dedup.OP13_SQL}
