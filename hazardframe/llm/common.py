@@ -121,7 +121,7 @@ def hash_sample(df: DataFrame, keys: list[str], size: int, seed: int, distinct:
 OFTEN, OFTEN_MOST = 10_000, 500_000
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", hint: str | None = None) -> DataFrame:
     """Join (`inner` or `left`) of `left` with one row a key, in which very common keys are dealt over many tasks.
 
     counts: a written table of `on` and `n`, the rows of `left` that have the
@@ -130,18 +130,20 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame
     gets a salt from its own number, and the right row is repeated as often. Rows
     equal in every column get different numbers. `left` must be read from tables by
     narrow steps alone, so that a task that runs again numbers its rows as before.
+    `hint` names a join strategy for the right side, where the plan is to be alike at every size.
     """
+    hinted = (lambda df: df.hint(hint)) if hint else (lambda df: df)
     often = counts.where(F.col("n") > OFTEN)
     found = often.count()
     if not found:
-        return left.join(right, on, how)
+        return left.join(hinted(right), on, how)
     if found > OFTEN_MOST:
         often = often.orderBy(F.col("n").desc(), *on).limit(OFTEN_MOST)
     hot, parts = F.broadcast(often.select(*on, F.ceil(F.col("n") / OFTEN).cast("int").alias("__s"))), F.coalesce("__s", F.lit(1))
     numbered = left.withColumn("__row", F.monotonically_increasing_id())
     mine = numbered.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64("__row"), parts).cast("int")).drop("__s", "__row")
     theirs = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__s")
-    return mine.join(theirs, [*on, "__salt"], how).drop("__salt")
+    return mine.join(hinted(theirs), [*on, "__salt"], how).drop("__salt")
 
 
 def hand_back() -> None:

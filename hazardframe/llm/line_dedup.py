@@ -219,12 +219,15 @@ def keep_bitmaps(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with __dropped and __bitmap, null where a document keeps all lines; rows of one much repeated document are dealt over many tasks."""
+    """`docs` with __dropped and __bitmap, null where a document keeps all lines; rows of one much repeated document are dealt over many tasks.
+
+    Texts are shuffled once to meet their bitmaps, at every size.
+    """
     doc, mark, _ = _marked(docs, id_col, text_col)
     name = F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("__doc")  # a null id has a name of its own
     rows = docs.withColumn("__doc", F.coalesce(doc.cast("string"), F.lit(""))).withColumn("__mark", mark)
     maps = bitmaps.select(name, F.col("mark").alias("__mark"), F.col("n_dropped").alias("__dropped"), F.col("bitmap").alias("__bitmap"))
-    return hot_join(rows, maps, ["__doc", "__mark"], repeats.select(name, F.col("mark").alias("__mark"), "n"), "left").drop("__doc", "__mark")
+    return hot_join(rows, maps, ["__doc", "__mark"], repeats.select(name, F.col("mark").alias("__mark"), "n"), "left", "merge").drop("__doc", "__mark")
 
 
 def _left(text: bytes, bitmap: bytes | None) -> bytes:
