@@ -152,21 +152,20 @@ def corpus_clean(spark, args):
     print(json.dumps({"noise": found.count()}))
 
 
-def _transport(args):
-    """Stored pages under --input stand for the publishers': a file's name is its quoted address."""
-    folder = Path(args.input)
-    return connectors.Pages({unquote(p.name): p.read_bytes() for p in sorted(folder.iterdir()) if p.is_file()})
+def _transport(spark, args):
+    """Stored pages under --input stand for the publishers': a file's name is its quoted address. Tasks read them, from any store."""
+    return connectors.Stored.folder(spark, args.input)
 
 
 def discover_source(spark, args):
-    found = connectors.discover(spark, args.source, _transport(args), limit=args.limit)
+    found = connectors.discover(spark, args.source, _transport(spark, args), limit=args.limit)
     sinks.write_url_lists(found, args.output)
     print(json.dumps({"source": args.source, "candidates": found.count()}))
 
 
 def acquire(spark, args):
     """Candidates of a source, their documents, and a manifest merged with the one before (--other)."""
-    transport = _transport(args)
+    transport = _transport(spark, args)
     rows, contents = connectors.download(connectors.discover(spark, args.source, transport, limit=args.limit), transport)
     sinks.write_parquet(contents, f"{args.output}/documents")
     merged = manifests.merge(files.read_manifest(spark, args.other, MANIFEST), rows) if args.other else rows

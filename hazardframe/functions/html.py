@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import href_score, parse_date
+
 
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]+>", "")
@@ -80,8 +82,8 @@ def narrative(html: pd.Series) -> pd.Series:
 NOT_REPORTS = ("investigations", "completed-investigations", "current-investigations", "data-quality", "data-quality-", "about", "recommendations", "videos", "news")
 
 
-def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] = NOT_REPORTS) -> DataFrame:
-    """(page_id, href, heading): links to reports of listing pages, each folder once, in page order.
+def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] = NOT_REPORTS, placed: bool = False) -> DataFrame:
+    """(page_id, href, heading): links to reports of listing pages, each folder once; with `placed` also their place on the page.
 
     Where a page calls to "full investigation details", links of one folder in
     the `window` characters before each call count, titled by their folder;
@@ -93,15 +95,17 @@ def report_cards(pages: DataFrame, window: int = 2000, denied: tuple[str, ...] =
     near = pages.where(called).select("page_id", F.posexplode(F.regexp_extract_all(text, call, F.lit(1))).alias("pos", "w"))
     near = near.select("page_id", "pos", F.posexplode(F.regexp_extract_all("w", F.lit(r'(?i)href="(/[^"/]+/)"'), F.lit(1))).alias("inner", "href"))
     folder = F.regexp_replace("href", "/", "")
+    near = near.where((F.length(folder) >= 3) & ~folder.startswith("investigations"))
     near = near.select("page_id", "pos", "inner", "href", F.initcap(F.trim(F.replace(folder, F.lit("-"), F.lit(" ")))).alias("heading"))
     cards = F.regexp_extract_all(text, F.lit(r'(?is)(<a\s[^>]*href="/[^"/]+/"[^>]*>.*?<h3[^>]*>.*?</h3>)'), F.lit(1))
     plain = pages.where(~called).select("page_id", F.posexplode(cards).alias("pos", "card"))
     heading = F.trim(strip_tags(F.regexp_extract("card", r"(?is)<h3[^>]*>(.*?)</h3>", 1)))
     plain = plain.select("page_id", "pos", F.lit(0).alias("inner"), F.regexp_extract("card", r'(?i)href="(/[^"/]+/)"', 1).alias("href"), heading.alias("heading"))
     rows = near.unionByName(plain).withColumn("folder", folder)
-    good = rows.where((F.length("folder") >= 3) & ~F.col("folder").startswith("investigations") & ~F.col("folder").isin(*denied))
-    first = good.groupBy("page_id", "href").agg(F.min_by("heading", F.struct("pos", "inner")).alias("heading"))
-    return first.select("page_id", "href", "heading")
+    good = rows.where(~F.col("folder").isin(*denied))
+    place = F.struct("pos", "inner")
+    first = good.groupBy("page_id", "href").agg(F.min_by("heading", place).alias("heading"), F.min(place).alias("place"))
+    return first.select("page_id", "href", "heading", *(["place"] if placed else []))
 
 
 def pdf_anchors(pages: DataFrame) -> DataFrame:
@@ -139,3 +143,36 @@ def document_links(pages: DataFrame) -> DataFrame:
 def best_report(candidates: DataFrame, key: str, score: Column) -> DataFrame:
     """The link with the highest score of each key; ties go to the first address."""
     return candidates.groupBy(key).agg(F.max_by(F.struct(*candidates.columns), F.struct(score, F.col("href"))).alias("r")).select("r.*")
+
+
+def heading(html: Column) -> Column:
+    """The first <h1> without its tags, or null."""
+    return F.nullif(F.trim(strip_tags(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1))), F.lit(""))
+
+
+def released_on(html: Column) -> Column:
+    """The date that a page gives for its final report, else the first one written with a month's name; null where that is no date."""
+    stated = F.regexp_extract(html, r"Final Report Released On:\s*</strong>\s*(\d{2}/\d{2}/\d{4})", 1)
+    return parse_date(F.coalesce(F.nullif(stated, F.lit("")), F.regexp_extract(html, r"(\w+ \d{1,2}, \d{4})", 1)))
+
+
+#: Fixed value: addresses that publishers give final reports.
+FINAL_REPORT = r"(?i)/file\.aspx\?DocumentId=\d+"
+
+
+def detail_reports(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(id, href, title, date): the report that a detail page stands for; pages without one give no row.
+
+    First come links to numbered documents, and PDFs that a link calls a final
+    report, those that are no appendix before others, in page order. Without such,
+    the PDF address with the highest score counts, the first of equals.
+    """
+    pdf = F.lower("href").endswith(".pdf")
+    final = F.col("href").rlike(FINAL_REPORT) | (F.lower("anchor").contains("final report") & pdf)
+    tier = F.when(F.lower("anchor").contains("appendix"), 1).otherwise(0)
+    keyed = pages.select(F.col(id_col).alias("page_id"), F.coalesce("html", F.lit("")).alias("html"))
+    named = document_links(keyed).where(final).select("page_id", tier.alias("tier"), F.lit(0).alias("score"), "pos", "href")
+    plain = links(keyed).where(pdf).select("page_id", F.lit(2).alias("tier"), (-href_score(F.col("href"))).alias("score"), "pos", "href")
+    best = named.union(plain).groupBy("page_id").agg(F.min_by("href", F.struct("tier", "score", "pos")).alias("href"))
+    about = keyed.select("page_id", heading(F.col("html")).alias("title"), released_on(F.col("html")).alias("date"))
+    return best.join(about, "page_id").select(F.col("page_id").alias(id_col), "href", "title", "date")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution sizes shuffles and splits skewed joins at run time; nothing here depends on a fixed partition count.
@@ -18,3 +21,14 @@ SETTINGS = {
 def session(master: str | None = None, app: str = "hazardframe", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | {k.replace("__", "."): v for k, v in extra.items()})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder for tables of one run, in the store that spark.checkpoint.dir names; only a local master may leave that unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        named = tempfile.mkdtemp(prefix="hazardframe-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/hazardframe/{label}-{uuid.uuid4().hex}"

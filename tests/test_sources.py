@@ -7,7 +7,7 @@ from urllib.parse import quote
 import pytest
 from hazardframe import api, cli, schemas
 from hazardframe.operators import manifests, providers
-from hazardframe.sources import connectors, files, incidents, sinks
+from hazardframe.sources import connectors, crawl, files, incidents, sinks
 from hazardframe.streaming import manifests as streams
 from pyspark.sql import functions as F
 
@@ -112,16 +112,32 @@ def test_windowed_failures(spark, tmp_path):
     assert [(r.events, r.errors) for r in spark.table("rates").orderBy("start").collect()] == [(2, 1)] * 3
 
 
-def test_connectors_over_stored_pages(spark, tmp_path):
-    listing = connectors.ADAPTERS["bsee"].listings[0]
-    pages = {listing: b'<a href="/a/Fire-2019.pdf">Fire in 2019</a> <a href="https://o.example/b.pdf">Spill</a> <a href="/gone.pdf">Gone</a>', "https://www.bsee.gov/a/Fire-2019.pdf": b"one", "https://o.example/b.pdf": b"two"}
-    found = connectors.discover(spark, "bsee", connectors.Pages(pages))
-    assert sorted((r.doc_id, r.url, r.date) for r in found.collect()) == [("fire-in-2019", "https://www.bsee.gov/a/Fire-2019.pdf", "2019-01-01"), ("gone", "https://www.bsee.gov/gone.pdf", None), ("spill", "https://o.example/b.pdf", None)]
-    rows, contents = connectors.download(found, connectors.Pages(pages), tries=2)
+DISTRICT, PANEL = connectors.ADAPTERS["bsee"].listings
+
+
+def stored(spark, pages):
+    return connectors.Stored(spark.createDataFrame(list(pages.items()), "url string, content binary"))
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_connectors_over_stored_pages(spark, as_table):
+    pages = {
+        DISTRICT: b'<a href="/a/Fire-2019.pdf">Fire in 2019</a> <a href="https://o.example/b.pdf"><b>Spill</b></a> <a href="/gone.pdf"></a>',
+        PANEL: b'<a href="/other/fire-2019.pdf">Again</a> <a class="x" href="/p/panel.PDF" >Panel</a>',
+        "https://www.bsee.gov/a/Fire-2019.pdf": b"one", "https://o.example/b.pdf": b"two",
+    }
+    transport = stored(spark, pages) if as_table else connectors.Pages(pages)
+    found = connectors.discover(spark, "bsee", transport)
+    assert sorted((r.doc_id, r.title, r.url, r.date, r.page_url == PANEL) for r in found.collect()) == [
+        ("b", "Spill", "https://o.example/b.pdf", None, False), ("fire-2019", "Fire in 2019", "https://www.bsee.gov/a/Fire-2019.pdf", "2019-01-01", False),
+        ("gone", "gone", "https://www.bsee.gov/gone.pdf", None, False), ("panel", "Panel", "https://www.bsee.gov/p/panel.PDF", None, True),
+    ]
+    assert [r.doc_id for r in connectors.discover(spark, "bsee", transport, limit=2).collect()] == ["fire-2019", "b"]
+    rows, contents = connectors.download(found.where("doc_id != 'panel'"), transport, tries=2)
     got = {r.incident_id: (r.downloaded, r.http_status, r.file_size_bytes, r.error) for r in rows.collect()}
-    assert got == {"fire-in-2019": (True, 200, 3, None), "spill": (True, 200, 3, None), "gone": (False, 404, None, "HTTP 404")} and contents.count() == 2
+    assert got == {"fire-2019": (True, 200, 3, None), "b": (True, 200, 3, None), "gone": (False, 404, None, "HTTP 404")} and contents.count() == 2
     with pytest.raises(ValueError, match="unknown source"):
-        connectors.discover(spark, "nowhere", connectors.Pages({}))
+        connectors.discover(spark, "nowhere", transport)
 
     class Failing:
         def get(self, url):
@@ -131,6 +147,72 @@ def test_connectors_over_stored_pages(spark, tmp_path):
     assert failed.error == "OSError" and failed.content is None
 
 
+CSB = "https://www.csb.gov"
+SITE = {
+    f"{CSB}/investigations/completed-investigations/?pg=1": b'<a href="/big-fire/">x</a> <a href="/about/">a</a> <a href="/ab/">short</a> full investigation details <a href="/no-report/">y</a> Full Investigation  Details',
+    f"{CSB}/investigations/completed-investigations/?pg=2": b'<a class="c" href="/pump-blast/"><h3> Pump blast </h3></a> <a href="/big-fire/"><h3>Big fire again</h3></a> <a href="/lost/"><h3>Lost</h3></a>',
+    f"{CSB}/investigations/completed-investigations/?pg=3": b"<p>nothing more</p>",
+    f"{CSB}/big-fire/": b'<h1>The <b>Big</b> Fire</h1> Final Report Released On:</strong> 03/04/2019 <a href="/file.aspx?DocumentId=7">Appendix A</a> <a href="/file.aspx?documentid=8">Report</a> <a href="/final_report.pdf">Final</a>',
+    f"{CSB}/no-report/": b"<h1>None</h1>",
+    f"{CSB}/pump-blast/": b'<p>On March 5, 2020 it blew.</p> <a href="/assets/recommendation/final_report.pdf">r</a> <a href="/a/report.pdf">one</a> <link href="/b/Final_Investigation.PDF"> <a href="/c/investigation_final.pdf">two</a>',
+    f"{CSB}/file.aspx?documentid=8": b"<html>moved</html>",
+    f"{CSB}/b/Final_Investigation.PDF": b"pdf",
+}
+
+
+@pytest.mark.parametrize("as_table", [False, True])
+def test_crawl_of_listings_and_details(spark, tmp_path, as_table):
+    """Two listing pages and their detail pages give the two best reports; a third page ends the listing; html is not downloaded."""
+    transport = stored(spark, SITE) if as_table else connectors.Pages(SITE)
+    found = connectors.discover(spark, "csb", transport, path=f"{tmp_path}/crawl")
+    want = [("big-fire", "The Big Fire", "2019-03-04", f"{CSB}/big-fire/", f"{CSB}/file.aspx?documentid=8"), ("pump-blast", "Pump blast", "2020-03-05", f"{CSB}/pump-blast/", f"{CSB}/b/Final_Investigation.PDF")]
+    assert sorted(map(tuple, found.select("doc_id", "title", "date", "page_url", "url").collect())) == want
+    pages = crawl.pages(spark, f"{tmp_path}/crawl")
+    assert sorted((r["round"], r.kind, r.url.removeprefix(CSB), r.error) for r in pages.collect()) == [
+        (0, "listing", "/investigations/completed-investigations/?pg=1", None), (1, "detail", "/big-fire/", None), (1, "detail", "/no-report/", None), (1, "listing", "/investigations/completed-investigations/?pg=2", None),
+        (2, "detail", "/lost/", "HTTP 404"), (2, "detail", "/pump-blast/", None), (2, "listing", "/investigations/completed-investigations/?pg=3", None),
+    ]
+    assert [r.doc_id for r in connectors.discover(spark, "csb", transport, limit=1).collect()] == ["big-fire"]
+    rows, contents = connectors.download(found, transport)
+    got = {r.incident_id: (r.downloaded, r.pdf_path, r.error) for r in rows.collect()}
+    assert got == {"big-fire": (False, None, "Not a PDF: text/html"), "pump-blast": (True, "csb/pdfs/pump-blast.pdf", None)} and contents.count() == 1
+
+
+def test_crawl_goes_on_where_it_stopped(spark, tmp_path):
+    """Rounds that are written are not fetched again; one that was cut off is."""
+    asked = []
+
+    def run(path):
+        adapter = connectors.ADAPTERS["csb"]
+        seeds = spark.createDataFrame([(f"{adapter.listings[0]}?pg=1", "listing", 1, None, None)], crawl.FRONTIER)
+
+        def fetch(urls):
+            asked.append(sorted(r.url.removeprefix(CSB) for r in urls.collect()))
+            return connectors.fetch(urls, connectors.Pages(SITE))
+
+        return crawl.crawl(spark, seeds, fetch, lambda p: connectors.frontier_of(adapter, p), path)
+
+    whole = run(f"{tmp_path}/a").count()
+    assert len(asked) == 3 and whole == 7
+    (tmp_path / "a" / "round=2" / "_SUCCESS").unlink()
+    assert run(f"{tmp_path}/a").count() == whole and len(asked) == 4 and asked[3] == asked[2]
+    assert run(f"{tmp_path}/a").count() == whole and len(asked) == 4
+
+
+def test_other_publishers(spark):
+    tsb, phmsa = (connectors.ADAPTERS[k].listings[0] for k in ("tsb", "phmsa"))
+    pages = {
+        tsb: b'<a href="/eng/reports/pipeline/2020/p20h0001/p20h0001.html">P20H0001 <i>leak</i></a> <td><span class="date">2020-01-02</span></td><a href="/eng/x.html">x</a> <a href="/eng/reports/pipeline/other.html">Other</a> <a href="/eng/reports/pipeline/2020/P20H0001/again.html">z</a><span class="big date"> 2021-02-03 </span>',
+        phmsa: b'<a href="/data/a b.ZIP">All <b>data</b></a> <a href="/data/c.csv"></a> <a href="/data/c.csv">again</a> <a href="/x/c.csv">other</a> <a href="/x.pdf">no</a>',
+    }
+    got = sorted((r.doc_id, r.title, r.date) for r in connectors.discover(spark, "tsb", connectors.Pages(pages)).collect())
+    assert got == [("OTHER", "Other", "2021-02-03"), ("P20H0001", "P20H0001 leak", "2020-01-02")]
+    got = sorted((r.doc_id, r.title, r.url.removeprefix("https://www.phmsa.dot.gov")) for r in connectors.discover(spark, "phmsa", connectors.Pages(pages)).collect())
+    assert got == [("a-b", "All data", "/data/a b.ZIP"), ("c", "c.csv", "/data/c.csv"), ("c", "other", "/x/c.csv")]
+    rows, _ = connectors.download(connectors.discover(spark, "phmsa", connectors.Pages(pages)), connectors.Pages({"https://www.phmsa.dot.gov/data/c.csv": b"a"}))
+    assert sorted((r.incident_id, r.downloaded) for r in rows.collect()) == [("a-b", False), ("c", False), ("c", True)]
+
+
 def test_models_are_saved_with_what_they_need(spark, tmp_path):
     from hazardframe.operators import ml
 
