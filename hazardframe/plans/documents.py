@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions.vocabulary import FACTORS
-from ..sources import files
+from ..session import work_folder
+from ..sources import connectors, crawl, files
 from ..sources import incidents as documents
 from .adapters import CONTROLS
 from .models import _COERCED, _payloads
@@ -109,3 +110,52 @@ def listing_links(spark, sf):
 @query("report_cards", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/gas-leak-' || page_id || '/' ELSE '/pump-' || page_id || '/' END AS href, CASE WHEN page_id % 2 = 0 THEN 'Gas Leak ' || page_id ELSE 'Pump' END AS heading FROM pages")
 def report_cards(spark, sf):
     return html.report_cards(_linked(spark, sf))
+
+
+def _details(spark, sf):
+    """Pages as detail pages: with a dated final report behind an appendix, with scored documents, with a date in words, or as they are."""
+    k, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    final = F.concat(F.lit("<h1>Case <b>"), k, F.lit('</b></h1><p>Final Report Released On: </strong> 03/04/2019</p><a href="/file.aspx?DocumentId=1'), k, F.lit('">Appendix</a> <a class="d" href="/File.aspx?documentid=2'), k, F.lit('"><i>Report</i></a> <a href="/final_report.pdf">x</a>'))
+    scored = F.concat(F.lit('<p>Since March 5, 2020</p><a href="/assets/recommendation/final_report'), k, F.lit('.pdf">r</a> <a href="/b/report'), k, F.lit('.pdf">a</a> <link href="/c/Final'), k, F.lit('.PDF"> <a href="/d/final'), k, F.lit('.pdf">b</a>'))
+    named = F.concat(F.lit('<h1> </h1>May 45, 2020 <a href="/e/summary.pdf">s</a><a href="/e/'), k, F.lit('.pdf">The FINAL report</a>'))
+    start = F.when(kind == 0, final).when(kind == 1, scored).when(kind == 2, named).otherwise("")
+    return table(spark, sf, "pages").select("page_id", F.concat(start, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+_DETAILS = """details AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '<h1>Case <b>' || page_id || '</b></h1><p>Final Report Released On: </strong> 03/04/2019</p><a href="/file.aspx?DocumentId=1' || page_id || '">Appendix</a> <a class="d" href="/File.aspx?documentid=2' || page_id || '"><i>Report</i></a> <a href="/final_report.pdf">x</a>'
+   WHEN 1 THEN '<p>Since March 5, 2020</p><a href="/assets/recommendation/final_report' || page_id || '.pdf">r</a> <a href="/b/report' || page_id || '.pdf">a</a> <link href="/c/Final' || page_id || '.PDF"> <a href="/d/final' || page_id || '.pdf">b</a>'
+   WHEN 2 THEN '<h1> </h1>May 45, 2020 <a href="/e/summary.pdf">s</a><a href="/e/' || page_id || '.pdf">The FINAL report</a>' ELSE '' END || coalesce(html, '') AS html FROM pages),
+ anchors AS (SELECT page_id, pos, regexp_extract(a, '(?i)href="([^"]+)"', 1) AS href, lower(regexp_replace(a, '<[^>]+>', '', 'g')) AS shown
+   FROM (SELECT page_id, unnest(range(len(f))) AS pos, unnest(f) AS a FROM (SELECT page_id, regexp_extract_all(html, '(?is)(<a\\s[^>]*?href="[^"]+"[^>]*?>.*?</a>)', 1) AS f FROM details) WHERE len(f) > 0)),
+ hrefs AS (SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]+)"', 1) AS h FROM details) WHERE len(h) > 0),
+ choices AS (SELECT page_id, href, pos, 0 AS minus, CASE WHEN contains(shown, 'appendix') THEN 1 ELSE 0 END AS tier FROM anchors WHERE regexp_matches(href, '(?i)/file\\.aspx\\?DocumentId=[0-9]+') OR (contains(shown, 'final report') AND lower(href) LIKE '%.pdf')
+   UNION ALL SELECT page_id, href, pos, CASE WHEN contains(lower(href), '/assets/recommendation/') THEN 10 ELSE 0 END + CASE WHEN contains(lower(href), 'status_change_summary') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(lower(href), '/scs[^/]*\\.pdf$') THEN 8 ELSE 0 END
+     - CASE WHEN contains(lower(href), 'final') THEN 3 ELSE 0 END - CASE WHEN contains(lower(href), 'investigation') THEN 2 ELSE 0 END - CASE WHEN contains(lower(href), 'report') THEN 1 ELSE 0 END, 2 FROM hrefs WHERE lower(href) LIKE '%.pdf'),
+ reports AS (SELECT page_id, href, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), '') AS title,
+     strftime(coalesce(try_strptime(regexp_extract(html, 'Final Report Released On:\\s*</strong>\\s*([0-9]{2}/[0-9]{2}/[0-9]{4})', 1), '%m/%d/%Y'), try_strptime(regexp_extract(html, '(\\w+ [0-9]{1,2}, [0-9]{4})', 1), '%B %d, %Y'), try_strptime(regexp_extract(html, '(\\w+ [0-9]{1,2}, [0-9]{4})', 1), '%b %d, %Y')), '%Y-%m-%d') AS date
+   FROM (SELECT page_id, arg_min(href, (tier, minus, pos)) AS href FROM choices GROUP BY page_id) JOIN details USING (page_id))"""
+
+
+@query("best_reports", "SELECT page_id, href, title, date FROM reports", _DETAILS)
+def best_reports(spark, sf):
+    return html.detail_reports(_details(spark, sf))
+
+
+@query(
+    "crawled_reports",
+    "SELECT 'page-' || page_id AS doc_id, coalesce(title, 'Page ' || page_id) AS title, date, 'https://www.csb.gov/page-' || page_id || '/' AS page_url, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE 'https://www.csb.gov' || href END AS url FROM reports",
+    _DETAILS,
+)
+def crawled_reports(spark, sf):
+    """A crawl of a site that the pages make: listings of 500 cards in chains of four pages, and the pages as details."""
+    adapter, k, each, chain = connectors.ADAPTERS["csb"], F.col("page_id"), 500, 4
+    base, number = adapter.base, F.floor(F.col("page_id") / each)
+    details = _details(spark, sf).select(F.concat(F.lit(f"{base}/page-"), k, F.lit("/")).alias("url"), F.col("html").cast("binary").alias("content"))
+    card = F.concat(F.lit('<a href="/page-'), k, F.lit('/"><h3>Page '), k, F.lit("</h3></a>"))
+    address = F.concat(F.lit(f"{base}/list-"), F.floor(F.col("n") / chain), F.lit("/?pg="), F.col("n") % chain + 1)
+    cards = table(spark, sf, "pages").select(number.alias("n"), card.alias("card")).groupBy("n").agg(F.concat_ws(" ", F.collect_list("card")).alias("html"))
+    site = details.union(cards.select(address, F.col("html").cast("binary")))
+    seeds = cards.where(F.col("n") % chain == 0).select(address.alias("url"), F.lit("listing").alias("kind"), F.lit(1).alias("number"), F.lit(None).cast("string").alias("found_on"), F.lit(None).cast("struct<pos:int,inner:int>").alias("place"))
+    stored = connectors.Stored(site)
+    pages = crawl.crawl(spark, seeds, lambda urls: connectors.fetch(urls, stored), lambda p: connectors.frontier_of(adapter, p), work_folder(spark, "crawl"))
+    return connectors.results_of(adapter, pages).select("doc_id", "title", "date", "page_url", "url")

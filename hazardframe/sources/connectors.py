@@ -55,7 +55,7 @@ class Stored:
     def fetched(self, urls: DataFrame) -> DataFrame:
         kind = F.when(F.lower("url").endswith(".pdf"), "application/pdf").otherwise("text/html")
         large = F.octet_length("content") > MOST_BYTES
-        rows = urls.join(self.table.select("url", "content").dropDuplicates(["url"]), "url", "left")
+        rows = urls.join(self.table.select("url", "content"), "url", "left").dropDuplicates(["url"])
         return rows.select(
             "url", F.when(F.col("content").isNull(), 404).otherwise(200).cast("int").alias("http_status"), F.when(F.col("content").isNull(), "text/plain").otherwise(kind).alias("content_type"),
             F.when(~large, F.col("content")).alias("content"), F.octet_length("content").cast("long").alias("file_size_bytes"), F.when(~large, F.sha2("content", 256)).alias("sha256"),
