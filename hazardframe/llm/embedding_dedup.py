@@ -10,10 +10,10 @@ divided by the factor, estimate the inner product without bias, with a
 confidence bound; with `exact` the bound is one that always holds, from the
 angles between a vector, its signs and the other vector.
 
-Codes meet in buckets: `plan` says how many bits of the code leave `BUCKET` vectors of
-the largest label a bucket, and how many such sets keep the chance to miss a
-pair at the threshold under `MISS`. A label that fits a bucket is compared whole,
-and with `exact` every label is. A pair that meets in several sets counts in the
+Codes meet in buckets: `planned` says for each label and dimension how many bits of
+the code leave `BUCKET` of its vectors a bucket, and how many such sets keep the
+chance to miss a pair at the threshold under `MISS`. A label that fits a bucket is
+compared whole, whatever the size of the others, and with `exact` every label is. A pair that meets in several sets counts in the
 first. A bucket above two `CHUNK`s is cut into chunks, and every two chunks meet in
 a task. Only vectors that some estimate leaves in doubt are fetched to such a
 meeting, where every pair is computed in double precision; nothing is linked on
@@ -123,13 +123,25 @@ class Codes:
         return Codes(self.signs[rows], self.planes[rows], self.numbers()[rows], self.size)
 
 
-def plan(largest: int, threshold: float = THRESHOLD, bucket: int = BUCKET, exact: bool = False) -> tuple[int, int]:
-    """(sets, bits) for a largest label of so many distinct vectors."""
-    bits = 0 if exact else max(0, math.ceil(math.log2(max(1, largest) / bucket)))
+def plan(size: int, threshold: float = THRESHOLD, bucket: int = BUCKET, exact: bool = False) -> tuple[int, int]:
+    """(sets, bits) for a label of so many distinct vectors."""
+    bits = 0 if exact else max(0, math.ceil(math.log2(max(1, size) / bucket)))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return (1, 0) if bits == 0 else (math.ceil(math.log(MISS) / math.log(1 - agree)), bits)
 
 
+def planned(nodes: DataFrame, scratch: Scratch, threshold: float, bucket: int, exact: bool) -> DataFrame:
+    """(label, dim, node, code, sets, bits) of written nodes, each label planned by its own size."""
+    on, rows = ["label", "dim"], nodes.select("label", "dim", "node", "code")
+    sizes = scratch.table(nodes.groupBy(*on).agg(F.count("*").alias("n")), "sizes")
+    bits = F.ceil(F.log2(F.col("n") / F.lit(bucket))).cast("int")
+    agree = F.pow(F.lit(1 - math.acos(threshold) / math.pi), F.col("bits"))
+    large = sizes.where(F.col("n") > bucket).withColumn("bits", bits).withColumn("sets", F.ceil(F.log(F.lit(MISS)) / F.log(1 - agree)).cast("int"))
+    large = large.select(*on, "bits", "sets")
+    met = rows.withColumns({"bits": F.lit(None).cast("int"), "sets": F.lit(None).cast("int")}) if exact else hot_join(rows, large, on, sizes, "left")
+    return met.select(*on, "node", "code", F.coalesce("sets", F.lit(1)).alias("sets"), F.coalesce("bits", F.lit(0)).alias("bits"))
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.array(rows, np.float64).reshape(len(rows), -1)
@@ -161,19 +173,21 @@ def _codes(rows: list[bytes], dim: int) -> Codes:
     return Codes(data[:, :words], data[:, words : words * (1 + LEVEL_BITS)].reshape(len(rows), LEVEL_BITS, words), data[:, words * (1 + LEVEL_BITS) :].view("<f8"), size)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], sets: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(label, dim, number, bucket, node, code): every set's bucket of each node."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, dim, number, bucket, bits, node, code): every set's bucket of each node."""
     for batch in slices(batches, 1024):
-        dims = np.array(batch.column("dim").to_pylist())
-        for dim in np.unique(dims).tolist():
-            part = batch.filter(pa.array(dims == dim))
+        plans = np.array([batch.column(c).to_pylist() for c in ("dim", "sets", "bits")]).T
+        for dim, sets, bits in np.unique(plans, axis=0).tolist():
+            part = batch.filter(pa.array((plans == (dim, sets, bits)).all(axis=1)))
             codes = _codes(part.column("code").to_pylist(), dim)
             for t in range(sets):
-                columns = [part.column("label"), part.column("dim"), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(codes.bucket(t, bits)), part.column("node"), part.column("code")]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "number", "bucket", "node", "code"])
+                columns = [part.column("label"), part.column("dim"), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(codes.bucket(t, bits)), part.column("bits"), part.column("node"), part.column("code")]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "number", "bucket", "bits", "node", "code"])
 
 
-MEETING = ["label", "dim", "number", "bucket", "a", "b"]
+#: A meeting's key; bits belongs to label and dim.
+MEETING = ["label", "dim", "number", "bucket", "a", "b", "bits"]
+_MEETING_TYPES = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], rest: list[str]) -> Iterator[tuple[tuple, list[list]]]:
@@ -211,11 +225,11 @@ def _suspects(batches: Iterator[pa.RecordBatch], threshold: float, exact: bool,
             found[at : at + step] |= pairs.any(axis=1)
             found[at:] |= pairs.any(axis=0)
         some = np.flatnonzero(found)
-        columns = [pa.array([k] * len(some), t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+        columns = [pa.array([k] * len(some), t) for k, t in zip(key, _MEETING_TYPES, strict=True)]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(own[some], pa.int64()), pa.array([node[k] for k in some], pa.int64())], [*MEETING, "own", "node"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, step: int = 256) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], threshold: float, step: int = 256) -> Iterator[pa.RecordBatch]:
     """(0, node, links found) and (1, node, node) of each meeting's suspects, every pair in double precision."""
     for key, (own, node, weight, code, vector) in _meetings(batches, ["own", "node", "weight", "code", "v"]):
         own, node, weight, vectors = np.array(own), np.array(node), np.array(weight, np.int64), np.array(vector, np.float64)
@@ -223,7 +237,7 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: float, bits: int, step:
         norms = np.sqrt((scaled**2).sum(axis=1))
         unit, codes = scaled / norms[:, None], _codes(code, key[1])
         links, forest, out = np.zeros(len(node), np.int64), Forest(len(node)), []
-        earlier = [codes.bucket(t, bits) for t in range(key[2])]
+        earlier = [codes.bucket(t, key[6]) for t in range(key[2])]
         for at in range(0, len(node), step):
             i, j = np.nonzero(unit[at : at + step] @ unit[at:].T >= threshold - 1e-9)
             i, j = i + at, j + at
@@ -255,19 +269,17 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # numbered once, when written: ids may repeat or be null, so they cannot name vectors
     nodes = copies.select("digest", "label", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node"), "least", "weight", "v")
     nodes = scratch.table(nodes.mapInArrow(tidy(_coded), _NODE + ", code binary"), "nodes")
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).head()[0] or 0
-    sets, bits = plan(largest, threshold, bucket, exact)
-    keyed = nodes.select("label", "dim", "node", "code").mapInArrow(lambda it: _keyed(it, sets, bits), "label string, dim int, number int, bucket long, node long, code binary")
+    keyed = planned(nodes, scratch, threshold, bucket, exact).mapInArrow(_keyed, "label string, dim int, number int, bucket long, bits int, node long, code binary")
     on = MEETING[:4]
     large = keyed.groupBy(*on).count().where(F.col("count") > 2 * chunk).select(*on, F.ceil(F.col("count") / chunk).alias("chunks"))
     large = scratch.table(large, "large")
     met = keyed.join(large, on, "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     pair = F.expr("explode(transform(sequence(0L, coalesce(chunks, 1L) - 1), x -> named_struct('a', least(x, own), 'b', greatest(x, own))))")
-    dealt = met.select(*on, pair.alias("p"), "own", "node", "code").select(*on, "p.a", "p.b", "own", "node", "code")
-    suspects = dealt.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(tidy(lambda it: _suspects(it, threshold, exact)), "label string, dim int, number int, bucket long, a long, b long, own long, node long")
+    dealt = met.select(*on, "bits", pair.alias("p"), "own", "node", "code").select(*on, "p.a", "p.b", "bits", "own", "node", "code")
+    suspects = dealt.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(tidy(lambda it: _suspects(it, threshold, exact)), "label string, dim int, number int, bucket long, a long, b long, bits int, own long, node long")
     suspects = scratch.table(suspects, "suspects")
     fetched = suspects.join(nodes.select("node", "weight", "code", "v"), "node").select(*MEETING, "own", "node", "weight", "code", "v")
-    found = fetched.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(tidy(lambda it: _links(it, threshold, bits)), "kind int, node long, value long")
+    found = fetched.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(tidy(lambda it: _links(it, threshold)), "kind int, node long, value long")
     found = scratch.table(found, "found")
     links = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("found"))
     parts = connected_components(found.where("kind = 1").select("node", "value"), scratch)
@@ -277,6 +289,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .join(parts, "node", "left")
         .select("digest", "least", F.coalesce("component", "node").alias("component"), (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
     )
+    per_node = scratch.table(per_node, "per-node")
     # A component's name is the least id of its rows, whatever its nodes' numbers.
     named = scratch.table(per_node.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
     answers = hot_join(per_node, named.drop("n"), ["component"], named.select("component", "n")).select("digest", "n_links", "component_id")

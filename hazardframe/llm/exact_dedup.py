@@ -201,11 +201,15 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with the columns of `docs`."""
+    """The rows of `docs` that stay, with the columns of `docs`.
+
+    Rows that repeat text and id are dealt over many tasks, and each task folds its own before they meet.
+    """
     key = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
-    groups = distinct_texts(docs, id_col, text_col).select(F.col("text_sha256").alias("__sha"), key("keep_id").alias("__key"))
+    groups = distinct_texts(docs, id_col, text_col).select(F.col("text_sha256").alias("__sha"), key("keep_id").alias("__key"), F.col("tied").alias("n"))
+    groups = Scratch(docs.sparkSession, "kept").table(groups, "kept")
     rows = docs.withColumn("__sha", F.sha2(text_or_empty(text_col), 256)).withColumn("__key", key(id_col))
-    return rows.join(groups, ["__sha", "__key"]).dropDuplicates(["__sha", "__key"]).select(*all_of(docs))
+    return hot_join(rows, groups.drop("n"), ["__sha", "__key"], groups).dropDuplicates(["__sha", "__key"]).select(*all_of(docs))
 
 
 def op10_grace_dedup(spark, sf_dir: str) -> DataFrame:

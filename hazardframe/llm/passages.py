@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, all_of, hand_back, slices, text_or_empty, tidy, utf8, without
+from .common import Scratch, all_of, hand_back, hot_join, slices, text_or_empty, tidy, utf8, without
 
 LENGTH, GRAM = 50, 34
 #: Bytes of text in a part, in a block that is sorted at once, and in one signature's or anchor's block at most.
@@ -500,12 +500,14 @@ def _solve_split(hot: DataFrame, length: int, gram: int, scratch: Scratch) -> Da
     on = ["anchor", "piece"]
     cut = cut.groupBy(*on).agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
     known = scratch.table(first.join(cut, on, "left").where("n > 1 or cuts is not null").select(*on, "least", "n", "cuts"), "known")
-    often, seldom = known.where(F.col("n") > OFTEN).drop("n"), known.where(F.col("n") <= OFTEN).drop("n")
-    if 0 < often.count() <= OFTEN_MOST:  # what very many texts hold is looked up where they are, not dealt by the piece
+    often = known.where(F.col("n") > OFTEN)
+    if often.isEmpty():
+        met = pieces.join(known.drop("n"), on)
+    else:  # what very many texts hold, the commonest first, is looked up where they are, not dealt by the piece
+        often = scratch.table(often.orderBy(F.col("n").desc(), *on).limit(OFTEN_MOST).drop("n"), "often")
         names = F.broadcast(often.select(*on))
+        seldom = known.drop("n").join(names, on, "left_anti")
         met = pieces.join(F.broadcast(often), on).union(pieces.join(names, on, "left_anti").join(seldom, on).select(*on, "ord", "h", "at", "least", "cuts"))
-    else:
-        met = pieces.join(known.drop("n"), on)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length("piece").cast("long").alias("end")))
     spans = met.where("ord > least or cuts is not null").select("ord", "h", "at", F.explode(F.when(F.col("ord") > F.col("least"), whole).otherwise(F.col("cuts"))).alias("c"))
     return spans.select("ord", "h", (F.col("at") + F.col("c.begin")).alias("begin"), (F.col("at") + F.col("c.end")).alias("end"))
@@ -564,15 +566,16 @@ def _cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
 def marked(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int = GRAM) -> DataFrame:
     """`docs` with __copy (all of it goes) and __cut (removed, spans, kept, text; null where nothing goes).
 
-    What a text loses is joined to rows by the digest of the whole text, a skewed
-    key that AQE can split; only texts with spans reach Python again.
+    What a text loses is joined to rows by the digest of the whole text; rows of a
+    very common text are dealt over many tasks. Only texts with spans reach Python again.
     """
     text = text_or_empty(text_col)
     rows = docs.withColumns({"__sha": F.sha2(text, 256), "__ord": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__h": F.xxhash64(text)})
-    per_text = rows.groupBy("__sha").agg(F.min("__ord").alias("__first"), F.min("__h").alias("__hash"))
+    per_text = rows.groupBy("__sha").agg(F.min("__ord").alias("__first"), F.min("__h").alias("__hash"), F.count("*").alias("n"))
+    counts = per_text = Scratch(docs.sparkSession, "texts").table(per_text, "texts")
     spans = passage_spans(docs, id_col, text_col, length, gram)
     per_text = per_text.join(spans, (F.col("__first") == F.col("ord")) & (F.col("__hash") == F.col("h")), "left").select("__sha", "__first", "begins", "ends")
-    met = rows.join(per_text.withColumnsRenamed({"begins": "__begins", "ends": "__ends"}), "__sha")
+    met = hot_join(rows, per_text.withColumnsRenamed({"begins": "__begins", "ends": "__ends"}), ["__sha"], counts.select("__sha", "n"))
     first = F.col("__ord") == F.col("__first")
     met = met.withColumn("__copy", ~first & (F.octet_length(text) >= length))
     return met.withColumn("__cut", _cut(F.when(first & F.col("__begins").isNotNull(), text), "__begins", "__ends"))

@@ -32,6 +32,8 @@ from .common import Scratch, all_of, quoted, text_or_empty, without
 
 #: Bytes of records, as counted by `size`, that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Buckets that a task gathers, on average, once there are more of them than shuffle partitions.
+TASK_BUCKETS = 8
 SEED = 20240229
 OUTPUTS = ["size", "shard", "slot", "law", "grown_shard", "text_crc32"]
 
@@ -43,7 +45,7 @@ def record_hash(docs: DataFrame, seed: int):
 
 
 def scattered(docs: DataFrame, text_col: str, bucket_bytes: int, seed: int, scratch: Scratch) -> DataFrame:
-    """(bucket, row): the records as structs, each in its bucket.
+    """(bucket, row): the records as structs, each in its bucket, buckets dealt so that a task holds few of them.
 
     One narrow aggregate by record hash gives the number of buckets and the
     records that repeat for more than a quarter of a bucket; of these there are
@@ -64,7 +66,8 @@ def scattered(docs: DataFrame, text_col: str, bucket_bytes: int, seed: int, scra
         salted = copies.select("row", F.xxhash64(F.lit(seed), "mark", "copy").alias("mark"))
     out = cold.select("row", "mark")
     out = out.union(salted) if salted is not None else out
-    return out.select(F.pmod("mark", F.lit(buckets)).alias("bucket"), "row")
+    parts = max(math.ceil(buckets / TASK_BUCKETS), min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return out.select(F.pmod("mark", F.lit(buckets)).alias("bucket"), "row").repartition(parts, "bucket")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:

@@ -364,6 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _least_ids(rows: DataFrame, named: DataFrame, keys: list[str], found: DataFrame, scratch: Scratch) -> DataFrame:
     """`rows` with component_id, the least id of all whose `keys` name a node of the same component. named: keys, node, least and n, the rows of the keys."""
     classes = named.join(found, "node", "left").select(*keys, "least", F.coalesce("component", "node").alias("component"))
+    classes = scratch.table(classes, "classes")
     names = scratch.table(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "names")
     known = hot_join(classes, names.drop("n"), ["component"], names.select("component", "n")).select(*keys, "component_id")
     return hot_join(rows, known, keys, named.select(*keys, "n"))
@@ -438,13 +439,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator
     yield solve()
 
 
-def confirmed_links(docs: DataFrame, text_col: str, named: DataFrame, found: DataFrame, scratch: Scratch, similarity: float, width: int, seed: int) -> DataFrame:
+def confirmed_links(docs: DataFrame, id_col: str, text_col: str, named: DataFrame, found: DataFrame, scratch: Scratch, similarity: float, width: int, seed: int) -> DataFrame:
     """Links (a, b) that span all pairs at `similarity` or more within each component of `found`, the candidates.
 
-    named: written (h, shingles, node): the hash of one text with the node's shingles, and their number. A component
-    that is large is cut into chunks, and every two chunks meet in a task.
+    named: written (h, id, shingles, node): hash and id of one row with the node's shingles, and their number; only that
+    row's text is read again, however many have it. A component that is large is cut into chunks, and every two chunks
+    meet in a task.
     """
-    blocks = scratch.table(found.join(named.select("node", "h", F.col("shingles").alias("size")), "node"), "blocks")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("__id")
+    blocks = scratch.table(found.join(named.select("node", "h", key("id"), F.col("shingles").alias("size")), "node"), "blocks")
     chunks = F.greatest(F.ceil(F.sum("size") / SHINGLES), F.ceil(F.count("*") / GROUP))
     large = scratch.table(blocks.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1"), "large-blocks")
 
@@ -454,7 +457,8 @@ def confirmed_links(docs: DataFrame, text_col: str, named: DataFrame, found: Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["component", "node", "shingles"])
 
     whole = text_or_empty(text_col)
-    met = docs.select(F.xxhash64(whole).alias("h"), whole.alias("text")).join(blocks, "h").select("component", "node", "text")
+    rows = docs.select(F.xxhash64(whole).alias("h"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("__id"), whole.alias("text"))
+    met = rows.join(blocks, ["h", "__id"]).select("component", "node", "text")
     sets = met.mapInArrow(tidy(run), "component long, node long, shingles binary")
     cut = sets.join(large, "component", "left").withColumn("chunk", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
     dealt = cut.select("component", F.expr(MEETING).alias("pair"), "node", "shingles")
@@ -483,10 +487,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = rows.columns[5:-1]
     # a node is a set of shingles; equal sets may have unequal texts, of which one is read again
     same = [F.first(c).alias(c) for c in ("shingles", *words, "keys")]
-    named = rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("h").alias("h"), *same).withColumn("node", F.monotonically_increasing_id())
-    named = scratch.table(named, "distinct")
+    named = rows.groupBy("d0", "d1").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.struct("h", "id")).alias("one"), *same).withColumn("node", F.monotonically_increasing_id())
+    named = scratch.table(named.select("*", "one.h", "one.id").drop("one"), "distinct")
     candidates = connected_components(candidate_links(named.select(*words, "node", "keys"), scratch, radius), scratch)
-    links = confirmed_links(docs, text_col, named, candidates, scratch, similarity, width, seed)
+    links = confirmed_links(docs, id_col, text_col, named, candidates, scratch, similarity, width, seed)
     confirmed = Scratch(docs.sparkSession, "confirmed")
     return _least_ids(rows, named, ["d0", "d1"], connected_components(links, confirmed), confirmed).select("id", "h", "component_id")
 
@@ -499,9 +503,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     classes = near_groups(docs, id_col, text_col, similarity, width, size, seed)
     key = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
-    kept = classes.where("component_id is null or id = component_id").select(key("id").alias("__key"), F.col("h").alias("__h"))
+    kept = classes.where("component_id is null or id = component_id").groupBy(key("id").alias("__key"), F.col("h").alias("__h")).agg(F.count("*").alias("n"))
+    kept = Scratch(docs.sparkSession, "kept").table(kept, "kept")
     rows = docs.withColumn("__key", key(id_col)).withColumn("__h", F.xxhash64(text_or_empty(text_col)))
-    return rows.join(kept, ["__key", "__h"], "left_semi").select(*all_of(docs))
+    return hot_join(rows, kept.drop("n"), ["__key", "__h"], kept).select(*all_of(docs))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

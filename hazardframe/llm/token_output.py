@@ -173,7 +173,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
     text = F.col(quoted(text_col)).cast("string")
     rows = docs.select(F.col(quoted(id_col)).cast("long").alias("key"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "text").mapInArrow(run, SHARD_DDL).write.option("compression", "zstd").parquet(path)
+    # rows that repeat key and text differ in their number, so they are dealt over tasks too
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    numbered.repartitionByRange("key", "h", "row").sortWithinPartitions("key", "h", "row").select("key", "text").mapInArrow(run, SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
 
 _ARROW = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}[f.split()[1]]) for f in SHARD_DDL.split(", ")])

@@ -14,6 +14,7 @@ from hazardframe.llm.tokens import tokenizer_path
 from .rows import documents
 from .test_passages import brute
 from .test_scores_and_vectors import linked, url_parts, vectors
+from .test_search_codes_lines import ITEMS, lloyd, ranked, shared_lines
 from .test_simhash import brute_components
 
 EXTRA = ["first", "a.dot", "component_id", "shard", "__key"]
@@ -28,13 +29,14 @@ def library(name):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
-    rows = [r for r in documents() if len(r[1] or "") < 50_000] + [(66, "long word " * 2000, "en", "src0", 5)]
+    rows = [*documents(), (66, "long word " * 2000, "en", "src0", 5)]  # 63 has 150,000 bytes
     names = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in EXTRA)
     spark.createDataFrame([(*r, *range(len(EXTRA))) for r in rows], names).repartition(3).write.parquet(f"{path}/documents.parquet")
     labels = [(r[0], int((r[0] or 0) % 2), 0) for r in rows]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(k, u, None, 1) for k, u in enumerate(URLS)], "page_id long, url string, html string, rule int").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame([(*r, 1) for r in vectors(120)], "vec_id long, embedding array<float>, label int, kept int").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id long, text string, rank int").write.parquet(f"{path}/benchmark.parquet")
     return path, rows
 
 
@@ -44,7 +46,7 @@ URLS = [None, "", "x", "https://a.net/en/1", "http://example.net/en/1?q", "https
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{path}/{name}.parquet")
     return path
 
@@ -177,6 +179,28 @@ def test_op10(spark, folder):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in out) == sorted(want)
 
 
+def test_op11(spark, folder):
+    out, (_, rows) = run(spark, "op11_block_max_search", folder[0]), folder
+    want = sorted(str((item, k + 1, doc, score)) for (item, _), found in ranked(rows, ITEMS).items() for k, (score, doc) in enumerate(found))
+    assert sorted(str((r.item_id, r["rank"], r.doc_id, r.score)) for r in out) == want
+
+
+def test_op12(spark, folder):
+    out, rows = run(spark, "op12_heap_lloyd", folder[0]), vectors(120)
+    found, books = lloyd(rows)
+    by_label = defaultdict(int)
+    for k, (_, error) in found.items():
+        by_label[rows[k][2]] += error
+    digest = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    assert sorted((str(r.vec_id), r.code, r.error, r.label_error, r.codebooks_sha256) for r in out) == sorted((str(rows[k][0]), code, error, by_label[rows[k][2]], digest) for k, (code, error) in found.items())
+
+
+def test_op13(spark, folder):
+    out, (_, rows) = run(spark, "op13_line_bitmaps", folder[0]), folder
+    want = [(d, n, gone, hashlib.sha256(left.encode()).hexdigest()) for d, left, n, gone in shared_lines(rows)]
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in out) == sorted(want)
+
+
 def test_pipeline_of_awkward_rows(spark, folder, empty):
     pipeline = pytest.importorskip("corpus_pipeline")
     from hazardframe.llm.common import Scratch

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from hazardframe.llm import embedding_dedup, quality, urls
+from hazardframe.llm import common, embedding_dedup, quality, urls
 
 from .rows import WORDS, documents, frame
 from .test_simhash import brute_components
@@ -93,6 +93,28 @@ def test_recall_in_a_large_label(spark):
         assert least * 2 * len(i) <= found <= 2 * len(i) and len(i) >= 1000
 
 
+@pytest.mark.parametrize("often", [10_000, 500])
+def test_a_label_does_not_depend_on_another(spark, monkeypatch, often):
+    """A label that fits a bucket is compared whole beside one that does not, with MISS so large that sets of buckets lose links."""
+    monkeypatch.setattr(embedding_dedup, "MISS", 0.5)
+    monkeypatch.setattr(common, "OFTEN", often)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1900, 64))
+    pairs = np.concatenate([base, base + 0.3 * rng.standard_normal((1900, 64))])
+    label = [1] * 400 + [2] * 1500
+    df = spark.createDataFrame([(k, v.tolist(), label[k % 1900]) for k, v in enumerate(pairs)], "vec_id long, embedding array<double>, label int").repartition(4)
+    unit = pairs / np.linalg.norm(pairs, axis=1)[:, None]
+    near = unit @ unit.T >= 0.93
+    small = np.array([k % 1900 < 400 for k in range(3800)])
+    want = int(near[np.ix_(small, small)].sum()) - 800
+    links = lambda d: d.where("label = 1") if d is not df else d
+    alone = embedding_dedup.embedding_links(links(df.select("*")), bucket=1024).agg({"n_links": "sum"}).head()[0]
+    found = {r.vec_id: r.n_links for r in embedding_dedup.embedding_links(df, bucket=1024).collect()}
+    assert alone == want == sum(found[k] for k in np.flatnonzero(small).tolist())
+    large = sum(found[k] for k in np.flatnonzero(~small).tolist())
+    assert large < int(near[np.ix_(~small, ~small)].sum()) - 3000, "the larger label is looked up in buckets"
+
+
 def test_plan_grows_with_the_label():
     assert embedding_dedup.plan(100) == (1, 0)
     for n in (10_000, 10**6, 10**9):

@@ -178,9 +178,9 @@ def test_confirmed_links_within_candidates(spark, monkeypatch, group):
             least.setdefault(c, k)
         got = {r.id: r.component_id for r in simhash.near_groups(docs).collect()}
         assert got == {k: least[c] for k, c in enumerate(want)}
-    named = docs.selectExpr("xxhash64(text) h", "60L shingles", "doc_id node")
+    named = docs.selectExpr("xxhash64(text) h", "doc_id id", "60L shingles", "doc_id node")
     scratch = Scratch(spark, "test")
-    links = simhash.confirmed_links(docs, "text", named, named.selectExpr("node", "0L component"), scratch, 0.8, 5, 42)
+    links = simhash.confirmed_links(docs, "doc_id", "text", named, named.selectExpr("node", "0L component"), scratch, 0.8, 5, 42)
     got = dict(map(tuple, connected_components(links, scratch).collect()))
     assert [got.get(k, k) for k in range(80)] == want and 1 < len(set(want)) < 80
 
