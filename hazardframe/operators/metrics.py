@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_folder
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -26,14 +28,35 @@ def binary_metrics(scored: DataFrame, keys: list[str] = (), threshold: float = 0
     )
 
 
-def roc_auc(scored: DataFrame, keys: list[str] = (), blocks: int = 1024) -> DataFrame:
-    """Area under the curve by ranks, ties at their mean. scored: y, score in 0..1.
+def _blocked(counts: DataFrame, keys: list[str], value: str, blocks: int) -> DataFrame:
+    """`counts` with `block`: ranges of the value, cut at approximate quantiles of its distinct values, so that each has about as many of them, however far some lie off."""
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("__cuts"))
+    if keys:  # one row a key
+        met = counts.join(cuts, keys)
+    else:
+        met = counts.join(F.broadcast(cuts), F.lit(True))  # one row
+    low, high = F.lit(0), F.size("__cuts")
+    # how many cuts are below the value: a search by halves, as many steps as the number of cuts has bits
+    steps = F.sequence(F.lit(1), F.lit(max(1, blocks.bit_length())))
+    start = F.struct(low.cast("int").alias("a"), high.cast("int").alias("b"))
+
+    def halve(s, _):
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        below = F.get(F.col("__cuts"), middle) < F.col(value)
+        done = s["a"] >= s["b"]
+        return F.struct(F.when(done | ~below, s["a"]).otherwise(middle + 1).alias("a"), F.when(done | below, s["b"]).otherwise(middle).alias("b"))
+
+    return met.withColumn("block", F.aggregate(steps, start, halve, lambda s: s["a"])).drop("__cuts")
+
+
+def roc_auc(scored: DataFrame, keys: list[str] = (), blocks: int = 256) -> DataFrame:
+    """Area under the curve by ranks, ties at their mean. scored: y, score.
 
     Counts of each score come first; running sums go within blocks of scores
     and over the blocks, so no window holds the distinct scores of all rows.
     """
     keys = list(keys)
-    counts = scored.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos")).withColumn("block", F.floor(F.col("score") * blocks))
+    counts = _blocked(scored.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos")), keys, "score", blocks)
     inside = Window.partitionBy(*keys, "block").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys or [F.lit(1)]).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.groupBy(*keys, "block").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(across), F.lit(0))).drop("m")
@@ -45,17 +68,54 @@ def roc_auc(scored: DataFrame, keys: list[str] = (), blocks: int = 1024) -> Data
     return sums.select(*keys, F.round(auc, 9).alias("auc"))
 
 
-def fold_assignment(rows: DataFrame, group: str, folds: int = 5, shards: int = 64) -> DataFrame:
-    """(group, n, fold): groups whole, large ones dealt first to and fro over the folds.
+def fold_quotas(histogram: dict[int, int], folds: int) -> dict[int, list[int]]:
+    """{size: groups of that size for each fold}: the largest first, each to the fold that is lightest then, the first of equals.
 
-    Groups are numbered within shards of their key, each shard starting at
-    another fold, so nothing is sorted in one task.
+    All groups of one size are dealt at once: the c smallest of the loads that the
+    folds would have before their next such group say where they go.
+    """
+    loads, out = [0] * folds, {}
+    for size in sorted(histogram, reverse=True):
+        c = histogram[size]
+        below = lambda level, size=size: [max(0, -((load - level) // size)) for load in loads]  # noqa: E731  groups whose turn comes before `level`
+        low, high = min(loads), max(loads) + size * (c // folds + 2)
+        while high - low > 1:  # the highest level that c groups fill
+            middle = (low + high) // 2
+            low, high = (middle, high) if sum(below(middle)) <= c else (low, middle)
+        quota = below(low)
+        for f in range(folds):
+            if sum(quota) < c and loads[f] + quota[f] * size == low:
+                quota[f] += 1
+        out[size] = quota
+        loads = [load + n * size for load, n in zip(loads, quota, strict=True)]
+    return out
+
+
+#: Sizes of groups, with their quotas, that are broadcast.
+QUOTAS_AT_MOST = 200_000
+
+
+def fold_assignment(rows: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """(grp, n, fold): groups whole, the largest dealt first, each to the lightest fold; keys of any type that has an order.
+
+    Only how many groups there are of each size meets on the driver, no more than
+    the square root of twice the rows. Groups of one size, of which there may be
+    very many, are numbered over range partitions in the order of their keys: a
+    partition counts its own, and the counts of those before it are added.
     """
-    sizes = rows.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("n")).withColumn("shard", F.pmod(F.col("grp"), F.lit(shards)))
-    k = F.row_number().over(Window.partitionBy("shard").orderBy(F.desc("n"), "grp")) - 1
-    lap, pos = F.floor(k / folds), k % folds
-    turn = F.when(lap % 2 == 0, pos).otherwise(folds - 1 - pos)
-    return sizes.select("grp", "n", ((turn + F.col("shard")) % folds).cast("int").alias("fold"))
+    spark = rows.sparkSession
+    path = work_folder(spark, "folds")
+    sizes = rows.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("n"))
+    sizes.repartitionByRange("n", "grp").sortWithinPartitions("n", "grp").withColumn("i", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.schema(sizes.select("*", F.lit(0).cast("long").alias("i")).schema).parquet(path).withColumn("part", F.shiftright("i", 33))
+    parts = placed.groupBy("part", "n").agg(F.count("*").alias("m"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    histogram = {r["n"]: r["m"] for r in parts.groupBy("n").agg(F.sum("m").alias("m")).collect()}
+    upto = [(n, [sum(q[: k + 1]) for k in range(folds - 1)]) for n, q in fold_quotas(histogram, folds).items()]
+    known = parts.select("part", "n", (before - F.col("first")).alias("shift")).join(spark.createDataFrame(upto, "n long, upto array<long>"), "n")
+    known = F.broadcast(known) if len(upto) <= QUOTAS_AT_MOST else known
+    place = F.col("i") + F.col("shift")
+    return placed.join(known, ["part", "n"]).select("grp", "n", F.size(F.filter("upto", lambda q: q <= place)).alias("fold"))
 
 
 def fold_summary(per_fold: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,17 +134,16 @@ def branch(per_fold: DataFrame) -> DataFrame:
     return one.withColumn("branch", F.when(good(0.70, 0.60), "A").when(good(0.60, 0.55), "B").otherwise("C"))
 
 
-def percentiles(rows: DataFrame, column: str, shares: dict[str, float], blocks: int = 1024) -> DataFrame:
+def percentiles(rows: DataFrame, column: str, shares: dict[str, float], blocks: int = 256) -> DataFrame:
     """One row: the percentile of each share, linear between neighbours as usual; null for no rows.
 
-    Values are counted first, then summed within and over blocks of the values'
-    range, so no task holds the distinct values of all rows; only the few
-    blocks' sums meet, and of the values the two that each percentile lies between.
+    Values are counted first, then summed within and over blocks of about as many
+    distinct values each, so no task holds the distinct values of all rows; only the
+    few blocks' sums meet, and of the values the two that each percentile lies between.
     """
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    low, high, total = rows.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.count(column)).head()
-    width = ((high - low) / blocks or 1.0) if total else 1.0
-    placed = counts.withColumn("block", F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(blocks - 1)))
+    total = rows.agg(F.count(column)).head()[0]
+    placed = _blocked(counts, [], "x", blocks)
     sums = placed.groupBy("block").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     wanted = sorted({k for s in shares.values() for k in (int((total - 1) * s), min(int((total - 1) * s) + 1, total - 1))}) if total else []
     # only blocks that hold a wanted place go on

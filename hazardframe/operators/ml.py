@@ -1,15 +1,15 @@
-"""Models over feature matrices with Spark's own learners."""
+"""Models over feature matrices: Spark's logistic regression, and second-order trees."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, trees
+from . import boosting, metrics, trees
 
 
 def weighted(rows: DataFrame, label: str) -> DataFrame:
@@ -24,13 +24,14 @@ def logistic(features: list[str], label: str) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def boosted(features: list[str], label: str, rounds: int = 400) -> Pipeline:
-    """Depth 4, step 0.05, four fifths of the rows a tree and of the columns a split, five rows a leaf, seed 42."""
-    trees = GBTClassifier(labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=5, seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees])
+def boosted(features: list[str], label: str, rounds: int = 400, categorical: tuple[str, ...] = ()) -> boosting.Learner:
+    """Second-order trees of depth 4, step 0.05, four fifths of the rows and of the columns a tree, children of a hessian of 5 at least, seed 42."""
+    return boosting.Learner(features, label, rounds, categorical=tuple(categorical))
 
 
-def predictions(model: PipelineModel, rows: DataFrame, *keep: str) -> DataFrame:
+def predictions(model: PipelineModel | boosting.BoostedTrees, rows: DataFrame, *keep) -> DataFrame:
+    if isinstance(model, boosting.BoostedTrees):
+        return model.scored(rows, *keep)
     scored = model.transform(rows)
     return scored.select(*keep, F.element_at(vector_to_array("probability"), 2).alias("score"))
 
@@ -51,19 +52,17 @@ def cross_validate(build, rows: DataFrame, features: list[str], label: str, grou
 TIERS = {"high": 0.66, "medium": 0.33}
 
 
-def cascade_pipeline(rows: DataFrame, categorical: list[str], numeric: list[str], label: str, rounds: int = 400) -> PipelineModel:
-    """Encoder (categories by sorted value, unseen ones a number of their own), then boosted trees, fitted on the rows; positives weigh as much as negatives."""
-    index = StringIndexer(inputCols=categorical, outputCols=[f"__{c}" for c in categorical], stringOrderType="alphabetAsc", handleInvalid="keep")
-    trees = boosted([*(f"__{c}" for c in categorical), *numeric], label, rounds)
-    return Pipeline(stages=[index, *trees.getStages()]).fit(weighted(rows, label))
+def cascade_model(rows: DataFrame, categorical: list[str], numeric: list[str], label: str, rounds: int = 400) -> boosting.BoostedTrees:
+    """Encoder (categories by sorted value, unseen ones -1), then boosted trees, fitted on the rows; positives weigh as much as negatives."""
+    return boosted([*categorical, *numeric], label, rounds, tuple(categorical)).fit(weighted(rows, label))
 
 
-def train_cascade(pairs: DataFrame, categorical: list[str], numeric: list[str], label: str, group: str = "incident_id", folds: int = 5, rounds: int = 400) -> tuple[PipelineModel, dict]:
+def train_cascade(pairs: DataFrame, categorical: list[str], numeric: list[str], label: str, group: str = "incident_id", folds: int = 5, rounds: int = 400) -> tuple[boosting.BoostedTrees, dict]:
     """The model of all pairs, and its metadata: features, rows, share of positives, weight, and the folds' areas under the curve."""
     dealt = pairs.join(metrics.fold_assignment(pairs, group, folds).select(F.col("grp").alias(group), "fold"), group)
     aucs = []
     for k in range(folds):
-        model = cascade_pipeline(dealt.where(F.col("fold") != k), categorical, numeric, label, rounds)
+        model = cascade_model(dealt.where(F.col("fold") != k), categorical, numeric, label, rounds)
         held = dealt.where(F.col("fold") == k).withColumn("weight", F.lit(1.0))
         aucs.append(metrics.roc_auc(predictions(model, held, F.col(label).alias("y"))).head()["auc"])
     n, positives = pairs.agg(F.count("*"), F.sum(label)).head()
@@ -74,13 +73,13 @@ def train_cascade(pairs: DataFrame, categorical: list[str], numeric: list[str],
         "target": label, "categorical_features": categorical, "numerical_features": numeric, "all_features": [*categorical, *numeric], "risk_tier_thresholds": TIERS, "training_rows": n, "positive_rate": positives / n if n else None,
         "scale_pos_weight": (n - positives) / positives if positives else None, "rounds": rounds, "cv_scores": {"per_fold": aucs, "mean": mean, "std": spread},
     }
-    return cascade_pipeline(pairs, categorical, numeric, label, rounds), metadata
+    return cascade_model(pairs, categorical, numeric, label, rounds), metadata
 
 
 class Predictor:
     """A saved cascade model: scores pairs, ranks targets, explains a pair."""
 
-    def __init__(self, model: PipelineModel, metadata: dict):
+    def __init__(self, model: PipelineModel | boosting.BoostedTrees, metadata: dict):
         self.model, self.metadata = model, metadata
         self.features = metadata["all_features"]
 

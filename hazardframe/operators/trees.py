@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Tree:
-    """Nodes by number: feature (-1 for a leaf), threshold (x <= threshold goes left), children, value, training rows."""
+    """Nodes by number: feature (-1 for a leaf), threshold (x <= threshold goes left), children, value, training rows or their hessians, and whether a missing x goes left (right without that)."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -31,11 +31,17 @@ class Tree:
     right: np.ndarray
     value: np.ndarray
     cover: np.ndarray
+    missing_left: np.ndarray | None = None
+
+    def goes_left(self, node: int, x: float) -> bool:
+        if x != x:
+            return self.missing_left is not None and bool(self.missing_left[node])
+        return x <= self.threshold[node]
 
     def leaf(self, x: np.ndarray) -> float:
         node = 0
         while self.feature[node] >= 0:
-            node = self.left[node] if x[self.feature[node]] <= self.threshold[node] else self.right[node]
+            node = self.left[node] if self.goes_left(node, x[self.feature[node]]) else self.right[node]
         return float(self.value[node])
 
     def expectation(self) -> float:
@@ -46,17 +52,18 @@ class Tree:
 
 @dataclass
 class Forest:
-    """Trees with their weights, and the factor from their sum to the log-odds."""
+    """Trees with their weights, the factor from their sum to the log-odds, and what these start from."""
 
     trees: list[Tree]
     weights: list[float]
     scale: float = 2.0
+    base: float = 0.0
 
     def margin(self, x: np.ndarray) -> float:
-        return self.scale * sum(w * t.leaf(x) for t, w in zip(self.trees, self.weights, strict=True))
+        return self.base + self.scale * sum(w * t.leaf(x) for t, w in zip(self.trees, self.weights, strict=True))
 
     def expectation(self) -> float:
-        return self.scale * sum(w * t.expectation() for t, w in zip(self.trees, self.weights, strict=True))
+        return self.base + self.scale * sum(w * t.expectation() for t, w in zip(self.trees, self.weights, strict=True))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -100,7 +107,7 @@ def tree_contributions(tree: Tree, x: np.ndarray) -> np.ndarray:
                 without = _taken_off(path, share, k)
                 out[path[k][0]] += without.sum() * (path[k][2] - path[k][1]) * tree.value[node]
             return
-        own, other = (tree.left[node], tree.right[node]) if x[f] <= tree.threshold[node] else (tree.right[node], tree.left[node])
+        own, other = (tree.left[node], tree.right[node]) if tree.goes_left(node, x[f]) else (tree.right[node], tree.left[node])
         zero, one = 1.0, 1.0
         for k in range(1, len(path)):
             if path[k][0] == f:
@@ -140,10 +147,14 @@ def _taken_off(path: list[tuple[int, float, float]], share: np.ndarray, k: int)
     return out
 
 
-def explained(model: PipelineModel, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """(keys, score, feature, value) of every row: the model's probability and each feature's part of the log-odds. The forest goes with the tasks."""
-    forest = forest_of(model)
-    scored = model.transform(rows).select(*keys, F.element_at(vector_to_array("probability"), 2).alias("score"), vector_to_array("features").alias("__x"))
+def explained(model, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """(keys, score, feature, value) of every row: the model's probability and each feature's part of the log-odds. model: `boosting.BoostedTrees`, or a pipeline of Spark's trees. The forest goes with the tasks."""
+    if isinstance(model, PipelineModel):
+        forest = forest_of(model)
+        scored = model.transform(rows).select(*keys, F.element_at(vector_to_array("probability"), 2).alias("score"), vector_to_array("features").alias("__x"))
+    else:
+        forest = model.forest
+        scored = model.scored(rows, *keys, F.array(*model.inputs()).alias("__features")).select(*keys, "score", F.col("__features").alias("__x"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from ..operators import coercion, metrics, ml, validation
+from ..operators import boosting, coercion, metrics, ml, validation
+from ..session import work_folder
+from ..sources import sinks
 from .adapters import CONTROLS, controls
 from .registry import query, table
 
@@ -155,21 +159,26 @@ def top_errors(spark, sf):
     return coercion.top_errors(_runs(spark, sf))
 
 
-_SCORED = "scored AS (SELECT doc_id, doc_id % 50 AS grp, quality AS y, (n_chars * 7 % 101) / 101.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
+_SCORED = "scored AS (SELECT doc_id, 'inc-' || doc_id % 50 AS grp, quality AS y, (n_chars * 7 % 101) / 101.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
 
 
 def _scored(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     score = (F.col("n_chars") * 7 % 101) / F.lit(101.0)
-    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", (F.col("doc_id") % 50).alias("grp"), F.col("quality").alias("y"), score.alias("score"))
+    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", F.concat(F.lit("inc-"), (F.col("doc_id") % 50).cast("string")).alias("grp"), F.col("quality").alias("y"), score.alias("score"))
 
 
 _COUNTS = "count(*) FILTER (score >= 0.5 AND y = 1) AS tp, count(*) FILTER (score >= 0.5 AND y <> 1) AS fp, count(*) FILTER (score < 0.5 AND y = 1) AS fn, count(*) FILTER (score < 0.5 AND y <> 1) AS tn"
 _METRICS = """CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0::DOUBLE END AS recall,
   CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0.0::DOUBLE END AS f1,
   CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt(((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))::DOUBLE) ELSE 0.0::DOUBLE END AS mcc"""
-_FOLDS = """folds AS (SELECT grp, n, CAST((CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END + grp % 64) % 5 AS INTEGER) AS fold FROM (
-  SELECT grp, count(*) AS n, row_number() OVER (PARTITION BY grp % 64 ORDER BY count(*) DESC, grp) - 1 AS k FROM scored GROUP BY grp))"""
+#: The largest groups first, those of one size at once: the loads that the folds would have before each next group, in order.
+_FOLDS = """RECURSIVE grps AS (SELECT grp, count(*) AS n FROM scored GROUP BY grp), hist AS (SELECT n, count(*) AS c, row_number() OVER (ORDER BY n DESC) AS k FROM grps GROUP BY n),
+ filled AS (SELECT 0::BIGINT AS k, 0::BIGINT AS n, [0, 0, 0, 0, 0]::BIGINT[] AS loads, [0, 0, 0, 0, 0]::BIGINT[] AS quota UNION ALL
+   SELECT k, n, list_transform(range(1, 6), lambda f: loads[f] + n * quota[f])::BIGINT[], quota FROM (
+   SELECT k, n, loads, list_transform(range(0, 5), lambda f: len(list_filter(turns, lambda t: t % 8 = f)))::BIGINT[] AS quota FROM (
+   SELECT h.k, h.n, loads, list_sort(flatten(list_transform(range(0, 5), lambda f: list_transform(range(0, h.c), lambda j: (loads[f + 1] + j * h.n) * 8 + f))))[1:h.c] AS turns FROM filled JOIN hist h ON h.k = filled.k + 1))),
+ folds AS (SELECT grp, n, len(list_filter(range(1, 5), lambda f: list_sum(quota[1:f]) <= place))::INTEGER AS fold FROM (SELECT grp, n, row_number() OVER (PARTITION BY n ORDER BY grp) - 1 AS place FROM grps) JOIN (SELECT n, quota FROM filled WHERE k > 0) USING (n))"""
 _AUC = """ranked AS (SELECT fold, y, (rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0::DOUBLE) AS r FROM scored JOIN folds USING (grp)),
  aucs AS (SELECT fold, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y <> 1))::DOUBLE, 9) AS auc FROM ranked GROUP BY 1)"""
 
@@ -242,6 +251,53 @@ def gbt_predictions(spark, sf):
     return ml.predictions(ml.boosted(_COLUMNS, "y").fit(rows), rows, "doc_id", "y")
 
 
+_TREES = 12
+
+
+def _file_model(spark) -> boosting.BoostedTrees:
+    """Twelve trees of two levels by a rule, as a file of the exchanged layout, read back."""
+    trees = []
+    for k in range(_TREES):
+        at = lambda f, k=k: (6 + k % 4 * 0.5, 4 + k % 5 * 0.5, k % 3 / 64)[f % 3]
+        trees.append(
+            {
+                "left_children": [1, 3, 5, -1, -1, -1, -1], "right_children": [2, 4, 6, -1, -1, -1, -1], "split_indices": [k % 3, (k + 1) % 3, (k + 2) % 3, 0, 0, 0, 0],
+                "split_conditions": [at(k), at(k + 1), at(k + 2), *(((k * 7 + node * 3) % 11 - 5) / 16 for node in range(3, 7))], "default_left": [(k + node) % 2 for node in range(7)],
+                "sum_hessian": [1.0] * 7, "split_type": [0] * 7,
+            }
+        )
+    param = {"base_score": "3E-1", "num_feature": "3", "num_class": "0"}
+    learner = {"feature_names": _COLUMNS, "gradient_booster": {"model": {"trees": trees}}, "learner_model_param": param, "objective": {"name": "binary:logistic"}}
+    path = work_folder(spark, "model")
+    sinks.write_text(spark, path, json.dumps({"learner": learner}))
+    return boosting.read_boosted(spark, path)
+
+
+_WALK = f"""RECURSIVE x AS (SELECT doc_id, [ln(length(t) + 1), length(t) / len(string_split(t, ' '))::DOUBLE, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE length(regexp_replace(t, '[^#$%&*|]', '', 'g')) / greatest(length(t), 1)::DOUBLE END] AS v
+   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) JOIN labels USING (doc_id)),
+ nodes AS (SELECT k, node, CASE WHEN node < 3 THEN (k + node) % 3 ELSE -1 END AS f, [6 + k % 4 * 0.5, 4 + k % 5 * 0.5, (k % 3) / 64.0]::FLOAT[] AS cut, (k + node) % 2 = 1 AS lost_left, ((k * 7 + node * 3) % 11 - 5) / 16.0::DOUBLE AS value
+   FROM range({_TREES}) a(k), range(7) b(node)),
+ walk AS (SELECT doc_id, v, k, 0::BIGINT AS node FROM x, range({_TREES}) a(k) UNION ALL
+   SELECT doc_id, v, k, 2 * node + CASE WHEN coalesce(v[f + 1]::FLOAT < cut[f + 1], lost_left) THEN 1 ELSE 2 END FROM walk JOIN nodes USING (k, node) WHERE f >= 0),
+ file_scores AS (SELECT doc_id, 1 / (1 + exp(-(ln(0.3::DOUBLE / 0.7::DOUBLE) + sum(value)))) AS score FROM walk JOIN nodes USING (k, node) WHERE f < 0 GROUP BY doc_id)"""
+
+
+def _file_scores(spark, sf):
+    rows = _matrix(spark, sf).withColumn("marks", F.when(F.col("doc_id") % 7 != 0, F.col("marks")))
+    return _file_model(spark).scored(rows, "doc_id")
+
+
+@query("file_model_scores", "SELECT doc_id, round(score, 9) AS score FROM file_scores", _WALK)
+def file_model_scores(spark, sf):
+    return _file_scores(spark, sf).withColumn("score", F.round("score", 9))
+
+
+@query("file_model_thresholds", "SELECT round(quantile_cont(score, 0.6), 9) AS p60, round(quantile_cont(score, 0.8), 9) AS p80 FROM file_scores", _WALK)
+def file_model_thresholds(spark, sf):
+    """The tiers of risk from the scores of a model that a file holds."""
+    return metrics.thresholds(_file_scores(spark, sf))
+
+
 @query("linear_contributions", "SELECT incident_id, control_id, 'quantity' AS feature, round(0.5::DOUBLE * (quantity - (SELECT avg(quantity) FROM controls)), 6) AS value FROM controls", CONTROLS)
 def linear_contributions(spark, sf):
     found = ml.linear_contributions(controls(spark, sf, named=False), ["quantity"], {"quantity": 0.5}, ["incident_id", "control_id"])

@@ -11,12 +11,13 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None, *views: str):
-    """Registers fn(spark, sf_dir); `views` are WITH clauses that go before `sql`."""
+    """Registers fn(spark, sf_dir); `views` are WITH clauses that go before `sql`; one that starts with RECURSIVE makes them so."""
 
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE_SQL[name] = (f"WITH {', '.join(views)} " if views else "") + sql
+            recursive = "RECURSIVE " if any(v.startswith("RECURSIVE ") for v in views) else ""
+            ORACLE_SQL[name] = (f"WITH {recursive}{', '.join(v.removeprefix('RECURSIVE ') for v in views)} " if views else "") + sql
         return fn
 
     return add

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,12 +24,34 @@ def session(master: str | None = None, app: str = "hazardframe", **extra: str) -
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """A new folder for tables of one run, in the store that spark.checkpoint.dir names; only a local master may leave that unset."""
+    """A new folder for tables of one run, in the store that spark.checkpoint.dir names; it goes when the process ends. Only a local master may leave the setting unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         named = tempfile.mkdtemp(prefix="hazardframe-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/hazardframe/{label}-{uuid.uuid4().hex}"
+    path = f"{named.rstrip('/')}/hazardframe/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more, in whatever store it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _drop_folders() -> None:
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        try:
+            if spark.sparkContext._jsc is not None:
+                drop_folder(spark, path)
+        except Exception:  # the JVM may be gone when the process ends
+            return

@@ -8,6 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting
+
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, single: bool = False) -> None:
     """Fixed column order; the header is written even without rows. `single` is for reports of few rows."""
@@ -91,17 +93,23 @@ def summary(counts: DataFrame, name: str, n: str = "n") -> list[str]:
     return [f"{r[name]}: {r[n]}" for r in rows]
 
 
-def save_model(model: PipelineModel, path: str, metadata: dict | None = None, background: DataFrame | None = None) -> None:
-    """The model, its metadata as JSON, and the rows its explanations start from."""
-    model.write().overwrite().save(f"{path}/model")
+def save_model(model: PipelineModel | boosting.BoostedTrees, path: str, metadata: dict | None = None, background: DataFrame | None = None) -> None:
+    """The model (trees as a JSON file, others as Spark does), its metadata as JSON, and the rows its explanations start from."""
     spark = SparkSession.getActiveSession()
-    write_text(spark, f"{path}/metadata", json.dumps(metadata or {}, sort_keys=True))
+    trees = isinstance(model, boosting.BoostedTrees)
+    if trees:
+        boosting.write_boosted(spark, model, f"{path}/trees")
+    else:
+        model.write().overwrite().save(f"{path}/model")
+    write_text(spark, f"{path}/metadata", json.dumps({"model_format": "trees" if trees else "pipeline", **(metadata or {})}, sort_keys=True))
     if background is not None:
         background.write.mode("overwrite").parquet(f"{path}/background")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(read_text(spark, f"{path}/metadata"))
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel | boosting.BoostedTrees, dict]:
+    metadata = json.loads(read_text(spark, f"{path}/metadata"))
+    trees = metadata.pop("model_format", "pipeline") == "trees"
+    return boosting.read_boosted(spark, f"{path}/trees") if trees else PipelineModel.load(f"{path}/model"), metadata
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:

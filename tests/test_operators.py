@@ -372,10 +372,61 @@ def test_metrics(spark):
     none = metrics.binary_metrics(df.where("y = 0")).head()
     assert none.f1 == 0.0 and none.mcc == 0.0
     groups = spark.createDataFrame([(g, k) for g in range(40) for k in range(1 + g % 7)], "g long, k int")
-    folds = metrics.fold_assignment(groups, "g", 5, shards=4)
+    folds = metrics.fold_assignment(groups, "g", 5)
     assert folds.count() == 40 and folds.select("fold").distinct().count() == 5
 
 
+def dealt(sizes, folds):
+    """Loads of longest-first dealing, one group at a time."""
+    loads = [0] * folds
+    for n in sorted(sizes, reverse=True):
+        loads[loads.index(min(loads))] += n
+    return loads
+
+
+@pytest.mark.parametrize("folds", [2, 3, 5])
+def test_folds_are_dealt_longest_first(spark, folds):
+    """Keys of any type, groups whole, loads as if dealt one by one, however the rows lie."""
+    import random
+
+    rng = random.Random(folds)
+    sizes = [1] * 57 + [2] * 31 + [rng.randint(1, 40) for _ in range(20)] + [300]
+    data = [(f"inc-{k}" if k else None, {"a": k}) for k, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(data, "incident_id string, m map<string,int>")
+    got = metrics.fold_assignment(df, "incident_id", folds).collect()
+    loads = [sum(r.n for r in got if r.fold == f) for f in range(folds)]
+    assert sorted(r.grp or "" for r in got) == sorted(f"inc-{k}" if k else "" for k in range(len(sizes))) and loads == dealt(sizes, folds)
+    again = metrics.fold_assignment(df.repartition(7).select(F.struct("incident_id").alias("key")), "key", folds).collect()
+    assert sorted((r.grp.incident_id or "", r.fold) for r in again) == sorted((r.grp or "", r.fold) for r in got)
+    assert metrics.fold_assignment(df.limit(0), "incident_id", folds).collect() == []
+    for trial in range(50):
+        histogram = {rng.randint(1, 30): rng.randint(1, 40) for _ in range(rng.randint(1, 8))}
+        quotas = metrics.fold_quotas(histogram, folds)
+        assert [sum(n * q[f] for n, q in quotas.items()) for f in range(folds)] == dealt([n for n, c in histogram.items() for _ in range(c)], folds), trial
+        assert all(sum(quotas[n]) == c for n, c in histogram.items())
+
+
+def test_blocks_of_heavy_tails(spark):
+    """One value far off, and scores that crowd together: no block holds more than a twentieth of the distinct values, and results are exact."""
+    import random
+
+    rng = random.Random(3)
+    values = [rng.random() / 1000 for _ in range(5000)] + [1e12, -1e15]
+    df = spark.createDataFrame([(x, int(rng.random() < 0.4 + 300 * min(max(x, 0), 1e-3))) for x in values], "score double, y int")
+    counts = df.groupBy("score").agg(F.count("*").alias("n"))
+    largest = metrics._blocked(counts, [], "score", 256).groupBy("block").count().agg(F.max("count")).head()[0]
+    assert largest <= 5002 / 20
+    ordered, got = sorted(values), metrics.percentiles(df, "score", {"a": 0.5, "b": 0.999})
+    place = lambda s: (lambda p: ordered[int(p)] + (p - int(p)) * (ordered[min(int(p) + 1, 5001)] - ordered[int(p)]))(5001 * s)
+    assert tuple(got.head()) == pytest.approx((place(0.5), place(0.999)))
+    data = sorted((r.score, r.y) for r in df.collect())
+    positives = [k for k, (_, y) in enumerate(data) if y]
+    auc = (sum(positives) + len(positives) - len(positives) * (len(positives) + 1) / 2) / (len(positives) * (len(data) - len(positives)))
+    assert metrics.roc_auc(df).head().auc == pytest.approx(auc, abs=1e-8)
+    keyed = df.withColumn("k", F.col("y") * 0 + (F.col("score") > 0.0005).cast("int"))
+    assert metrics.roc_auc(keyed, ["k"]).count() == 2
+
+
 def test_cross_validation_and_contributions(spark):
     import random
 
@@ -466,12 +517,19 @@ def test_tree_contributions_are_shapley_values(spark):
 
     import numpy as np
     from hazardframe.operators import trees
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
 
     random.seed(2)
     data = [(k, a := random.random(), b := random.random(), c := random.random(), int(a + b * c + random.gauss(0, 0.1) > 0.8)) for k in range(300)]
     df = spark.createDataFrame(data, "id long, a double, b double, c double, y int")
+    stages = [VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), GBTClassifier(labelCol="y", maxIter=3, maxDepth=3, seed=1)]
+    theirs = Pipeline(stages=stages).fit(df)
+    parts = trees.explained(theirs, df, ["a", "b", "c"], ["id"]).groupBy("id").agg(F.first("score").alias("score"), F.sum("value").alias("total")).collect()
+    assert all(math.log(r.score / (1 - r.score)) == pytest.approx(r.total + trees.forest_of(theirs).expectation(), abs=1e-6) for r in parts)
     model = ml.boosted(["a", "b", "c"], "y", rounds=4).fit(ml.weighted(df, "y"))
-    forest = trees.forest_of(model)
+    forest = model.forest
 
     def known(tree, x, s, node=0):
         f = int(tree.feature[node])
@@ -487,7 +545,7 @@ def test_tree_contributions_are_shapley_values(spark):
         for order in itertools.permutations(range(3)):
             for k, f in enumerate(order):
                 gain = sum(w * (known(t, x, {*order[: k + 1]}) - known(t, x, {*order[:k]})) for t, w in zip(forest.trees, forest.weights, strict=True))
-                want[f] += 2 * gain / 6
+                want[f] += gain / 6
         assert np.allclose(forest.contributions(x), want, atol=1e-9)
     parts = trees.explained(model, ml.weighted(df, "y"), ["a", "b", "c"], ["id"])
     sums = parts.groupBy("id").agg(F.first("score").alias("score"), F.sum("value").alias("total")).collect()
@@ -510,12 +568,103 @@ def test_cascade_models_are_trained_saved_and_loaded(spark, tmp_path):
     assert got[1] > 0.5 > got[2] and p.explain(unseen, "id").count() == 4
     with pytest.raises(ValueError, match="needs"):
         p.predict(unseen.drop("n"), "id")
+    named = pairs.withColumn("incident_id", F.concat(F.lit("inc-"), F.col("incident_id").cast("string")))
+    assert len(ml.train_cascade(named, ["kind"], ["n"], "y", folds=2, rounds=2)[1]["cv_scores"]["per_fold"]) == 2
     both = ml.retrain(pairs.withColumn("source_agency", F.lit("x")), ["n"], ["y"], "incident_id", folds=2, rounds=2)
     assert both["y"]["boosted"]["folds"].count() == 2 and both["y"]["background"].count() == 150
 
 
-def test_boosted_trees_are_the_stated_ones(spark):
-    trees = ml.boosted(["a"], "y").getStages()[-1]
-    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getSubsamplingRate(), trees.getFeatureSubsetStrategy()) == (400, 4, 0.05, 0.8, "0.8")
-    df = spark.createDataFrame([(k, float(k % 17), int(k % 17 > 8)) for k in range(60)], "id long, a double, y int")
-    assert ml.boosted(["a"], "y", rounds=3).fit(ml.weighted(df, "y")).stages[-1].getNumTrees == 3
+def test_boosted_trees_are_the_stated_ones():
+    learner = ml.boosted(["a"], "y")
+    assert (learner.rounds, learner.depth, learner.step, learner.rows_share, learner.columns_share, learner.least_hessian, learner.leaf_weight, learner.seed) == (400, 4, 0.05, 0.8, 0.8, 5.0, 1.0, 42)
+
+
+def brute_boosting(learner, chunks, x, y, w, cuts):
+    """Trees by trying every cut of every chosen column at every node, over all rows at once; margins of the rows."""
+    import numpy as np
+    from hazardframe.operators import boosting
+
+    base = np.log((w @ y) / (w @ (1 - y)))
+    margin, missing = np.full(len(y), base), np.isnan(x)
+    for k in range(learner.rounds):
+        columns = np.sort(np.random.default_rng([learner.seed, k]).choice(x.shape[1], max(1, int(learner.columns_share * x.shape[1])), replace=False))
+        used = np.concatenate([boosting.drawn(c, n, learner.seed, k, learner.rows_share) for c, n in chunks])
+        p = 1 / (1 + np.exp(-margin))
+        g, h = (p - y) * w, p * (1 - p) * w
+        score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)  # noqa: E731, B023
+
+        def grow(rows, depth):
+            learnt = rows & used  # noqa: B023
+            best, choice = 1e-6, None
+            for f in columns if depth else ():  # noqa: B023
+                for cut in cuts[f]:
+                    for lost_left in (False, True) if missing[learnt, f].any() else (False,):
+                        goes = np.where(missing[:, f], lost_left, x[:, f] <= cut)
+                        left, right = learnt & goes, learnt & ~goes
+                        if min(h[left].sum(), h[right].sum()) >= learner.least_hessian and (gain := score(left) + score(right) - score(learnt)) > best + 1e-7:  # noqa: B023
+                            best, choice = gain, goes
+            if choice is None:
+                margin[rows] += -learner.step * g[learnt].sum() / (h[learnt].sum() + 1)  # noqa: B023
+            else:
+                grow(rows & choice, depth - 1)
+                grow(rows & ~choice, depth - 1)
+
+        grow(np.ones(len(y), bool), learner.depth)
+    return margin
+
+
+def test_boosting_equals_brute_force(spark, tmp_path, monkeypatch):
+    """Missing values, categories, several chunks and tasks, margins written on the way; and the same model from its file."""
+    import json
+
+    import numpy as np
+    from hazardframe.operators import boosting
+
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(boosting, "CHUNK", 90)
+    monkeypatch.setattr(boosting, "TASK_CHUNKS", 2)
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    n = 400
+    a, b, kind = rng.integers(0, 12, n).astype(float), rng.random(n).round(1), rng.choice(["p", "q", "r", None], n)
+    y = ((a > 5) ^ (b > 0.6) | (kind == "q") & (rng.random(n) < 0.7)).astype(int)
+    a[rng.random(n) < 0.15] = np.nan
+    data = [(k, None if np.isnan(a[k]) and k % 2 else float(a[k]), float(b[k]), kind[k], int(y[k])) for k in range(n)]
+    df = spark.createDataFrame(data, "id long, a double, b double, kind string, y int").coalesce(1)
+    learner = boosting.Learner(["kind", "a", "b"], "y", rounds=5, depth=3, least_hessian=2.0, weight="weight", categorical=("kind",))
+    rows = ml.weighted(df, "y")
+    model = learner.fit(rows)
+    x = np.column_stack([[["p", "q", "r"].index(c) if c else -1 for c in kind], a, b]).astype(float)
+    w = np.where(y == 1, (n - y.sum()) / y.sum(), 1.0)
+    sizes = [min(90, n - at) for at in range(0, n, 90)]
+    margin = brute_boosting(learner, list(enumerate(sizes)), x, y, w, [np.unique(c[~np.isnan(c)]) for c in x.T])
+    got = {r.id: math.log(r.score / (1 - r.score)) for r in model.scored(rows, "id").collect()}
+    assert np.allclose([got[k] for k in range(n)], margin, atol=1e-6) and any(t.missing_left.any() for t in model.trees)
+    assert np.allclose([model.forest.margin(r) for r in x], margin, atol=1e-6)
+    spread = learner.fit(rows.repartition(3))
+    assert len(spread.trees) == 5 and learner.fit(rows.limit(0)).trees == []
+    boosting.write_boosted(spark, model, f"{tmp_path}/m")
+    back = boosting.read_boosted(spark, f"{tmp_path}/m")
+    assert back.features == model.features and back.categories == model.categories
+    again = {r.id: math.log(r.score / (1 - r.score)) for r in back.scored(rows, "id").collect()}
+    assert np.allclose([again[k] for k in range(n)], margin, atol=1e-5)
+    told = json.loads(spark.read.text(f"{tmp_path}/m", wholetext=True).head()[0])["learner"]
+    assert told["learner_model_param"]["num_feature"] == "3" and len(told["gradient_booster"]["model"]["trees"]) == 5
+
+
+def test_a_model_file_of_another_library(spark, tmp_path):
+    """Strict comparisons with 32-bit thresholds, default directions, the base score as a probability."""
+    import json
+
+    tree = {
+        "left_children": [1, -1, 3, -1, -1], "right_children": [2, -1, 4, -1, -1], "split_indices": [0, 0, 1, 0, 0], "split_conditions": [0.1, -0.5, 3.0, 0.25, 1.5],
+        "default_left": [0, 0, 1, 0, 0], "sum_hessian": [4.0, 1.0, 3.0, 1.0, 2.0], "split_type": [0] * 5,
+    }
+    model = {"learner": {"gradient_booster": {"model": {"trees": [tree, tree]}}, "learner_model_param": {"base_score": "[2E-1]", "num_feature": "2", "num_class": "0"}, "objective": {"name": "binary:logistic"}}}
+    (tmp_path / "m.json").write_text(json.dumps(model))
+    from hazardframe.operators import boosting
+
+    back = boosting.read_boosted(spark, f"{tmp_path}/m.json")
+    cases = [(0.05, 9.0, -0.5), (0.1, 2.0, 0.25), (0.1, 3.0, 1.5), (None, None, 0.25), (float("nan"), 3.0, 1.5), (5.0, float("nan"), 0.25), (0.09999999, 0.0, -0.5)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "id int, f0 double, f1 double")
+    got = {r.id: math.log(r.score / (1 - r.score)) for r in back.scored(df, "id").collect()}
+    assert back.features == ["f0", "f1"] and got == {k: pytest.approx(math.log(0.2 / 0.8) + 2 * v) for k, (_, _, v) in enumerate(cases)}
