@@ -159,3 +159,20 @@ def crawled_reports(spark, sf):
     stored = connectors.Stored(site)
     pages = crawl.crawl(spark, seeds, lambda urls: connectors.fetch(urls, stored), lambda p: connectors.frontier_of(adapter, p), work_folder(spark, "crawl"))
     return connectors.results_of(adapter, pages).select("doc_id", "title", "date", "page_url", "url")
+
+
+@query(
+    "pdf_texts",
+    """SELECT doc_id, 'pdf' AS extractor_used, array_to_string(list_transform(range(0, len(w), 12), lambda i: array_to_string(w[i + 1:i + 12], ' ')), chr(10)) || chr(10) || chr(10) || 'Page two of ' || doc_id || ' (end)' AS text, 2 AS page_count
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents)""",
+)
+def pdf_texts(spark, sf):
+    """Documents as PDF files of two pages, their words in lines of twelve, and the text that comes back."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)).alias("w"))
+    starts = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(12))).otherwise(F.array().cast("array<int>"))
+    lines = F.transform(starts, lambda i: F.concat(F.lit("("), F.array_join(F.slice("w", i + 1, 12), " "), F.lit(") Tj T*\n")))
+    page = lambda number, body: F.concat(F.lit(f"{number} 0 obj\n<< /Type /Page /Contents {number + 1} 0 R >>\nendobj\n{number + 1} 0 obj\n<< /Length 0 >>\nstream\nBT 14 TL 1 0 0 1 72 700 Tm\n"), body, F.lit("ET\nendstream\nendobj\n"))
+    head = F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R 5 0 R] /Count 2 >>\nendobj\n")
+    whole = F.concat(head, page(3, F.array_join(lines, "")), page(5, F.concat(F.lit("(Page two of "), "path", F.lit(" \\(end\\)) Tj\n"))))
+    found = files.extract_text(docs.select("path", whole.cast("binary").alias("content")), list(files.EXTRACTORS.items()))
+    return found.select(F.col("path").cast("long").alias("doc_id"), "extractor_used", "text", "page_count")

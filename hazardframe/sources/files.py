@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pdf import pdf_text
 from ..functions.text import file_stem, parse_date, slug
 
 
@@ -151,10 +151,10 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") ->
 
 
 def extract_text(files: DataFrame, extractors: list[tuple[str, Callable[[bytes], str]]]) -> DataFrame:
-    """(path, extractor_used, text, fail_reason): the first extractor that gives text; pages are its business.
+    """(path, extractor_used, text, page_count, fail_reason): the first extractor that gives text, its pages joined by a blank line.
 
-    Extractors are functions from bytes to text and come from the caller; none is
-    bundled. Files are handled one at a time.
+    Extractors are functions from bytes to text with a form feed between pages;
+    callers may bring their own beside `EXTRACTORS`. Files are handled one at a time.
     """
 
     def run(frames):
@@ -169,14 +169,15 @@ def extract_text(files: DataFrame, extractors: list[tuple[str, Callable[[bytes],
                         reason = f"{name}: {type(e).__name__}"
                         continue
                     if text.strip():
-                        out.append((path, name, "\n\n".join(p.rstrip() for p in text.split("\f")), None))
+                        pages = text.split("\f")
+                        out.append((path, name, "\n\n".join(p.rstrip() for p in pages), len(pages), None))
                         break
                     reason = f"{name}: empty"
                 else:
-                    out.append((path, None, "", reason))
-            yield pd.DataFrame(out, columns=["path", "extractor_used", "text", "fail_reason"])
+                    out.append((path, None, "", 0, reason))
+            yield pd.DataFrame(out, columns=["path", "extractor_used", "text", "page_count", "fail_reason"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, extractor_used string, text string, fail_reason string")
+    return files.select("path", "content").mapInPandas(run, "path string, extractor_used string, text string, page_count int, fail_reason string")
 
 
 def fallback_text(files: DataFrame, bundled: dict[str, Callable[[bytes], str]], order: list[str]) -> DataFrame:
@@ -187,16 +188,13 @@ def fallback_text(files: DataFrame, bundled: dict[str, Callable[[bytes], str]],
 
 
 def plain_text(content: bytes) -> str:
-    """Text in UTF-8; anything else is an error, so the next extractor is tried."""
+    """Text in UTF-8; anything else, and a PDF that happens to be readable, is an error, so the next extractor is tried."""
+    if content[:1024].find(b"%PDF-") >= 0:
+        raise ValueError("a PDF")
     return content.decode("utf-8-sig")
 
 
-def latin_text(content: bytes) -> str:
-    """Printable runs of a file of unknown kind, in the manner of `strings`."""
-    return "\n".join(m.decode("latin-1") for m in re.findall(rb"[\t\x20-\x7e]{4,}", content))
-
-
-EXTRACTORS: dict[str, Callable[[bytes], str]] = {"text": plain_text, "strings": latin_text}
+EXTRACTORS: dict[str, Callable[[bytes], str]] = {"pdf": pdf_text, "text": plain_text}
 
 
 def ingest_documents(spark: SparkSession, folder: str, target: str, source: str = "local", pattern: str = "*.pdf") -> DataFrame:
