@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
-from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from . import session
 from .functions import text
 from .operators import baseline, coercion, coverage, manifests, mining, profiling, providers, taxonomy, validation
 from .schemas import MANIFEST
-from .sources import connectors, files, incidents, sinks
+from .sources import connectors, extraction, files, incidents, quarantine, sinks
 
 
 def _documents(spark, args):
@@ -132,6 +130,18 @@ def extract_structured(spark, args, model=None):
     print(json.dumps({**sinks.report(coercion.run_report(stored))[0], "top_errors": sinks.report(coercion.top_errors(stored))}))
 
 
+def corpus_extract(spark, args, models=None):
+    """Forms for the documents of a manifest (--other: stem, status) that need one, from the texts under --input, by a ladder of models; resumable.
+
+    models: (name, model) in order of cost; without them nothing can be extracted, and that is said.
+    """
+    if not models:
+        raise SystemExit("corpus-extract needs language models: call cli.corpus_extract(spark, args, models)")
+    rows = files.read_csv(spark, args.other)
+    found = extraction.run(spark, rows, files.read_texts(spark, args.input), models, args.output, args.delay, args.text_limit)
+    print(json.dumps(sinks.report(found.groupBy("outcome").agg(F.count("*").alias("n")).orderBy("outcome"))))
+
+
 def _stems(spark, folder, pattern):
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return found.select(text.unquote(text.file_stem(F.col("path"))).alias("stem")).distinct()
@@ -146,10 +156,15 @@ def corpus_manifest(spark, args):
 
 
 def corpus_clean(spark, args):
-    """Forms (--other) without a document (--input): listed, not moved."""
-    found = manifests.noise(_stems(spark, args.other, "*.json"), _stems(spark, args.input, "*.pdf"))
+    """Forms (--other) without a document (--input): listed, and moved to the noise folder of --output unless it is a dry run."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(args.other)
+    forms = listed.select("path", text.unquote(text.file_stem(F.col("path"))).alias("stem"))
+    found = manifests.noise(forms, _stems(spark, args.input, "*.pdf"))
     sinks.write_csv(found.orderBy("stem"), f"{args.output}/noise")
-    print(json.dumps({"noise": found.count()}))
+    stored = files.read_csv(spark, f"{args.output}/noise")
+    n = stored.count()
+    done = quarantine.run(spark, forms.join(stored, "stem", "left_semi"), f"{args.output}/structured_json_noise", f"{args.output}/noise_moves", args.dry_run)
+    print(json.dumps({"noise": n, **done}))
 
 
 def _transport(spark, args):
@@ -197,7 +212,7 @@ def overview(spark, args):
 
 COMMANDS = {
     "process": process, "build-combined-exports": flatten, "report": report, "schema-check": schema_check, "convert-schema": convert_schema, "quality-gate": quality_gate,
-    "extract-text": extract_text, "extract-qc": extract_qc, "extract-structured": extract_structured, "corpus-manifest": corpus_manifest, "corpus-clean": corpus_clean,
+    "extract-text": extract_text, "extract-qc": extract_qc, "extract-structured": extract_structured, "corpus-extract": corpus_extract, "corpus-manifest": corpus_manifest, "corpus-clean": corpus_clean,
     "acquire": acquire, "discover-source": discover_source, "ingest-source": ingest_source, "ingest-phmsa": ingest_phmsa, "merge-manifests": merge_manifests,
     "associate": associate, "profile": profile, "overview": overview,
 }
@@ -211,6 +226,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--other", help="the second manifest, the forms, the reference bowtie or the taxonomy file")
     parser.add_argument("--source", help="the publisher")
     parser.add_argument("--limit", type=int)
+    parser.add_argument("--dry-run", action="store_true", help="say what would be moved")
+    parser.add_argument("--delay", type=float, default=30.0, help="seconds between a task's calls of a model")
+    parser.add_argument("--text-limit", type=int, default=50_000, help="characters of a text that a prompt holds; 0 for all")
     args = parser.parse_args(argv)
     COMMANDS[args.command](session.session(), args)
 

@@ -68,46 +68,59 @@ def with_factors(controls: DataFrame, incidents: DataFrame, factors: list[str] =
 
 
 def factor_profile(labelled: DataFrame, factors: list[str], label: str) -> DataFrame:
-    """(factor, share, r): how often a factor is set, and its correlation with the label (0 if undefined)."""
+    """(factor, share, r, p): how often a factor is set, its correlation with the label (0 if undefined), and the two-sided p of that."""
     stats = labelled.agg(F.count("*").alias("n"), F.sum(label).alias("sy"), *[x for c in factors for x in (F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(label)).alias(f"p_{c}"))])
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(f"s_{c}").alias("sx"), F.col(f"p_{c}").alias("sxy")) for c in factors])).alias("f")
     flat = stats.select("n", "sy", rows).select("n", "sy", "f.*")
     spread = (F.col("n") * F.col("sx") - F.col("sx") * F.col("sx")).cast("double") * (F.col("n") * F.col("sy") - F.col("sy") * F.col("sy")).cast("double")
     r = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)).otherwise(F.lit(0.0))
-    return flat.select("factor", (F.col("sx") / F.col("n")).alias("share"), r.alias("r"))
-
-
-def correlation_p_value(r: float, n: int) -> float:
-    """Two-sided p of a correlation by the t distribution with n - 2 degrees of freedom."""
-    if n < 3 or math.isnan(r):
-        return 1.0
-    if abs(r) >= 1:
-        return 0.0
-    return _incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
-
-
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    f, c, d = 1.0, 1.0, 0.0
-    for k in range(400):
-        m = k // 2
-        if k == 0:
-            step = 1.0
-        elif k % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + step * d) or 1e-300)
-        c = (1 + step / c) or 1e-300
-        f *= c * d
-        if abs(1 - c * d) < 1e-14:
-            break
-    return front * (f - 1)
+    rows = flat.select("factor", (F.col("sx") / F.col("n")).alias("share"), r.alias("r"), "n")
+    return rows.select("factor", "share", "r", correlation_p_value(F.col("r"), F.col("n")).alias("p"))
+
+
+# The Lanczos series for the logarithm of the gamma function, with g = 7.
+LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x of 0.5 and more."""
+    z = x - 1
+    series = sum((F.lit(c) / (z + k) for k, c in enumerate(LANCZOS[1:], 1)), F.lit(LANCZOS[0]))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta where x is at most (a + 1) / (a + b + 2): its continued fraction, step by step until it settles."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x)) / a
+    most = F.least(F.lit(200_000), F.lit(60) + F.ceil(12 * F.sqrt(F.greatest(a, b)))).cast("int")
+    start = F.struct(F.lit(1.0).alias("f"), F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
+    steady = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def step(s: Column, k: Column) -> Column:
+        m = F.floor(k / 2)
+        even, odd = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        term = F.when(k == 0, F.lit(1.0)).when(k % 2 == 0, even).otherwise(odd)
+        d, c = 1 / steady(1 + term * s["d"]), steady(1 + term / s["c"])
+        return F.when(s["done"], s).otherwise(F.struct((s["f"] * c * d).alias("f"), c.alias("c"), d.alias("d"), (F.abs(1 - c * d) < 1e-15).alias("done")))
+
+    return front * (F.aggregate(F.sequence(F.lit(0), most), start, step, lambda s: s["f"]) - 1)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function of columns, for a and b of 0.5 and more."""
+    a, b, x = (c.cast("double") for c in (a, b, x))
+    direct = x <= (a + 1) / (a + b + 2)
+    inner = F.when(direct, x).otherwise(1 - x)
+    found = _fraction(F.when(direct, a).otherwise(b), F.when(direct, b).otherwise(a), inner)
+    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(direct, found).otherwise(1 - found)
+
+
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation by the t distribution with n - 2 degrees of freedom; 1 where there is none."""
+    r = r.cast("double")
+    found = incomplete_beta((n - 2) / 2, F.lit(0.5), 1 - r * r)
+    return F.when((n < 3) | r.isNull() | F.isnan(r), F.lit(1.0)).when(F.abs(r) >= 1, F.lit(0.0)).otherwise(found)
 
 
 def drop_audit(rows: DataFrame) -> DataFrame:

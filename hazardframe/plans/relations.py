@@ -315,10 +315,14 @@ def pif_sparsity(spark, sf):
     return profiling.factor_profile(rows, MODEL_PIFS, "label_barrier_failed").select("factor", "share")
 
 
-@query("pif_correlation", " UNION ALL ".join(f"SELECT '{p}' AS factor, round(coalesce(corr({p}, y), 0), 6) AS r FROM factored" for p in MODEL_PIFS), CONTROLS, INCIDENTS, _LABELLED, _FACTORED)
+#: p by Simpson's rule over the density of a correlation of independent columns, (1 - u^2)^((n - 4) / 2).
+_P = """exp(lgamma(n / 2.0::DOUBLE - 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(n / 2.0::DOUBLE - 1)) * 2 * abs(r) / 6000 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp((n / 2.0::DOUBLE - 2) * ln(1 - (k / 2000.0::DOUBLE * r) * (k / 2000.0::DOUBLE * r)))))"""
+
+
+@query("pif_correlation", f"SELECT factor, round(r, 6) AS r, round(1 - {_P}, 8) AS p FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS factor, coalesce(corr({p}, y), 0) AS r, count(*) AS n FROM factored" for p in MODEL_PIFS) + ")", CONTROLS, INCIDENTS, _LABELLED, _FACTORED)
 def pif_correlation(spark, sf):
     rows = profiling.with_factors(labelled(spark, sf), incidents(spark, sf).select("incident_id", *MODEL_PIFS))
-    return profiling.factor_profile(rows, MODEL_PIFS, "label_barrier_failed").select("factor", F.round("r", 6).alias("r"))
+    return profiling.factor_profile(rows, MODEL_PIFS, "label_barrier_failed").select("factor", F.round("r", 6).alias("r"), F.round("p", 8).alias("p"))
 
 
 def _cascade_rows(spark, sf):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import api
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
+from ..session import work_folder
+from ..sources import files, npy
 from .registry import query, table
 
 _V = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
@@ -63,6 +65,26 @@ def vector_topk(spark, sf):
     return retrieval.top_k(_queries(spark, sf, v), _items(spark, sf, v), 50)
 
 
+@query("indexed_topk", "SELECT query_id, item_id, score, rank FROM a WHERE rank <= 10", _V, _A)
+def indexed_topk(spark, sf):
+    """The same answers as a scan, from a stored index whose cells are ruled out by their bounds."""
+    v, path = _vectors(spark, sf), work_folder(spark, "index")
+    vector_index.build(_items(spark, sf, v).select("item_id", "item_vec"), path)
+    return vector_index.search(spark, path, _queries(spark, sf, v), 10)[0]
+
+
+@query("npy_vectors", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, len(embedding) AS width FROM embeddings")
+def npy_vectors(spark, sf):
+    """Vectors written as .npy files in the order of their ids, read back by ranges, and met with their rows by place."""
+    path, v = work_folder(spark, "matrix"), _vectors(spark, sf)
+    npy.write_npy(v, path, "embedding", ["vec_id"])
+    spark.dataSource.register(npy.NpySource)
+    matrix = spark.read.format("npy").option("partBytes", 1 << 16).load(path)
+    met = npy.positional(matrix, files.ordered(v.select("vec_id"), ["vec_id"], work_folder(spark, "ids"), "row"))
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return met.select("row", "vec_id", F.round(total, 6).alias("total"), F.size("vector").alias("width"))
+
+
 @query("masked_topk", "SELECT query_id, item_id, score, rank FROM m WHERE rank <= 50", _V, _M)
 def masked_topk(spark, sf):
     masks = table(spark, sf, "embeddings").where("vec_id % 100 = 0")

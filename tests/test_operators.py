@@ -102,9 +102,19 @@ def test_contract(spark, controls):
 
 
 def test_p_values():
-    assert profiling.correlation_p_value(0.0, 50) == pytest.approx(1.0)
-    assert profiling.correlation_p_value(0.5, 30) == pytest.approx(0.004890, abs=2e-5)
-    assert profiling.correlation_p_value(float("nan"), 9) == 1.0 and profiling.correlation_p_value(1.0, 9) == 0.0
+    p = lambda r, n: profiling.correlation_p_value(F.lit(r), F.lit(n))
+    cases = [(0.0, 50), (0.5, 30), (-0.5, 30), (0.01, 100_000), (0.3, 5), (0.9, 4), (0.001, 3), (0.2, 1000), (0.0005, 10_000_000), (0.02, 5_000)]
+
+    def integral(r, n, steps=20_000):
+        density = lambda u: (1 - u * u) ** ((n - 4) / 2)
+        h = abs(r) / steps
+        total = h / 3 * sum((1 if k in (0, steps) else 4 if k % 2 else 2) * density(k * h) for k in range(steps + 1))
+        return 1 - 2 * total * math.exp(math.lgamma((n - 1) / 2) - math.lgamma(0.5) - math.lgamma(n / 2 - 1))
+
+    found = spark.range(1).select(*[p(r, n).alias(f"c{k}") for k, (r, n) in enumerate(cases)]).head()
+    assert list(found) == pytest.approx([integral(r, n) for r, n in cases], abs=1e-9)
+    odd = spark.range(1).select(p(float("nan"), 9), p(1.0, 9), p(None, 9), p(0.5, 2)).head()
+    assert tuple(odd) == (1.0, 0.0, 1.0, 1.0)
 
 
 def test_encoding(spark, controls):
@@ -668,3 +678,26 @@ def test_a_model_file_of_another_library(spark, tmp_path):
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "id int, f0 double, f1 double")
     got = {r.id: math.log(r.score / (1 - r.score)) for r in back.scored(df, "id").collect()}
     assert back.features == ["f0", "f1"] and got == {k: pytest.approx(math.log(0.2 / 0.8) + 2 * v) for k, (_, _, v) in enumerate(cases)}
+
+
+def test_the_stored_index_reads_few_cells(spark, tmp_path):
+    """Clustered vectors: the answers of a scan from fewer than half of the cells; odd sizes too."""
+    import numpy as np
+    from hazardframe.operators import retrieval, vector_index
+
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 24))
+    x = centres[rng.integers(0, 40, 3000)] + 0.15 * rng.standard_normal((3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "item_id long, item_vec array<double>")
+    queries = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 3000, 300)], "query_id long, query_vec array<double>")
+    vector_index.build(items, f"{tmp_path}/i", cells=40)
+    found, told = vector_index.search(spark, f"{tmp_path}/i", queries, 10)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.top_k(queries, items, 10).select(*found.columns).collect()))
+    assert told["cells"] <= 40 and 0 < told["read"] <= told["cells"] / 2
+    stretched = items.select("item_id", F.transform("item_vec", lambda v: v * (1 + F.col("item_id") % 3)).alias("item_vec"))
+    vector_index.build(stretched, f"{tmp_path}/s", cells=12)
+    found, _ = vector_index.search(spark, f"{tmp_path}/s", queries, 7)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.top_k(queries, stretched, 7).select(*found.columns).collect()))
+    vector_index.build(items.limit(1), f"{tmp_path}/one")
+    assert vector_index.search(spark, f"{tmp_path}/one", queries, 3)[0].count() == 10

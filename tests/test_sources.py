@@ -7,9 +7,10 @@ from urllib.parse import quote
 import pytest
 from hazardframe import api, cli, schemas
 from hazardframe.operators import manifests, providers
-from hazardframe.sources import connectors, crawl, files, incidents, sinks
+from hazardframe.sources import connectors, crawl, extraction, files, incidents, npy, quarantine, sinks
 from hazardframe.streaming import manifests as streams
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOC = {
     "incident_id": "I-1", "source": {"doc_type": "CSB report", "url": ""}, "context": {"region": "Gulf", "materials": "oil"},
@@ -85,21 +86,107 @@ def test_documents_and_extractors(spark, tmp_path):
 
 
 def test_streams_merge_once(spark, tmp_path):
+    """Only folders that a batch's keys fall in are written; a batch that comes again changes nothing."""
     row = dict.fromkeys(schemas.MANIFEST.fieldNames()) | {"source": "s", "incident_id": "1", "pdf_url": "u", "downloaded": False, "title": "first"}
     write = lambda n, *rows: spark.createDataFrame(list(rows), schemas.MANIFEST).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    table = streams.VersionedTable(spark, f"{tmp_path}/table", schemas.MANIFEST)
+    table = streams.merged_table(spark, f"{tmp_path}/table", schemas.MANIFEST)
+    files_of = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "table").rglob("*.parquet")}
 
     def run():
         streams.merge_stream(spark, f"{tmp_path}/in/*", schemas.MANIFEST, f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination()
         return sorted((r.incident_id, r.title, r.downloaded) for r in table.read().collect())
 
-    write("a", row)
-    assert run() == [("1", "first", False)]
+    many = [row | {"incident_id": f"m{k}", "pdf_url": f"u{k}", "title": "m"} for k in range(300)]
+    rest = [(f"m{k}", "m", False) for k in range(300)]
+    write("a", row, *many)
+    assert run() == sorted([("1", "first", False), *rest])
+    before = files_of()
     write("b", row | {"downloaded": True, "title": None}, row | {"incident_id": "2", "pdf_url": None})
-    assert run() == [("1", "first", True), ("2", "first", False)]
-    assert run() == [("1", "first", True), ("2", "first", False)]
-    again = manifests.merge(table.read(before=1), spark.read.schema(schemas.MANIFEST).parquet(f"{tmp_path}/in/b"))
-    assert sorted((r.incident_id, r.downloaded) for r in again.collect()) == [("1", True), ("2", False)]
+    want = sorted([("1", "first", True), ("2", "first", False), *rest])
+    assert run() == want
+    after = files_of()
+    assert len(before) >= 50 and len(before.items() - after.items()) <= 2 and len(after.items() - before.items()) <= 2
+    assert run() == want and files_of() == after
+    touched = table.fold(spark.read.schema(schemas.MANIFEST).parquet(f"{tmp_path}/in/b"), manifests.merge)
+    assert 1 <= len(touched) <= 2 and sorted((r.incident_id, r.title, r.downloaded) for r in table.read().collect()) == want
+    keyed = streams.upserted_table(spark, f"{tmp_path}/keyed", T.StructType.fromDDL("k string, v int, row_order int"), "k", 8)
+    put = lambda rows: keyed.fold(spark.createDataFrame(rows, keyed.schema), lambda a, b: manifests.upsert(a, b, "k"))
+    assert put([]) == [] and keyed.read().count() == 0
+    put([("a", 1, 0), ("b", 1, 1), ("a", 2, 2), (None, 3, 3)])
+    put([("b", 5, 0)])
+    assert sorted((r.k or "", r.v) for r in keyed.read().collect()) == [("", 3), ("a", 2), ("b", 5)]
+
+
+def test_matrices(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(0).random((1000, 7)).astype(np.float32)
+    np.save(tmp_path / "m.npy", x)
+    spark.dataSource.register(npy.NpySource)
+    read = lambda path, **o: spark.read.format("npy").options(**o).load(str(path))
+    got = read(tmp_path / "m.npy", partBytes=7000)
+    assert got.rdd.getNumPartitions() == 4 and np.array_equal(np.array([r.vector for r in got.orderBy("row").collect()], np.float32), x)
+    assert [r.row for r in got.select("row").orderBy("row").collect()] == list(range(1000))
+    assert npy.write_npy(got, f"{tmp_path}/parts", "vector", ["row"]) == 1000
+    again = read(tmp_path / "parts")
+    assert np.array_equal(np.array([r.vector for r in again.orderBy("row").collect()], np.float32), x)
+    spark.createDataFrame([(f"b{k:04d}",) for k in range(1000)], "name string").coalesce(1).write.csv(f"{tmp_path}/c", header=True)
+    rows = files.numbered(files.read_csv(spark, f"{tmp_path}/c"), "row")
+    met = npy.positional(again, rows)
+    assert {r.name: r.vector[0] for r in met.collect()} == {f"b{k:04d}": float(x[k, 0]) for k in range(1000)}
+    with pytest.raises(Exception, match="no partner for row 999"):
+        npy.positional(again, rows.where("row < 999")).collect()
+    np.save(tmp_path / "one.npy", np.arange(5))
+    assert [r.vector for r in read(tmp_path / "one.npy").orderBy("row").collect()] == [[float(k)] for k in range(5)]
+    np.save(tmp_path / "none.npy", np.zeros((0, 3)))
+    assert read(tmp_path / "none.npy").count() == 0
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    with pytest.raises(Exception, match="C order"):
+        read(tmp_path / "f.npy").count()
+
+
+def test_quarantine(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for name in ("a/x.json", "b/x.json", "a/free%20space.json", "a/keep.json"):
+        (tmp_path / name).write_text(name)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).where("path not like '%keep%'").select("path")
+    record, noise = f"{tmp_path}/record", tmp_path / "noise"
+    assert quarantine.run(spark, listed, str(noise), record, dry_run=True) == {"planned": 3} and not noise.exists()
+    quarantine.plan(listed, str(noise)).write.parquet(record)  # as if a run had been cut off after its first move
+    first = spark.read.parquet(record).where("path like '%space%'").head()
+    noise.mkdir()
+    (tmp_path / "a" / "free%20space.json").rename(noise / "free%20space.json")
+    assert first and quarantine.run(spark, listed.limit(0), str(noise), record) == {"done before": 1, "moved": 2}
+    assert sorted(p.read_text() for p in noise.glob("*.json")) == ["a/free%20space.json", "a/x.json", "b/x.json"] and (tmp_path / "a" / "keep.json").exists()
+    assert quarantine.run(spark, listed.limit(0), str(noise), record) == {"done before": 3}
+
+
+def test_extraction_goes_on_where_it_stopped(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    class Model:
+        def __init__(self, good):
+            self.good = good
+
+        def extract(self, prompt):
+            with open(calls, "a") as f:
+                f.write(prompt[-1] + "\n")
+            if prompt[-1] == "x":
+                raise OSError("no route")
+            return f'Sure: ```json\n{{"id": "{prompt[-1]}"}}\n```' if prompt[-1] in self.good else "cannot"
+
+    rows = spark.createDataFrame([("a", "needs_extraction"), ("b", "needs_extraction"), ("x", "needs_extraction"), ("gone", "needs_extraction"), ("r", "ready")], "stem string, status string")
+    texts = spark.createDataFrame([(s, "text of " + s) for s in "abxr"], "stem string, text string")
+    told = lambda found: sorted((r.stem, r.model, r.outcome, r.json) for r in found.collect())
+    first = extraction.run(spark, rows, texts, [("small", Model("a")), ("large", Model("a"))], str(tmp_path / "o"), delay=0)
+    assert told(first) == [("a", "small", "ok", '{"id": "a"}'), ("b", None, "failed", None), ("gone", None, "no text", None), ("x", None, "failed", None)]
+    calls.write_text("")
+    second = extraction.run(spark, rows, texts, [("small", Model("")), ("large", Model("ab"))], str(tmp_path / "o"), delay=0)
+    assert told(second) == [("a", "small", "ok", '{"id": "a"}'), ("b", "large", "ok", '{"id": "b"}'), ("gone", None, "no text", None), ("x", None, "failed", None)]
+    assert sorted(calls.read_text().split()) == ["b", "b", "x", "x"], "what succeeded is not asked again"
+    short = extraction.pending(rows, texts, second.limit(0), limit=4).where("stem = 'a'").head().prompt
+    assert short.endswith("\ntext") and [extraction.parsed(x) for x in (None, "", "[1]", 'a {"b": {}} c', '{"x": 1}')] == [None, None, None, {"b": {}}, {"x": 1}]
 
 
 def test_windowed_failures(spark, tmp_path):
@@ -289,8 +376,8 @@ def test_commands_for_texts_and_sources(spark, folder, capsys):
         (folder / "pdfs" / name).write_bytes(b"x")
     run("corpus-manifest", "--input", folder / "pdfs", "--other", folder / "in", "--output", folder / "c")
     assert said() == [{"status": "needs_extraction", "n": 1}, {"status": "ready", "n": 1}]
-    run("corpus-clean", "--input", folder / "pdfs", "--other", folder / "in", "--output", folder / "c")
-    assert said() == {"noise": 2}
+    run("corpus-clean", "--input", folder / "pdfs", "--other", folder / "in", "--output", folder / "c", "--dry-run")
+    assert said() == {"noise": 2, "planned": 2}
     run("ingest-source", "--input", folder / "pdfs", "--output", folder / "i")
     assert said() == {"documents": 2} and spark.read.parquet(str(folder / "i" / "documents")).count() == 1
     (folder / "site").mkdir()
