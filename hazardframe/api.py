@@ -109,3 +109,51 @@ def health(**parts: object) -> dict[str, object]:
 
 def clean_request(value: Column, most: int = 2000) -> Column:
     return text.sanitize_prompt(F.substring(F.coalesce(value, F.lit("")), 1, most))
+
+
+def key_figures(metrics: dict) -> dict[str, str]:
+    """What an overview shows of a fleet's metrics."""
+    share = lambda k: f"{metrics.get(k) or 0:.1%}"
+    named = {"prevention": "average_prevention_coverage", "mitigation": "average_mitigation_coverage", "overall": "average_overall_coverage"}
+    return {"incidents": str(metrics.get("total_incidents") or 0), **{k: share(c) for k, c in named.items()}}
+
+
+def _field(rows: DataFrame, *names: str):
+    """The first of several columns that is there and not empty, as text."""
+    have = [F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in rows.columns]
+    return F.coalesce(*have) if have else F.lit(None).cast("string")
+
+
+def _analytics(rows: DataFrame, path: str, kind: str):
+    """A value of the nested analytics, null where a layout lacks it."""
+    whole = F.to_json("analytics") if "analytics" in rows.columns else F.lit(None).cast("string")
+    return F.from_json(F.get_json_object(whole, f"$.{path}"), kind) if kind.startswith("array") else F.get_json_object(whole, f"$.{path}").cast(kind)
+
+
+GAP = "array<struct<missing_barrier_id:string,id:string,name:string,type:string,description:string>>"
+
+
+def incident_list(rows: DataFrame) -> DataFrame:
+    """(incident_id, label, prevention, mitigation, n_gaps) of processed incidents, by id."""
+    label = F.concat(F.col("incident_id"), F.lit(" - "), F.coalesce(_field(rows, "title"), F.substring(F.coalesce(_field(rows, "description"), F.lit("")), 1, 40)))
+    gaps = F.coalesce(F.size(_analytics(rows, "gaps", GAP)), F.lit(0))
+    cover = [_analytics(rows, f"coverage.{k}_coverage", "double").alias(k) for k in ("prevention", "mitigation")]
+    return rows.select("incident_id", label.alias("label"), *cover, F.greatest(gaps, F.lit(0)).alias("n_gaps")).orderBy("incident_id")
+
+
+def incident_details(rows: DataFrame, incident_id: str) -> dict:
+    """One incident as an explorer shows it; 404 where there is none."""
+    unknown = lambda c: F.coalesce(c, F.lit("Unknown"))
+    gaps = F.transform(
+        _analytics(rows, "gaps", GAP),
+        lambda g: F.struct(F.initcap(F.coalesce(g["type"], F.lit("unknown"))).alias("type"), F.coalesce(g["name"], g["missing_barrier_id"], g["id"], F.lit("Unknown")).alias("name"), F.coalesce(g["description"], F.lit("No description")).alias("description")),
+    )
+    found = rows.where(F.col("incident_id") == incident_id).select(
+        "incident_id", F.coalesce(_field(rows, "title"), F.substring(_field(rows, "description"), 1, 50), F.lit("No description")).alias("title"), F.coalesce(_field(rows, "description"), F.lit("No description available")).alias("description"),
+        unknown(_field(rows, "date")).alias("date"), unknown(_field(rows, "location")).alias("location"), unknown(_field(rows, "severity", "potential_severity")).alias("severity"),
+        *[_analytics(rows, f"coverage.{k}_coverage", "double").alias(k) for k in ("prevention", "mitigation")], F.coalesce(gaps, F.array()).alias("gaps"),
+    )
+    one = found.head()
+    if one is None:
+        raise ServiceError(404, f"incident {incident_id!r} is not there")
+    return one.asDict(recursive=True)

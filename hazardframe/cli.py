@@ -7,9 +7,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from . import session
+from . import api, session
 from .functions import text
-from .operators import baseline, coercion, coverage, manifests, mining, profiling, providers, taxonomy, validation
+from .operators import baseline, cascade, coercion, coverage, manifests, mining, ml, profiling, providers, taxonomy, validation
 from .schemas import MANIFEST
 from .sources import connectors, extraction, files, incidents, quarantine, sinks
 
@@ -205,16 +205,55 @@ def ingest_phmsa(spark, args):
 
 
 def overview(spark, args):
-    """Key figures and the incidents of a folder that `process` or an older run wrote."""
-    incidents_, metrics_ = files.read_processed(spark, args.input)
-    print(json.dumps({**metrics_, "incidents": 0 if incidents_ is None else incidents_.count()}))
+    """Key figures and the incidents of a folder that `process` or an older run wrote, and with --source the details of one incident."""
+    rows, metrics_ = files.read_processed(spark, args.input)
+    shown = api.key_figures(metrics_)
+    if rows is None:
+        print(json.dumps({**metrics_, "incidents": 0, "figures": shown}))
+        return
+    listed = api.incident_list(rows)
+    sinks.write_csv(listed, f"{args.output}/incidents")
+    print(json.dumps({**metrics_, "incidents": listed.count(), "figures": shown}))
+    if args.source:
+        print(json.dumps(api.incident_details(rows, args.source)))
+
+
+def train(spark, args):
+    """Cascade models of a table of pairs (--input), saved with metadata, and their cross-validation and gate reports."""
+    pairs, models = spark.read.parquet(args.input), {}
+    for target in [f"{y}_target" for y in cascade.TARGETS if f"{y}_target" in pairs.columns]:
+        categorical, numeric = ([c for c in names if c in pairs.columns] for names in (cascade.CATEGORICAL, cascade.NUMERIC))
+        model, models[target] = ml.train_cascade(pairs, categorical, numeric, target, rounds=args.limit or 400)
+        sinks.save_model(model, f"{args.output}/{target}", models[target], ml.background(pairs.select(*categorical, *numeric)))
+    sinks.write_text(spark, f"{args.output}/cv_report", sinks.cv_report(models))
+    passed = {}
+    for target, meta in models.items():
+        text_, passed[target] = sinks.gate_report(meta["cv_scores"]["per_fold"])
+        sinks.write_text(spark, f"{args.output}/{target}/gate_report", text_)
+    print(json.dumps({"passed": passed}))
+
+
+def associate_smoke(spark, args):
+    """Runs the association steps on the incidents under --input and checks what each must give; --other is a taxonomy file."""
+    parsed = _documents(spark, args)
+    one = incidents.flat_controls(parsed)
+    known = taxonomy.Taxonomy.load(args.other) if args.other else taxonomy.Taxonomy()
+    side = taxonomy.side_of(F.col("side"))
+    named = one.select("incident_id", "control_id", side.alias("barrier_level"), known.family(F.col("name"), F.col("barrier_role"), side, F.col("barrier_type")).alias("barrier_family"))
+    sinks.write_csv(named, f"{args.output}/normalized")
+    stored = files.read_csv(spark, f"{args.output}/normalized")
+    n, strange, empty = stored.agg(F.count("*"), F.count_if(~F.coalesce(F.col("barrier_level").isin("prevention", "mitigation"), F.lit(False))), F.count_if(F.coalesce("barrier_family", F.lit("")) == "")).head()
+    problems = [what for what, bad in (("no document", incidents.aggregated(parsed).isEmpty()), ("no controls", not n), (f"{strange} levels that are neither prevention nor mitigation", strange), (f"{empty} controls without a family", empty)) if bad]
+    if problems:
+        raise SystemExit("; ".join(problems))
+    print(json.dumps({"controls": n, "passed": True}))
 
 
 COMMANDS = {
     "process": process, "build-combined-exports": flatten, "report": report, "schema-check": schema_check, "convert-schema": convert_schema, "quality-gate": quality_gate,
     "extract-text": extract_text, "extract-qc": extract_qc, "extract-structured": extract_structured, "corpus-extract": corpus_extract, "corpus-manifest": corpus_manifest, "corpus-clean": corpus_clean,
     "acquire": acquire, "discover-source": discover_source, "ingest-source": ingest_source, "ingest-phmsa": ingest_phmsa, "merge-manifests": merge_manifests,
-    "associate": associate, "profile": profile, "overview": overview,
+    "associate": associate, "associate-smoke": associate_smoke, "profile": profile, "overview": overview, "train": train,
 }
 
 

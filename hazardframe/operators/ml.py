@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting, metrics, trees
@@ -103,6 +103,26 @@ class Predictor:
         return trees.explained(self.model, self._rows(pairs), self.features, list(keys))
 
 
+def tier(p: Column) -> Column:
+    return F.when(p >= TIERS["high"], "HIGH").when(p >= TIERS["medium"], "MEDIUM").otherwise("LOW")
+
+
+def score_targets(candidates: DataFrame, models: dict[str, boosting.BoostedTrees], keys: list[str], digits: int = 9) -> DataFrame:
+    """`candidates` with probability_<name>, risk_tier_<name> and risk_rank_<name> of each model; equal probabilities share the better rank.
+
+    All models score in one pass, within the plan, and all ranks come from one
+    exchange by `keys`, what the candidates of a question share.
+    """
+    for name, model in models.items():
+        if missing := [c for c in model.features if c not in candidates.columns]:
+            raise ValueError(f"{name} needs {missing}")
+    inputs = candidates.select("*", *[F.array(*m.inputs()).alias(f"__{k}") for k, m in enumerate(models.values())])
+    p = {name: F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-m.margin(f"__{k}"))), digits) for k, (name, m) in enumerate(models.items())}
+    scored = inputs.withColumns({f"probability_{n}": c for n, c in p.items()}).drop(*[f"__{k}" for k in range(len(models))])
+    rank = lambda n: F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(f"probability_{n}")))
+    return scored.withColumns({f"risk_tier_{n}": tier(F.col(f"probability_{n}")) for n in models}).withColumns({f"risk_rank_{n}": rank(n) for n in models})
+
+
 def retrain(rows: DataFrame, features: list[str], labels: list[str], group: str, drop: tuple[str, ...] = ("source_agency", "label_multiclass"), folds: int = 5, rounds: int = 300) -> dict[str, dict]:
     """For each label both learners: metrics over folds, and the model of all rows with the rows that explanations start from."""
     kept = rows.drop(*drop)

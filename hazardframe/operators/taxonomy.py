@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import AGENCIES, DOC_TYPE_AGENCIES, URL_AGENCIES
@@ -75,8 +75,9 @@ class Taxonomy:
 
     @classmethod
     def load(cls, path: str) -> Taxonomy:
-        with open(path, encoding="utf-8") as f:
-            return cls({tuple(k.split("/", 1)): v for k, v in json.load(f).items()})
+        """From a file in any store that the active session reads."""
+        content = "".join(r[0] for r in SparkSession.active().read.text(path, wholetext=True).collect())
+        return cls({tuple(k.split("/", 1)): v for k, v in json.loads(content).items()})
 
     def family(self, name: Column, role: Column, side: Column, barrier_type: Column) -> Column:
         """The first family with a keyword in the normalised name and role, else other_<kind>."""

@@ -254,10 +254,10 @@ def gbt_predictions(spark, sf):
 _TREES = 12
 
 
-def _file_model(spark) -> boosting.BoostedTrees:
+def _file_model(spark, start: int = 0) -> boosting.BoostedTrees:
     """Twelve trees of two levels by a rule, as a file of the exchanged layout, read back."""
     trees = []
-    for k in range(_TREES):
+    for k in range(start, start + _TREES):
         at = lambda f, k=k: (6 + k % 4 * 0.5, 4 + k % 5 * 0.5, k % 3 / 64)[f % 3]
         trees.append(
             {
@@ -273,18 +273,25 @@ def _file_model(spark) -> boosting.BoostedTrees:
     return boosting.read_boosted(spark, path)
 
 
-_WALK = f"""RECURSIVE x AS (SELECT doc_id, [ln(length(t) + 1), length(t) / len(string_split(t, ' '))::DOUBLE, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE length(regexp_replace(t, '[^#$%&*|]', '', 'g')) / greatest(length(t), 1)::DOUBLE END] AS v
-   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) JOIN labels USING (doc_id)),
- nodes AS (SELECT k, node, CASE WHEN node < 3 THEN (k + node) % 3 ELSE -1 END AS f, [6 + k % 4 * 0.5, 4 + k % 5 * 0.5, (k % 3) / 64.0]::FLOAT[] AS cut, (k + node) % 2 = 1 AS lost_left, ((k * 7 + node * 3) % 11 - 5) / 16.0::DOUBLE AS value
-   FROM range({_TREES}) a(k), range(7) b(node)),
- walk AS (SELECT doc_id, v, k, 0::BIGINT AS node FROM x, range({_TREES}) a(k) UNION ALL
-   SELECT doc_id, v, k, 2 * node + CASE WHEN coalesce(v[f + 1]::FLOAT < cut[f + 1], lost_left) THEN 1 ELSE 2 END FROM walk JOIN nodes USING (k, node) WHERE f >= 0),
- file_scores AS (SELECT doc_id, 1 / (1 + exp(-(ln(0.3::DOUBLE / 0.7::DOUBLE) + sum(value)))) AS score FROM walk JOIN nodes USING (k, node) WHERE f < 0 GROUP BY doc_id)"""
+def _walk(prefix: str, start: int = 0) -> str:
+    return f"""{prefix}nodes AS (SELECT k, node, CASE WHEN node < 3 THEN (k + node) % 3 ELSE -1 END AS f, [6 + k % 4 * 0.5, 4 + k % 5 * 0.5, (k % 3) / 64.0]::FLOAT[] AS cut, (k + node) % 2 = 1 AS lost_left, ((k * 7 + node * 3) % 11 - 5) / 16.0::DOUBLE AS value
+   FROM range({start}, {start + _TREES}) a(k), range(7) b(node)),
+ {prefix}walk AS (SELECT doc_id, v, k, 0::BIGINT AS node FROM x, range({start}, {start + _TREES}) a(k) UNION ALL
+   SELECT doc_id, v, k, 2 * node + CASE WHEN coalesce(v[f + 1]::FLOAT < cut[f + 1], lost_left) THEN 1 ELSE 2 END FROM {prefix}walk JOIN {prefix}nodes USING (k, node) WHERE f >= 0),
+ {prefix}scores AS (SELECT doc_id, 1 / (1 + exp(-(ln(0.3::DOUBLE / 0.7::DOUBLE) + sum(value)))) AS score FROM {prefix}walk JOIN {prefix}nodes USING (k, node) WHERE f < 0 GROUP BY doc_id)"""
+
+
+_X = """RECURSIVE x AS (SELECT doc_id, [ln(length(t) + 1), length(t) / len(string_split(t, ' '))::DOUBLE, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE length(regexp_replace(t, '[^#$%&*|]', '', 'g')) / greatest(length(t), 1)::DOUBLE END] AS v
+   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) JOIN labels USING (doc_id))"""
+_WALK = f"{_X}, {_walk('file_')}"
+
+
+def _candidates(spark, sf):
+    return _matrix(spark, sf).withColumn("marks", F.when(F.col("doc_id") % 7 != 0, F.col("marks")))
 
 
 def _file_scores(spark, sf):
-    rows = _matrix(spark, sf).withColumn("marks", F.when(F.col("doc_id") % 7 != 0, F.col("marks")))
-    return _file_model(spark).scored(rows, "doc_id")
+    return _file_model(spark).scored(_candidates(spark, sf), "doc_id")
 
 
 @query("file_model_scores", "SELECT doc_id, round(score, 9) AS score FROM file_scores", _WALK)
@@ -298,6 +305,18 @@ def file_model_thresholds(spark, sf):
     return metrics.thresholds(_file_scores(spark, sf))
 
 
+_BOTH = """both_models AS (SELECT doc_id, doc_id % 50 AS grp, round(a.score, 9) AS probability_y_fail, round(b.score, 9) AS probability_y_hf_fail FROM file_scores a JOIN other_scores b USING (doc_id))"""
+_TIER = "CASE WHEN probability_{0} >= 0.66 THEN 'HIGH' WHEN probability_{0} >= 0.33 THEN 'MEDIUM' ELSE 'LOW' END AS risk_tier_{0}, CAST(rank() OVER (PARTITION BY grp ORDER BY probability_{0} DESC) AS INTEGER) AS risk_rank_{0}"
+
+
+@query("ranked_by_two_models", f"SELECT doc_id, probability_y_fail, probability_y_hf_fail, {_TIER.format('y_fail')}, {_TIER.format('y_hf_fail')} FROM both_models", _WALK, _walk("other_", 100), _BOTH)
+def ranked_by_two_models(spark, sf):
+    """Candidates of fifty questions, scored and ranked by two models at once."""
+    rows = _candidates(spark, sf).withColumn("grp", F.col("doc_id") % 50)
+    found = ml.score_targets(rows, {"y_fail": _file_model(spark), "y_hf_fail": _file_model(spark, 100)}, ["grp"])
+    return found.drop("grp", "y", *_COLUMNS)
+
+
 @query("linear_contributions", "SELECT incident_id, control_id, 'quantity' AS feature, round(0.5::DOUBLE * (quantity - (SELECT avg(quantity) FROM controls)), 6) AS value FROM controls", CONTROLS)
 def linear_contributions(spark, sf):
     found = ml.linear_contributions(controls(spark, sf, named=False), ["quantity"], {"quantity": 0.5}, ["incident_id", "control_id"])

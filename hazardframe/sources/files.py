@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,21 +225,26 @@ def ingest_documents(spark: SparkSession, folder: str, target: str, source: str
     )
 
 
-def load_config(path: str) -> dict:
+def whole_text(spark: SparkSession, path: str) -> str:
+    """A small text file, or the one part of a folder, from any store."""
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
     """A JSON or YAML configuration file; YAML needs its library."""
-    with open(path, encoding="utf-8") as f:
-        if not path.endswith((".yaml", ".yml")):
-            return json.load(f)
-        try:
-            import yaml
-        except ImportError as e:
-            raise ValueError(f"{path}: YAML files need PyYAML") from e
-        return yaml.safe_load(f) or {}
+    content = whole_text(spark, path)
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(content)
+    try:
+        import yaml
+    except ImportError as e:
+        raise ValueError(f"{path}: YAML files need PyYAML") from e
+    return yaml.safe_load(content) or {}
 
 
 def read_config(spark: SparkSession, mapping: dict | str, section: str | None = None, field: str = "display_name") -> DataFrame:
     """A configuration mapping, or a section of a configuration file, as the small table (raw, display); entries may be texts or objects with `field`."""
-    table = load_config(mapping) if isinstance(mapping, str) else mapping
+    table = load_config(spark, mapping) if isinstance(mapping, str) else mapping
     table = table.get(section, {}) if section else table
     rows = [(str(k), str(v[field] if isinstance(v, dict) else v)) for k, v in table.items()]
     return spark.createDataFrame(rows, "raw string, display string")
@@ -256,18 +262,16 @@ def read_processed(spark: SparkSession, folder: str) -> tuple[DataFrame | None,
     except Exception:  # no such folder
         return None, dict(NO_METRICS)
     try:
-        with open(f"{folder}/fleet_metrics.json", encoding="utf-8") as f:
-            return incidents, json.load(f)
-    except (OSError, ValueError):
+        return incidents, json.loads(whole_text(spark, f"{folder}/fleet_metrics.json"))
+    except (AnalysisException, ValueError):  # no such file, or no JSON
         return incidents, dict(NO_METRICS)
 
 
 def read_bowtie(spark: SparkSession, path: str) -> DataFrame | None:
     """(id, name, side) of the reference barriers of a bowtie file; None if it is missing or cannot be read."""
     try:
-        with open(path, encoding="utf-8") as f:
-            barriers = json.load(f)["barriers"]
+        barriers = json.loads(whole_text(spark, path))["barriers"]
         rows = [(str(b.get("id", "")), str(b["name"]), str(b["type"])) for b in barriers]
-    except (OSError, ValueError, KeyError, TypeError):
+    except (AnalysisException, ValueError, KeyError, TypeError):
         return None
     return spark.createDataFrame(rows, "id string, name string, side string")

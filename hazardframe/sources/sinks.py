@@ -71,6 +71,32 @@ def markdown_report(title: str, sections: dict[str, DataFrame | dict]) -> str:
     return "\n\n".join(parts) + "\n"
 
 
+def _fold_lines(aucs: list[float | None], floor: float | None = None) -> list[str]:
+    said = lambda a: "undefined" if a is None else f"{a:.4f}{' (below the floor)' if floor is not None and a < floor else ''}"
+    return ["| Fold | AUC |", "|-|-|", *[f"| {k} | {said(a)} |" for k, a in enumerate(aucs, 1)]]
+
+
+def cv_report(models: dict[str, dict]) -> str:
+    """Cross-validation of each target, from the metadata of `ml.train_cascade`."""
+    parts = ["# Cross-validation"]
+    for target, meta in models.items():
+        scores = meta["cv_scores"]
+        mean = "undefined" if scores["mean"] is None else f"{scores['mean']:.4f} ± {scores['std']:.4f}"
+        facts = [f"- training rows: {meta['training_rows']}", f"- share of positives: {meta['positive_rate'] or 0:.4f}"]
+        parts.append("\n".join([f"## {target}", "", *facts, "", *_fold_lines(scores["per_fold"]), "", f"Mean AUC: {mean}"]))
+    return "\n\n".join(parts) + "\n"
+
+
+def gate_report(aucs: list[float | None], mean: float = 0.70, floor: float = 0.60) -> tuple[str, bool]:
+    """The gate's report and verdict: the mean and every fold must reach their limits; an undefined fold fails."""
+    known = [a for a in aucs if a is not None]
+    average = sum(known) / len(known) if known else 0.0
+    spread = (sum((a - average) ** 2 for a in known) / len(known)) ** 0.5 if known else 0.0
+    passed = bool(known) and len(known) == len(aucs) and average >= mean and min(known) >= floor
+    lines = ["# Gate", "", f"Limits: mean AUC {mean}, each fold {floor}", "", *_fold_lines(aucs, floor), "", f"Mean AUC: {average:.4f} ± {spread:.4f}", "", f"Verdict: {'PASS' if passed else 'FAIL'}"]
+    return "\n".join(lines) + "\n", passed
+
+
 def write_text(spark: SparkSession, path: str, content: str) -> None:
     """A small text file through Spark, so any store will do; its folder holds one part."""
     spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)

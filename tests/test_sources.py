@@ -332,6 +332,47 @@ def test_configuration_and_older_layouts(spark, tmp_path):
     assert files.inspect_bulk(spark, str(tmp_path / "none.csv"))["error"]
 
 
+def test_overview_and_details(spark, tmp_path, capsys):
+    (tmp_path / "old").mkdir()
+    one = {"incident_id": "INC-2", "title": "Leak", "description": "d" * 60, "location": "", "potential_severity": "high", "analytics": {"coverage": {"prevention_coverage": 0.5, "mitigation_coverage": 0.25}, "gaps": [{"missing_barrier_id": "B1", "type": "prevention"}, {"id": "x", "name": "PSV", "description": "none"}]}}
+    for row in (one, {"incident_id": "INC-1", "description": "e" * 60}):
+        (tmp_path / "old" / f"{row['incident_id']}.json").write_text(json.dumps(row))
+    (tmp_path / "old" / "fleet_metrics.json").write_text('{"total_incidents": 2, "average_prevention_coverage": 0.125}')
+    cli.main(["overview", "--input", str(tmp_path / "old"), "--output", str(tmp_path / "o"), "--source", "INC-2"])
+    first, second = (json.loads(x) for x in capsys.readouterr().out.strip().splitlines()[-2:])
+    assert first["figures"] == {"incidents": "2", "prevention": "12.5%", "mitigation": "0.0%", "overall": "0.0%"} and first["incidents"] == 2
+    gaps = [{"type": "Prevention", "name": "B1", "description": "No description"}, {"type": "Unknown", "name": "PSV", "description": "none"}]
+    assert second == {"incident_id": "INC-2", "title": "Leak", "description": "d" * 60, "date": "Unknown", "location": "Unknown", "severity": "high", "prevention": 0.5, "mitigation": 0.25, "gaps": gaps}
+    rows, _ = files.read_processed(spark, str(tmp_path / "old"))
+    assert [(r.label, r.prevention, r.n_gaps) for r in api.incident_list(rows).collect()] == [("INC-1 - " + "e" * 40, None, 0), ("INC-2 - Leak", 0.5, 2)]
+    with pytest.raises(api.ServiceError):
+        api.incident_details(rows, "INC-9")
+    plain = rows.select("incident_id")
+    assert api.incident_details(plain, "INC-1")["gaps"] == [] and api.incident_list(plain).count() == 2
+
+
+def test_training_and_smoke_commands(spark, folder, capsys):
+    from hazardframe.operators import cascade, ml
+
+    rng = __import__("random").Random(1)
+    rows = [(f"inc-{k // 6}", rng.choice("abc"), float(rng.randint(0, 5)), int(rng.random() < 0.5), int(rng.random() < 0.4)) for k in range(120)]
+    pairs = spark.createDataFrame(rows, f"incident_id string, {cascade.CATEGORICAL[0]} string, {cascade.NUMERIC[0]} double, y_fail_target int, y_hf_fail_target int")
+    pairs.write.parquet(str(folder / "pairs"))
+    cli.main(["train", "--input", str(folder / "pairs"), "--output", str(folder / "t"), "--limit", "3"])
+    assert set(json.loads(capsys.readouterr().out.strip().splitlines()[-1])["passed"]) == {"y_fail_target", "y_hf_fail_target"}
+    assert "## y_hf_fail_target" in sinks.read_text(spark, str(folder / "t" / "cv_report")) and "Verdict: " in sinks.read_text(spark, str(folder / "t" / "y_fail_target" / "gate_report"))
+    model, meta = sinks.load_model(spark, str(folder / "t" / "y_fail_target"))
+    assert meta["target"] == "y_fail_target" and ml.score_targets(pairs, {"fail": model}, ["incident_id"]).where("risk_rank_fail = 1").count() >= 20
+    text, passed = sinks.gate_report([0.8, 0.65])
+    assert passed and "| 2 | 0.6500 |" in text and not sinks.gate_report([0.9, 0.5])[1] and not sinks.gate_report([0.9, None])[1] and not sinks.gate_report([])[1]
+    cli.main(["associate-smoke", "--input", str(folder / "in"), "--output", str(folder / "s")])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"controls": 2, "passed": True}
+    (folder / "in2").mkdir()
+    (folder / "in2" / "x.json").write_text("{}")
+    with pytest.raises(SystemExit, match="no controls"):
+        cli.main(["associate-smoke", "--input", str(folder / "in2"), "--output", str(folder / "s2")])
+
+
 def test_aggregate_keeps_where_a_document_came_from(spark, folder):
     (folder / "in" / "list.json").write_text("[1]")
     (folder / "in" / ".hidden.json").write_text("{}")
