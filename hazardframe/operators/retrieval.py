@@ -97,17 +97,8 @@ def _scored(tables: Iterator[pa.Table], queries: pa.Table, masks: list[str], car
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int | dict[str, int], digits: int = 6, carry: list[str] = ()) -> DataFrame:
-    """(query_id, item_id, score, rank, carried columns): the k items with the largest inner product, ties by id.
-
-    queries: query_id, query_vec. items: item_id, item_vec, and mask columns that
-    `queries` may share by name: an item must equal each that is not null. With k
-    as {side: k}, items have a column `side`, kept in the result, and every side
-    has its own ranks. Blocks of items are scored by matrix products, and each
-    task keeps k items a query, so what moves is queries x tasks x k rows. Up to
-    `QUERY_BLOCK` queries go with the tasks that read the items; more of them meet
-    the items in a grid of cells of bounded size.
-    """
+def _best_of_tasks(queries: DataFrame, items: DataFrame, k: int | dict[str, int], digits: int, carry: list[str]) -> tuple[DataFrame, list[str]]:
+    """(query_id, score, item_id, carried columns, side): what each task of `top_k` keeps, and the name of the side if there is one."""
     carry, sides = list(carry), k if isinstance(k, dict) else {"": k}
     masks = [c for c in queries.columns if c not in ("query_id", "query_vec")]
     kinds = {**dict(items.dtypes), "query_id": dict(queries.dtypes)["query_id"], "score": "double"}
@@ -129,11 +120,26 @@ def top_k(queries: DataFrame, items: DataFrame, k: int | dict[str, int], digits:
             return pa.Table.from_batches(list(_scored(iter([b]), a, masks, carry, sides, digits, schema)), schema)
 
         found = q.cogroup(i).applyInArrow(meet, ddl)
-    keys = ["query_id", *names[3 + len(carry) :]]
+    return found, names[3 + len(carry) :]
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int | dict[str, int], digits: int = 6, carry: list[str] = ()) -> DataFrame:
+    """(query_id, item_id, score, rank, carried columns): the k items with the largest inner product, ties by id.
+
+    queries: query_id, query_vec. items: item_id, item_vec, and mask columns that
+    `queries` may share by name: an item must equal each that is not null. With k
+    as {side: k}, items have a column `side`, kept in the result, and every side
+    has its own ranks. Blocks of items are scored by matrix products, and each
+    task keeps k items a query, so what moves is queries x tasks x k rows. Up to
+    `QUERY_BLOCK` queries go with the tasks that read the items; more of them meet
+    the items in a grid of cells of bounded size.
+    """
+    found, side = _best_of_tasks(queries, items, k, digits, carry)
+    keys = ["query_id", *side]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "item_id"))
     most = F.lit(k) if not isinstance(k, dict) else F.element_at(F.create_map(*[F.lit(x) for p in k.items() for x in p]), F.col("side"))
     ranked = found.repartition("query_id").withColumn("rank", rank).where(F.col("rank") <= most)
-    return ranked.select("query_id", "item_id", "score", "rank", *carry, *keys[1:])
+    return ranked.select("query_id", "item_id", "score", "rank", *carry, *side)
 
 
 def hybrid(barrier_hits: DataFrame, incident_hits: DataFrame, parent: DataFrame, k: int = 10) -> DataFrame:
@@ -158,19 +164,39 @@ BARRIER, INCIDENT = "barrier", "incident"
 def hybrid_search(queries: DataFrame, items: DataFrame, barriers: int = 50, incidents: int = 20, k: int = 10) -> DataFrame:
     """`hybrid` over one table of items with side (barrier or incident) and incident_id, in one pass and one exchange.
 
-    The hits of a query, `barriers` + `incidents` at most, meet in one row.
+    What the tasks kept of a query, `barriers` + `incidents` rows each at most, meets
+    once; ranks and fusion are made there in one go.
     """
-    hits = top_k(queries, items, {BARRIER: barriers, INCIDENT: incidents}, carry=["incident_id"])
-    row = F.struct("side", "item_id", "incident_id", "rank", "score")
-    per = hits.groupBy("query_id").agg(F.collect_list(row).alias("h"))
-    theirs = lambda b: F.filter("h", lambda i: (i["side"] == INCIDENT) & (i["item_id"] == b["incident_id"]))
-    pairs = F.transform(F.filter("h", lambda x: x["side"] == BARRIER), lambda b: F.struct(b.alias("b"), theirs(b).alias("i")))
-    each = per.select("query_id", F.explode(F.filter(pairs, lambda p: F.size(p["i"]) > 0)).alias("p"))
-    met = each.select(
-        "query_id", F.col("p.b.incident_id").alias("incident_id"), F.col("p.b.item_id").alias("item_id"), F.col("p.b.rank").alias("barrier_rank"), F.col("p.b.score").alias("barrier_sim"),
-        F.col("p.i")[0]["rank"].alias("incident_rank"), F.col("p.i")[0]["score"].alias("incident_sim"),
-    )
-    return _fused(met, k)
+    most = {BARRIER: barriers, INCIDENT: incidents}
+    found, _ = _best_of_tasks(queries, items, most, 6, ["incident_id"])
+    kinds = dict(found.dtypes)
+    ddl = f"query_id {kinds['query_id']}, incident_id {kinds['incident_id']}, item_id {kinds['item_id']}, barrier_rank int, barrier_sim double, incident_rank int, incident_sim double, rrf_score double, place int"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def fuse(query, rows: list[tuple]) -> list[tuple]:
+        sides = {}
+        for side, n in most.items():
+            ordered = sorted((r for r in rows if r[3] == side), key=lambda r: (-r[0], r[1]))[:n]
+            sides[side] = [(rank, *r) for rank, r in enumerate(ordered, 1)]
+        parents = {r[2]: r for r in reversed(sides[INCIDENT])}
+        met = [(b, parents[b[3]]) for b in sides[BARRIER] if b[3] in parents]
+        out = [(query, b[3], b[2], b[0], b[1], i[0], i[1], float(np.round(1 / (60 + b[0]) + 1 / (60 + i[0]), 9))) for b, i in met]
+        out.sort(key=lambda r: (-r[7], r[3], r[2]))
+        return [(*r, place) for place, r in enumerate(out[:k], 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, out = None, [], []
+        for batch in batches:
+            for query, *row in zip(*(batch.column(c).to_pylist() for c in ("query_id", "score", "item_id", "incident_id", "side")), strict=True):
+                if rows and query != held:
+                    out += fuse(held, rows)
+                    rows = []
+                held = query
+                rows.append(tuple(row))
+        out += fuse(held, rows) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema.types, strict=True)], schema=schema)
+
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, ddl)
 
 
 def in_domain(agency: Column, region: Column) -> Column:
