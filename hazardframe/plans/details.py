@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import html, text
 from ..functions.vocabulary import FACTORS, MODEL_PIFS
 from ..operators import cascade, context, coverage, metrics, mining, ml, profiling, retrieval, taxonomy
+from ..session import work_folder
+from ..sources import files
 from .adapters import CONTROLS, INCIDENTS, controls, incidents
 from .models import _AUC, _FOLDS, _METRICS, _SCORED, _dealt
 from .registry import query, table
@@ -196,42 +198,47 @@ def reasons_of_worst(spark, sf):
     return cascade.reasons_of_worst(scores, runs)
 
 
-@query("coverage_order", "SELECT incident_id, controls_total FROM (SELECT incident_id, count(*) AS controls_total, (count(*) FILTER (barrier_status = 'active') + 0.5::DOUBLE * count(*) FILTER (barrier_status = 'degraded')) / count(*) AS s FROM controls GROUP BY 1) ORDER BY s, controls_total DESC, incident_id LIMIT 40", CONTROLS)
+def _placed(rows):
+    """A sorted result with each row's position in it."""
+    return files.placed(rows, work_folder(rows.sparkSession, "order"), "position")
+
+
+@query("coverage_order", "SELECT row_number() OVER (ORDER BY s, controls_total DESC, incident_id) - 1 AS position, incident_id, controls_total FROM (SELECT incident_id, count(*) AS controls_total, (count(*) FILTER (barrier_status = 'active') + 0.5::DOUBLE * count(*) FILTER (barrier_status = 'degraded')) / count(*) AS s FROM controls GROUP BY 1)", CONTROLS)
 def coverage_order(spark, sf):
-    return coverage.in_report_order(coverage.coverage(controls(spark, sf, named=False))).select("incident_id", "controls_total").limit(40)
+    return _placed(coverage.in_report_order(coverage.coverage(controls(spark, sf, named=False))).select("incident_id", "controls_total"))
 
 
-@query("gap_order", "SELECT incident_id, control_id, barrier_status, name FROM gaps ORDER BY incident_id, barrier_status NULLS LAST, barrier_type, name, control_id LIMIT 60", CONTROLS, _GAPS)
+@query("gap_order", "SELECT row_number() OVER (ORDER BY incident_id, barrier_status NULLS LAST, barrier_type, name, control_id) - 1 AS position, incident_id, control_id, barrier_status, name FROM gaps", CONTROLS, _GAPS)
 def gap_order(spark, sf):
     rows = coverage.gaps(controls(spark, sf))
     ordered = rows.orderBy(*[F.asc_nulls_last(c) for c in ("incident_id", "barrier_status", "barrier_type", "name", "control_id")])
     assert coverage.in_gap_order(rows).columns == ordered.columns
-    return ordered.select("incident_id", "control_id", "barrier_status", "name").limit(60)
+    return _placed(ordered.select("incident_id", "control_id", "barrier_status", "name"))
 
 
-@query("rollup_order", "SELECT rollup, value, gap_count FROM (SELECT 'by_barrier_type' AS rollup, barrier_type AS value, count(*) AS gap_count FROM gaps GROUP BY 2 UNION ALL SELECT 'by_side', side, count(*) FROM gaps GROUP BY 2) ORDER BY rollup, gap_count DESC, value LIMIT 4", CONTROLS, _GAPS)
+@query("rollup_order", "SELECT row_number() OVER (ORDER BY rollup, gap_count DESC, value) - 1 AS position, rollup, value, gap_count FROM (SELECT 'by_barrier_type' AS rollup, barrier_type AS value, count(*) AS gap_count FROM gaps GROUP BY 2 UNION ALL SELECT 'by_side', side, count(*) FROM gaps GROUP BY 2)", CONTROLS, _GAPS)
 def rollup_order(spark, sf):
-    return coverage.in_rollup_order(coverage.gap_rollups(coverage.gaps(controls(spark, sf)), ["barrier_type", "side"])).select("rollup", "value", "gap_count").limit(4)
+    return _placed(coverage.in_rollup_order(coverage.gap_rollups(coverage.gaps(controls(spark, sf)), ["barrier_type", "side"])).select("rollup", "value", "gap_count"))
 
 
 @query(
     "rule_order",
-    """SELECT antecedent, consequent FROM (SELECT antecedent, consequent, n / na::DOUBLE AS c, n * p / (na * nc)::DOUBLE AS l, n / p::DOUBLE AS s FROM (SELECT a AS antecedent, b AS consequent, n FROM pairs UNION ALL SELECT b, a, n FROM pairs)
+    """SELECT row_number() OVER (ORDER BY c DESC, l DESC, antecedent, consequent) - 1 AS position, antecedent, consequent FROM (SELECT antecedent, consequent, n / na::DOUBLE AS c, n * p / (na * nc)::DOUBLE AS l, n / p::DOUBLE AS s FROM (SELECT a AS antecedent, b AS consequent, n FROM pairs UNION ALL SELECT b, a, n FROM pairs)
       JOIN (SELECT item AS antecedent, count(*) AS na FROM items GROUP BY 1) USING (antecedent) JOIN (SELECT item AS consequent, count(*) AS nc FROM items GROUP BY 1) USING (consequent), (SELECT count(DISTINCT incident_id) AS p FROM items))
-    WHERE s >= 0.005 AND c >= 0.08 AND l > 1 ORDER BY c DESC, l DESC, antecedent, consequent LIMIT 5""",
+    WHERE s >= 0.005 AND c >= 0.08 AND l > 1""",
     CONTROLS,
     FAMILIES,
     ITEMS,
     PAIRS,
 )
 def rule_order(spark, sf):
-    return mining.in_rule_order(mining.association_rules(_items(spark, sf), 0.005, 0.08)).select("antecedent", "consequent").limit(5)
+    return _placed(mining.in_rule_order(mining.association_rules(_items(spark, sf), 0.005, 0.08)).select("antecedent", "consequent"))
 
 
-@query("sorted_barriers", "SELECT incident_id, control_id, human_contribution_value FROM controls WHERE side = 'mitigation' AND barrier_type = 'ppe' ORDER BY lower(human_contribution_value) DESC NULLS LAST, incident_id, control_id LIMIT 30", CONTROLS)
+@query("sorted_barriers", "SELECT row_number() OVER (ORDER BY lower(human_contribution_value) DESC NULLS LAST, incident_id, control_id) - 1 AS position, incident_id, control_id, human_contribution_value FROM controls WHERE side = 'mitigation' AND barrier_type = 'ppe'", CONTROLS)
 def sorted_barriers(spark, sf):
     rows = cascade.filter_rows(controls(spark, sf, named=False), side="mitigation", barrier_type="ppe", line_of_defense=None)
-    return cascade.sort_rows(rows, "human_contribution_value", True, "incident_id", "control_id").select("incident_id", "control_id", "human_contribution_value").limit(30)
+    return _placed(cascade.sort_rows(rows, "human_contribution_value", True, "incident_id", "control_id").select("incident_id", "control_id", "human_contribution_value"))
 
 
 @query("merged_scores", "SELECT control_id, a.p AS p_a, b.p AS p_b, coalesce(b.p, a.p) AS composite FROM (SELECT incident_id || control_id AS control_id, quantity / 100.0::DOUBLE AS p FROM controls) a LEFT JOIN (SELECT incident_id || control_id AS control_id, control_seq / 10.0::DOUBLE AS p FROM controls WHERE control_seq % 2 = 0) b USING (control_id)", CONTROLS)

@@ -120,16 +120,21 @@ def numbered(rows: DataFrame, name: str = "n") -> DataFrame:
     return met.withColumn(name, F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__base")
 
 
-def ordered(rows: DataFrame, by: list[str], path: str, name: str = "n") -> DataFrame:
-    """Rows with their place in the order of `by`, from 0: sorted over range partitions, written under `path` with their place in each, and the sizes of those before added."""
-    rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
-    placed = rows.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__m"))
+def placed(rows: DataFrame, path: str, name: str = "n") -> DataFrame:
+    """Sorted rows with their place, from 0: written under `path` with their place in their partition, and the sizes of the partitions before added."""
+    rows.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    sizes = stored.groupBy("__part").agg(F.count("*").alias("__m"))
     before = F.coalesce(F.sum("__m").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    met = placed.join(F.broadcast(sizes.select("__part", before.alias("__base"))), "__part")  # one row a partition
+    met = stored.join(F.broadcast(sizes.select("__part", before.alias("__base"))), "__part")  # one row a partition
     return met.withColumn(name, F.col("__base") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__base")
 
 
+def ordered(rows: DataFrame, by: list[str], path: str, name: str = "n") -> DataFrame:
+    """Rows with their place in the order of `by`, from 0."""
+    return placed(rows.repartitionByRange(*by).sortWithinPartitions(*by), path, name)
+
+
 def bulk_candidates(rows: DataFrame, prefix: str = "phmsa", limit: int | None = None) -> DataFrame:
     """(doc_id, url, title, date, page_url, source) of a bulk table, row by row; ids are slugs of report ids, else the row's number.
 
