@@ -1,11 +1,13 @@
 """The pipeline's stages on a small corpus, each against what its own input calls for."""
 
+import os
 import random
 
 import pytest
 from hazardframe.llm.common import Scratch
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,3 +50,31 @@ def test_stages(spark, tmp_path):
     packed = kept["packing"].groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert sorted(r[1] for r in packed)[1:] == [2048] * (len(packed) - 1)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept["packing"].count()
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_near_stage_equals_brute_force(spark):
+    """Five-word shingle sets of all pairs of documents: groups of Jaccard 0.8 or more leave the row with the least id."""
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = []
+    for r in rows:
+        words = (r.text or "").encode().lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    roots = list(range(len(rows)))
+
+    def root(k):
+        while roots[k] != k:
+            k = roots[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = len(sets[i]), len(sets[j])
+            if min(a, b) >= 0.8 * max(a, b) and (common := len(sets[i] & sets[j]), a + b - common)[0] >= 0.8 * (a + b - common):
+                roots[root(i)] = root(j)
+    least = {}
+    for k, r in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), r.doc_id), r.doc_id)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, TABLES).select("doc_id").collect())
+    assert got == sorted(least.values()) and len(got) < len(rows)

@@ -253,3 +253,37 @@ def test_quality_of_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.predicted == 1}
     none = quality.quality_scores(docs, known.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and quality.quality_scores(docs.limit(0), known).count() == 0
+
+
+def test_trees_equal_brute_force():
+    """Every cut of every feature tried at every node, with sums over masks; one leaf after the other."""
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.integers(0, 6, 300), rng.random(300).round(2), rng.standard_normal(300)]).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 2] > 0.3) ^ (rng.random(300) < 0.1)).astype(float)
+    trees = urls.Trees()
+    trees.rounds = 6
+    trees.fit(x, y)
+    rate = y.mean()
+    score, base = np.full(300, np.log(rate / (1 - rate))), np.log(rate / (1 - rate))
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, trees.bins + 1)[1:-1])) for f in range(3)]
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-score))
+        g, w = y - p, p * (1 - p)
+        gain = lambda rows: g[rows].sum() ** 2 / (w[rows].sum() + 1)  # noqa: E731, B023
+
+        def grow(rows, depth):
+            best, choice = 1e-6, None
+            for f in range(3) if depth and rows.sum() >= 2 * trees.least else ():
+                for cut in cuts[f]:
+                    left, right = rows & (x[:, f] <= cut), rows & (x[:, f] > cut)
+                    if min(left.sum(), right.sum()) >= trees.least and (found := gain(left) + gain(right) - gain(rows)) > best + 1e-12:  # noqa: B023
+                        best, choice = found, (left, right)
+            if choice is None:
+                score[rows] += trees.rate * g[rows].sum() / (w[rows].sum() + 1)  # noqa: B023
+            else:
+                for side in choice:
+                    grow(side, depth - 1)
+
+        grow(np.ones(300, bool), trees.depth)
+    assert np.allclose(trees.probability(x), 1 / (1 + np.exp(-score)), atol=1e-9) and trees.base == pytest.approx(base)
+    assert ((trees.probability(x) > 0.5) == (y == 1)).mean() > 0.7
