@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions.vocabulary import FACTORS, MODEL_PIFS, PIFS
 from ..operators import cascade, context, manifests, taxonomy, threats as threat_ops
 from .adapters import CONTROLS, INCIDENTS, THREATS, controls, incidents, threats
@@ -441,3 +442,24 @@ def barrier_documents(spark, sf):
 def side_map(spark, sf):
     drifted = F.when(F.col("side") == "prevention", "left").otherwise("right")
     return controls(spark, sf, named=False).select("incident_id", "control_id", taxonomy.side_of(drifted).alias("mapped"))
+
+
+_PREDICTED = """predicted AS (SELECT incident_id, control_id_target AS control_id, (pathway_sequence_target * 13 + lod_numeric_cond * 7) % 100 / 100.0::DOUBLE AS p FROM features WHERE control_id_cond = 'C-001')"""
+
+
+def _asked(spark, sf):
+    named = threats(spark, sf).withColumn("threat_name", F.when(F.col("threat_id") == "T-001", "Pump leak").when(F.col("threat_id") == "T-002", "Operator error").otherwise("Loss of power"))
+    score = lambda rows: rows.withColumn("p", (F.col("pathway_sequence_target") * 13 + F.col("lod_numeric_cond") * 7) % 100 / F.lit(100.0))
+    return controls(spark, sf, named=False), named, "C-001", score
+
+
+@query("ranked_targets", "SELECT incident_id, control_id, p, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY p DESC, control_id) AS INTEGER) AS place, CAST(rank() OVER (PARTITION BY incident_id ORDER BY p DESC) AS INTEGER) AS rank FROM predicted", CONTROLS, INCIDENTS, THREATS, _STATS, _NAMED, _SCENARIO, _PREDICTED)
+def ranked_targets(spark, sf):
+    return api.rank_targets(*_asked(spark, sf))
+
+
+@query("predict_cascading", f"SELECT incident_id, control_id, p, CASE WHEN p >= {cascade.P80} THEN 'HIGH' WHEN p >= {cascade.P60} THEN 'MEDIUM' ELSE 'LOW' END AS band FROM predicted", CONTROLS, INCIDENTS, THREATS, _STATS, _NAMED, _SCENARIO, _PREDICTED)
+def predict_cascading(spark, sf):
+    """What the first barrier's failure means for every other barrier of its incident."""
+    factors = incidents(spark, sf).select("incident_id", "pif_procedures", "pif_tools_equipment")
+    return api.predict_cascading(*_asked(spark, sf), factors)
