@@ -101,8 +101,8 @@ def test_contract(spark, controls):
     assert profiling.contract(controls.withColumn("x_mentioned", F.lit(True)), controls.columns).columns == controls.columns
 
 
-def test_p_values():
-    p = lambda r, n: profiling.correlation_p_value(F.lit(r), F.lit(n))
+def test_p_values(spark):
+    p = lambda r, n: profiling.correlation_p_value(F.lit(r).cast("double"), F.lit(n))
     cases = [(0.0, 50), (0.5, 30), (-0.5, 30), (0.01, 100_000), (0.3, 5), (0.9, 4), (0.001, 3), (0.2, 1000), (0.0005, 10_000_000), (0.02, 5_000)]
 
     def integral(r, n, steps=20_000):
