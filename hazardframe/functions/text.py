@@ -24,6 +24,24 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double from 0 to below 16 with so many digits (6 at most), rounded as C and Python do: by its exact binary value, halves to even.
+
+    format_string rounds the shortest decimal text of it instead, halves up; it writes all other values.
+    """
+    near, power, one = (x >= 0) & (x < 16), F.lit(10**digits), F.lit(1 << 50).cast("decimal(16,0)") * F.lit(1 << 50).cast("decimal(16,0)")
+    scaled = F.when(near, x) * F.lit(float(1 << 40))
+    high = F.floor(scaled)
+    low = ((scaled - high) * F.lit(float(1 << 60))).cast("long")  # both parts are exact: together x times 2^100
+    units = (high.cast("decimal(14,0)") * F.lit(1 << 60).cast("decimal(19,0)") + low.cast("decimal(19,0)")) * power.cast("decimal(7,0)")
+    rest = units % one
+    down = ((units - rest) / one).cast("long")
+    twice = rest * F.lit(2)
+    n = down + F.when((twice > one) | ((twice == one) & (down % 2 == 1)), 1).otherwise(0)
+    exact = F.concat(F.floor(n / power).cast("string"), F.lit("."), F.lpad((n % power).cast("string"), digits, "0"))
+    return F.when(near, exact).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def normalize_text(text: Column) -> Column:
     """Plain quotes and spaces, no control characters, at most two spaces and three line feeds in a row, trimmed lines; null is empty."""
     plain = F.translate(F.coalesce(text, F.lit("")), "\u00a0‘’“”«»", " ''\"\"\"\"")

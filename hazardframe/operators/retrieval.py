@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import vector
+from ..functions import text, vector
 from .metrics import percentiles
 
 #: Queries that go with every task that scores items, and queries and items of a cell beyond that.
@@ -307,7 +307,7 @@ def context_entry(number: Column, columns: dict[str, Column] | None = None) -> C
     lines = F.array_compact(F.array(*map(line, CATEGORIES)))
     factors = F.when(F.size(lines) > 0, F.concat(F.lit("**Performance Influencing Factors (negative):**\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
     return F.concat(
-        F.format_string("### Result %d (RRF: %.4f, Barrier Rank: %d, Incident Rank: %d)\n", number, get("rrf_score"), get("barrier_rank"), get("incident_rank")),
+        F.format_string("### Result %d (RRF: %s, Barrier Rank: %d, Incident Rank: %d)\n", number, text.fixed(get("rrf_score"), 4), get("barrier_rank"), get("incident_rank")),
         F.lit("**Barrier:** "), told("barrier_name"), F.lit("\n**Family:** "), told("barrier_family"), F.lit(" | Side: "), told("side"), F.lit(" | Status: "), told("barrier_status"),
         F.lit("\n**Role:** "), told("barrier_role"), F.lit("\n**LOD Basis:** "), told("lod_basis"),
         F.lit("\n**Human Failed:** "), F.when(get("barrier_failed_human"), "Yes").otherwise("No"), F.lit(" | Human Contribution: "), F.coalesce(F.nullif(get("human_contribution_value"), F.lit("")), F.lit("N/A")),

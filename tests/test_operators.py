@@ -313,6 +313,17 @@ def test_percentiles_are_those_of_sorting(spark):
     assert tuple(metrics.percentiles(df.limit(0), "x", {"a": 0.5}).head()) == (None,)
 
 
+def test_fixed_digits_are_those_of_python(spark):
+    import random
+
+    random.seed(9)
+    values = [0.03125, 0.09375, 0.02875, 0.00005, 0.0, 1.0, 15.99995, 0.99995, *(round(1 / (60 + a) + 1 / (60 + b), 9) for a in range(1, 20) for b in range(1, 20)), *(k / 20000 for k in range(1, 800, 2)), *(random.random() * 16 for _ in range(300)), -2.5, 100.25]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    assert [r.t for r in df.select(text.fixed(F.col("x"), 4).alias("t")).collect()] == [f"{x:.4f}" for x in values]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(text.fixed(F.col("x"), 4).alias("t")).collect()
+    assert len(odd) == 3
+
+
 def test_context_layout(spark):
     entry = spark.range(1).select(
         *[F.lit(v).alias(k) for k, v in {"rrf_score": 0.03252, "barrier_rank": 1, "incident_rank": 2, "barrier_name": "valve", "barrier_family": "relief", "side": "prevention", "barrier_status": "failed", "barrier_role": "shut", "lod_basis": "N/A", "barrier_failed_human": True, "human_contribution_value": "", "incident_id": "I-1", "incident_summary": "leak"}.items()],
