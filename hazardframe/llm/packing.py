@@ -86,9 +86,9 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, scratch: Scratch, i
         from pyspark import TaskContext
 
         enc, part, counted, row = encoder(vocabulary), TaskContext.get().partitionId(), [0] * (len(number) + 1), 0
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 1024):
             queue = [number.get(s, len(number)) for s in batch.column(1).to_pylist()]
-            ids = [np.append(enc.ids(t), np.uint32(end_id)).astype("<u4") for t in texts(batch.column(2))]
+            ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in enc.many(texts(batch.column(2)))]
             n = [len(x) for x in ids]
             at = []
             for s, k in zip(queue, n, strict=True):

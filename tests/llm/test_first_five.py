@@ -246,3 +246,31 @@ def test_perfect_hash_is_minimal(keys):
     keys = np.array(sorted(keys), np.int64)
     index = token_output.PerfectHash.from_bytes(token_output.PerfectHash.build(keys).to_bytes())
     assert sorted(index.lookup(keys)) == list(range(len(keys)))
+
+
+def test_many_texts_merge_each_word_once():
+    import random
+
+    from hazardframe.llm import tokens
+
+    enc = tokens.TextEncoder(tokens.tokenizer_path("word_bpe_49k.json"))
+    random.seed(4)
+    plain = [c for c in map(chr, range(1, 0x480)) if tokens._PROSE.fullmatch(c)] + list(" \n.,") * 20
+    other = list(map(chr, range(1, 0x480))) + list(" \n'") * 60 + ["中", "\x00", *enc.special]
+    texts = ["".join(random.choice(c) for _ in range(random.randrange(40))) for _ in range(300) for c in (plain, other)] + ["", " ", "..", "It's O'LL. é"]
+    want = [enc.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for together in (50, tokens.TOGETHER):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tokens, "TOGETHER", together)
+            assert [x.tolist() for x in enc.many(texts)] == want
+    assert enc.many([]) == []
+    read, core = [], enc.core
+
+    class Counting:
+        def encode_ordinary(self, text):
+            read.append(text)
+            return core.encode_ordinary(text)
+
+    enc.core = Counting()
+    enc.many(["valve leak valve", "leak, leak"] * 50)
+    assert sorted("".join(read).split("\0")) == ["", ",", "leak", "valve"]
