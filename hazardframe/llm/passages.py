@@ -19,6 +19,7 @@ arrays over blocks of text that may match:
 5. A signature with more text than a task should hold (a passage in a third of
    all documents) is split by the strings themselves: every string belongs to
    its anchor, so the text around one anchor is a block that sorts alone. Equal
+   cores of runs are folded to the least document first. Equal
    pieces of text, which are most of it, are folded to the least document
    before they meet. If so many different pieces hold one anchor that they are still
    too much, they are split by prefix to the full depth: suffixes of `length`
@@ -239,12 +240,12 @@ def _shared(table: pa.Table) -> pa.Table:
     return _blobs(out, types)
 
 
-_RUN = {"signature": pa.int64(), "ord": pa.int64(), "h": pa.int64(), "start": pa.int64(), "text": pa.binary()}
-_RUN_DDL = "signature long, ord long, h long, start long, text binary"
+_RUN = {"signature": pa.int64(), "ord": pa.int64(), "h": pa.int64(), "start": pa.int64(), "text": pa.binary(), "lead": pa.int64(), "tail": pa.int64()}
+_RUN_DDL = "signature long, ord long, h long, start long, text binary, lead long, tail long"
 
 
 def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: int) -> pa.Table:
-    """The runs of a part: text with shared anchors, and all strings around them."""
+    """The runs of a part: text with shared anchors, and all strings around them; `lead` and `tail` bytes lie outside all anchors."""
     hand_back()
     out: dict[str, list] = {n: [] for n in _RUN}
     if table.num_rows and shared.num_rows:
@@ -270,9 +271,10 @@ def _runs(table: pa.Table, shared: pa.Table, buckets: int, length: int, gram: in
             new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (sig[1:] != sig[:-1]) | (begin[1:] > end[:-1])])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
-            for u, s, a, b in zip(owner[first].tolist(), sig[first].tolist(), begin[first].tolist(), end[last].tolist(), strict=True):
+            outside = ((at - begin)[first].tolist(), (end - at)[last] - gram)
+            for u, s, a, b, lead, tail in zip(owner[first].tolist(), sig[first].tolist(), begin[first].tolist(), end[last].tolist(), outside[0], outside[1].tolist(), strict=True):
                 if b - a >= length:
-                    for name, x in zip(_RUN, (s, int(ords[u]), int(hs[u]), a, texts[u][a:b]), strict=True):
+                    for name, x in zip(_RUN, (s, int(ords[u]), int(hs[u]), a, texts[u][a:b], lead, tail), strict=True):
                         out[name].append(x)
     return _blobs(out, _RUN)
 
@@ -426,13 +428,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
     """Runs cut by anchor: (anchor, piece, ord, h, at), the text with every string that holds the anchor, and where it begins.
 
     Neighbouring pieces overlap, so that each string is whole in the piece of its anchor.
+    Of a copy of a core, only pieces with strings that are not whole in the core.
     """
     for batch in slices(batches, 256):
-        o, h, start, text = (batch.column(c).to_pylist() for c in ("ord", "h", "start", "text"))
+        o, h, start, text, copy, lead, tail = (batch.column(c).to_pylist() for c in ("ord", "h", "start", "text", "copy", "lead", "tail"))
         out: list[list] = [[] for _ in range(5)]
         for owner, at, found in _anchored(text, length, gram):
             begin = np.maximum(at - (length - gram), 0)
             for u, a, b, x in zip(owner.tolist(), begin.tolist(), (at + length).tolist(), found.view(np.int64).tolist(), strict=True):
+                if copy[u] and a >= lead[u] and b <= len(text[u]) - tail[u]:
+                    continue
                 piece = text[u][a:b]
                 if len(piece) >= length:
                     for column, value in zip(out, (x, piece, o[u], h[u], start[u] + a), strict=True):
@@ -482,7 +487,18 @@ def _piece_suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 
 def _solve_split(hot: DataFrame, length: int, gram: int, scratch: Scratch) -> DataFrame:
-    """Spans of signatures that are too large for one block, by the pieces around their anchors."""
+    """Spans of signatures that are too large for one block, by the pieces around their anchors.
+
+    What lies from a run's first anchor to the end of its last, its core, is one text in all that copied the
+    same passage. Equal cores are folded first: all but those of the least document go whole.
+    """
+    size = F.octet_length("text") - F.col("lead") - F.col("tail")
+    core = F.expr("substring(text, cast(lead + 1 as int), cast(octet_length(text) - lead - tail as int))")
+    hot = scratch.table(hot.withColumn("core", F.when(size >= length, F.sha2(core, 256))), "cored")
+    cores = scratch.table(hot.where("core is not null").groupBy("core").agg(F.min("ord").alias("least"), F.count("*").alias("n")).where("n > 1"), "cores")
+    hot = hot_join(hot, cores.select("core", "least"), ["core"], cores.select("core", "n"), "left").withColumn("copy", F.coalesce(F.col("ord") > F.col("least"), F.lit(False)))
+    hot = scratch.table(hot.select(*_RUN, "copy"), "folded")
+    whole_cores = hot.where("copy").select("ord", "h", (F.col("start") + F.col("lead")).alias("begin"), (F.col("start") + F.octet_length("text") - F.col("tail")).alias("end"))
     pieces = scratch.table(hot.mapInArrow(tidy(lambda it: _pieces(it, length, gram)), "anchor long, piece binary, ord long, h long, at long"), "pieces")
     # copies are folded inside each input partition, so a piece of a third of all documents is one row for each
     first = scratch.table(pieces.groupBy("anchor", "piece").agg(F.min("ord").alias("least"), F.count("*").alias("n")), "first")
@@ -510,7 +526,7 @@ def _solve_split(hot: DataFrame, length: int, gram: int, scratch: Scratch) -> Da
         met = pieces.join(F.broadcast(often), on).union(pieces.join(names, on, "left_anti").join(seldom, on).select(*on, "ord", "h", "at", "least", "cuts"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.octet_length("piece").cast("long").alias("end")))
     spans = met.where("ord > least or cuts is not null").select("ord", "h", "at", F.explode(F.when(F.col("ord") > F.col("least"), whole).otherwise(F.col("cuts"))).alias("c"))
-    return spans.select("ord", "h", (F.col("at") + F.col("c.begin")).alias("begin"), (F.col("at") + F.col("c.end")).alias("end"))
+    return whole_cores.union(spans.select("ord", "h", (F.col("at") + F.col("c.begin")).alias("begin"), (F.col("at") + F.col("c.end")).alias("end")))
 
 
 def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -527,7 +543,7 @@ def passage_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = scratch.table(runs, "runs")
     hot = runs.groupBy("signature").agg(F.sum(F.octet_length("text")).alias("size")).where(F.col("size") > BLOCK_MOST).select("signature")
     hot = scratch.table(hot, "hot")
-    usual = runs.join(hot, "signature", "left_anti").repartition("signature").sortWithinPartitions("signature")
+    usual = runs.drop("lead", "tail").join(hot, "signature", "left_anti").repartition("signature").sortWithinPartitions("signature")
     spans = usual.mapInArrow(tidy(lambda it: _solve_blocks(it, length)), _SPAN_DDL)
     if not hot.isEmpty():
         spans = spans.union(_solve_split(runs.join(hot, "signature"), length, gram, scratch))

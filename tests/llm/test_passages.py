@@ -123,3 +123,24 @@ def test_replacement_characters_outside_passages_stay(spark):
     rows = [(1, passage, "en", "s", 1), (2, "x\ufffdy " + passage + " z\ufffd", "en", "s", 1)]
     got = {r.doc_id: r.text for r in passages.remove_passages(frame(spark, rows)).collect()}
     assert got == {1: passage, 2: "x\ufffdy  z\ufffd"}
+
+
+def test_copies_of_a_passage_are_folded_before_they_are_cut(spark, monkeypatch):
+    rng = random.Random(8)
+    words = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = words(500)
+    rows = [(k, words(60 + k) + passage + words(70)) for k in range(40)] + [(40, passage[100:300] + words(50)), (41, words(9) + passage[:200] + "-" + passage[201:])]
+    counted = {}
+
+    class Counting(passages.Scratch):
+        def table(self, df, name, *args, **more):
+            out = super().table(df, name, *args, **more)
+            counted[name] = out.count()
+            return out
+
+    monkeypatch.setattr(passages, "Scratch", Counting)
+    monkeypatch.setattr(passages, "BLOCK_MOST", 2000)
+    rows = [(*r, "en", "s", 1) for r in rows]
+    got = passages.passage_report(frame(spark, rows))
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted(brute(rows))
+    assert counted["pieces"] < 40 * len(rows)  # 2,550 before copies were folded
