@@ -64,8 +64,8 @@ class BoostedTrees:
         return F.lit(self.base) + (parts[0] if parts else F.lit(0.0))
 
     def scored(self, rows: DataFrame, *keep) -> DataFrame:
-        """(keep, score): probabilities, computed where the rows are."""
-        named = rows.select(*keep, F.array(*self.inputs()).alias("__x"))
+        """(keep, score): probabilities, computed where the rows are; each input once, not anew at every node (the optimizer puts no expression through an explode)."""
+        named = rows.select(*keep, F.explode(F.array(F.array(*self.inputs()))).alias("__x"))
         return named.select(*named.columns[:-1], (F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin()))).alias("score"))
 
 

@@ -140,9 +140,13 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], blocks:
     Values are counted first, then summed within and over blocks of about as many
     distinct values each, so no task holds the distinct values of all rows; only the
     few blocks' sums meet, and of the values the two that each percentile lies between.
+    The counts are written, as values may be costly to make: `rows` is read once.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    total = rows.agg(F.count(column)).head()[0]
+    spark = rows.sparkSession
+    path = work_folder(spark, "percentiles")
+    rows.select(F.col(column).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")).write.parquet(path)
+    counts = spark.read.schema("x double, n long").parquet(path)
+    total = counts.agg(F.sum("n")).head()[0] or 0
     placed = _blocked(counts, [], "x", blocks)
     sums = placed.groupBy("block").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     wanted = sorted({k for s in shares.values() for k in (int((total - 1) * s), min(int((total - 1) * s) + 1, total - 1))}) if total else []
@@ -156,7 +160,7 @@ def percentiles(rows: DataFrame, column: str, shares: dict[str, float], blocks:
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("x")))
     places = {name: (total - 1) * s for name, s in shares.items()} if total else {}
     out = [(at(int(p)) + (p - int(p)) * (at(min(int(p) + 1, total - 1)) - at(int(p)))).alias(n) for n, p in places.items()]
-    return ranked.agg(*out) if total else rows.agg(*[F.max(F.lit(None).cast("double")).alias(n) for n in shares])
+    return ranked.agg(*out) if total else counts.agg(*[F.max(F.lit(None).cast("double")).alias(n) for n in shares])
 
 
 def thresholds(scored: DataFrame, score: str = "score") -> DataFrame:

@@ -313,6 +313,19 @@ def test_percentiles_are_those_of_sorting(spark):
     assert tuple(metrics.percentiles(df.limit(0), "x", {"a": 0.5}).head()) == (None,)
 
 
+def test_percentiles_read_the_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(100).select(F.col("id").cast("double").alias("x")).mapInArrow(seen, "x double")
+    assert tuple(metrics.percentiles(rows, "x", {"a": 0.5, "b": 0.9}).head()) == pytest.approx((49.5, 89.1))
+    assert read.value == 100
+
+
 def test_fixed_digits_are_those_of_python(spark):
     import random
 
