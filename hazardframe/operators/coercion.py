@@ -40,6 +40,16 @@ def kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+def is_object(v: Column, path: str = "$") -> Column:
+    """Whether an object stands at a path; unlike its kind, this does not look at what it holds."""
+    return F.try_variant_get(v, path, "struct<>").isNotNull()
+
+
+def is_array(v: Column, path: str = "$") -> Column:
+    """Whether a list stands at a path; its items are not built."""
+    return F.try_variant_get(v, path, "array<boolean>").isNotNull()
+
+
 def side(raw: Column) -> Column:
     return F.coalesce(_mapped(F.lower(F.trim(raw)), SIDE_SYNONYMS), F.lit("prevention"))
 
@@ -67,7 +77,8 @@ def parse(texts: DataFrame, column: str = "payload") -> DataFrame:
 def controls_of(v: Column) -> Column:
     """The controls where they belong, or those that stand at the top of a document that has none there."""
     inside = F.try_variant_get(v, "$.bowtie.controls", "array<variant>")
-    return F.coalesce(F.when(F.size(inside) > 0, inside), F.try_variant_get(v, "$.controls", "array<variant>"), F.array().cast("array<variant>"))
+    some = F.size(F.try_variant_get(v, "$.bowtie.controls", "array<boolean>")) > 0  # counted without building them
+    return F.coalesce(F.when(some, inside), F.try_variant_get(v, "$.controls", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def _is(type_: Column, *names: str) -> Column:

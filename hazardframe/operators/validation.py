@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import BARRIER_TYPES, FACTORS, LINES_OF_DEFENSE, SIDES, STATUSES
-from .coercion import _is, controls_of, kind
+from .coercion import controls_of, is_array, is_object
 
 TEXT, MAYBE_TEXT, FLAG, TEXTS = "text", "maybe text", "flag", "texts"
 # Names and shapes of the fields; a trailing star marks one that must be there.
@@ -56,54 +56,53 @@ def _error(where: Column, message: str) -> Column:
     return F.array(F.concat(where, F.lit(": " + message)))
 
 
-def _field(v: Column, name: str, shape, where: Column, required: bool) -> Column:
-    """The errors of one field of the object v; `where` names the field."""
-    path = f"$.{name}"
-    type_, here = kind(v, path), F.try_variant_get(v, path, "variant")
-    text = F.try_variant_get(v, path, "string")
+def _joined(lists: list[Column]) -> Column:
+    return F.flatten(F.array(*lists))
+
+
+def _field(v: Column, shape, where: Column, required: bool) -> Column:
+    """The errors of one field of value v (null: absent); `where` names it."""
+    type_, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    found = F.when(v.isNull(), _error(where, MISSING) if required else _none())
     if isinstance(shape, dict):
-        found = F.when(_is(type_, "OBJECT"), errors_of(here, shape, where)).otherwise(_error(where, NOT_OBJECT))
-    elif shape == TEXTS or isinstance(shape, list) and isinstance(shape[0], dict):
-        items = F.try_variant_get(v, path, "array<variant>")
+        return found.when(is_object(v), errors_of(v, shape, where)).otherwise(_error(where, NOT_OBJECT))
+    if shape == TEXTS or isinstance(shape, list) and isinstance(shape[0], dict):
         at = lambda i: F.concat(where, F.lit(" -> "), i.cast("string"))
         if shape == TEXTS:
-            each = lambda x, i: F.when(_is(F.schema_of_variant(x), "STRING"), _none()).otherwise(_error(at(i), NOT_TEXT))
+            each = lambda x, i: F.when(F.schema_of_variant(x) == "STRING", _none()).otherwise(_error(at(i), NOT_TEXT))
         else:
-            each = lambda x, i: F.when(_is(F.schema_of_variant(x), "OBJECT"), errors_of(x, shape[0], at(i))).otherwise(_error(at(i), NOT_OBJECT))
-        found = F.when(_is(type_, "ARRAY"), F.flatten(F.transform(items, each))).otherwise(_error(where, NOT_LIST))
-    elif isinstance(shape, list):
-        found = F.when(_is(type_, "STRING") & text.isin(shape), _none()).otherwise(_error(where, _not_among(shape)))
-    elif shape == FLAG:
-        good = _is(type_, "BOOLEAN") | (_is(type_, "BIGINT") & text.isin("0", "1")) | (_is(type_, "STRING") & F.lower(text).isin(TRUTHS))
-        unread = _is(type_, "STRING", "BIGINT")
-        found = F.when(good, _none()).when(unread, _error(where, NOT_FLAG + ", unable to interpret input")).otherwise(_error(where, NOT_FLAG))
-    else:
-        good = _is(type_, "STRING", *(["VOID"] if shape == MAYBE_TEXT else []))
-        found = F.when(good, _none()).otherwise(_error(where, NOT_TEXT))
-    return F.when(type_.isNull(), _error(where, MISSING) if required else _none()).otherwise(found)
+            each = lambda x, i: F.when(is_object(x), errors_of(x, shape[0], at(i))).otherwise(_error(at(i), NOT_OBJECT))
+        return found.when(is_array(v), F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), each))).otherwise(_error(where, NOT_LIST))
+    if isinstance(shape, list):
+        return found.when((type_ == "STRING") & text.isin(shape), _none()).otherwise(_error(where, _not_among(shape)))
+    if shape == FLAG:
+        good = (type_ == "BOOLEAN") | ((type_ == "BIGINT") & text.isin("0", "1")) | ((type_ == "STRING") & F.lower(text).isin(TRUTHS))
+        return found.when(good, _none()).when(type_.isin("STRING", "BIGINT"), _error(where, NOT_FLAG + ", unable to interpret input")).otherwise(_error(where, NOT_FLAG))
+    return found.when(type_.isin("STRING", *(["VOID"] if shape == MAYBE_TEXT else [])), _none()).otherwise(_error(where, NOT_TEXT))
 
 
 def errors_of(v: Column, shapes: dict, where: Column | None = None) -> Column:
-    """All errors of an object, in the order of its fields; a list of `place -> place: message`."""
-    out = []
-    for name, shape in shapes.items():
-        plain = name.rstrip("*")
-        place = F.lit(plain) if where is None else F.concat(where, F.lit(f" -> {plain}"))
-        out.append(_field(v, plain, shape, place, name.endswith("*")))
-    return F.concat(*out)
+    """All errors of an object, in the order of its fields; a list of `place -> place: message`.
+
+    One cast opens the object and a lambda names its fields, so that each is
+    built once however often it is asked about, and what is absent costs a test
+    for null.
+    """
+    names = {name: name.rstrip("*") for name in shapes}
+    place = lambda plain: F.lit(plain) if where is None else F.concat(where, F.lit(f" -> {plain}"))
+    opened = F.try_variant_get(v, "$", f"struct<{','.join(f'`{plain}`:variant' for plain in names.values())}>")
+    return F.transform(F.array(opened), lambda o: _joined([_field(o[names[n]], shape, place(names[n]), n.endswith("*")) for n, shape in shapes.items()]))[0]
 
 
 def document_errors(v: Column) -> Column:
     """The errors of a parsed document (null: not JSON). Controls at the top of a document without others count as its own."""
-    inside = {k: s for k, s in DOCUMENT.items() if k != "bowtie"}
-    bowtie = {k: s for k, s in DOCUMENT["bowtie"].items() if k != "controls"}
-    controls = F.filter(F.transform(controls_of(v), lambda x, i: F.struct(x.alias("c"), i.alias("i"))), lambda x: x["c"].isNotNull())
-    at = lambda x: F.concat(F.lit("bowtie -> controls -> "), x["i"].cast("string"))
-    each = F.transform(controls, lambda x: F.when(_is(F.schema_of_variant(x["c"]), "OBJECT"), errors_of(x["c"], CONTROL, at(x))).otherwise(_error(at(x), NOT_OBJECT)))
-    listed = kind(v, "$.bowtie.controls")
-    shape = F.when(listed.isNotNull() & ~_is(listed, "ARRAY"), _error(F.lit("bowtie -> controls"), NOT_LIST)).otherwise(_none())
-    found = F.concat(errors_of(v, inside), _field(v, "bowtie", bowtie, F.lit("bowtie"), False), shape, F.flatten(each))
-    return F.when(v.isNull(), F.array(F.lit("document: not JSON"))).when(_is(F.schema_of_variant(v), "OBJECT"), found).otherwise(F.array(F.lit(f"document: {NOT_OBJECT}")))
+    inside = {k: s for k, s in DOCUMENT.items() if k != "bowtie"} | {"bowtie": {k: s for k, s in DOCUMENT["bowtie"].items() if k != "controls"}}
+    at = lambda i: F.concat(F.lit("bowtie -> controls -> "), i.cast("string"))
+    each = F.transform(controls_of(v), lambda c, i: F.when(c.isNull(), _none()).when(is_object(c), errors_of(c, CONTROL, at(i))).otherwise(_error(at(i), NOT_OBJECT)))
+    controls = "$.bowtie.controls"
+    shape = F.when(is_array(v, controls) | F.try_variant_get(v, controls, "variant").isNull(), _none()).otherwise(_error(F.lit("bowtie -> controls"), NOT_LIST))
+    found = _joined([errors_of(v, inside), shape, F.flatten(each)])
+    return F.when(v.isNull(), F.array(F.lit("document: not JSON"))).when(is_object(v), found).otherwise(F.array(F.lit(f"document: {NOT_OBJECT}")))
 
 
 def validation_errors(parsed: DataFrame) -> DataFrame:

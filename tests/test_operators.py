@@ -1,6 +1,7 @@
 """Operators on small frames with the shapes and corner cases of incident data."""
 
 import json
+import re
 import math
 
 import pytest
@@ -725,3 +726,22 @@ def test_the_stored_index_reads_few_cells(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.top_k(queries, stretched, 7).select(*found.columns).collect()))
     vector_index.build(items.limit(1), f"{tmp_path}/one")
     assert vector_index.search(spark, f"{tmp_path}/one", queries, 3)[0].count() == 10
+
+
+def test_documents_are_opened_once_for_all_their_fields(spark):
+    """Time grew with the look-ups in a document's text for each of its fields, most of which are absent; now each object has one."""
+    df = spark.createDataFrame([(1, "{}")], "incident_id long, payload string")
+    plan = validation.validation_errors(coercion.parse(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"variant_get\(v#", plan)) < 20, "a look-up from the whole document for each field"
+    odd = [
+        '{"incident_id":"a","pifs":{"people":[1]},"event":null,"source":{"url":null,"title":null}}',
+        '{"incident_id":"b","bowtie":{"controls":{},"threats":null},"controls":[null,{"control_id":"c","performance":[],"linked_threat_ids":["x",null]}]}',
+        '{"incident_id":"c","bowtie":7}', "7", "null", '{"incident_id":null}',
+    ]
+    got = {r.payload: r.errors for r in coercion.parse(spark.createDataFrame([(t, t) for t in odd], "incident_id string, payload string")).select("payload", F.array_join(validation.document_errors(F.col("v")), "; ").alias("errors")).collect()}
+    assert [got[t] for t in odd] == [
+        "source -> title: Input should be a valid string; event: Input should be a valid dictionary; pifs -> people: Input should be a valid dictionary",
+        "bowtie -> threats: Input should be a valid list; bowtie -> controls: Input should be a valid list; bowtie -> controls -> 0: Input should be a valid dictionary; bowtie -> controls -> 1 -> linked_threat_ids -> 1: Input should be a valid string; "
+        "bowtie -> controls -> 1 -> performance: Input should be a valid dictionary",
+        "bowtie: Input should be a valid dictionary", "document: Input should be a valid dictionary", "document: Input should be a valid dictionary", "incident_id: Input should be a valid string",
+    ]
