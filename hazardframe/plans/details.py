@@ -13,7 +13,7 @@ from .adapters import CONTROLS, INCIDENTS, controls, incidents
 from .models import _AUC, _FOLDS, _METRICS, _SCORED, _dealt
 from .registry import query, table
 from .relations import FAMILIES, FAILED, ITEMS, PAIRS, _GAPS, _items
-from .scenarios import _PAIR_SCORES, _SCORES, _pair_scores, _scores
+from .scenarios import _PAIR_SCORES, _SCORES, _scores
 from .texts import _strip
 
 _MARK = "CASE p_partkey % 4 WHEN 0 THEN ' Fire & ' || p_name || ' -- Relief! ' WHEN 1 THEN p_name || ' über_x  (2nd)' WHEN 2 THEN '/' || p_name || '?.json ' ELSE p_name || ' ' || p_type END"
@@ -191,11 +191,11 @@ _RUNS = "runs AS (SELECT c.incident_id, c.control_id AS control_id_cond, t.contr
     _RUNS,
 )
 def reasons_of_worst(spark, sf):
-    scores = _pair_scores(spark, sf)
-    value = lambda i: (F.col("quantity_cond") * (2 * i + 1) + F.col("quantity_target") * (i + 3)) % 23 - 11
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), value(i).alias("value")) for i, f in enumerate("abcd")])).alias("c")
-    runs = scores.select("incident_id", "control_id_cond", "control_id_target", "quantity_cond", "quantity_target", each).select("incident_id", "control_id_cond", "control_id_target", "c.*")
-    return cascade.reasons_of_worst(scores, runs)
+    barriers = controls(spark, sf, named=False).select("incident_id", "control_seq", "control_id", "quantity")
+    p = lambda c, t: ((c["quantity"] * 31 + t["quantity"] * 17) % 100) / F.lit(100.0)
+    value = lambda c, t, i: (c["quantity"] * (2 * i + 1) + t["quantity"] * (i + 3)) % 23 - 11
+    reasons = lambda c, t: F.array(*[F.struct(F.lit(f).alias("feature"), value(c, t, i).alias("value")) for i, f in enumerate("abcd")])
+    return cascade.reasons_of_worst(barriers, p, reasons)
 
 
 def _placed(rows):

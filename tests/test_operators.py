@@ -745,3 +745,23 @@ def test_documents_are_opened_once_for_all_their_fields(spark):
         "bowtie -> controls -> 1 -> performance: Input should be a valid dictionary",
         "bowtie: Input should be a valid dictionary", "document: Input should be a valid dictionary", "document: Input should be a valid dictionary", "incident_id: Input should be a valid string",
     ]
+
+
+def test_reasons_of_worst_shuffle_barriers_once(spark):
+    """Every pair of barriers with every feature was shuffled; only barriers are now. Checked against all pairs, with a repeated id, a tie and lone barriers."""
+    made = [(i, s, f"C-{s % 5 if i == 3 else s}", (i * 7 + s * 13) % 50) for i in range(6) for s in range(1, 2 + 2 * i)]
+    p = lambda c, t: (c * 31 + t * 17) % 10 / 10
+    value = lambda c, t, i: (c * (2 * i + 1) + t * (i + 3)) % 23 - 11
+    want = []
+    for i in range(6):
+        mine = [m for m in made if m[0] == i]
+        for name in sorted({m[2] for m in mine}):
+            runs = [(p(c[3], t[3]), c[2], c[3], t[3]) for t in mine for c in mine if t[2] == name and c[1] != t[1]]
+            kept = [(abs(value(c, t, k)), f) for _, n, c, t in runs if n == max(runs)[1] for k, f in enumerate("abc")]
+            want += [(i, name, f, size, n + 1) for n, (size, f) in enumerate(sorted(kept, key=lambda x: (-x[0], x[1]))[:2])]
+    df = spark.createDataFrame(made, "incident_id long, control_seq long, control_id string, quantity int")
+    chance = lambda c, t: (c["quantity"] * 31 + t["quantity"] * 17) % 10 / F.lit(10.0)
+    reasons = lambda c, t: F.array(*[F.struct(F.lit(f).alias("feature"), value(c["quantity"], t["quantity"], k).alias("value")) for k, f in enumerate("abc")])
+    got = cascade.reasons_of_worst(df, chance, reasons)
+    assert rows(got.withColumn("value", F.abs("value")), "incident_id", "control_id", "feature", "value", "n") == sorted(want)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
